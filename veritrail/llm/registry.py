@@ -1,12 +1,15 @@
 """Queries of this package, and the DuckDB SQL of those that SQL can express."""
 
-from veritrail.llm import topk, warc
+from veritrail.llm import substring_dedup, suffix_dedup, topk, warc
 
 QUERIES = {
     "op6_warc": warc.query,
     "op7_exact_topk": topk.query,
+    "op8_substring_dedup": substring_dedup.query,
+    "op9_suffix_array_dedup": suffix_dedup.query,
 }
 ORACLES = {
     "op6_warc": warc.SQL,
     "op7_exact_topk": topk.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
 }
