@@ -1,13 +1,16 @@
 """Queries of this package, and the DuckDB SQL of those that SQL can express."""
 
-from veritrail.llm import near_duplicates, substring_dedup, suffix_dedup, topk, warc
+from veritrail.llm import fingerprints, mixing, near_duplicates, packing, substring_dedup, suffix_dedup, topk, warc
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_ngram_jaccard_join": near_duplicates.query,
+    "op5_mixing": mixing.query,
     "op6_warc": warc.query,
     "op7_exact_topk": topk.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_suffix_array_dedup": suffix_dedup.query,
+    "op10_fingerprints": fingerprints.query,
 }
 ORACLES = {
     "op2_ngram_jaccard_join": near_duplicates.SQL,
