@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 _ODD = 0x9E3779B97F4A7C15
@@ -47,21 +47,23 @@ def byte_table() -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """Rows of a batch as Python tuples; column by column, which is far faster than row by row."""
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+class WordTable(dict):
+    """Numbers for each word, worked out once for a word that a Python worker meets, and forgotten at ``limit`` words."""
 
+    def __init__(self, make: Callable[[bytes], tuple], codes: str, limit: int = 400_000) -> None:
+        self.make, self.codes, self.limit = make, codes, limit
+        self.columns = [array(c) for c in codes]
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        for column, value in zip(self.columns, self.make(word), strict=True):
+            column.append(value)
+        return place
 
-
-def map_rows(make: Callable[..., dict[str, list]], names: list[str], schema: pa.Schema) -> Callable:
-    """A mapInArrow function from one that turns columns (lists) into columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch_of(schema, **make(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)))
-
-    return run
+    def look(self, words: list[bytes]) -> list[np.ndarray]:
+        """An array for each number, over ``words``."""
+        if len(self) > self.limit:
+            self.clear()
+            self.columns = [array(c) for c in self.codes]
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return [np.frombuffer(column, column.typecode)[places] for column in self.columns]

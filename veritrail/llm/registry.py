@@ -1,10 +1,12 @@
 """Queries of this package, and the DuckDB SQL of those that SQL can express."""
 
-from veritrail.llm import fingerprints, mixing, near_duplicates, packing, substring_dedup, suffix_dedup, topk, warc
+from veritrail.llm import fingerprints, mixing, near_duplicates, packing, quality, substring_dedup, suffix_dedup, token_counts, topk, warc
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_ngram_jaccard_join": near_duplicates.query,
+    "op3_token_counts": token_counts.query,
+    "op4_quality_classifier": quality.query,
     "op5_mixing": mixing.query,
     "op6_warc": warc.query,
     "op7_exact_topk": topk.query,

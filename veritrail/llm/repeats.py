@@ -304,7 +304,7 @@ def with_runs(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: str = "
 def covered_spans(runs: list[dict] | None, window: int) -> list[tuple[int, int]]:
     """Maximal spans [start, end) that the windows of the runs cover."""
     spans: list[list[int]] = []
-    for start, n in sorted((r["start"], r["n"]) for r in runs or []):
+    for start, n in sorted((r["start"], r["n"]) for r in ([] if runs is None else runs)):
         if spans and start <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], start + n - 1 + window)
         else:

@@ -102,7 +102,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         out = []
         for t, r in zip(texts, runs, strict=True):
-            spans = covered_spans(r, window) if r is not None else []
+            spans = covered_spans(r, window)
             words = t.encode().split() if spans else []
             out.append((b" ".join(w for a, b in kept_parts(len(words), spans) for w in words[a:b]).decode() if spans else t, [{"start": a, "end": b} for a, b in spans]))
         return pd.DataFrame(out, columns=["text", "removed_spans"])

@@ -131,15 +131,14 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
     ``removed_spans`` has what went, as array of (start, end) in bytes of the old text."""
     kind = Kind(length, min(GRAM, length), True, 1, _encode, _lift, deep_shallow_order)
     marked = with_runs(docs, kind, text=text)
-    schema = "key long, text string, removed_spans array<struct<start:long,end:long>>"
 
-    @F.pandas_udf(schema.replace("key long, ", ""))
+    @F.pandas_udf("text string, removed_spans array<struct<start:long,end:long>>")
     def cut(texts, runs):
         import pandas as pd
 
         out = []
         for t, r in zip(texts, runs, strict=True):
-            spans = covered_spans(r, length) if r is not None else []
+            spans = covered_spans(r, length)
             raw = t.encode() if spans else b""
             out.append((b"".join(raw[a:b] for a, b in kept_parts(len(raw), spans)).decode("utf-8", "ignore") if spans else t, [{"start": a, "end": b} for a, b in spans]))
         return pd.DataFrame(out, columns=["text", "removed_spans"])
