@@ -45,12 +45,12 @@ roll AS (
   SELECT dst, ts_micros, count(*) OVER w AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total FROM transfers
   WHERE amount >= 25000 AND amount < 50000
   WINDOW w AS (PARTITION BY dst ORDER BY ts_micros RANGE BETWEEN {336 * ledger.HOUR} PRECEDING AND CURRENT ROW)),
-best AS (
+top_window AS (
   SELECT dst, n, total FROM roll WHERE n >= 3 AND total >= 50000
   QUALIFY row_number() OVER (PARTITION BY dst ORDER BY n DESC, ts_micros, total) = 1),
 structuring AS (
   SELECT dst AS entities, {_clamp("0.45e0 + 0.08e0 * (n - 3) + 0.15e0 * least(total / 50000e0 - 1, 2e0)")} AS score,
-         n AS near_band_count, total AS window_total, total / 50000e0 AS aggregate_ratio FROM best)"""
+         n AS near_band_count, total AS window_total, total / 50000e0 AS aggregate_ratio FROM top_window)"""
 
 FUNNEL_SQL = f"""
 f_in AS (
