@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 INDICATOR = "kind string, value string, source string, chain string, tags array<string>, meta map<string,string>"
 #: Chains by the asset codes of sanctions lists (fixed values).
@@ -21,7 +22,7 @@ ASSET_CHAIN = {
 }
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_ip(tokens: pd.Series) -> pd.Series:
     """IPv4 or IPv6 addresses."""
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _PAY = "array<struct<address:string,value:double>>"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hex_amount(texts: pd.Series) -> pd.Series:
     """Whole numbers of any length, hexadecimal after 0x; anything else is 0."""
 
