@@ -17,6 +17,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veritrail.storage import materialize
 
@@ -29,7 +30,7 @@ NEAR, NEXT = 32, 256
 _BELOW = -2049
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def word_count(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: len(t.encode().split()) if t else 0).astype("int64")
 
