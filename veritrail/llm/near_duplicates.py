@@ -34,7 +34,7 @@ WORDS = 5
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
 #: Counters of the sketch (a power of two), its chunks, hash ranges of the overlap bound, bits of the class filter.
-SKETCH_BITS, CHUNK_BITS, RANGES, FILTER_BITS = 20, 14, 256, 23
+SKETCH_BITS, CHUNK_BITS, RANGES, FILTER_BITS = 23, 16, 256, 23
 _HELD = 500_000
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("ranges", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -58,11 +58,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's share of the sketch."""
-    sketch, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+    sketch, held, size = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
 
     def pour():
         if held:
-            np.add(sketch, np.bincount((np.concatenate(held) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=sketch.size), out=sketch)
+            slots, times = np.unique(np.concatenate(held) & np.uint64((1 << SKETCH_BITS) - 1), return_counts=True)
+            sketch[slots.astype(np.int64)] += times
             held.clear()
 
     for batch in batches:
@@ -83,7 +84,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunks = [(c, part) for c, part in enumerate(sketch.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
     if chunks:
         none = [None] * len(chunks)
-        packed = [zlib.compress(part.astype(np.int32).tobytes(), 1) for _, part in chunks]
+        packed = [zlib.compress(part.tobytes(), 1) for _, part in chunks]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([none, none, none, none, [c for c, _ in chunks], packed], _PROFILE, strict=True)], schema=_PROFILE)
 
 
@@ -237,12 +238,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     levels = spark.sparkContext.broadcast(table.reshape(-1))
 
     shared = texts.mapInArrow(_prefixes(levels), "tok long, cls long, n int, i int")
-    same, sized = Window.partitionBy("tok"), Window.partitionBy("tok", "size")
-    shared = shared.withColumn("size", F.floor(F.log("n") / F.log(F.lit(DOWN / UP))).cast("int"))
-    shared = shared.withColumns({"low": F.min("cls").over(same), "high": F.max("cls").over(same), "hub": F.min(F.struct("n", "cls", "i")).over(sized)})
-    shared = materialize(shared.where("low <> high").select("tok", "cls", "n", "i", "hub"))
-
-    hubs = shared.where(F.col("hub.cls") != F.col("cls")).where(_fits(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i")))
+    same = Window.partitionBy("tok")
+    shared = shared.withColumns({"low": F.min("cls").over(same), "high": F.max("cls").over(same), "df": F.count("*").over(same)})
+    shared = materialize(shared.where("low <> high").select("tok", "cls", "n", "i", "df"))
+
+    # The hub of a group is the class that shares most with others, such as the text that copies were made from:
+    # one of all sizes, and one for each class's own range of sizes.
+    central = shared.groupBy("cls").agg(F.sum("df").alias("c"))
+    size = F.floor(F.log("n") / F.log(F.lit(DOWN / UP))).cast("int")
+    ranked = shared.drop("df").join(central, "cls").withColumn("size", size)
+    hub = F.max(F.struct("c", "cls", "n", "i"))
+    hubs = ranked.withColumns({"any": hub.over(same), "sized": hub.over(Window.partitionBy("tok", "size"))})
+    hubs = hubs.withColumn("hub", F.explode(F.array("any", "sized")))
+    hubs = hubs.where(F.col("hub.cls") != F.col("cls")).where(_fits(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i")))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried, links = _links(hubs.select(*ordered(F.col("cls"), F.col("hub.cls"))).distinct(), classes, texts, levels)
     parts = materialize(connected_components(links))
