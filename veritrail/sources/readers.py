@@ -25,7 +25,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     whole = spark.read.text(path, wholetext=True)
     items = whole.select(F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("at", "r"))
-    return items.select("r.*", F.col("at").cast("long").alias("ordinal")) if schema else items
+    return items.select("r.*", F.col("at").cast("long").alias("ordinal"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,37 +33,27 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("ordinal", F.monotonically_increasing_id())
 
 
-def _struct(schema: str) -> str:
-    """``name type`` fields in the form that a struct type takes."""
-    depth, out = 0, []
-    for ch in schema:
-        depth += ch == "<"
-        depth -= ch == ">"
-        out.append(":" if ch == " " and depth == 0 and out and out[-1] not in ", " and ":" not in "".join(out).rsplit(",", 1)[-1] else ch)
-    return "".join(out).replace(", ", ",")
-
-
 def load_transfers(spark: SparkSession, path: str) -> DataFrame:
-    rows = json_array(spark, path, _struct(TRANSFER))
+    rows = json_array(spark, path, TRANSFER)
     return rows.withColumn("ts_micros", epoch_micros(F.col("timestamp"))).withColumn("id", F.coalesce("id", F.concat(F.lit("row-"), F.col("ordinal").cast("string"))))
 
 
 def load_transactions(spark: SparkSession, path: str) -> DataFrame:
-    rows = json_array(spark, path, _struct("txid string, asset string, timestamp string, " + _fields(TRANSACTION, "txid", "ts", "ordinal")))
+    rows = json_array(spark, path, "txid string, asset string, timestamp string, " + _fields(TRANSACTION, "txid", "ts", "ordinal"))
     return rows.withColumnRenamed("timestamp", "ts")
 
 
 def load_observations(spark: SparkSession, path: str) -> DataFrame:
-    rows = json_array(spark, path, _struct("ip string, timestamp string, " + _fields(OBSERVATION, "ip", "ts", "ordinal")))
+    rows = json_array(spark, path, "ip string, timestamp string, " + _fields(OBSERVATION, "ip", "ts", "ordinal"))
     return rows.withColumnRenamed("timestamp", "ts")
 
 
 def load_linkages(spark: SparkSession, path: str) -> DataFrame:
-    return json_array(spark, path, _struct(_fields(LINKAGE, "ordinal")))
+    return json_array(spark, path, _fields(LINKAGE, "ordinal"))
 
 
 def load_sdn(spark: SparkSession, path: str) -> DataFrame:
-    return json_array(spark, path, _struct(_fields(SDN, "ordinal")))
+    return json_array(spark, path, _fields(SDN, "ordinal"))
 
 
 def load_watchlist(spark: SparkSession, path: str) -> DataFrame:
