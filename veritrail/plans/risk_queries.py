@@ -101,4 +101,12 @@ SELECT 'network-' || i AS network_id, component, size, CAST(len(risks) AS BIGINT
 SELECT 'wallet-cluster' AS type, count(*) AS n FROM a UNION ALL SELECT 'crypto-address', count(*) FROM a
 UNION ALL SELECT 'ip-address', count(*) FROM pages UNION ALL SELECT 'infrastructure-cluster', count(DISTINCT regexp_extract(url, '^https?://([^/]+)', 1)) FROM pages
 UNION ALL SELECT 'sanctioned-entity', 1 FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM a WHERE x IN ('C30', 'C40'))""",
+    "fusion_edges": """WITH a AS (SELECT 'C' || o_custkey AS x FROM orders UNION SELECT 'C' || (o_custkey + 1) FROM orders UNION SELECT 'K' || (o_orderkey % 100) FROM orders),
+i AS (SELECT '10.0.0.' || page_id AS ip FROM pages),
+l(one, two, confidence, evidence) AS (VALUES ('C10', '10.0.0.1', 0.7e0, 'report'), ('C10', 'C400', 0.7e0, 'report'), ('C20', '10.0.0.2', 0.6e0, 'investigation'), ('10.0.0.2', '10.0.0.9', 0.6e0, 'investigation')),
+k AS (SELECT x FROM a UNION SELECT ip FROM i)
+SELECT 'member-of' AS relation, 0.9e0 AS confidence, 'common inputs' AS evidence, count(*) AS n FROM a
+UNION ALL SELECT 'member-of', 0.8e0, 'shared certificate or domain', count(*) FROM i
+UNION ALL SELECT 'sanctioned-as', 1e0, 'sanctions list', count(*) FROM a WHERE x IN ('C30', 'C40') HAVING count(*) > 0
+UNION ALL SELECT 'controlled-by-same-actor', confidence, evidence, count(*) FROM l WHERE one IN (SELECT x FROM k) AND two IN (SELECT x FROM k) GROUP BY confidence, evidence""",
 }
