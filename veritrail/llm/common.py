@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -47,10 +48,44 @@ def byte_table() -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
+#: Rows of an Arrow batch of texts, at most.
+TEXT_BATCH = 1_000
+
+
+def bound_text_batches(spark) -> None:
+    """Have the session send texts to Python in smaller batches than its default of 10,000 rows, since those are
+    held whole on both sides. Plans are made when they run, so the setting stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+
+
+@contextmanager
+def arrow_batches(spark, rows: int) -> Iterator[None]:
+    """Fewer rows in each Arrow batch, for jobs started inside whose rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+_held: dict = {}
+
+
+def worker_cache(key, make: Callable[[], object]):
+    """What this Python worker keeps for one operator. Another operator's goes first, so that caches don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class WordTable(dict):
     """Numbers for each word, worked out once for a word that a Python worker meets, and forgotten at ``limit`` words."""
 
-    def __init__(self, make: Callable[[bytes], tuple], codes: str, limit: int = 400_000) -> None:
+    def __init__(self, make: Callable[[bytes], tuple], codes: str, limit: int = 250_000) -> None:
         self.make, self.codes, self.limit = make, codes, limit
         self.columns = [array(c) for c in codes]
 

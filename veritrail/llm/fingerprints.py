@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import gram_hashes, mix64
+from veritrail.llm.common import bound_text_batches, gram_hashes, mix64
 from veritrail.llm.repeats import anchors
 
 GRAM, WINDOW = 16, 64
@@ -100,6 +100,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     Documents are dealt by ranges of ids, each with a copy of the last document of the range before it.
     """
     spark = docs.sparkSession
+    bound_text_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select("key").approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from veritrail.llm.common import bound_text_batches
 from veritrail.storage import materialize
 
 #: Distinct membership patterns that the driver's flow takes.
@@ -138,6 +139,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights=WEIGHTS, share:
     ``sources``: an array of the sources of each row where they overlap, else the column source is it.
     ``weights``: by order of the sources, over and over, or a dict.
     """
+    bound_text_batches(docs.sparkSession)
     own = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
     marked = docs.withColumns({"size": word_count("text"), "__pattern": F.to_json(own), "__h": F.xxhash64("doc_id", "text", F.lit(seed))})
     spark = docs.sparkSession

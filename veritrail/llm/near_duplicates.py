@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import gram_hashes, word_hashes
+from veritrail.llm.common import arrow_batches, bound_text_batches, gram_hashes, word_hashes, worker_cache
 from veritrail.operators.components import connected_components
 from veritrail.storage import materialize
 
@@ -36,6 +36,8 @@ UP, DOWN = 4, 5
 #: Counters of the sketch (a power of two), its chunks, hash ranges of the overlap bound, bits of the class filter.
 SKETCH_BITS, CHUNK_BITS, RANGES, FILTER_BITS = 23, 16, 256, 23
 _HELD = 500_000
+#: Rows of an Arrow batch where each carries whole sets.
+VERIFY_BATCH = 500
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("ranges", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 _PREFIX = pa.schema([("tok", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("i", pa.int32())])
@@ -58,6 +60,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's share of the sketch."""
+    worker_cache("near_duplicates", dict)
     sketch, held, size = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
 
     def pour():
@@ -126,7 +129,7 @@ def _prefixes(levels) -> object:
                 toks = ordered_tokens(shingles(words), levels.value)
                 p = prefix_size(toks.size)
                 parts.append((toks[:p].view(np.int64), cls, toks.size, p))
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             if parts:
                 sizes = [p for *_, p in parts]
@@ -149,7 +152,7 @@ def _sets(levels, bits) -> object:
                     continue
                 seen.add(cls)
                 out.append((cls, ordered_tokens(shingles(words), levels.value).tobytes()))
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SET, strict=True)], schema=_SET)
@@ -210,12 +213,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, levels) -> tuple[DataFrame, DataFrame]:
     """(pairs that were tried, links among them), of distinct candidate pairs (a, b)."""
     side = lambda s: classes.select(F.col("cls").alias(s), F.col("ranges").alias(f"r{s}"), F.col("n").alias(f"n{s}"))
+    spark = texts.sparkSession
     pairs = materialize(pairs)
     some = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_by_ranges, "a long, b long"))
-    bits = texts.sparkSession.sparkContext.broadcast(class_filter(some.select(F.explode(F.array("a", "b")).alias("cls")).distinct()))
-    sets = materialize(texts.mapInArrow(_sets(levels, bits), "cls long, toks binary").dropDuplicates(["cls"]))
+    bits = spark.sparkContext.broadcast(class_filter(some.select(F.explode(F.array("a", "b")).alias("cls")).distinct()))
     whole = lambda s: sets.select(F.col("cls").alias(s), F.col("toks").alias(f"t{s}"))
-    return pairs, materialize(some.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_verify, "a long, b long"))
+    with arrow_batches(spark, VERIFY_BATCH):
+        sets = materialize(texts.mapInArrow(_sets(levels, bits), "cls long, toks binary").dropDuplicates(["cls"]))
+        links = materialize(some.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_verify, "a long, b long"))
+    return pairs, links
 
 
 def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -226,6 +232,7 @@ def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    bound_text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.select("text")
     profile = materialize(docs.mapInArrow(_profile, "doc_id long, cls long, n int, ranges binary, chunk int, counts binary"))

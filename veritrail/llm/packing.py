@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.llm.common import bound_text_batches, worker_cache
 from veritrail.storage import materialize
 
 SEQUENCE, BIN, END_ID = 2048, 8, 1
@@ -34,7 +35,6 @@ CACHED_WORDS, CACHED_STEMS = 300_000, 700_000
 PIECES_PER_GROUP = 50_000
 
 _PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
-_workers: dict[str, WordIds] = {}
 
 
 class WordIds(dict):
@@ -75,9 +75,7 @@ class WordIds(dict):
 
 def word_ids(path: str) -> WordIds:
     """The cache of this Python worker for a tokenizer file."""
-    if path not in _workers:
-        _workers[path] = WordIds(path)
-    return _workers[path]
+    return worker_cache(("ids", path), lambda: WordIds(path))
 
 
 def token_bytes(text: str | None, ids: WordIds) -> bytes:
@@ -226,6 +224,7 @@ def _place(strategies, lengths: dict[int, int], size: int, width: int):
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for ``docs`` (doc_id, text)."""
+    bound_text_batches(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialize(pieces)
     groups = max(16, min(4096, pieces.count() // PIECES_PER_GROUP))

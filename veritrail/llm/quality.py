@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import WordTable, gram_hashes, mix64
+from veritrail.llm.common import WordTable, bound_text_batches, gram_hashes, mix64, worker_cache
 from veritrail.storage import materialize
 
 BITS, CHUNK_BITS = 22, 16
@@ -39,7 +39,6 @@ _ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KINDS = bytes.maketrans(bytes(range(97, 123)) + bytes(range(128, 256)) + bytes(range(65, 91)) + b"123456789", b"a" * 154 + b"A" * 26 + b"0" * 9)
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 _COUNTS = pa.schema([("chunk", pa.int32()), ("raw", pa.binary()), ("target", pa.binary()), ("n_raw", pa.int64()), ("n_target", pa.int64())])
-_table: list[WordTable] = []
 
 
 def shape(word: bytes) -> bytes:
@@ -56,9 +55,7 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").encode().split()
     if not words:
         return np.empty(0, np.int64)
-    if not _table:
-        _table.append(WordTable(_word, "QQ"))
-    stems, shapes = _table[0].look(words)
+    stems, shapes = worker_cache("quality", lambda: WordTable(_word, "QQ")).look(words)
     kinds, times = np.unique(shapes, return_counts=True)
     repeats = float((stems[1:] == stems[:-1]).mean()) if len(words) > 1 else 0.0
     grams = [
@@ -98,6 +95,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, log ratios) that are not 0, for ``docs`` (doc_id, text) and ``labels`` (doc_id, quality, toxic)."""
+    bound_text_batches(docs.sparkSession)
     good = labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     good = good.where("good").orderBy(F.xxhash64("__id")).limit(MAX_TARGET).select("__id", F.lit(True).alias("target"))
     # At most MAX_TARGET ids.

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import gram_hashes, mix64
+from veritrail.llm.common import bound_text_batches, gram_hashes, mix64, worker_cache
 from veritrail.storage import materialize
 
 #: Rows a task folds at a time, stretches sorted at a time, and stretches a gram may have before it is lengthened.
@@ -133,6 +133,7 @@ def _sample(kind: Kind) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SAMPLE, strict=True)], schema=_SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("repeats", dict)
         parts, held = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -296,6 +297,7 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
 
 def with_runs(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` and a column ``repeated_runs``, array of (start, n), null where there are none."""
+    bound_text_batches(docs.sparkSession)
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     runs = repeated_runs(slim, kind).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n")).alias("repeated_runs"))
     return docs.join(runs, docs[doc_id] == runs["__doc"], "left").drop("__doc")

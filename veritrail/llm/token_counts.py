@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import WordTable
+from veritrail.llm.common import WordTable, bound_text_batches, worker_cache
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-_searches: dict[tuple, WordTable] = {}
 
 
 class Viterbi:
@@ -72,18 +71,20 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True) -> DataFrame:
     """(doc_id, n_tokens, score) for every row of ``docs`` (doc_id, text)."""
+    bound_text_batches(docs.sparkSession)
     key = (hash(tuple(vocabulary)), byte_fallback)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _searches:
+        def table() -> WordTable:
             search = Viterbi(shared.value, byte_fallback)
-            _searches[key] = WordTable(lambda w: search.count(SPACE + w.decode()), "qd")
-        table = _searches[key]
+            return WordTable(lambda w: search.count(SPACE + w.decode()), "qd")
+
+        known = worker_cache(key, table)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts, scores = table.look((text.as_py() or "").encode().split())
+                counts, scores = known.look((text.as_py() or "").encode().split())
                 out.append((doc, int(counts.sum()), float(np.add.reduce(scores))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT)
