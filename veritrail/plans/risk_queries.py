@@ -10,10 +10,11 @@ from veritrail.plans.ledger_queries import FUNNEL_SQL, STRUCTURING, STRUCTURING_
 from veritrail.plans.views import MONTH, TRANSFERS, WEEK, between, sliced, transfers
 
 
-def findings(s, d):
-    """Structuring and trade findings over all transfers, funnels of one month; scores unrounded."""
+def findings(s, d, span=MONTH):
+    """Structuring and trade findings over all transfers, funnels of ``span`` or of all transfers; scores unrounded."""
     rows = transfers(s, d)
-    parts = {"structuring": detectors.structuring(rows, **STRUCTURING), "trade_value_anomaly": detectors.trade_value_anomaly(rows), "funnel_account": detectors.funnel_account(between(rows, MONTH))}
+    funnels = between(rows, span) if span else rows
+    parts = {"structuring": detectors.structuring(rows, **STRUCTURING), "trade_value_anomaly": detectors.trade_value_anomaly(rows), "funnel_account": detectors.funnel_account(funnels)}
     out = None
     for name, found in parts.items():
         one = found.select(F.concat(F.lit(name + ":"), F.array_join("entities", "|"), F.lit(":"), F.col("score").cast("string")).alias("id"), F.lit(name).alias("typology"), "entities", "score")

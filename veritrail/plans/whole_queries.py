@@ -1,0 +1,66 @@
+"""The graph and risk queries that have a slice of the transfers elsewhere, over all transfers: NAME_whole.
+
+round_tripping and case_summary are missing: cycles of a dense graph are too many to enumerate.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veritrail.operators import detectors, risk, traversal
+from veritrail.operators.ledger import entities
+from veritrail.plans import graph_queries, ledger_queries, risk_queries
+from veritrail.plans.views import MONTH, WEEK, named, sliced, transfers
+
+
+def watch(s, d):
+    """Every entity whose number is a multiple of 50 is watched."""
+    return entities(transfers(s, d)).where(F.substring("entity", 2, 20).cast("long") % 50 == 0)
+
+
+def paths(s, d):
+    rows = transfers(s, d)
+    pairs = rows.where("src is not null and dst is not null").select("src", "dst").distinct()
+    onward = pairs.select(F.col("src").alias("via"), F.col("dst").alias("t"))
+    ends = pairs.select("src", F.col("dst").alias("via")).join(onward, "via").where("src <> t").agg(F.min(F.struct("src", "t")).alias("e")).first()["e"]
+    found = traversal.path_of_funds(rows, ends["src"] if ends else "", ends["t"] if ends else "", max_paths=5)
+    return found.withColumns({"route": F.array_join("route", ">"), "edges": F.array_join("edges", ">")})
+
+
+def entity_rows(s, d):
+    return risk.entity_risk(risk_queries.findings(s, d, None)).drop("contributions").withColumn("typologies", F.array_join("typologies", ","))
+
+
+def network_rows(s, d):
+    return risk.network_risk(risk_queries.findings(s, d, None), traversal.components(transfers(s, d))).withColumn("typologies", F.array_join("typologies", ","))
+
+
+def top_findings(s, d):
+    return risk.prioritized(risk_queries.findings(s, d, None).drop("id").withColumn("id", F.array_join("entities", "|")).drop("entities").distinct(), 50)
+
+
+QUERIES = {
+    "funnel_account_whole": lambda s, d: named(detectors.funnel_account(transfers(s, d))),
+    "connected_components_whole": lambda s, d: traversal.components(transfers(s, d)),
+    "shell_nominee_whole": lambda s, d: named(traversal.shell_nominee(transfers(s, d))),
+    "sanctions_nexus_whole": lambda s, d: named(traversal.sanctions_nexus(transfers(s, d), watch(s, d))),
+    "next_hop_whole": lambda s, d: traversal.next_hops(transfers(s, d)),
+    "path_of_funds_whole": paths,
+    "communities_whole": lambda s, d: traversal.communities(transfers(s, d)),
+    "centrality_whole": lambda s, d: traversal.centrality(transfers(s, d)),
+    "top_brokers_whole": lambda s, d: traversal.top_brokers(transfers(s, d)),
+    "entity_risk_whole": entity_rows,
+    "network_risk_whole": network_rows,
+    "prioritized_findings_whole": top_findings,
+}
+
+
+def _whole(name: str) -> str:
+    sql = (ledger_queries.ORACLES | graph_queries.ORACLES | risk_queries.ORACLES)[name]
+    for span, part in ((WEEK, "week"), (MONTH, "month")):
+        sql = sql.replace(sliced(span, part), f"{part} AS (SELECT * FROM transfers)")
+    return sql
+
+
+#: SQL for those that SQL can enumerate on the whole graph.
+ORACLES = {f"{n}_whole": _whole(n) for n in ("funnel_account", "connected_components", "shell_nominee", "sanctions_nexus", "next_hop", "entity_risk", "network_risk", "prioritized_findings")}
