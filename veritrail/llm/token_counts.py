@@ -6,14 +6,18 @@ search does: among equal scores the piece that starts earliest stays. A characte
 matches may be an unknown, at the lowest score less ``UNKNOWN_PENALTY``; it counts as its bytes where the
 vocabulary falls back to bytes, otherwise as one piece for each run of unknowns.
 
-Words are split at ASCII white space and start with the vocabulary's space sign. Tasks keep the results of
-words they have met, up to a bound. A null or empty text has no pieces and score 0. Repeated rows, null ids
-and empty tables need no care: each row gives one row.
+A text starts with the vocabulary's space sign, and its spaces are such signs. Where the model keeps white space
+(``keep_spaces``), every space, line break and tab counts; otherwise words are split at ASCII white space and each
+starts with one sign. Kept texts are cut before spaces and around line breaks, where no piece crosses; a vocabulary
+with pieces that would cross has the text searched in longer stretches or as a whole, with the same result. Tasks
+keep the results of stretches they have met, up to a bound. A null or empty text has no pieces and score 0.
+Repeated rows, null ids and empty tables need no care: each row gives one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -46,8 +50,8 @@ class Viterbi:
         score, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         for end in range(n):
             best, single = None, False
-            # Longest first: the piece that starts earliest keeps its place on ties.
-            for length, value in sorted(ending[end], key=lambda m: -m[0]):
+            # The automaton gives the longest first: the piece that starts earliest keeps its place on ties.
+            for length, value in ending[end]:
                 start = end + 1 - length
                 single |= length == 1
                 if best is None or score[start] + value > best:
@@ -69,22 +73,56 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in plain], any(model.is_byte(i) for i in ids)
 
 
-def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True) -> DataFrame:
+def keeps_spaces(path: str) -> bool:
+    """Whether a SentencePiece model leaves repeated spaces as they are."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return model.encode("a" + " " * 2 + "a") != model.encode("a a")
+
+
+def splitter(vocabulary: list[tuple[str, float]], byte_fallback: bool) -> Callable[[bytes], list[bytes]]:
+    """A function from a text with its first space to stretches that can be searched one by one.
+
+    A cut is right where no piece holds the characters on both sides, and no run of unknowns, which counts as one
+    piece without a fallback to bytes, goes across.
+    """
+    pieces = {piece for piece, _ in vocabulary}
+    spaces = (byte_fallback or SPACE in pieces) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+    lines = (byte_fallback or "\n" in pieces) and not any("\n" in p and len(p) > 1 for p in pieces)
+    # Space signs in a text are as good as spaces.
+    sign = SPACE.encode()
+    if spaces and lines:
+        find = re.compile(rb" *[^ \n]+| +|\n").findall
+    elif spaces:
+        find = re.compile(rb" *[^ ]+| +").findall
+    elif lines:
+        find = re.compile(rb"[^\n]+|\n").findall
+    else:
+        find = lambda text: [text] if text else []
+    return lambda text: find(text.replace(sign, b" ") if sign in text else text)
+
+
+def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, keep_spaces: bool = False) -> DataFrame:
     """(doc_id, n_tokens, score) for every row of ``docs`` (doc_id, text)."""
     bound_text_batches(docs.sparkSession)
-    key = (hash(tuple(vocabulary)), byte_fallback)
+    key = (hash(tuple(vocabulary)), byte_fallback, keep_spaces)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table() -> WordTable:
             search = Viterbi(shared.value, byte_fallback)
+            if keep_spaces:
+                return WordTable(lambda w: search.count(w.decode().replace(" ", SPACE)), "qd")
             return WordTable(lambda w: search.count(SPACE + w.decode()), "qd")
 
         known = worker_cache(key, table)
+        stretches = splitter(shared.value, byte_fallback) if keep_spaces else bytes.split
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts, scores = known.look((text.as_py() or "").encode().split())
+                raw = (text.as_py() or "").encode()
+                counts, scores = known.look(stretches(b" " + raw if raw and keep_spaces else raw))
                 out.append((doc, int(counts.sum()), float(np.add.reduce(scores))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT)
@@ -95,5 +133,6 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fall
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    vocabulary, fallback = read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, fallback)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocabulary, fallback = read_vocabulary(path)
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, fallback, keeps_spaces(path))
