@@ -13,6 +13,7 @@ share their decision; null ids are told apart by their text. An empty table give
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,7 @@ from pyspark.sql.types import LongType
 from veritrail.llm.common import bound_text_batches
 from veritrail.storage import materialize
 
-#: Distinct membership patterns that the driver's flow takes.
+#: Membership patterns up to which plans are broadcast; larger ones are joined by shuffles.
 MAX_PATTERNS = 5_000
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, 17
 #: Ends and further documents of a pattern that are tried together to meet what is missing.
@@ -101,11 +102,37 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, epochs: int) -> dict
             arcs[i ^ 1][1] += room
 
 
+def split_flow(patterns: dict[tuple, int], quotas: dict, epochs: int) -> dict[tuple, int]:
+    """``min_cost_flow`` of each group of patterns that share sources; a source with one pattern of its own needs no search."""
+    parent, place = {s: s for s in quotas}, {s: i for i, s in enumerate(quotas)}
+
+    def root(s):
+        while parent[s] != s:
+            parent[s] = s = parent[parent[s]]
+        return s
+
+    for first, *others in filter(None, patterns):
+        for s in others:
+            parent[root(s)] = root(first)
+    groups: dict = {}
+    for pattern in patterns:
+        if pattern:
+            groups.setdefault(root(pattern[0]), {})[pattern] = patterns[pattern]
+    flow = dict.fromkeys(patterns, 0)
+    for group in groups.values():
+        if len(group) == 1 and len(pattern := next(iter(group))) == 1:
+            flow[pattern] = min(quotas[pattern[0]], group[pattern] * epochs)
+        else:
+            inside = {s for p in group for s in p}
+            flow |= min_cost_flow(group, {s: quotas[s] for s in sorted(inside, key=place.__getitem__)}, epochs)
+    return flow
+
+
 def _code_points(sources) -> list:
     return sorted((s for s in sources if s is not None)) + [s for s in sources if s is None]
 
 
-def _ends(slim: DataFrame, rest: DataFrame) -> DataFrame:
+def _ends(slim: DataFrame, rest: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(__pattern, upto_h, fill_h): rows up to one hash, and one more, whose sizes come closest to ``rest``.
 
     Counts by hash range show where the running sum passes ``rest``. Of the rows there, the last NEAR ends before
@@ -114,15 +141,16 @@ def _ends(slim: DataFrame, rest: DataFrame) -> DataFrame:
     slim = slim.withColumn("bucket", F.shiftright("__h", 52).cast("int"))
     running = Window.partitionBy("__pattern").orderBy("bucket")
     coarse = slim.groupBy("__pattern", "bucket").agg(F.sum("size").alias("sum"), F.count("*").alias("n")).withColumns({"upto": F.sum("sum").over(running), "rank": F.sum("n").over(running)})
+    rest = small(rest)
     coarse = coarse.join(rest, "__pattern")
     place = coarse.where("upto > rest").groupBy("__pattern").agg(F.min(F.struct("bucket", "rank", "n")).alias("place"))
-    near = coarse.join(F.broadcast(place), "__pattern")
+    near = coarse.join(small(place), "__pattern")
     low = near.where(F.col("rank") <= F.col("place.rank") - F.col("place.n") - NEAR).groupBy("__pattern").agg(F.max(F.struct("bucket", "upto")).alias("low"))
     high = near.where(F.col("rank") >= F.col("place.rank") + NEXT).groupBy("__pattern").agg(F.min("bucket").alias("high"))
     region = place.join(rest, "__pattern").join(low, "__pattern", "left").join(high, "__pattern", "left")
     region = region.select("__pattern", "rest", F.coalesce("low.bucket", F.lit(_BELOW)).alias("low"), F.coalesce("low.upto", F.lit(0)).alias("before"), F.coalesce("high", F.lit(-_BELOW)).alias("high"))
     order = Window.partitionBy("__pattern").orderBy("__h")
-    rows = slim.join(F.broadcast(region), "__pattern").where("bucket > low and bucket <= high").withColumn("upto", F.col("before") + F.sum("size").over(order)).withColumn("taken", F.col("upto") <= F.col("rest"))
+    rows = slim.join(small(region), "__pattern").where("bucket > low and bucket <= high").withColumn("upto", F.col("before") + F.sum("size").over(order)).withColumn("taken", F.col("upto") <= F.col("rest"))
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("__pattern", "taken").orderBy(F.when(F.col("taken"), -F.col("upto")).otherwise(F.col("upto")), F.when(F.col("taken"), -F.col("__h")).otherwise(F.col("__h")))))
     start = region.select("__pattern", "rest", F.when(F.col("low") == _BELOW, F.lit(-(2**63))).otherwise(F.shiftleft(F.col("low").cast("long") + 1, 52) - 1).alias("upto_h"), F.col("before").alias("upto"))
     heads = rows.where("taken").where(F.col("at") <= NEAR).select("__pattern", "rest", F.col("__h").alias("upto_h"), "upto").union(start)
@@ -144,24 +172,26 @@ def mix(docs: DataFrame, sources: Column | None = None, weights=WEIGHTS, share:
     marked = docs.withColumns({"size": word_count("text"), "__pattern": F.to_json(own), "__h": F.xxhash64("doc_id", "text", F.lit(seed))})
     spark = docs.sparkSession
     slim = materialize(marked.select("size", "__pattern", "__h").groupBy("__pattern", "__h").agg(F.sum("size").alias("size")))
-    sums = slim.groupBy("__pattern").agg(F.sum("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    sums = slim.groupBy("__pattern").agg(F.sum("size")).collect()
+    small = F.broadcast if len(sums) <= MAX_PATTERNS else lambda rows: rows
     patterns = {tuple(json.loads(p)): n for p, n in sums}
     names = {tuple(json.loads(p)): p for p, _ in sums}
     order = _code_points({s for p in patterns for s in p})
-    sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in order}
+    sizes = dict.fromkeys(order, 0)
+    for p, n in patterns.items():
+        for s in p:
+            sizes[s] += n
     weight = weights if isinstance(weights, dict) else {s: weights[i % len(weights)] for i, s in enumerate(order)}
     targets = fill_targets(sizes, weight, share * sum(patterns.values()), epochs)
-    flow = min_cost_flow(patterns, {s: round(t) for s, t in targets.items()}, epochs)
+    flow = split_flow(patterns, {s: round(t) for s, t in targets.items()}, epochs)
 
     # Whole epochs, then words of one more: which documents, is found in hash order, coarse then fine.
     plan = [(names[p], sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0, flow[p] // n if n else 0, flow[p] % n if n else 0) for p, n in patterns.items()]
     plan = spark.createDataFrame(plan, "__pattern string, source_size long, target double, epochs long, rest long")
-    ends = _ends(slim, F.broadcast(plan.where("rest > 0").select("__pattern", "rest")))
+    ends = _ends(slim, plan.where("rest > 0").select("__pattern", "rest"), small)
     plan = plan.drop("rest").join(ends, "__pattern", "left")
-    # One row a pattern, at most MAX_PATTERNS.
-    chosen = marked.join(F.broadcast(plan), "__pattern", "left")
+    # One row a pattern.
+    chosen = marked.join(small(plan), "__pattern", "left")
     more = (F.col("__h") <= F.col("upto_h")) | (F.col("__h") == F.col("fill_h"))
     copies = F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")
     return chosen.withColumn("copies", copies).drop("__pattern", "__h", "upto_h", "fill_h", "epochs")
