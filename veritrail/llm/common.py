@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -85,7 +88,7 @@ def worker_cache(key, make: Callable[[], object]):
 class WordTable(dict):
     """Numbers for each word, worked out once for a word that a Python worker meets, and forgotten at ``limit`` words."""
 
-    def __init__(self, make: Callable[[bytes], tuple], codes: str, limit: int = 250_000) -> None:
+    def __init__(self, make: Callable[[bytes], tuple], codes: str, limit: int = 150_000) -> None:
         self.make, self.codes, self.limit = make, codes, limit
         self.columns = [array(c) for c in codes]
 
@@ -102,3 +105,38 @@ class WordTable(dict):
             self.columns = [array(c) for c in self.codes]
         places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return [np.frombuffer(column, column.typecode)[places] for column in self.columns]
+
+
+#: Counters of a chunk of a table of counts, and chunks that one task adds up.
+CHUNK, FAN_IN = 1 << 16, 64
+COUNTS_SQL = "chunk int, slot long, counts binary"
+
+
+def count_chunks(table: np.ndarray, slot: int) -> list[tuple[int, int, bytes]]:
+    """The chunks (chunk, slot, counts) of a task's table of counts (rows of counters) that have any."""
+    parts = table.astype(np.int64).reshape(table.shape[0], -1, CHUNK).swapaxes(0, 1)
+    return [(c, slot, zlib.compress(part.tobytes(), 1)) for c, part in enumerate(parts) if part.any()]
+
+
+def summed_chunks(parts: DataFrame, tasks: int) -> DataFrame:
+    """Sums of the chunks (chunk, slot, counts) of ``tasks`` tasks, as a tree: no task adds more than FAN_IN of one chunk."""
+
+    def add(rows):
+        import pandas as pd
+
+        total = sum(np.frombuffer(zlib.decompress(raw), np.int64) for raw in rows["counts"])
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "slot": [rows["slot"].iloc[0] // FAN_IN], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    while True:
+        parts = parts.groupBy("chunk", F.floor(F.col("slot") / FAN_IN).alias("__slot")).applyInPandas(add, COUNTS_SQL)
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            return parts
+
+
+def table_of(chunks, width: int, rows: int = 1) -> np.ndarray:
+    """The table (rows x width) of collected chunks (chunk, slot, counts); its size doesn't depend on the corpus."""
+    table = np.zeros((width // CHUNK, rows, CHUNK), np.int64)
+    for chunk, _, raw in chunks:
+        table[chunk] = np.frombuffer(zlib.decompress(raw), np.int64).reshape(rows, CHUNK)
+    return table.swapaxes(0, 1).reshape(rows, width)

@@ -1,44 +1,55 @@
 """Operator 4: a quality classifier by importance resampling.
 
-Two generative models over hashed n-grams, one of the target text and one of the raw text, give each document
-the logarithm of its importance weight; Gumbel top-k samples documents in proportion to weight, without
-replacement. The target model is fitted on a bounded sample of labelled documents, the raw one on all.
+Generative models over hashed n-grams give each document the logarithm of its importance weight, the probability
+of its n-grams in the target text over that in the raw text; Gumbel top-k samples documents in proportion to
+weight, without replacement and at temperature 1.
 
-The n-grams are those of words, and of what words look like (letters, digits and marks, with how often each
-shape occurs and how often a word repeats the one before), each counted once a document, so that repetition
-does not change what is typical. An n-gram weighs in where it is rarer in the target by more than chance
-(``SIGMAS``), since text typical of the target does not make up for other text: weights are at most 1.
-How many documents are sampled is how many have a weight of at least ``FLOOR`` (a logarithm), unless given.
+The n-grams are words and pairs of words, and those of what words look like (letters, digits and marks, with how
+often each shape occurs, and how often words repeat the one before), each counted once a document. Counts over all
+documents are the base of every model. The target model is that of labelled good documents; the raw text is a
+mixture of the target, toxic documents and documents of low quality, in the proportions of the labels, so that
+its model is the mixture of theirs. A model's rate of an n-gram is its count over what the base makes expect, both
+with ``PRIOR`` added; log ratios between two models shrink by their sampling variance, so that chance differences
+of many n-grams don't add up. Since the raw text holds the target, weights are at most 1 / (its proportion).
+
+At most ``MAX_LABELLED`` labelled documents are used; statistics cover all documents. How many documents are
+sampled is a parameter; by default it is the labels' share of good ones of all documents.
 
 A null or empty text has no n-grams and weight 1. Null ids and extra columns are kept. Labels whose quality
-or toxic is null do not count; a document with several labels needs all to be good. Repeated rows share
-their sample key. An empty table gives an empty result; without labels nothing is told apart and all is kept.
+or toxic is null do not count; of several labels the worst counts. Repeated rows share their sample key; where
+ties straddle the last place, the least ids and texts go in. An empty table gives an empty result; without labels
+of both kinds nothing is told apart, and all is kept unless a number is given.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import WordTable, bound_text_batches, gram_hashes, mix64, worker_cache
+from veritrail.llm.common import COUNTS_SQL, WordTable, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, table_of, worker_cache
 from veritrail.storage import materialize
 
-BITS, CHUNK_BITS = 22, 16
-#: Labelled target documents that the target model is fitted on, at most.
-MAX_TARGET = 200_000
-SIGMAS, PRIOR, FLOOR, TEMPERATURE, SEED = 3.5, 5.0, -2.2, 0.1, 29
+#: Buckets of words and shapes, and as many again of pairs of words.
+BITS = 20
+BUCKETS = 2 << BITS
+#: Labelled documents that models are fitted on, at most.
+MAX_LABELLED = 200_000
+#: Counts added to observed and expected ones; multiples of the sampling variance by which log ratios shrink.
+PRIOR, SHRINK = 10.0, 16.0
+SEED = 29
+GOOD, TOXIC, POOR = range(3)
 _ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KINDS = bytes.maketrans(bytes(range(97, 123)) + bytes(range(128, 256)) + bytes(range(65, 91)) + b"123456789", b"a" * 154 + b"A" * 26 + b"0" * 9)
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
-_COUNTS = pa.schema([("chunk", pa.int32()), ("raw", pa.binary()), ("target", pa.binary()), ("n_raw", pa.int64()), ("n_target", pa.int64())])
+_COUNTS = pa.schema([("chunk", pa.int32()), ("slot", pa.int64()), ("counts", pa.binary())])
 
 
 def shape(word: bytes) -> bytes:
@@ -57,87 +68,99 @@ def features(text: str | None) -> np.ndarray:
         return np.empty(0, np.int64)
     stems, shapes = worker_cache("quality", lambda: WordTable(_word, "QQ")).look(words)
     kinds, times = np.unique(shapes, return_counts=True)
-    repeats = float((stems[1:] == stems[:-1]).mean()) if len(words) > 1 else 0.0
+    pairs = len(words) - 1
+    again = int((stems[1:] == stems[:-1]).sum())
+    # How often a word repeats the one before, as a share and as a number, each a feature.
+    told = [10 * again // max(1, pairs), 100 + again.bit_length(), 200 + int(20 * again > pairs)]
     grams = [
         mix64(stems),
         mix64(kinds + np.floor(np.log2(times)).astype(np.uint64) * np.uint64(77777) + np.uint64(3)),
-        gram_hashes(shapes, 2) + np.uint64(1) if len(words) > 1 else np.empty(0, np.uint64),
-        mix64(np.array([1000 + int(10 * repeats)], np.uint64)),
+        gram_hashes(shapes, 2) + np.uint64(1),
+        mix64(np.array(told, np.uint64) + np.uint64(1000)),
     ]
-    return np.unique((np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64))
+    single = np.concatenate(grams) >> np.uint64(64 - BITS)
+    double = (gram_hashes(stems, 2) >> np.uint64(64 - BITS)) + np.uint64(1 << BITS)
+    return np.unique(np.concatenate([single, double])).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's counts of documents by n-gram, over all its texts and over its target texts."""
-    counts = np.zeros((2, 1 << BITS), np.int32)
-    number = [0, 0]
+    """The task's counts of documents by n-gram: over all texts, and over those of each kind of label."""
+    counts = np.zeros((4, BUCKETS), np.int32)
     for batch in batches:
-        for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             found = features(text.as_py())
-            for side in range(2 if target else 1):
-                counts[side][found] += 1
-                number[side] += 1
-    raw, target = (c.reshape(-1, 1 << CHUNK_BITS) for c in counts)
-    used = np.flatnonzero(raw.any(axis=1))
-    if used.size:
-        pack = lambda side: [zlib.compress(side[c].tobytes(), 1) for c in used]
-        share = lambda n: [n] + [0] * (used.size - 1)
-        columns = [used, pack(raw), pack(target), share(number[0]), share(number[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
-
-
-def log_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
-    """Log of target over raw probability, 0 where the target is not significantly the rarer."""
-    expected = raw * share
-    off = (target - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
-    return np.where((off < -SIGMAS) & (raw > 0), np.log((target + PRIOR * share) / ((raw + PRIOR) * share)), 0.0)
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, log ratios) that are not 0, for ``docs`` (doc_id, text) and ``labels`` (doc_id, quality, toxic)."""
+            counts[0][found] += 1
+            if kind is not None:
+                counts[1 + kind][found] += 1
+    chunks = count_chunks(counts, TaskContext.get().partitionId())
+    if chunks:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunks, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
+
+
+@dataclass
+class Model:
+    """Log ratios over the target by bucket (a row for each further part of the raw text), and all parts' shares, the target's first."""
+
+    ratios: np.ndarray
+    shares: np.ndarray
+
+    def log_weight(self, found: np.ndarray) -> float:
+        parts = self.ratios[:, found].sum(axis=1, dtype=np.float64)
+        return -float(np.logaddexp.reduce(np.log(self.shares) + np.r_[0.0, parts]))
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """Shrunk log ratios of the models of rows 2.. over that of row 1; row 0 has the counts of all text."""
+    expected = counts[0] * (counts[1:].sum(axis=1, keepdims=True) / counts[0].sum())
+    rates = np.log((counts[1:] + PRIOR) / (expected + PRIOR))
+    off = rates[1:] - rates[0]
+    variance = 1 / (counts[2:] + PRIOR) + 1 / (counts[1] + PRIOR)
+    return off**3 / (off**2 + SHRINK * variance)
+
+
+def kinds_of(labels: DataFrame) -> DataFrame:
+    """(__id, kind) for at most MAX_LABELLED labelled ids, chosen by hash; the worst kind of each."""
+    kind = F.when(F.col("toxic") == 1, TOXIC).when(F.col("quality") == 0, POOR).otherwise(GOOD)
+    told = labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    # Toxic before poor before good.
+    worst = told.agg(F.min((kind + 2) % 3).alias("kind")).withColumn("kind", (F.col("kind") + 1) % 3)
+    return worst.orderBy(F.xxhash64("__id"), "__id").limit(MAX_LABELLED)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model for ``docs`` (doc_id, text) and ``labels`` (doc_id, quality, toxic); None where labels tell nothing apart."""
     bound_text_batches(docs.sparkSession)
-    good = labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    good = good.where("good").orderBy(F.xxhash64("__id")).limit(MAX_TARGET).select("__id", F.lit(True).alias("target"))
-    # At most MAX_TARGET ids.
-    told = docs.join(F.broadcast(good), docs["doc_id"] == good["__id"], "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = materialize(told.mapInArrow(_count, "chunk int, raw binary, target binary, n_raw long, n_target long"))
-    n_raw, n_target = counts.agg(F.coalesce(F.sum("n_raw"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    if not n_target or n_target >= n_raw:
-        return np.empty(0, np.int64), np.empty(0)
-    share = n_target / n_raw
-
-    def ratios(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        raw, target = (sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in parts[c]) for c in ("raw", "target"))
-        found = log_ratios(raw, target, share)
-        some = np.flatnonzero(found)
-        return pd.DataFrame({"bucket": some + key[0] * (1 << CHUNK_BITS), "ratio": found[some]})
-
-    # The table of buckets has a fixed size, whatever the corpus.
-    model = counts.groupBy("chunk").applyInPandas(ratios, "bucket long, ratio double").toPandas().sort_values("bucket")
-    return model["bucket"].to_numpy(np.int64), model["ratio"].to_numpy(np.float64)
-
-
-def log_weight(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
+    # At most MAX_LABELLED ids.
+    told = docs.select("doc_id", "text").join(F.broadcast(materialize(kinds_of(labels))), F.col("doc_id") == F.col("__id"), "left")
+    numbers = dict(told.where("kind is not null").groupBy("kind").count().collect())
+    shares = np.array([numbers.get(k, 0) for k in (GOOD, TOXIC, POOR)], np.float64)
+    if not shares[GOOD] or not shares[1:].any():
+        return None
+    parts = told.select("text", F.col("kind").cast("int")).mapInArrow(_count, COUNTS_SQL)
+    counts = table_of(summed_chunks(materialize(parts), told.rdd.getNumPartitions()).collect(), BUCKETS, 4)
+    used = shares > 0
+    return Model(log_ratios(counts[np.r_[True, used]]).astype(np.float32), shares[used] / shares.sum())
+
+
+def log_weight(text: Column, model: Model | None) -> Column:
     """The log importance weight of a text."""
-    buckets, ratios = model
+    if model is None:
+        return F.lit(0.0)
 
     @F.pandas_udf("double")
-    def weigh(texts: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts))
-        if buckets.size:
-            for i, t in enumerate(texts):
-                found = features(t)
-                at = np.minimum(np.searchsorted(buckets, found), buckets.size - 1)
-                out[i] = ratios[at][buckets[at] == found].sum()
-        return pd.Series(out)
+    def weigh(texts):
+        import pandas as pd
+
+        found = (features(t) for t in texts)
+        return pd.Series([model.log_weight(f) if f.size else 0.0 for f in found], dtype="float64")
 
     return weigh(text)
 
 
 def gumbel_key(weight: Column, seed: int, *identity: str) -> Column:
-    """Weight over temperature plus seeded Gumbel noise."""
+    """Log weight plus seeded Gumbel noise."""
     uniform = (F.shiftrightunsigned(F.xxhash64(*identity, F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
-    return weight / TEMPERATURE - F.log(-F.log(uniform))
+    return weight - F.log(-F.log(uniform))
 
 
 def kth_largest(keys: DataFrame, k: int, buckets: int = 4096, small: int = 10_000) -> float:
@@ -159,21 +182,37 @@ def kth_largest(keys: DataFrame, k: int, buckets: int = 4096, small: int = 10_00
             return own[k - above - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """The sampled rows of ``docs`` (doc_id, text, ...) with log_weight and sample_key."""
-    model = fit(docs.select("doc_id", "text"), labels)
-    keyed = docs.withColumn("log_weight", log_weight(F.col("text"), model)).withColumn("sample_key", gumbel_key(F.col("log_weight"), seed, "doc_id", "text"))
-    return _top(keyed, materialize(keyed.select("log_weight", F.col("sample_key").alias("key"))), k)
+def weigh(docs: DataFrame, model: Model | None, seed: int = SEED) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with log_weight and sample_key; columns of these names are replaced."""
+    keyed = docs.withColumn("log_weight", log_weight(F.col("text"), model))
+    return keyed.withColumn("sample_key", gumbel_key(F.col("log_weight"), seed, "doc_id", "text"))
+
 
+def top(keyed: DataFrame, k: int, *ties: str) -> DataFrame:
+    """The ``k`` rows of ``keyed`` with the largest sample_key; among ties those first by ``ties``."""
+    if k <= 0:
+        return keyed.limit(0)
+    least = kth_largest(keyed.select(F.col("sample_key").alias("key")), k)
+    above, level = keyed.where(F.col("sample_key") > least), keyed.where(F.col("sample_key") == least)
+    room = k - above.count()
+    return keyed.where(F.col("sample_key") >= least) if level.count() <= room else above.union(level.orderBy(*ties).limit(room))
 
-def _top(keyed: DataFrame, keys: DataFrame, k: int | None) -> DataFrame:
-    k = keys.where(F.col("log_weight") >= FLOOR).count() if k is None else min(k, keys.count())
-    return keyed.where(F.col("sample_key") >= kth_largest(keys, k)) if k else keyed.limit(0)
+
+def how_many(keyed: DataFrame, model: Model | None, k: int | None) -> int:
+    n = keyed.count()
+    return min(k, n) if k is not None else n if model is None else round(float(model.shares[GOOD]) * n)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The sampled rows of ``docs`` (doc_id, text, ...) with log_weight and sample_key."""
+    model = fit(docs, labels)
+    # Weighing costs more than writing the rows that it keeps and reading them again.
+    keyed = materialize(weigh(docs, model, seed))
+    return top(keyed, how_many(keyed, model, k), "doc_id", "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keyed = docs.withColumn("log_weight", log_weight(F.col("text"), model)).withColumn("sample_key", gumbel_key(F.col("log_weight"), SEED, "doc_id", "text"))
-    keyed = materialize(keyed.drop("text"))
-    return _top(keyed, keyed.withColumnRenamed("sample_key", "key"), None)
+    keyed = materialize(weigh(docs, model).drop("text"))
+    return top(keyed, how_many(keyed, model, None), "doc_id")
