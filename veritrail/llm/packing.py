@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +41,33 @@ _PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 class WordIds(dict):
     """Ids of words (white-space free byte strings), as little-endian unsigned 32-bit numbers."""
 
-    # A stem and the ASCII punctuation after it are apart for the tokenizer, unless that has an apostrophe.
+    # A stem and the ASCII punctuation after it, unless that has an apostrophe.
     _PARTS = re.compile(rb"(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
         self.stems: dict[bytes, bytes] = {}
+        self.parts_from: dict[str, bool] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _encode(self, stem: bytes) -> bytes:
         found = self.stems.get(stem)
         if found is None:
             if len(self.stems) >= CACHED_STEMS:
                 self.stems.clear()
-            ids = self.tokenizer.encode(stem.decode(), add_special_tokens=False).ids
-            found = self.stems[stem] = np.array(ids, "<u4").tobytes()
+            found = self.stems[stem] = np.array(self._ids(stem.decode()), "<u4").tobytes()
+        return found
+
+    def _stands_apart(self, last: str) -> bool:
+        """Whether the tokenizer splits after the character ``last`` where punctuation follows. Normalization may
+        turn a letter into one with a mark, which takes the punctuation along."""
+        found = self.parts_from.get(last)
+        if found is None:
+            found = self.parts_from[last] = last.isalpha() and self._ids(last + ".") == self._ids(last) + self._ids(".")
         return found
 
     def __missing__(self, word: bytes) -> bytes:
@@ -65,7 +77,7 @@ class WordIds(dict):
             return self._encode(word)
         low = word.lower()
         parts = self._PARTS.fullmatch(low)
-        if parts and parts[1].decode()[-1].isalpha():
+        if parts and self._stands_apart(parts[1].decode()[-1]):
             found = self._encode(parts[1]) + self._encode(parts[2])
         else:
             found = self._encode(low)
@@ -73,19 +85,14 @@ class WordIds(dict):
         return found
 
 
-def word_ids(path: str) -> WordIds:
-    """The cache of this Python worker for a tokenizer file."""
-    return worker_cache(("ids", path), lambda: WordIds(path))
-
-
 def token_bytes(text: str | None, ids: WordIds) -> bytes:
     """The ids of a text as bytes, without the end id."""
     return b"".join(map(ids.__getitem__, (text or "").encode().split()))
 
 
-def _pieces(path: str, size: int):
+def _pieces(tokenizer, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = word_ids(path), END_ID.to_bytes(4, "little")
+        ids, end = worker_cache("packing", lambda: WordIds(tokenizer.value)), END_ID.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -223,11 +230,15 @@ def _place(strategies, lengths: dict[int, int], size: int, width: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for ``docs`` (doc_id, text)."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for ``docs`` (doc_id, text).
+
+    ``tokenizer``: path of a tokenizer file, which the driver reads; executors get its content.
+    """
     bound_text_batches(docs.sparkSession)
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(shared, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialize(pieces)
-    groups = max(16, min(4096, pieces.count() // PIECES_PER_GROUP))
+    groups = max(16, pieces.count() // PIECES_PER_GROUP)
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     counts = pieces.groupBy("length", "group").count()
     ahead = counts.select("length", "group", (F.sum("count").over(Window.partitionBy("length").orderBy("group")) - F.col("count")).alias("ahead"))
