@@ -305,28 +305,32 @@ def test_topk(spark, monkeypatch):
 
 
 def brute_repeats(docs, window, within):
+    """Covered places by (id, text): rows that share an id but not the text are documents of their own."""
     first, gone = {}, defaultdict(set)
     for d, q in sorted(docs):
+        own = set()
         for i in range(len(q) - window + 1):
-            f = first.setdefault(q[i : i + window], (d, i))
-            if f < (d, i) if within else f[0] < d:
-                gone[d].update(range(i, i + window))
+            piece = q[i : i + window]
+            if first.setdefault(piece, d) < d or (within and piece in own):
+                gone[d, q].update(range(i, i + window))
+            own.add(piece)
     return gone
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [4_000, 3])
 @pytest.mark.parametrize("op", ["bytes", "words"])
 def test_repeats(spark, monkeypatch, hot, op):
     monkeypatch.setattr(repeats, "HOT_GROUP", hot)
     monkeypatch.setattr(repeats, "SORT_BATCH", 50)
-    monkeypatch.setattr(repeats, "FOLD", 300)
+    monkeypatch.setattr(repeats, "FOLD", 300 if hot > 3 else 10_000_000)
     kind = repeats.Kind(12, 4, True, 1, suffix_dedup._encode, suffix_dedup._lift, suffix_dedup.deep_shallow_order) if op == "bytes" else repeats.Kind(6, 2, False, 8, substring_dedup._encode, substring_dedup.mix64, substring_dedup.tree_order)
     for seed in range(2):
         rnd = random.Random(seed)
         base = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 60))) for _ in range(25)]
         rows = [(i, rnd.choice(base)[rnd.randint(0, 20) :] + rnd.choice(base) + rnd.choice(["", "é", "x" * 30])) for i in range(60)] + [(99, None), (100, ""), (None, "a" * 50), (101, "a b " * 200), (102, "a b " * 200), (5, None)]
+        # Repeated rows, and rows that share an id but not the text.
         rows = [r for r in rows if r != (5, None)]
-        rows.append(rows[7])
+        rows += [rows[7], (9, rows[12][1] + "b"), (9, "short"), (101, "b a " * 90)]
         docs = docs_of(spark, rows)
         got = repeats.with_runs(docs, kind)
         assert set(docs.columns) < set(got.columns)
@@ -335,7 +339,8 @@ def test_repeats(spark, monkeypatch, hot, op):
         assert len(found) == len(rows)
         for r in found:
             have = {x for a, b in repeats.covered_spans(r["repeated_runs"], kind.window) for x in range(a, b)}
-            assert have == (want.get(r["doc_id"], set()) if r["doc_id"] is not None else set()), r
+            key = (r["doc_id"], r["text"].encode() if op == "bytes" else tuple(r["text"].split())) if r["text"] else None
+            assert have == (want.get(key, set()) if r["doc_id"] is not None else set()), r
     assert repeats.with_runs(docs_of(spark, []), kind).count() == 0
 
 
@@ -344,8 +349,9 @@ def test_suffix_query(spark):
     gone = brute_repeats(docs, 100, True)
     want = {}
     for d, q in docs:
-        kept = bytes(b for i, b in enumerate(q) if i not in gone[d])
-        want[d] = (len(q), len(gone[d]), sum(i - 1 not in gone[d] for i in gone[d]), hashlib.sha256(kept).hexdigest())
+        out = gone[d, q]
+        kept = bytes(b for i, b in enumerate(q) if i not in out)
+        want[d] = (len(q), len(out), sum(i - 1 not in out for i in out), hashlib.sha256(kept).hexdigest())
     assert {r["doc_id"]: tuple(r)[1:] for r in registry.QUERIES["op9_suffix_array_dedup"](spark, SF).collect()} == want
 
 

@@ -19,4 +19,5 @@ ORACLES = {
     "op6_warc": warc.SQL,
     "op7_exact_topk": topk.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op9_suffix_array_dedup": suffix_dedup.SQL,
 }

@@ -1,18 +1,19 @@
 """Windows of a document that also occur earlier: the part that operators 8 and 9 share.
 
 1. Every run of ``window`` symbols holds an anchor, the rightmost least hash among its runs of ``gram``
-   symbols. Equal windows have their anchors at equal places, so only anchors (two in ``window - gram + 2``
-   positions) leave the tasks, each with the stretch of text that holds all its windows.
-2. Tasks fold equal stretches before the shuffle: all but the earliest are repeats already. After it, equal
-   stretches of all tasks meet, and anchors whose gram occurs in one stretch only are dropped.
-3. For the rest, stretches that differ but share a gram, Spark groups by gram, and the operator's own suffix
-   ordering (suffix trees in one, deep-shallow sorting in the other) sorts what follows and what precedes
-   the anchor. Two windows are equal where both common prefixes are long enough.
-A gram shared by more than ``HOT_GROUP`` stretches is a group too large for one task: its prefix is lengthened
-from ``gram`` symbols to the whole window, and equal windows are folded in the tasks again.
-
-A null text is empty. Rows with a null id take no part. Rows that share an id must share the text; they
-count as one document.
+   symbols. Equal windows have their anchors at equal places, so only suffixes at anchors (two in
+   ``window - gram + 2`` positions) matter, each with the stretch of text that holds all its windows.
+2. Suffixes are partitioned by their prefix, the gram; those whose gram occurs nowhere else are dropped. Where a
+   task itself meets a gram ``DENSE`` times or more, it solves those stretches as in 3 first and passes on what is
+   left, so that passages in very many documents shrink before the shuffle; what stays dense goes around it.
+3. For each prefix the operator's own suffix ordering (suffix trees in one, deep-shallow sorting in the other) sorts
+   what follows and what precedes the anchor. Two windows are equal where both common prefixes are long enough.
+   All repeats are found this way, on symbols; hashes only bring together what may be equal.
+4. A prefix with more than ``HOT_GROUP`` stretches is dealt out over groups of that size. What is left of each is
+   partitioned again by a longer prefix, the whole window, and solved again.
+
+Rows are documents by id and text: rows that share an id but not the text are different documents, of which
+neither is earlier; repeated rows count once. A null text is empty. Rows with a null id take no part.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import bound_text_batches, gram_hashes, mix64, worker_cache
 from veritrail.storage import materialize
 
-#: Rows a task folds at a time, stretches sorted at a time, and stretches a gram may have before it is lengthened.
-FOLD, SORT_BATCH, HOT_GROUP = 1_000_000, 40_000, 20_000
+#: Bytes of symbols that a task solves dense grams of at a time, and stretches of a gram that make it dense there.
+FOLD, DENSE = 24_000_000, 8
+#: Stretches sorted at a time, and stretches that a gram may have before it is dealt out.
+SORT_BATCH, HOT_GROUP = 20_000, 4_000
 
 Order = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
@@ -50,10 +53,12 @@ class Kind:
     order: Order
 
 
-_SAMPLE = pa.schema([("kh", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("shift", pa.int32()), ("later", pa.bool_())])
-_STRETCH = pa.schema([("kh", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("shift", pa.int32()), ("later", pa.bool_()), ("stretch", pa.binary())])
-_RUN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-_SQL = "kh long, ch long, doc long, start long, n int, shift int, later boolean"
+#: Kinds of rows of a sample: a stretch; one of a gram that is dense in its task, and that gram's number there; windows that repeat.
+STRETCH, DENSE_STRETCH, NUMBER, DONE = range(4)
+_SAMPLE = pa.schema([(c, pa.int64()) for c in ("k", "kh", "doc", "text_hash", "start")] + [(c, pa.int32()) for c in ("n", "shift", "cnt", "kind")])
+_SAMPLE_SQL = "k long, kh long, doc long, text_hash long, start long, n int, shift int, cnt int, kind int"
+_CUT = pa.schema([(c, pa.int64()) for c in ("kh", "salt", "doc", "text_hash", "start")] + [("n", pa.int32()), ("shift", pa.int32()), ("stretch", pa.binary())])
+_CUT_SQL = "kh long, salt long, doc long, text_hash long, start long, n int, shift int, stretch binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,222 +90,287 @@ def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...
     return start, np.diff(start, append=least.size), place - start, grams[place]
 
 
-def is_later(group: np.ndarray, doc: np.ndarray, start: np.ndarray, within: bool) -> np.ndarray:
-    """For rows sorted by (group, doc, start): does the group have an earlier one?"""
-    new = np.r_[True, group[1:] != group[:-1]]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = doc > doc[first]
-    return later | ((doc == doc[first]) & (start > start[first])) if within else later
-
-
-def joined_runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts, those that touch or overlap made one."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], (start + n)[order]
+def later_in(group: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray, within: bool) -> np.ndarray:
+    """Which rows have an earlier one in their group: of a smaller document or, ``within``, earlier in the same one."""
+    order = np.lexsort((start, text, doc, group))
+    g, d, t, s = group[order], doc[order], text[order], start[order]
+    new = np.r_[True, g[1:] != g[:-1]]
+    later = d > d[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    if within:
+        own = new | np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]
+        later |= s > s[np.flatnonzero(own)[np.cumsum(own) - 1]]
+    out = np.empty(group.size, bool)
+    out[order] = later
+    return out
+
+
+def joined_runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of window starts (doc, text, start, n), those that touch or overlap made one."""
+    order = np.lexsort((start, text, doc))
+    doc, text, start, end = doc[order], text[order], start[order], (start + n)[order]
     if not doc.size:
-        return doc, start, end
+        return doc, text, start, end
     # Runs of one document lie between document breaks; offsetting documents lets one pass do all.
     span = int(end.max()) + 2
-    rank = np.cumsum(np.r_[0, doc[1:] != doc[:-1]])
+    rank = np.cumsum(np.r_[0, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
     reach = np.maximum.accumulate(end + rank * span)
     new = np.r_[True, (start + rank * span)[1:] > reach[:-1]]
     heads = np.flatnonzero(new)
     stops = reach[np.r_[heads[1:] - 1, reach.size - 1]] - rank[heads] * span
-    return doc[heads], start[heads], stops - start[heads]
+    return doc[heads], text[heads], start[heads], stops - start[heads]
+
+
+def range_min(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The least of ``x`` between neighbouring ``places`` that ascend; anything for others."""
+    low, high = places[:-1], np.maximum(places[1:], places[:-1] + 1)
+    table, width = [x], 1
+    while 2 * width <= x.size:
+        table.append(np.minimum(table[-1][:-width], table[-1][width:]))
+        width *= 2
+    level = np.frexp((high - low).astype(np.float64))[1] - 1
+    out = np.empty(low.size, x.dtype)
+    for i in np.unique(level):
+        mine = np.flatnonzero(level == i)
+        row = table[i]
+        out[mine] = np.minimum(row[np.minimum(low[mine], row.size - 1)], row[np.clip(high[mine] - (1 << i), 0, row.size - 1)])
+    return out
+
+
+def solve(kind: Kind, group, doc, text, start, n, shift, stretches: list[bytes]) -> tuple[tuple, tuple]:
+    """(runs (doc, text, start, n) of windows that occur earlier in their group, (row, start, n) of the other windows)."""
+    item, gram, window = kind.width, kind.gram, kind.window
 
+    def classes(strings: list[bytes]):
+        """Places in suffix order group by group, common prefixes of neighbours there, and who equals the one before."""
+        order, common = kind.order(strings)
+        at = np.empty(order.size, np.int64)
+        at[order] = np.arange(order.size)
+        # The order mixes groups; neighbours within one share the least that any between them share.
+        order = np.lexsort((at, group))
+        apart = group[order][1:] != group[order][:-1]
+        common = np.where(apart, -1, range_min(common, at[order]))
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))[order] // item
+        same = (common == lengths[1:]) & (common == lengths[:-1])
+        at[order] = np.arange(order.size)
+        return at, common, np.r_[0, np.cumsum(~same)][at]
 
-def _fold(kind: Kind, kh, ch, doc, start, n, shift):
-    """Indices to keep, in order, and the runs that repeat something of this task."""
-    order = np.lexsort((start, doc, ch, kh))
-    kh, ch, doc, start, n = kh[order], ch[order], doc[order], start[order], n[order]
-    pair = np.cumsum(np.r_[0, (kh[1:] != kh[:-1]) | (ch[1:] != ch[:-1])]) if kh.size else kh
-    later = is_later(pair, doc, start, kind.within) if kh.size else np.zeros(0, bool)
-    return order[~later], joined_runs(doc[later], start[later], n[later])
+    def reverse(raw: bytes) -> bytes:
+        return raw[::-1] if item == 1 else np.frombuffer(raw, f"V{item}")[::-1].tobytes()
+
+    cuts, size = shift.tolist(), len(stretches)
+    right_at, right_common, right_leaf = classes([x[c * item :][: window * item] for x, c in zip(stretches, cuts, strict=True)])
+    left_at, left_common, left_leaf = classes([reverse(x[: (c + gram) * item]) for x, c in zip(stretches, cuts, strict=True)])
+    # Stretches at the same leaves of both orders are equal: all windows of all but the first are later.
+    leaf = right_leaf * size + left_leaf
+    whole = later_in(leaf, doc, text, start + shift, kind.within)
+    rest = np.flatnonzero(~whole)
+    rows, starts, later = [], [], []
+    for before in range(int(shift[rest].max(initial=-1)) + 1):
+        use = rest[(shift[rest] >= before) & (shift[rest] - before < n[rest])]
+        if not use.size:
+            continue
+        right = np.r_[0, np.cumsum(right_common < window - before)][right_at[use]]
+        left = np.r_[0, np.cumsum(left_common < gram + before)][left_at[use]]
+        at = start[use] + shift[use] - before
+        rows.append(use)
+        starts.append(at)
+        later.append(later_in(right * size + left, doc[use], text[use], at, kind.within))
+    row, at, late = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, starts, later))
+    late = late.astype(bool)
+    runs = joined_runs(*(np.r_[a[whole], b[row[late]]] for a, b in ((doc, doc), (text, text))), np.r_[start[whole], at[late]], np.r_[n[whole], np.ones(late.sum(), np.int64)])
+    row, at = row[~late], at[~late]
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]) if row.size else np.empty(0, np.int64)
+    return runs, (row[heads], at[heads], np.diff(heads, append=row.size))
+
+
+def _batch(schema: pa.Schema, columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _sample(kind: Kind) -> Callable:
-    item = kind.width
-
-    def emit(parts: list[tuple]) -> pa.RecordBatch:
-        kh, ch, doc, start, n, shift = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep, (r_doc, r_start, r_n) = _fold(kind, kh, ch, doc, start, n, shift)
-        cat = lambda a, b: np.concatenate([a[keep], b])
-        zero = np.zeros(r_doc.size, np.int64)
-        spread = mix64(r_doc.astype(np.uint64)) if r_doc.size else np.empty(0, np.uint64)
-        flag = np.zeros(keep.size + r_doc.size, bool)
-        flag[keep.size :] = True
-        columns = [cat(kh, spread).view(np.int64), cat(ch, zero.astype(np.uint64)).view(np.int64), cat(doc, r_doc), cat(start, r_start), cat(n, r_n).astype(np.int32), cat(shift, zero).astype(np.int32), flag]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SAMPLE, strict=True)], schema=_SAMPLE)
+    item, window = kind.width, kind.window
+
+    def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        raws = [h[2] for h in held]
+        sizes = [h[3].size for h in held]
+        owner = np.repeat(np.arange(len(held)), sizes)
+        doc, text = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
+        start, n, shift, kh = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5, 6))
+        kh = kh.view(np.int64)
+        order = np.argsort(kh, kind="stable")
+        heads = np.flatnonzero(np.r_[True, kh[order][1:] != kh[order][:-1]])
+        times = np.empty(kh.size, np.int64)
+        times[order] = np.repeat(counts := np.diff(heads, append=kh.size), counts)
+        dense = order[times[order] >= DENSE]
+        keep = [np.flatnonzero(times < DENSE)]
+        left, done = [], []
+        for a in range(0, dense.size, SORT_BATCH):
+            some = dense[a : a + SORT_BATCH]
+            stretches = [raws[o][s * item : e * item] for o, s, e in zip(owner[some].tolist(), start[some].tolist(), (start + n - 1 + window)[some].tolist(), strict=True)]
+            runs, (row, at, m) = solve(kind, kh[some], doc[some], text[some], start[some], n[some], shift[some], stretches)
+            left.append((some[row], at, m))
+            done.append(runs)
+        if done:
+            row, at, m = (np.concatenate(x) for x in zip(*left, strict=True))
+            number = np.unique(kh[row], return_inverse=True, return_counts=True)
+            many = number[2][number[1]] >= DENSE
+            r_doc, r_text, r_start, r_n = (np.concatenate(x) for x in zip(*done, strict=True))
+        else:
+            row = at = m = r_doc = r_text = r_start = r_n = np.empty(0, np.int64)
+            many, number = np.empty(0, bool), (np.empty(0, np.int64),) * 3
+        plain, row2, at2, m2 = keep[0], row[~many], at[~many], m[~many]
+        row3, at3, m3 = row[many], at[many], m[many]
+        hot = number[2] >= DENSE
+        w_kh, w_cnt = number[0][hot], number[2][hot]
+        spread = lambda x: mix64(x.astype(np.uint64)).view(np.int64)
+        zero, one = (lambda like: np.zeros(like.size, np.int64)), (lambda like: np.ones(like.size, np.int64))
+        parts = [
+            (kh[plain], zero(plain), doc[plain], text[plain], start[plain], n[plain], shift[plain], one(plain), zero(plain) + STRETCH),
+            (kh[row2], zero(row2), doc[row2], text[row2], at2, m2, start[row2] + shift[row2] - at2, one(row2), zero(row2) + STRETCH),
+            (spread(text[row3] + at3), kh[row3], doc[row3], text[row3], at3, m3, start[row3] + shift[row3] - at3, zero(row3), zero(row3) + DENSE_STRETCH),
+            (w_kh, zero(w_kh), zero(w_kh), zero(w_kh), zero(w_kh), zero(w_kh), zero(w_kh), w_cnt, zero(w_kh) + NUMBER),
+            (spread(r_text + r_start), zero(r_doc), r_doc, r_text, r_start, r_n, zero(r_doc), zero(r_doc), zero(r_doc) + DONE),
+        ]
+        yield _batch(_SAMPLE, [np.concatenate(c) for c in zip(*parts, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("repeats", dict)
-        parts, held = [], 0
+        held, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if doc is None:
+                    continue
                 symbols = kind.encode(text.as_py())
-                start, n, shift, kh = anchors(kind.lift(symbols), kind.window, kind.gram)
-                if not start.size:
+                found = anchors(kind.lift(symbols), kind.window, kind.gram)
+                if not found[0].size:
                     continue
-                raw, ends = symbols.tobytes(), start + n - 1 + kind.window
-                ch = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], z) for a, b, z in zip((start * item).tolist(), (ends * item).tolist(), shift.tolist(), strict=True)), np.uint64, start.size)
-                parts.append((kh, ch, np.full(start.size, doc), start, n, shift))
-                held += start.size
-                if held >= FOLD:
-                    yield emit(parts)
-                    parts, held = [], 0
-        if parts:
-            yield emit(parts)
+                held.append((doc, key, symbols.tobytes(), *found))
+                size += symbols.nbytes
+                if size >= FOLD:
+                    yield from emit(held)
+                    held, size = [], 0
+        if held:
+            yield from emit(held)
 
     return run
 
 
-def _stretches(kind: Kind) -> Callable:
-    """Cut the marked stretches out of the texts; those of hot grams window by window."""
+def _cut(kind: Kind) -> Callable:
+    """Cut the marked stretches out of the texts (doc, text_hash, doc_id, text, marks)."""
     item, window = kind.width, kind.window
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kh, doc, start, n, shift, later, raw = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((kh, doc, start, n, shift, later, raw), _STRETCH, strict=True)], schema=_STRETCH)
-
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
-        kh, doc, start, n, shift = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
-        keep, runs = _fold(kind, kh, np.zeros_like(kh), doc, start, n, shift)
-        yield from ((*rows[i][:5], False, rows[i][5]) for i in keep.tolist())
-        for d, s, m in zip(*(x.tolist() for x in runs), strict=True):
-            yield int(mix64(np.array([d], np.uint64)).view(np.int64)[0]), d, s, m, 0, True, b""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot: list[tuple] = []
+        rows: list[tuple] = []
+        last = None
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                # Repeated rows come together, unless Spark splits their partition; then their stretches are equal.
+                if (doc, key) == last:
+                    continue
+                last = (doc, key)
                 raw = kind.encode(text.as_py()).tobytes()
-                for mark in marks.as_py():
-                    start, n, shift = mark["start"], mark["n"], mark["shift"]
-                    if not mark["hot"]:
-                        rows.append((mark["kh"], doc, start, n, shift, False, raw[start * item : (start + n - 1 + window) * item]))
-                        continue
-                    for s in range(start, start + n):
-                        piece = raw[s * item : (s + window) * item]
-                        hot.append((xxhash.xxh3_64_intdigest(piece) - 2**63, doc, s, 1, 0, piece))
-                if len(hot) >= FOLD // 4:
-                    rows.extend(fold(hot))
-                    hot = []
-                if len(rows) >= 20_000:
-                    yield emit(rows)
+                for m in marks.as_py():
+                    start, n = m["start"], m["n"]
+                    rows.append((m["kh"], m["salt"], doc, key, start, n, m["shift"], raw[start * item : (start + n - 1 + window) * item]))
+                if len(rows) >= SORT_BATCH:
+                    yield _batch(_CUT, zip(*rows, strict=True))
                     rows = []
-            if rows:
-                yield emit(rows)
-        if hot:
-            yield emit(list(fold(hot)))
+        if rows:
+            yield _batch(_CUT, zip(*rows, strict=True))
 
     return run
 
 
-def solve(kind: Kind, kh, doc, start, n, shift, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (doc, start, n) of windows that occur earlier, among whole groups of stretches."""
-    item, gram, window = kind.width, kind.gram, kind.window
-
-    def classes(strings: list[bytes]):
-        # The key goes first, so that groups whose grams merely look alike stay apart.
-        order, common = kind.order(strings)
-        apart = kh[order][1:] != kh[order][:-1]
-        at = np.empty(order.size, np.int64)
-        at[order] = np.arange(order.size)
-        return at, np.where(apart, -1, common)
-
-    def reverse(raw: bytes) -> bytes:
-        return raw[::-1] if item == 1 else np.frombuffer(raw, f"V{item}")[::-1].tobytes()
-
-    cuts = shift.tolist()
-    right_at, right_common = classes([x[c * item :][: window * item] for x, c in zip(stretches, cuts, strict=True)])
-    left_at, left_common = classes([reverse(x[: (c + gram) * item]) for x, c in zip(stretches, cuts, strict=True)])
-    out = []
-    for before in range(int(shift.max()) + 1):
-        use = np.flatnonzero((shift >= before) & (shift - before < n))
-        if use.size < 2:
-            continue
-        right = np.r_[0, np.cumsum(right_common < window - before)][right_at[use]]
-        left = np.r_[0, np.cumsum(left_common < gram + before)][left_at[use]]
-        both = right * stretches.__len__() + left
-        d, s = doc[use], start[use] + shift[use] - before
-        order = np.lexsort((s, d, both))
-        later = is_later(both[order], d[order], s[order], kind.within)
-        out.append((d[order][later], s[order][later]))
-    if not out:
-        return (np.empty(0, np.int64),) * 3
-    d, s = (np.concatenate(x) for x in zip(*out, strict=True))
-    return joined_runs(d, s, np.ones_like(s))
+def _column(table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
 
 
 def _solver(kind: Kind) -> Callable:
-    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-
-    def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks().to_batches()
-        for batch in table:
-            later = column(batch, "later").astype(bool)
-            doc, start, n = (column(batch, c).astype(np.int64) for c in ("doc", "start", "n"))
-            runs = [(doc[later], start[later], n[later])]
-            if not later.all():
-                texts = batch.column(batch.schema.get_field_index("stretch")).to_pylist()
-                some = np.flatnonzero(~later)
-                runs.append(solve(kind, column(batch, "kh")[some], doc[some], start[some], n[some], column(batch, "shift").astype(np.int64)[some], [texts[i] for i in some.tolist()]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*runs, strict=True)], schema=_RUN)
+    """Solve whole groups of rows sorted by (kh, salt). Rows out have no stretch where they are windows that repeat,
+    else they are windows left of a group that was dealt out, keyed by the hash of all of it."""
+    item, window = kind.width, kind.window
+
+    def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        kh, salt, doc, text, start, n, shift = (_column(table, c) for c in _CUT.names[:-1])
+        stretches = table.column("stretch").to_pylist()
+        group = np.cumsum(np.r_[0, (kh[1:] != kh[:-1]) | (salt[1:] != salt[:-1])])
+        (r_doc, r_text, r_start, r_n), (row, at, m) = solve(kind, group, doc, text, start, n, shift, stretches)
+        none = np.zeros(r_doc.size, np.int64)
+        if r_doc.size:
+            yield _batch(_CUT, [none, none - 1, r_doc, r_text, r_start, r_n, none, [None] * r_doc.size])
+        rows = []
+        for i, s, k in zip(row.tolist(), at.tolist(), m.tolist(), strict=True):
+            if salt[i] < 0:
+                continue
+            raw, off = stretches[i], start[i]
+            for w in range(s, s + k):
+                piece = raw[(w - off) * item : (w - off + window) * item]
+                rows.append((xxhash.xxh3_64_intdigest(piece) - 2**63, -1, int(doc[i]), int(text[i]), w, 1, 0, piece))
+            if len(rows) >= SORT_BATCH:
+                yield _batch(_CUT, zip(*rows, strict=True))
+                rows = []
+        if rows:
+            yield _batch(_CUT, zip(*rows, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, least = [], 0, SORT_BATCH
         for batch in batches:
-            while batch.num_rows:
-                if rows + batch.num_rows < SORT_BATCH:
-                    held, rows = [*held, batch], rows + batch.num_rows
-                    break
-                # Cut where the key changes: after the last whole group if there is one, else after this group.
-                keys = column(batch, "kh")
-                last = column(held[-1], "kh")[-1] if held else keys[0]
-                ends = np.flatnonzero(np.r_[last, keys[:-1]] != keys)
-                if not ends.size:
-                    held, rows = [*held, batch], rows + batch.num_rows
-                    break
-                cut = int(ends[min(np.searchsorted(ends, SORT_BATCH - rows), ends.size - 1)])
-                if held or cut:
-                    yield from emit([*held, *([batch.slice(0, cut)] if cut else [])])
-                held, rows, batch = [], 0, batch.slice(cut)
-                if batch.num_rows < SORT_BATCH:
-                    held, rows = [batch], batch.num_rows
-                    break
-        if held:
-            yield from emit(held)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < least:
+                continue
+            table = pa.Table.from_batches(held)
+            kh, salt = _column(table, "kh"), _column(table, "salt")
+            ends = np.flatnonzero((kh[1:] != kh[:-1]) | (salt[1:] != salt[:-1])) + 1
+            if not ends.size:
+                least = 2 * rows
+                continue
+            yield from emit(table.slice(0, cut := int(ends[-1])))
+            held, rows, least = table.slice(cut).to_batches(), table.num_rows - cut, SORT_BATCH
+        if rows:
+            yield from emit(pa.Table.from_batches(held))
 
     return run
 
 
 def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(doc, start, n): windows start .. start + n - 1 of ``doc`` occur earlier. ``docs``: (doc_id, text), no null ids."""
-    sampled = docs.mapInArrow(_sample(kind), _SQL)
-    alike, gram = Window.partitionBy("kh", "ch"), Window.partitionBy("kh")
-    sampled = sampled.withColumns({"first": F.min(F.struct("doc", "start")).over(alike), "low": F.min("ch").over(gram), "high": F.max("ch").over(gram)})
-    after = (F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start")) if kind.within else F.lit(False)
-    later = F.col("later") | (F.col("doc") > F.col("first.doc")) | after
-    found = sampled.withColumn("later", later).where(F.col("later") | (F.col("low") != F.col("high")))
-    found = materialize(found.select("kh", "doc", "start", "n", "shift", "later"))
-
-    open_ = found.where("not later")
-    hot = open_.groupBy("kh").count().where(F.col("count") > HOT_GROUP).select("kh", F.lit(True).alias("hot"))
-    marks = open_.join(hot, "kh", "left").groupBy("doc").agg(F.collect_list(F.struct("kh", "start", "n", "shift", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("marks"))
-    texts = docs.join(marks, docs["doc_id"] == marks["doc"]).select("doc", "text", "marks")
-    cut = texts.mapInArrow(_stretches(kind), "kh long, doc long, start long, n int, shift int, later boolean, stretch binary")
-    solved = cut.repartition("kh").sortWithinPartitions("kh").mapInArrow(_solver(kind), "doc long, start long, n long")
-    return found.where("later").select("doc", "start", F.col("n").cast("long").alias("n")).unionByName(solved)
+    """(doc, text_hash, start, n): windows start .. start + n - 1 occur earlier. ``docs``: (doc, text_hash, doc_id, text)."""
+    sampled = docs.select("doc_id", "text_hash", "text").mapInArrow(_sample(kind), _SAMPLE_SQL)
+    total = F.sum("cnt").over(Window.partitionBy("k"))
+    wanted = f"kind in ({DENSE_STRETCH}, {DONE}) or kind = {STRETCH} and total > 1 or kind = {NUMBER} and total > {HOT_GROUP}"
+    found = sampled.withColumn("total", total).where(wanted)
+    prefix = F.when(F.col("kind") == DENSE_STRETCH, F.col("kh")).otherwise(F.col("k"))
+    found = materialize(found.select(prefix.alias("kh"), "doc", "text_hash", "start", "n", "shift", "total", "kind"))
+
+    of = lambda kind: found.where(F.col("kind") == kind).drop("kind")
+    totals = of(NUMBER).groupBy("kh").agg(F.max("total").alias("total"))
+    open_ = of(STRETCH).unionByName(of(DENSE_STRETCH).drop("total").join(totals, "kh", "left"))
+    groups = F.ceil(F.coalesce("total", F.lit(0)) / HOT_GROUP)
+    salt = F.when(groups > 1, F.pmod(F.xxhash64("doc", "text_hash"), groups)).otherwise(-1)
+    marks = open_.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("kh", "start", "n", "shift", salt.alias("salt"))).alias("marks"))
+    texts = docs.join(marks, ["doc", "text_hash"]).select("doc", "text_hash", "doc_id", "text", "marks")
+    cut = texts.mapInArrow(_cut(kind), _CUT_SQL)
+    solved = cut.repartition("kh", "salt").sortWithinPartitions("kh", "salt").mapInArrow(_solver(kind), _CUT_SQL)
+    runs = of(DONE)
+    if found.where(F.col("total") > HOT_GROUP).limit(1).count():
+        solved = materialize(solved)
+        again = solved.where("stretch is not null").repartition("kh").sortWithinPartitions("kh").mapInArrow(_solver(kind), _CUT_SQL)
+        runs = runs.select("doc", "text_hash", "start", "n").unionByName(again.select("doc", "text_hash", "start", "n"))
+    columns = ["doc", "text_hash", "start", F.col("n").cast("long").alias("n")]
+    return runs.select(columns).unionByName(solved.where("stretch is null").select(columns))
 
 
 def with_runs(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` and a column ``repeated_runs``, array of (start, n), null where there are none."""
     bound_text_batches(docs.sparkSession)
-    slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    runs = repeated_runs(slim, kind).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n")).alias("repeated_runs"))
-    return docs.join(runs, docs[doc_id] == runs["__doc"], "left").drop("__doc")
+    # Keys that are never null, so that both joins below can share one shuffle of the texts.
+    own = {"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "__text_hash": F.xxhash64(F.col(text), F.col(doc_id).isNull())}
+    marked = docs.withColumns(own)
+    slim = marked.select(F.col("__doc").alias("doc"), F.col("__text_hash").alias("text_hash"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    runs = repeated_runs(slim, kind).groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__text_hash")).agg(F.collect_list(F.struct("start", "n")).alias("repeated_runs"))
+    return marked.join(runs, ["__doc", "__text_hash"], "left").drop("__doc", "__text_hash")
 
 
 def covered_spans(runs: list[dict] | None, window: int) -> list[tuple[int, int]]:

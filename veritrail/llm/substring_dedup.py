@@ -1,14 +1,14 @@
 """Operator 8: substring dedup of words with prefix-partitioned suffix trees.
 
-Suffixes are sampled and partitioned by variable-length prefixes as :mod:`veritrail.llm.repeats` describes:
-a prefix of ``GRAM`` words, or of the whole window where that many suffixes share it that a task should not
+Suffixes at anchors are partitioned by variable-length prefixes as :mod:`veritrail.llm.repeats` describes:
+a prefix of ``GRAM`` words, or of the whole window where so many suffixes share it that a task should not
 hold them. For each prefix a compacted suffix tree is built in memory; two suffixes have in common what
 the internal node above both spells, so that nodes at least ``WINDOW`` words deep are the repeats.
 
 Words are runs of anything but ASCII white space, told apart by a 64-bit hash. A word goes if a window of
 ``WINDOW`` words that covers it starts in a document with a smaller id too; repeats within a document stay.
 A null text has no words; a document with a null id is kept whole. Repeated rows of one id and text get the
-same answer. Short and empty texts, and empty tables, lose nothing.
+same answer; rows that share an id but not the text are compared with documents of smaller ids. Short and empty texts, and empty tables, lose nothing.
 """
 
 from __future__ import annotations
@@ -33,12 +33,13 @@ class SuffixTree:
     def __init__(self) -> None:
         self.root: list = [0, {}, [], ()]
 
-    def insert(self, index: int, seq: tuple) -> None:
+    def insert(self, indices: list[int], seq: tuple) -> None:
+        """Add a sequence, which all ``indices`` have."""
         parent, at = self.root, 0
         while at < len(seq):
             child = parent[1].get(seq[at])
             if child is None:
-                parent[1][seq[at]] = [len(seq), {}, [index], seq]
+                parent[1][seq[at]] = [len(seq), {}, list(indices), seq]
                 return
             end, through = min(child[0], len(seq)), child[3]
             if seq[at:end] == through[at:end]:
@@ -50,7 +51,7 @@ class SuffixTree:
                 parent[1][seq[at]] = middle
                 child = middle
             parent, at = child, stop
-        parent[2].append(index)
+        parent[2].extend(indices)
 
     def leaves(self) -> tuple[list[int], list[int]]:
         """Indices in the order of their sequences, and the depth of the node where each parts from the next."""
@@ -70,10 +71,13 @@ class SuffixTree:
 
 def tree_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Order of sequences of 64-bit words and the common prefixes of neighbours, from one tree for each first word."""
-    groups: dict[int, SuffixTree] = {}
+    equal: dict[bytes, list[int]] = {}
     for i, raw in enumerate(strings):
+        equal.setdefault(raw, []).append(i)
+    groups: dict[int, SuffixTree] = {}
+    for raw, same in equal.items():
         seq = tuple(np.frombuffer(raw, np.uint64).tolist())
-        groups.setdefault(seq[0] if seq else -1, SuffixTree()).insert(i, seq)
+        groups.setdefault(seq[0] if seq else -1, SuffixTree()).insert(same, seq)
     order: list[int] = []
     common: list[int] = []
     for key in sorted(groups):

@@ -1,13 +1,14 @@
 """Operator 9: suffix-array dedup of byte strings by deep-shallow sorting.
 
-Suffixes are sampled and partitioned as :mod:`veritrail.llm.repeats` describes. Within a partition they are
+Suffixes at anchors are partitioned as :mod:`veritrail.llm.repeats` describes. Within a partition they are
 sorted as in deep-shallow sorting: a multikey quicksort over characters of eight bytes, all segments of a
 level at once, down to ``SHALLOW`` bytes; groups that still tie share a long prefix, and a blind trie, which
 looks at branching bytes alone and compares each new suffix with one leaf only, orders them.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it starts earlier too (smaller doc_id, or earlier in
 the document). A null text is empty; a document with a null id is kept whole. Repeated rows of one id and
-text get the same answer. Short and empty texts, and empty tables, lose nothing.
+text get the same answer; rows that share an id but not the text are compared with documents of smaller ids and
+each with itself. Short and empty texts, and empty tables, lose nothing.
 """
 
 from __future__ import annotations
@@ -60,13 +61,17 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def blind_trie_order(strings: list[bytes], which: list[int]) -> list[int]:
-    """The indices ``which`` of ``strings`` in the order of the strings."""
+    """The indices ``which`` of ``strings`` in the order of the strings. Equal strings are one leaf."""
+    equal: dict[bytes, list[int]] = {}
+    for i in which:
+        equal.setdefault(strings[i], []).append(i)
+    which = [same[0] for same in equal.values()]
 
     def char(i: int, depth: int) -> int:
         s = strings[i]
         return s[depth] if depth < len(s) else -1
 
-    # A node is [depth, children]; a leaf is [None, indices of equal strings].
+    # A node is [depth, children]; a leaf is [None, [index]].
     root = [None, [which[0]]]
     for i in which[1:]:
         node = root
@@ -75,9 +80,6 @@ def blind_trie_order(strings: list[bytes], which: list[int]) -> list[int]:
             node = children.get(char(i, node[0])) or next(iter(children.values()))
         other = node[1][0]
         depth = _common(strings[i], strings[other])
-        if depth == len(strings[i]) == len(strings[other]):
-            node[1].append(i)
-            continue
         parent, node = None, root
         while node[0] is not None and node[0] < depth:
             parent, node = node, node[1][char(i, node[0])]
@@ -93,7 +95,7 @@ def blind_trie_order(strings: list[bytes], which: list[int]) -> list[int]:
     while stack:
         node = stack.pop()
         if node[0] is None:
-            out.extend(node[1])
+            out.extend(equal[strings[node[1][0]]])
         else:
             stack.extend(node[1][c] for c in sorted(node[1], reverse=True))
     return out
@@ -166,3 +168,34 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return with_runs(docs, KIND).select("doc_id", "text", "repeated_runs").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, text, encode(coalesce(text, '')) AS b FROM documents),
+u AS (
+  SELECT DISTINCT doc_id, text, b FROM d WHERE doc_id IS NOT NULL AND octet_length(b) >= 100),
+s AS (
+  SELECT doc_id, text, hex(b) AS h, unnest(range(0, octet_length(b) - 99)) AS i FROM u),
+k AS (
+  SELECT doc_id, text, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM s),
+r AS (
+  SELECT doc_id, text, i FROM (
+    SELECT doc_id, text, i, min(doc_id) OVER (PARTITION BY g) AS first, min(i) OVER (PARTITION BY g, doc_id, text) AS own FROM k)
+  WHERE doc_id > first OR i > own),
+g AS (
+  SELECT DISTINCT doc_id, text, unnest(range(i, i + 100)) AS p FROM r),
+n AS (
+  SELECT doc_id, text, p, p - row_number() OVER (PARTITION BY doc_id, text ORDER BY p) AS run FROM g),
+a AS (
+  SELECT doc_id, text, min(p) AS a, max(p) + 1 AS z FROM n GROUP BY doc_id, text, run),
+l AS (
+  SELECT doc_id, text, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM a GROUP BY doc_id, text),
+f AS (
+  SELECT d.doc_id, hex(b) AS h, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+         list_prepend(0, coalesce(stops, [])) AS kept_from, list_append(coalesce(starts, []), octet_length(b)) AS kept_to
+  FROM d LEFT JOIN l ON l.doc_id IS NOT DISTINCT FROM d.doc_id AND l.text IS NOT DISTINCT FROM d.text)
+SELECT doc_id, n_bytes, n_removed, n_spans,
+       sha256(unhex(array_to_string(list_transform(list_zip(kept_from, kept_to), lambda x: substr(h, CAST(2 * x[1] + 1 AS BIGINT), CAST(2 * (x[2] - x[1]) AS BIGINT))), ''))) AS kept_sha256
+FROM f
+"""
