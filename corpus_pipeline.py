@@ -6,12 +6,14 @@ Every stage but the last returns the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.llm import mixing, near_duplicates, packing, quality, suffix_dedup
-from veritrail.storage import materialize
+from veritrail.storage import delete, new_path, stage_tables
 
+#: Stands for a null id in keys.
+_NO_ID = 2**63 - 1
 #: The last stages choose documents by hash and by least squares, which SQL doesn't express.
 ORACLE_SQL = None
 
@@ -22,10 +24,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id."""
-    found = near_duplicates.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates one row: that with the least id, then the least hash of its text."""
+    own = {"__text_hash": F.xxhash64("text"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__null": F.col("doc_id").isNull()}
+    found = near_duplicates.near_duplicates(docs).where("component is not null")
+    keys = found.select("component", F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_hash").alias("__text_hash"))
+    best = keys.groupBy("component").agg(F.min(F.struct("__null", "__id", "__text_hash")).alias("best"))
+    kept = docs.withColumns(own).join(best.select("best.*", F.lit(True).alias("__first")), list(own), "left")
+    # Repeated rows of the least id share its keys; one of them stays. Texts without words are in no group.
+    again = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1)))
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.withColumn("__again", again).where(empty | (F.col("__first") & (F.col("__again") == 1))).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +65,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage leaves in the shared folder goes when its result has been written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        path = new_path(spark, "pipeline")
+        with stage_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -114,8 +114,8 @@ COUNTS_SQL = "chunk int, slot long, counts binary"
 
 def count_chunks(table: np.ndarray, slot: int) -> list[tuple[int, int, bytes]]:
     """The chunks (chunk, slot, counts) of a task's table of counts (rows of counters) that have any."""
-    parts = table.astype(np.int64).reshape(table.shape[0], -1, CHUNK).swapaxes(0, 1)
-    return [(c, slot, zlib.compress(part.tobytes(), 1)) for c, part in enumerate(parts) if part.any()]
+    parts = table.reshape(table.shape[0], -1, CHUNK).swapaxes(0, 1)
+    return [(c, slot, zlib.compress(part.astype(np.int64).tobytes(), 1)) for c, part in enumerate(parts) if part.any()]
 
 
 def summed_chunks(parts: DataFrame, tasks: int) -> DataFrame:

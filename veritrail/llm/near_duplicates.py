@@ -6,41 +6,49 @@ must meet. Candidates that share a prefix shingle pass a length and a positional
 filter on counts by hash range, then the suffix filter and the exact overlap, once a pair.
 
 Groups of near copies never give all their pairs. First each class is compared with one hub for each of its
-prefix shingles and sizes; then only classes that the links so far leave in different components are.
+prefix shingles and sizes; then only classes that the links so far leave in different components are, and there
+the smaller set of a pair needs only the shorter prefix that a set at least as large must meet.
+
+A shingle in very many classes is never gathered: tasks that meet it often send its rows around the shuffle that
+finds shared shingles, and what is known of a shingle comes from aggregates that are joined back.
 
 Words are lower-cased in A-Z only and split at ASCII white space. Fewer words than a shingle has are one
 shingle; no words (or a null text) give the empty set, which links with nothing. Rows with a null id take
 part, and their component is the least id in it, null where there is none. Repeated rows link with each other.
-Shingles and classes are told apart by hashes of 57 and 64 bits; the latter together with the set's size.
+Shingles and classes are told apart by hashes of 57 and 64 bits.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import arrow_batches, bound_text_batches, gram_hashes, word_hashes, worker_cache
+from veritrail.llm.common import arrow_batches, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, table_of, word_hashes, worker_cache
 from veritrail.operators.components import connected_components
 from veritrail.storage import materialize
 
 WORDS = 5
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
-#: Counters of the sketch (a power of two), its chunks, hash ranges of the overlap bound, bits of the class filter.
-SKETCH_BITS, CHUNK_BITS, RANGES, FILTER_BITS = 23, 16, 256, 23
-_HELD = 500_000
+#: Counters of the sketch (a power of two), hash ranges of the overlap bound, bits of the class filter.
+SKETCH_BITS, RANGES, FILTER_BITS = 23, 256, 23
+#: Prefix shingles a task holds, and classes that make a shingle dense among them.
+_HELD, DENSE = 500_000, 8
 #: Rows of an Arrow batch where each carries whole sets.
 VERIFY_BATCH = 500
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("ranges", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
-_PREFIX = pa.schema([("tok", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("i", pa.int32())])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("ranges", pa.binary()), ("chunk", pa.int32()), ("slot", pa.int64()), ("counts", pa.binary())])
+_PROFILE_SQL = "doc_id long, text_hash long, cls long, n int, ranges binary, chunk int, slot long, counts binary"
+#: Rows of a prefix: a shingle of a class; one that is dense in its task, and a sign that it is.
+PLAIN, DENSE_ROW, SIGN = range(3)
+_PREFIX = pa.schema([("k", pa.int64()), ("tok", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("kind", pa.int32())])
+_PREFIX_SQL = "k long, tok long, cls long, n int, i int, kind int"
 _SET = pa.schema([("cls", pa.int64()), ("toks", pa.binary())])
 
 
@@ -70,32 +78,22 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
 
     for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
-        for doc_id, words in zip(ids, _texts(batch, 1), strict=True):
+        out = []
+        for doc_id, text_hash, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
             found = shingles(words)
             held.append(found)
             size += found.size
             ranges = np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() if found.size else None
-            out.append((doc_id, class_of(words) if words else None, found.size, ranges))
+            out.append((doc_id, text_hash, class_of(words) if words else None, found.size, ranges, None, None, None))
             if size >= _HELD:
                 pour()
                 size = 0
         if out:
-            none = [None] * len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*out, strict=True), none, none], _PROFILE, strict=True)], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PROFILE, strict=True)], schema=_PROFILE)
     pour()
-    chunks = [(c, part) for c, part in enumerate(sketch.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
+    chunks = count_chunks(sketch[None], TaskContext.get().partitionId())
     if chunks:
-        none = [None] * len(chunks)
-        packed = [zlib.compress(part.tobytes(), 1) for _, part in chunks]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([none, none, none, none, [c for c, _ in chunks], packed], _PROFILE, strict=True)], schema=_PROFILE)
-
-
-def _add_chunks(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << CHUNK_BITS, np.int64)
-    for raw in parts["counts"]:
-        total += np.frombuffer(zlib.decompress(raw), np.int32)
-    return pd.DataFrame({"chunk": [key[0]], "counts": [levels_of(total).tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*[[None] * len(chunks)] * 5, *zip(*chunks, strict=True)], _PROFILE, strict=True)], schema=_PROFILE)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -117,11 +115,28 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.ceil(F.lit(UP) * (n + m) / F.lit(UP + DOWN))
 
 
+def index_size(n: Column) -> Column:
+    """Elements of a set's order that any set at least as large, and similar enough, must meet."""
+    return n - F.ceil(F.lit(2 * UP) * n / F.lit(UP + DOWN)) + 1
+
+
 def _prefixes(levels) -> object:
+    def emit(parts: list[tuple]) -> pa.RecordBatch:
+        sizes = [p for *_, p in parts]
+        toks, cls, n = np.concatenate([t for t, *_ in parts]), np.repeat([c for _, c, *_ in parts], sizes), np.repeat([n for _, _, n, _ in parts], sizes)
+        i = np.concatenate([np.arange(p) for p in sizes])
+        found, at, times = np.unique(toks, return_inverse=True, return_counts=True)
+        dense, signs = times[at] >= DENSE, found[times >= DENSE]
+        spread = mix64((toks + cls.view(np.uint64)).astype(np.uint64)).view(np.int64)
+        zero = np.zeros(signs.size, np.int64)
+        columns = [np.where(dense, spread, toks), toks, cls, n, i, np.where(dense, DENSE_ROW, PLAIN)]
+        more = [signs, signs, zero, zero, zero, zero + SIGN]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(columns, more, strict=True), _PREFIX, strict=True)], schema=_PREFIX)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        parts, size = [], 0
         for batch in batches:
-            parts = []
             for words in _texts(batch, 0):
                 if not words or (cls := class_of(words)) in seen:
                     continue
@@ -129,12 +144,14 @@ def _prefixes(levels) -> object:
                 toks = ordered_tokens(shingles(words), levels.value)
                 p = prefix_size(toks.size)
                 parts.append((toks[:p].view(np.int64), cls, toks.size, p))
-            if len(seen) > 200_000:
+                size += p
+                if size >= _HELD:
+                    yield emit(parts)
+                    parts, size = [], 0
+            if len(seen) > 100_000:
                 seen.clear()
-            if parts:
-                sizes = [p for *_, p in parts]
-                columns = [np.concatenate([t for t, *_ in parts]), np.repeat([c for _, c, *_ in parts], sizes), np.repeat([n for _, _, n, _ in parts], sizes), np.concatenate([np.arange(p) for p in sizes])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PREFIX, strict=True)], schema=_PREFIX)
+        if parts:
+            yield emit(parts)
 
     return run
 
@@ -152,7 +169,7 @@ def _sets(levels, bits) -> object:
                     continue
                 seen.add(cls)
                 out.append((cls, ordered_tokens(shingles(words), levels.value).tobytes()))
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SET, strict=True)], schema=_SET)
@@ -230,56 +247,61 @@ def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, text_hash, component) for ``docs`` (doc_id, text).
+
+    ``text_hash`` is xxhash64 of the text, by which rows that share an id are known; ``component`` names the
+    component where ids don't, and is null for empty sets.
+    """
     spark = docs.sparkSession
     bound_text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = docs.select("text")
-    profile = materialize(docs.mapInArrow(_profile, "doc_id long, cls long, n int, ranges binary, chunk int, counts binary"))
-    rows = profile.where("chunk is null").select("doc_id", "cls", "n")
+    profile = materialize(docs.mapInArrow(_profile, _PROFILE_SQL))
+    rows = profile.where("chunk is null").select("doc_id", "text_hash", "cls", "n")
     classes = profile.where("chunk is null and cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     # The sketch has a fixed number of counters, whatever the corpus.
-    table = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
-    for chunk, raw in profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect():
-        table[chunk] = np.frombuffer(raw, np.uint8)
-    levels = spark.sparkContext.broadcast(table.reshape(-1))
+    chunks = summed_chunks(profile.where("chunk is not null").select("chunk", "slot", "counts"), docs.rdd.getNumPartitions())
+    levels = spark.sparkContext.broadcast(levels_of(table_of(chunks.collect(), 1 << SKETCH_BITS)[0]))
 
-    shared = texts.mapInArrow(_prefixes(levels), "tok long, cls long, n int, i int")
-    same = Window.partitionBy("tok")
-    shared = shared.withColumns({"low": F.min("cls").over(same), "high": F.max("cls").over(same), "df": F.count("*").over(same)})
-    shared = materialize(shared.where("low <> high").select("tok", "cls", "n", "i", "df"))
+    same = Window.partitionBy("k")
+    shared = texts.mapInArrow(_prefixes(levels), _PREFIX_SQL)
+    plain = F.when(F.col("kind") == PLAIN, F.col("cls"))
+    met = (F.min(plain).over(same) != F.max(plain).over(same)) | (F.max("kind").over(same) == SIGN)
+    shared = materialize(shared.withColumn("met", met).where(f"kind = {DENSE_ROW} or kind = {PLAIN} and met").select("tok", "cls", "n", "i"))
 
     # The hub of a group is the class that shares most with others, such as the text that copies were made from:
-    # one of all sizes, and one for each class's own range of sizes.
-    central = shared.groupBy("cls").agg(F.sum("df").alias("c"))
-    size = F.floor(F.log("n") / F.log(F.lit(DOWN / UP))).cast("int")
-    ranked = shared.drop("df").join(central, "cls").withColumn("size", size)
-    hub = F.max(F.struct("c", "cls", "n", "i"))
-    hubs = ranked.withColumns({"any": hub.over(same), "sized": hub.over(Window.partitionBy("tok", "size"))})
-    hubs = hubs.withColumn("hub", F.explode(F.array("any", "sized")))
+    # one of all sizes, and one for each class's own range of sizes (of which there are few).
+    central = shared.join(shared.groupBy("tok").agg(F.count("*").alias("df")), "tok").groupBy("cls").agg(F.sum("df").alias("c"))
+    ranked = shared.join(central, "cls").withColumn("size", F.floor(F.log("n") / F.log(F.lit(DOWN / UP))).cast("int"))
+    sized = ranked.groupBy("tok", "size").agg(F.max(F.struct("c", "cls", "n", "i")).alias("hub"))
+    hubs = sized.groupBy("tok").agg(F.max("hub").alias("any"), F.map_from_entries(F.collect_list(F.struct("size", "hub"))).alias("sized"))
+    hubs = ranked.join(hubs, "tok").withColumn("hub", F.explode(F.array("any", F.col("sized")[F.col("size")])))
     hubs = hubs.where(F.col("hub.cls") != F.col("cls")).where(_fits(F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i")))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried, links = _links(hubs.select(*ordered(F.col("cls"), F.col("hub.cls"))).distinct(), classes, texts, levels)
     parts = materialize(connected_components(links))
 
     label = parts.select(F.col("node").alias("cls"), F.col("component").alias("label"))
-    open_ = shared.select("tok", "cls", "n", "i").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_ = open_.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).where("low <> high").drop("low", "high")
-    open_ = materialize(open_.dropDuplicates(["tok", "cls"]))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label"))
+    labelled = shared.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    apart = labelled.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("tok")
+    open_ = materialize(labelled.join(apart, "tok").dropDuplicates(["tok", "cls"]))
+    x, y = open_.alias("x"), open_.where(F.col("i") < index_size(F.col("n"))).alias("y")
+    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") > F.col("y.cls")))
+    unlinked = (F.col("x.tok") == F.col("y.tok")) & larger & (F.col("x.label") != F.col("y.label"))
     fits = _fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"))
-    rest = x.join(y, apart & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = x.join(y, unlinked & fits).select(*ordered(F.col("x.cls"), F.col("y.cls"))).distinct().join(tried, ["a", "b"], "left_anti")
     _, more = _links(rest, classes, texts, levels)
-    component = materialize(connected_components(links.union(more)).select(F.col("node").alias("cls"), F.col("component").alias("label")))
+    component = connected_components(links.union(more)).select(F.col("node").alias("cls"), F.col("component").alias("label"))
 
-    placed = rows.join(component, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"))
-    return placed.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    # What is known of a class is worked out class by class; rows, of which one may have very many, are joined once.
+    firsts = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first")).join(component, "cls", "left").withColumn("component", F.coalesce("label", "cls"))
+    least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
+    known = materialize(firsts.select("cls", "component").join(least, "component"))
+    return rows.join(known, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""
