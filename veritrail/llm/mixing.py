@@ -39,67 +39,79 @@ def word_count(texts: pd.Series) -> pd.Series:
 
 def fill_targets(sizes: dict, weights: dict, total: float, most: float) -> dict:
     """Share ``total`` by weight; what would exceed ``most`` times a source's size is shared among the others."""
-    targets, open_ = {}, list(sizes)
-    while open_:
-        left, weight = total - sum(targets.values()), sum(weights[s] for s in open_)
-        share = {s: left * weights[s] / weight for s in open_}
-        full = [s for s in open_ if share[s] > most * sizes[s]]
-        if not full:
-            return {s: targets.get(s, share.get(s)) for s in sizes}
-        targets |= {s: float(most * sizes[s]) for s in full}
-        open_ = [s for s in open_ if s not in targets]
-    return {s: targets[s] for s in sizes}
+    targets: dict = {}
+    left, weight = total, sum(weights[s] for s in sizes)
+    # Sources fill in order of the share by weight at which they are full.
+    order = sorted(sizes, key=lambda s: most * sizes[s] / weights[s])
+    for i, s in enumerate(order):
+        if left * weights[s] / weight <= most * sizes[s]:
+            return targets | {t: left * weights[t] / weight for t in order[i:]}
+        targets[s] = float(most * sizes[s])
+        left -= targets[s]
+        weight -= weights[s]
+    return targets
 
 
 def min_cost_flow(patterns: dict[tuple, int], quotas: dict, epochs: int) -> dict[tuple, int]:
-    """Words taken of each pattern, by successive shortest paths. Epoch e of a pattern costs e - 1 a word."""
-    nodes: dict = {"from": 0, "to": 1}
-    arcs: list[list] = []  # to, room, cost; the reverse of arc i is arc i ^ 1
-    at: list[list[int]] = [[], []]
-
-    def node(name):
-        if name not in nodes:
-            nodes[name] = len(at)
-            at.append([])
-        return nodes[name]
-
-    def arc(a, b, room, cost):
+    """Words taken of each pattern. Epoch e of a pattern costs e - 1 a word.
+
+    All costs are at the start of a path, so that shortest paths are found by opening one epoch after the other;
+    those of one cost are augmented together, by blocking flows over levels.
+    """
+    arcs: list[list[int]] = []  # to, room; the reverse of arc i is arc i ^ 1
+    place = {s: 2 + i for i, s in enumerate(quotas)}
+    first = 2 + len(place)
+    at: list[list[int]] = [[] for _ in range(first + len(patterns))]
+
+    def arc(a, b, room):
         at[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        at[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-
-    supply: dict[tuple, list[int]] = {}
-    for pattern, size in patterns.items():
-        p = node(("pattern", pattern))
-        supply[pattern] = []
-        for e in range(epochs):
-            supply[pattern].append(len(arcs))
-            arc(0, p, size, e)
+        at[b].append(len(arcs) + 1)
+        arcs.extend([[b, room], [a, 0]])
+
+    for i, pattern in enumerate(patterns):
+        arc(0, first + i, 0)
         for s in pattern:
-            arc(p, node(("source", s)), size * epochs, 0)
+            arc(first + i, place[s], patterns[pattern] * epochs)
+    starts = [i for i in at[0]]
     for s, quota in quotas.items():
-        arc(node(("source", s)), 1, quota, 0)
-    while True:
-        cost, via, queue = {0: 0}, {}, [0]
-        while queue:
-            a = queue.pop(0)
+        arc(place[s], 1, quota)
+
+    def levels() -> list[int]:
+        level, reached = [-1] * len(at), [0]
+        level[0] = 0
+        for a in reached:
             for i in at[a]:
-                b, room, price = arcs[i]
-                if room > 0 and cost[a] + price < cost.get(b, float("inf")):
-                    cost[b], via[b] = cost[a] + price, i
-                    if b not in queue:
-                        queue.append(b)
-        if 1 not in via:
-            return {p: sum(arcs[i ^ 1][1] for i in own) for p, own in supply.items()}
-        path, b = [], 1
-        while b:
-            path.append(via[b])
-            b = arcs[via[b] ^ 1][0]
-        room = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= room
-            arcs[i ^ 1][1] += room
+                b, room = arcs[i]
+                if room and level[b] < 0:
+                    level[b] = level[a] + 1
+                    reached.append(b)
+        return level
+
+    for _ in range(epochs):
+        for i, size in zip(starts, patterns.values(), strict=True):
+            arcs[i][1] += size
+        while (level := levels())[1] >= 0:
+            tried, path, a = [0] * len(at), [], 0
+            while True:
+                if a == 1:
+                    room = min(arcs[i][1] for i in path)
+                    for i in path:
+                        arcs[i][1] -= room
+                        arcs[i ^ 1][1] += room
+                    path, a = [], 0
+                while tried[a] < len(at[a]):
+                    i = at[a][tried[a]]
+                    if arcs[i][1] and level[arcs[i][0]] == level[a] + 1:
+                        path.append(i)
+                        a = arcs[i][0]
+                        break
+                    tried[a] += 1
+                else:
+                    if not path:
+                        break
+                    a = arcs[path.pop() ^ 1][0]
+                    tried[a] += 1
+    return {p: arcs[i ^ 1][1] for p, i in zip(patterns, starts, strict=True)}
 
 
 def split_flow(patterns: dict[tuple, int], quotas: dict, epochs: int) -> dict[tuple, int]:
