@@ -60,6 +60,20 @@ def test_packing(spark):
     assert packing.pack(docs_of(spark, []), VOCAB).count() == 0
 
 
+def test_ids_are_the_tokenizers():
+    """Cached words give the tokenizer's ids, also where letters change or gain marks by normalization."""
+    rnd = random.Random(5)
+    tokenizer, ids = Tokenizer.from_file(VOCAB), packing.WordIds(open(VOCAB, encoding="utf-8").read())
+    pool = [*"abxyIJTK .,!?'\"-_<|>09%&\n\t", *"\u0130\u0131\u0307\u0301\u0308\u030c\u0338\u00e9\u00df\u1e9e\u03a3\u03c2\u01c5\ufb01\u65e5\u093f\uac00\u1100\u1161\u11a8\u00bd\u2167\u200d\u00a0\u2028\u0345\u0149\u212a\u2126\x1c\x85", "\U0001f600", "\U0001d538", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "\u0130."]
+    letters = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(60_000):
+        if i % 2:
+            text = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 9)))
+        else:
+            text = "".join(rnd.choice(letters) if rnd.random() < 0.5 else rnd.choice("a.! x(") for _ in range(rnd.randint(1, 6)))
+        assert np.frombuffer(packing.token_bytes(text, ids), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert check_packing(docs, registry.QUERIES["op1_packing"](spark, SF).collect()) < 0.05
@@ -179,24 +193,75 @@ def test_token_counts(spark, fallback):
 # 4. Quality
 
 
+def brute_weights(rows, kinds):
+    """Log weights by the definition; ``rows``: texts, ``kinds``: 0 good, 1 toxic, 2 poor or None of each."""
+    grams = [quality.features(t).tolist() for t in rows]
+    counts = [Counter(g for gs, k in zip(grams, kinds, strict=True) if part is None or k == part for g in gs) for part in (None, 0, 1, 2)]
+    sums = [sum(c.values()) for c in counts]
+    shares = [kinds.count(k) / sum(k is not None for k in kinds) for k in (0, 1, 2)]
+    out = []
+    for gs in grams:
+        raw = shares[0]
+        for k in (1, 2):
+            total = 0.0
+            for g in gs:
+                rate = [(counts[1 + j][g] + quality.PRIOR) / (counts[0][g] * sums[1 + j] / sums[0] + quality.PRIOR) for j in (0, k)]
+                off = np.log(rate[1] / rate[0])
+                spread = 1 / (counts[1][g] + quality.PRIOR) + 1 / (counts[1 + k][g] + quality.PRIOR)
+                total += off**3 / (off**2 + quality.SHRINK * spread)
+            raw += shares[k] * np.exp(total)
+        out.append(-np.log(raw))
+    return out
+
+
+def quality_rows(rnd):
+    good = [(i, long_text(rnd, 60)) for i in range(400)]
+    toxic = [(1000 + i, long_text(rnd, 30) + " rotten awful " + long_text(rnd, 30)) for i in range(120)]
+    poor = [(2000 + i, long_text(rnd, 10) + " AAA$$ %%% 99 x!" * 10) for i in range(120)]
+    return good, toxic, poor
+
+
 def test_quality(spark):
     rnd = random.Random(11)
-    good = [(i, long_text(rnd, 60)) for i in range(300)]
-    bad = [(1000 + i, long_text(rnd, 30) + " rotten rotten awful " + long_text(rnd, 30)) for i in range(150)]
-    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[:150]] + [(i, 1, 1) for i, _ in bad[:75]] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
-    rows = good + bad + [(None, None), (3000, "")]
+    good, toxic, poor = quality_rows(rnd)
+    told = [(i, 1, 0) for i, _ in good[:200]] + [(i, 1, 1) for i, _ in toxic[:60]] + [(i, 0, 0) for i, _ in poor[:60]]
+    labels = spark.createDataFrame([*told, (None, 1, 0), (5, None, None), (1000, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = good + toxic + poor + [(None, None), (3000, ""), (3001, "é日 " * 30_000)]
     docs = docs_of(spark, rows)
+    kinds = {i: (1 if x else 2 if not q else 0) for i, q, x in told}
+    want = brute_weights([t for _, t in rows], [kinds.get(i) for i, _ in rows])
+    keyed = quality.weigh(docs, quality.fit(docs, labels)).collect()
+    assert {str(r["doc_id"]): r["log_weight"] for r in keyed} == pytest.approx({str(i): w for (i, _), w in zip(rows, want, strict=True)}, abs=2e-3)
+    # Without replacement, in proportion to weight: the k largest keys, which no threshold on the weight gives.
+    k = round(200 / 320 * len(rows))
     kept = quality.resample(docs, labels)
     ids = [r["doc_id"] for r in kept.select(docs.columns).collect()]
-    held_good, held_bad = {i for i, _ in good[150:]}, {i for i, _ in bad[75:]}
-    assert len(held_good & set(ids)) >= 0.97 * len(held_good) and len(held_bad & set(ids)) <= 0.1 * len(held_bad)
-    assert None in ids and 3000 in ids
-    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in quality.resample(docs, labels).collect())
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in sorted(keyed, key=lambda r: -r["sample_key"])[:k])
+    chosen, left = ([r["log_weight"] for r in keyed if (r["doc_id"] in ids) == side] for side in (True, False))
+    assert min(chosen) < max(left)
+    held = [{i for i, _ in x} for x in (good[200:], toxic[60:], poor[60:])]
+    assert len(held[0] & set(ids)) >= 0.9 * 200 and all(len(x & set(ids)) <= 0.25 * len(x) for x in held[1:])
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in quality.resample(docs.repartition(3), labels).collect())
     assert quality.resample(docs, labels, k=10).count() == 10
     assert quality.resample(docs_of(spark, []), labels).count() == 0
     assert quality.resample(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_ties_in_the_last_place(spark):
+    docs = docs_of(spark, [(1, "same text")] * 7 + [(2, "other")])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for k in range(9):
+        assert quality.resample(docs, labels, k=k).count() == k
+
+
+def test_gumbel_keys(spark):
+    """Chances of being the largest key go with weights."""
+    weights = spark.createDataFrame([(g, w) for g in range(4000) for w in (1.0, 2.0, 5.0)], "g long, w double")
+    keyed = weights.withColumn("key", quality.gumbel_key(F.log("w"), 1, "g", "w"))
+    won = dict(keyed.groupBy("g").agg(F.max_by("w", "key").alias("w")).groupBy("w").count().collect())
+    assert all(abs(won[w] / 4000 - w / 8) < 0.03 for w in (1.0, 2.0, 5.0))
+
+
 def test_kth_largest(spark):
     rnd = random.Random(2)
     keys = [rnd.choice([1.0, 2.0, rnd.random() * 1e6]) for _ in range(500)]
@@ -210,7 +275,7 @@ def test_quality_query(spark):
     ids = {r["doc_id"] for r in registry.QUERIES["op4_quality_classifier"](spark, SF.replace("0.001", "0.01")).collect()}
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").collect()
     good = [r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0]
-    assert sum(i in ids for i in good) >= 0.97 * len(good)
+    assert sum(i in ids for i in good) >= 0.85 * len(good)
 
 
 # 5. Mixing
@@ -283,24 +348,47 @@ def test_pointer_jumping(spark):
 # 7. Top-k
 
 
+def brute_topk(vectors, every, k=5):
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for a, q in {(i, tuple(v)) for i, v in good if i % every == 0}:
+        score = lambda v: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(q, v, strict=True))))  # noqa: B023, E731
+        scored = sorted((-score(v), b) for b, v in good if b != a and len(v) == len(q))[:k]
+        want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(scored)]
+    return sorted(want)
+
+
 def test_topk(spark, monkeypatch):
     rnd = np.random.default_rng(5)
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 40)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    vectors = [(i, [float(x) for x in rnd.integers(-3, 4, 7) / 4]) for i in range(200)] + [(300, None), (301, [1.0, None] + [0.0] * 5), (302, [float("nan")] * 7), (303, [float("inf")] * 7), (None, [1.0] * 7), (350, [1.0, 2.0]), (400, [1e6] * 7)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    q = topk.quantize(df).dropDuplicates(["vec_id"])
-    got = sorted(map(tuple, topk.exact_topk(q, q.where("vec_id % 50 = 0"), 5).collect()))
-    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for a in (i for i in good if i % 50 == 0):
-        scored = sorted(((-sum(x * y for x, y in zip(good[a], good[b], strict=True)), b) for b in good if b != a and len(good[b]) == len(good[a])))[:5]
-        want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(scored)]
-    assert got == sorted(want)
+    vectors = [(i, [float(x) for x in rnd.integers(-3, 4, 7) / 4]) for i in range(200)] + [(300, None), (301, [1.0, None] + [0.0] * 5), (302, [float("nan")] * 7), (303, [float("inf")] * 7), (None, [1.0] * 7), (350, [1.0, 2.0])]
+    # Repeated rows, and ids that share several vectors.
+    vectors += [vectors[7], vectors[50], (50, [2.0] * 7), (8, [2.0] * 7), (8, [2.0] * 7)]
+    df = spark.createDataFrame([(*v, 1, "x") for v in vectors], "vec_id long, embedding array<double>, q int, key string")
+    q = topk.quantize(df)
+    assert sorted(map(tuple, topk.exact_topk(q, q.where("vec_id % 50 = 0"), 5).collect())) == brute_topk(vectors, 50)
+    # Products beyond 64 bits.
+    big = [(i, [float(x) * 1e9 for x in rnd.integers(-9, 9, 3)]) for i in range(30)] + [(31, [1.0, 2.0, 3.0])]
+    q = topk.quantize(spark.createDataFrame(big, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, topk.exact_topk(q, q.where("vec_id % 10 = 0"), 5).collect())) == brute_topk(big, 10)
     empty = topk.quantize(df.limit(0))
     assert topk.exact_topk(empty, empty).count() == 0
 
 
+def test_topk_sql_with_repeated_rows(spark):
+    import duckdb
+
+    rnd = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rnd.integers(-3, 4, 4) / 4]) for i in range(60)]
+    vectors += [vectors[50], (50, [1.0] * 4), vectors[3], vectors[3]]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    q = topk.quantize(df)
+    assert sorted(map(tuple, topk.exact_topk(q, q.where("vec_id % 50 = 0")).collect())) == sorted(con.sql(topk.SQL).fetchall()) == brute_topk(vectors, 50)
+
+
 # 8 and 9. Repeats
 
 
@@ -386,15 +474,25 @@ def test_fingerprints(spark):
     rows = [(i * 3, "".join(rnd.choice("abcdé😀 ") for _ in range(rnd.choice([0, 5, 30, 90, 700])))) for i in range(40)] + [(None, "null id " * 30), (200, None), (201, "same text " * 20), (202, "same text " * 20), (-5, "x" * 400)]
     got = {r["doc_id"]: r for r in fingerprints.compare_with_next(docs_of(spark, rows)).collect()}
     assert len(got) == len(rows)
+
+    def brute(text):
+        """Fingerprint text by the definition: of each window of hashes the rightmost least one."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lifted = fingerprints.mix64((points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        hashes = fingerprints.gram_hashes(lifted, min(fingerprints.GRAM, lifted.size)).tolist() if text else []
+        width = min(fingerprints.WINDOW, len(hashes))
+        places = sorted({max(range(a, a + width), key=lambda i: (-hashes[i], i)) for a in range(len(hashes) - width + 1)}) if hashes else []
+        return "".join(f"{hashes[p] >> 32:08x}{p - q:02x}" for q, p in zip([0, *places], places, strict=False))
+
     order = sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0], reverse=True)
     for (doc, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         text, after, r = text or "", after or "", got[doc]
         cut = len(text) // 3
         edited = text[: len(text) - cut] + after[:cut]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        marks = [fingerprints.winnow(t) for t in (text, edited, after)]
-        assert r["fingerprint"] == fingerprints.fingerprint_text(*marks[0]) and r["edited_fingerprint"] == fingerprints.fingerprint_text(*marks[1])
-        sets = [set(m[0].tolist()) for m in marks]
+        assert r["fingerprint"] == fingerprints.fingerprint_text(*fingerprints.winnow(text)) == brute(text) and r["edited_fingerprint"] == brute(edited)
+        # The likeness can be had from the fingerprints.
+        sets = [{f[i : i + 8] for i in range(0, len(f), 10)} for f in (r["fingerprint"], r["edited_fingerprint"], brute(after))]
         for name, other in (("near_edited", sets[1]), ("near_next", sets[2])):
             assert r[name] == (len(sets[0] & other) / len(sets[0] | other) if sets[0] | other else 1.0)
     assert got[201]["fingerprint"] == got[202]["fingerprint"] and got[202]["near_next"] == 1.0
@@ -403,6 +501,25 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(docs_of(spark, rows)).where(F.size("fingerprint") > 0).count() > 20
 
 
+def test_a_third_of_the_rows_share_an_id(spark):
+    rnd = random.Random(9)
+    rows = [(i, long_text(rnd, 5)) for i in range(60)] + [(None, long_text(rnd, 5)) for _ in range(50)] + [(30, long_text(rnd, 5)) for _ in range(40)]
+    docs = docs_of(spark, rows)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()
+    order = sorted(keyed, key=lambda r: (-(2**63) if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]), reverse=True)
+    want = Counter()
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(r["text"]) // 3
+        edited = r["text"][: len(r["text"]) - cut] + after["text"][:cut]
+        want[r["doc_id"], hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.compare_with_next(docs).collect()) == want
+    ranges = fingerprints.Ranges([0.0, 0.0, 0.0, 5.0], {0.0})
+    import pandas as pd
+
+    found = ranges.of(pd.Series([-1, 0, 0, 0, 1, 5, 6]), pd.Series([0, -(2**63), 0, 2**63 - 1, 7, 0, 0])).tolist()
+    assert found == sorted(found) and len(set(found[1:4])) == 3
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(8)
     text = "".join(rnd.choice("abcdefgh") for _ in range(3000))

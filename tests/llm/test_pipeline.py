@@ -25,3 +25,25 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_duplicates_by_row(spark):
+    """Rows that share an id, repeated rows, null ids and texts without words."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (None, a + " x"), (None, "only here"), (None, "only here"), (4, ""), (4, ""), (None, None), (5, b + " y")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, component long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    want = [(1, a), (2, b), (None, "only here"), (4, ""), (4, ""), (None, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, want))
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    """``run`` gives what the stages give one after the other, from documents to pieces."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, docs.select(keys).collect()))

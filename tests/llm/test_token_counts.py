@@ -44,3 +44,32 @@ def test_query_counts_raw_documents(spark):
     got = sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.query(spark, SF).collect())
     assert any("\n" in (d["text"] or "") for d in docs)
     assert got == sorted((d["doc_id"], oracle(d["text"])) for d in docs)
+
+
+def test_scores_of_the_query(spark):
+    """Counts and scores of whole documents by a plain Viterbi search over the whole text."""
+    import public_tokenizers
+
+    vocabulary, _ = token_counts.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    scores = dict(vocabulary)
+    longest, unknown = max(map(len, scores)), min(scores.values()) - token_counts.UNKNOWN_PENALTY
+    docs = [d for d in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if d["text"] and len(d["text"]) < 4000][:25]
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in token_counts.query(spark, SF).collect()}
+    for d in docs:
+        text = ("▁" + d["text"]).replace(" ", "▁")
+        best = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            ways = [(best[a][0] + scores[text[a:end]], a - end, best[a][1] + 1) for a in range(max(0, end - longest), end) if text[a:end] in scores]
+            if text[end - 1] not in scores:
+                ways.append((best[-1][0] + unknown, 0, best[-1][1] + len(text[end - 1].encode())))
+            score, _, pieces = min(ways, key=lambda w: (-w[0], w[1]))
+            best.append((score, pieces))
+        assert got[d["doc_id"]] == (best[-1][1], pytest.approx(best[-1][0]))
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a b", 5, 6.0), (1, "a b", 5, 6.0), (None, "a", 1, 1.0), (2, None, 0, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, score double")
+    got = token_counts.count_tokens(docs, [("▁", -1.0), ("a", -2.0), ("b", -2.0), ("▁a", -2.5)]).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got) == [("1", 3, -5.5), ("1", 3, -5.5), ("2", 0, 0.0), ("None", 1, -2.5)]
+    assert token_counts.log_probabilities([("x", -0.5), ("y", -2.0)]) == [("x", -0.5), ("y", -2.0)]

@@ -5,8 +5,9 @@ rightmost on ties, with its position. Two texts that share ``GRAM + WINDOW - 1``
 keep at least one hash in common, at places that the positions tell.
 
 A text shorter than a window keeps the least of its hashes, one shorter than a gram the hash of all of it, and
-an empty or null text nothing. Two empty fingerprints are alike (1), an empty and another one are not (0).
-A null doc_id ranks below all others; rows that share an id are ordered by text. The next document of
+an empty or null text nothing. Likeness is the Jaccard similarity of the hashes as fingerprints hold them (32 bits);
+two empty fingerprints are alike (1), an empty and another one are not (0).
+A null doc_id ranks below all others; rows that share an id are ordered by a hash of the text. The next document of
 a table's only row is itself. An empty table gives an empty result.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import bound_text_batches, gram_hashes, mix64
 from veritrail.llm.repeats import anchors
 
-GRAM, WINDOW = 16, 64
+GRAM, WINDOW = 12, 20
 _LOWEST = -(2**63)
 
 
@@ -50,6 +51,11 @@ def fingerprint_text(hashes: np.ndarray, positions: np.ndarray) -> str:
     return out.tobytes().hex()
 
 
+def marks_of(hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes, with the bits that a fingerprint has of them."""
+    return np.unique(hashes >> np.uint64(32))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets of hashes."""
     if not a.size and not b.size:
@@ -82,48 +88,69 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for halo, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             text = text.as_py() or ""
             hashes, positions = winnow(text)
-            own = np.unique(hashes)
+            own = marks_of(hashes)
             if not halo:
                 cut = len(text) // 3
                 edited = text[: len(text) - cut] + before[:cut]
                 e_hashes, e_positions = winnow(edited)
                 digest = hashlib.sha256(edited.encode()).hexdigest()
-                rows.append((doc, len(text), digest, fingerprint_text(hashes, positions), fingerprint_text(e_hashes, e_positions), likeness(own, np.unique(e_hashes)), likeness(own, before_set)))
+                rows.append((doc, len(text), digest, fingerprint_text(hashes, positions), fingerprint_text(e_hashes, e_positions), likeness(own, marks_of(e_hashes)), likeness(own, before_set)))
             before, before_set = text, own
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
 
+class Ranges:
+    """Ranges of (key, hash) in order. A key with the share of several ranges is parted by the hash."""
+
+    def __init__(self, cuts: list[float], whole: set[float]) -> None:
+        self.bounds, times = np.unique(np.array(cuts, np.float64), return_counts=True)
+        self.times = np.where(np.isin(self.bounds, np.array(sorted(whole))), times, 1)
+        self.before = np.r_[0, np.cumsum(self.times)]
+
+    def of(self, keys: pd.Series, hashes: pd.Series) -> np.ndarray:
+        x = keys.to_numpy().astype(np.float64)
+        place = np.searchsorted(self.bounds, x, side="right")
+        if not self.bounds.size:
+            return place
+        at = np.maximum(place - 1, 0)
+        times = np.where((place > 0) & (self.bounds[at] == x), self.times[at], 1)
+        part = np.minimum(((hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64 * times).astype(np.int64), times - 1)
+        return np.where(times > 1, self.before[at] + 1 + part, self.before[place])
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row of ``docs`` (doc_id, text), of its edited text, and their likeness.
 
-    Documents are dealt by ranges of ids, each with a copy of the last document of the range before it.
+    Documents are dealt by ranges of ids, each with a copy of the last document of the range before it. An id that
+    very many rows share, or the null id, takes several ranges.
     """
     spark = docs.sparkSession
     bound_text_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select("key").approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    bounds = np.unique(np.array(cuts, np.float64))
-
-    def range_of(keys: pd.Series) -> np.ndarray:
-        return np.searchsorted(bounds, keys.to_numpy().astype(np.float64), side="right")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    often = [x for x, n in zip(*np.unique(np.array(cuts, np.float64), return_counts=True), strict=True) if n > 1]
+    # At most one row a range; ids that only look alike as doubles aren't parted.
+    alike = docs.select("key", F.col("key").cast("double").alias("x")).where(F.col("x").isin(often)).groupBy("x").agg(F.min("key").alias("low"), F.max("key").alias("high")) if often else None
+    ranges = Ranges(cuts, {x for x, low, high in alike.collect() if low == high} if often else set())
 
     @F.pandas_udf("int")
-    def own_range(keys: pd.Series) -> pd.Series:
-        return pd.Series(range_of(keys), dtype="int32")
+    def own_range(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(keys, hashes), dtype="int32")
 
     # One row a range.
-    last = sorted(docs.select("key", own_range("key").alias("r")).groupBy("r").agg(F.max("key")).collect())
-    onward = {top: last[(i + 1) % len(last)][0] for i, (_, top) in enumerate(last)}
+    last = sorted(docs.select("key", "h", own_range("key", "h").alias("r")).groupBy("r").agg(F.max(F.struct("key", "h")).alias("top")).collect())
+    onward = {tuple(top): last[(i + 1) % len(last)][0] for i, (_, top) in enumerate(last)}
 
     @F.pandas_udf("array<int>")
-    def places(keys: pd.Series) -> pd.Series:
-        return pd.Series([[r] + ([onward[k]] if k in onward else []) for r, k in zip(range_of(keys).tolist(), keys.tolist(), strict=True)])
+    def places(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        ends = zip(ranges.of(keys, hashes).tolist(), keys.tolist(), hashes.tolist(), strict=True)
+        return pd.Series([[r] + ([onward[k, h]] if (k, h) in onward else []) for r, k, h in ends])
 
-    dealt = docs.select("*", F.posexplode(places("key")).alias("copy", "r")).withColumn("halo", F.col("copy") == 1)
+    dealt = docs.select("*", F.posexplode(places("key", "h")).alias("copy", "r")).withColumn("halo", F.col("copy") == 1)
     # The first range's copy holds the greatest key; it still goes first.
-    dealt = dealt.repartition("r").sortWithinPartitions("r", F.desc("halo"), "key", "text")
+    dealt = dealt.repartition("r").sortWithinPartitions("r", F.desc("halo"), "key", "h", "text")
     return dealt.select("halo", "doc_id", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

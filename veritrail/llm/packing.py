@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import combining
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,8 @@ class WordIds(dict):
             self.clear()
         if b"<|" in word:  # may hold a special token, which has capitals and punctuation of its own
             return self._encode(word)
+        if not word.isascii() and any(map(combining, word.decode())):  # marks may join a capital and not its small letter
+            return self._encode(word)
         low = word.lower()
         parts = self._PARTS.fullmatch(low)
         if parts and self._stands_apart(parts[1].decode()[-1]):

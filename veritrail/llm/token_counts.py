@@ -16,6 +16,7 @@ Repeated rows, null ids and empty tables need no care: each row gives one row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -63,14 +64,23 @@ class Viterbi:
         return pieces[n], score[n]
 
 
+def log_probabilities(vocabulary: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Scores as a unigram model has them. Those of a merge-based vocabulary are ranks with a minus, and give
+    log probabilities by Zipf's law, up to a constant: the reciprocal of the rank. They come in steps of 2 ** -16, so
+    that sums are exact and ties are ties. Pieces that the vocabulary bars (scores below -1e8) stay barred."""
+    if not all(float(score).is_integer() for _, score in vocabulary):
+        return vocabulary
+    return [(piece, score if score < -1e8 else -round(math.log(1 - score) * 65536) / 65536) for piece, score in vocabulary]
+
+
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
-    """Pieces and scores of a SentencePiece model file, and whether it falls back to bytes."""
+    """Pieces and log probabilities of a SentencePiece model file, and whether it falls back to bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     plain = [i for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
-    return [(model.id_to_piece(i), model.get_score(i)) for i in plain], any(model.is_byte(i) for i in ids)
+    return log_probabilities([(model.id_to_piece(i), model.get_score(i)) for i in plain]), any(model.is_byte(i) for i in ids)
 
 
 def keeps_spaces(path: str) -> bool:

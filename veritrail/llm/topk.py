@@ -1,14 +1,16 @@
 """Operator 7: exact top-k inner products, pruned by segment means and deviations, coarse to fine.
 
 Vectors are cut into blocks of bounded size; each pair of a query block and a candidate block is one
-row of an equi-join, so no task gathers more than two blocks and its queries' best scores.
+row of an equi-join, so no task gathers more than two blocks and its queries' best scores. Blocks are as large as
+memory allows, since what is shuffled falls with their size.
 For a segment of ``n`` components with means ``a, b`` and deviations ``s, t``, the inner product is at
 most ``n * (a*b + s*t)``: the distance bound from segment statistics, written for scores. Few wide segments
 are tried first, more narrow ones for what survives, and the exact product last.
 
-Null vectors and vectors with null or non-finite components take no part; nor do rows with a null id.
-Vectors are compared within one length only. Rows that share an id are the same row: none is its own
-neighbour, and repeated rows count once. An empty table gives an empty result.
+Null vectors and vectors with null or non-finite components take no part; nor do rows with a null id, which no
+result could name. Vectors are compared within one length only. Rows that share the query's id are the query's own;
+repeated rows are candidates each, and a query id with several vectors is asked once for each. Scores beyond 64
+bits count as the nearest 64-bit number. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
-LEVELS = (4, 16)
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
+#: Queries whose coarsest bounds are held at a time.
+BOUND_BLOCK = 256
+LEVELS = (4, 16, 32)
+_FOUND = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def quantize(vectors: DataFrame, scale: int = 256, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -34,9 +39,11 @@ def quantize(vectors: DataFrame, scale: int = 256, vec: str = "embedding", key:
 
 def _blocks(vectors: DataFrame, size: int, prefix: str) -> tuple[DataFrame, int]:
     n = max(1, -(-vectors.count() // size))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(f"{prefix}b")
-    packed = vectors.groupBy(F.size("q").alias("dim"), block).agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("q")).alias("flat"))
-    return packed.select("dim", f"{prefix}b", F.col("ids").alias(f"{prefix}_ids"), F.col("flat").alias(f"{prefix}_flat")), n
+    # Repeated ids are dealt out too.
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias(f"{prefix}b")
+    rows = F.collect_list(F.struct("vec_id", F.xxhash64("q").alias("key"), "q"))
+    packed = vectors.groupBy(F.size("q").alias("dim"), block).agg(rows.alias("rows"))
+    return packed.select("dim", f"{prefix}b", F.col("rows.vec_id").alias(f"{prefix}_ids"), F.col("rows.key").alias(f"{prefix}_keys"), F.flatten("rows.q").alias(f"{prefix}_flat")), n
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -48,9 +55,13 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _exact(cand: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; through doubles where those are exact."""
-    bound = float(np.abs(cand).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, query.size)
-    return (cand.astype(np.float64) @ query.astype(np.float64)).astype(np.int64) if bound < 2**53 else cand @ query
+    """Integer inner products: through doubles where those are exact, as Python's integers where 64 bits may not do."""
+    bound = float(np.abs(cand.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).max(initial=0)) * max(1, query.size)
+    if bound < 2**53:
+        return (cand.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    if bound < 2**62:
+        return cand @ query
+    return np.array([min(max(x, _LEAST), _MOST) for x in (cand.astype(object) * query.astype(object)).sum(axis=1)], np.int64)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,29 +73,32 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return scores[order], ids[order]
 
 
-def search_block(q_ids, queries, c_ids, cands, k: int, held: dict) -> None:
-    """Bring ``held`` (query id to best scores and ids) up to date with one block of candidates."""
+def search_block(q_ids, q_keys, queries, c_ids, cands, k: int, held: dict) -> None:
+    """Bring ``held`` (query id and key to best scores and ids) up to date with one block of candidates."""
     if not c_ids.size:
         return
-    x, y = queries.astype(np.float64), cands.astype(np.float64)
-    features = [(segment_features(x, s), segment_features(y, s)) for s in LEVELS]
-    slack = 1e-9 * (1 + np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * x.shape[1])
-    coarse = features[0][0] @ features[0][1].T + slack
-    for i, qid in enumerate(q_ids.tolist()):
-        scores, ids = held.get(qid, (np.empty(0, np.int64), np.empty(0, np.int64)))
-        bound = coarse[i]
-        if scores.size < k:
-            first = np.argpartition(-bound, min(4 * k, bound.size - 1))[: 4 * k + 1]
-            first = first[c_ids[first] != qid]
-            seed, _ = best_of(np.concatenate([scores, _exact(cands[first], queries[i])]), np.concatenate([ids, c_ids[first]]), k)
-        else:
-            seed = scores
-        least = seed[-1] if seed.size >= k else -np.inf
-        alive = np.flatnonzero(bound >= least)
-        for fq, fc in features[1:]:
-            alive = alive[fc[alive] @ fq[i] + slack >= least]
-        alive = alive[c_ids[alive] != qid]
-        held[qid] = best_of(np.concatenate([scores, _exact(cands[alive], queries[i])]), np.concatenate([ids, c_ids[alive]]), k)
+    y = cands.astype(np.float64)
+    theirs = [segment_features(y, s) for s in LEVELS]
+    far = np.abs(y).max(initial=0) * y.shape[1]
+    for a in range(0, q_ids.size, BOUND_BLOCK):
+        x = queries[a : a + BOUND_BLOCK].astype(np.float64)
+        ours = [segment_features(x, s) for s in LEVELS]
+        slack = 1e-9 * (1 + np.abs(x).max(initial=0) * far)
+        coarse = ours[0] @ theirs[0].T + slack
+        for i in range(x.shape[0]):
+            qid, query, bound = int(q_ids[a + i]), queries[a + i], coarse[i]
+            scores, ids = held.get((qid, q_keys[a + i]), (np.empty(0, np.int64), np.empty(0, np.int64)))
+            least = scores[-1] if scores.size >= k else -np.inf
+            if scores.size < k:
+                first = np.argpartition(-bound, min(4 * k, bound.size - 1))[: 4 * k + 1]
+                first = first[c_ids[first] != qid]
+                seed, _ = best_of(np.concatenate([scores, _exact(cands[first], query)]), np.concatenate([ids, c_ids[first]]), k)
+                least = seed[-1] if seed.size >= k else -np.inf
+            alive = np.flatnonzero(bound >= least)
+            for mine, other in zip(ours[1:], theirs[1:], strict=True):
+                alive = alive[other[alive] @ mine[i] + slack >= least]
+            alive = alive[c_ids[alive] != qid]
+            held[qid, q_keys[a + i]] = best_of(np.concatenate([scores, _exact(cands[alive], query)]), np.concatenate([ids, c_ids[alive]]), k)
 
 
 def _flat(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
@@ -92,12 +106,10 @@ def _flat(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) for (vec_id, q) rows of ``queries`` against all of ``vectors``.
-
-    Each input has one row an id, as :func:`quantize` followed by ``dropDuplicates`` gives.
-    """
+    """(query_id, rank, vec_id, score) for (vec_id, q) rows of ``queries`` against all of ``vectors``, as :func:`quantize` gives them."""
     cands, n_cand = _blocks(vectors, VECTOR_BLOCK, "c")
-    asks, n_ask = _blocks(queries, QUERY_BLOCK, "q")
+    asks, n_ask = _blocks(queries.dropDuplicates(["vec_id", "q"]), QUERY_BLOCK, "q")
+    cands = cands.drop("c_keys")
     cands = cands.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))))
     asks = asks.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))))
 
@@ -106,20 +118,19 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 q_ids, c_ids = _flat(batch, "q_ids", row), _flat(batch, "c_ids", row)
-                search_block(q_ids, _flat(batch, "q_flat", row).reshape(q_ids.size, -1), c_ids, _flat(batch, "c_flat", row).reshape(c_ids.size, -1), k, held)
+                search_block(q_ids, _flat(batch, "q_keys", row).tolist(), _flat(batch, "q_flat", row).reshape(q_ids.size, -1), c_ids, _flat(batch, "c_flat", row).reshape(c_ids.size, -1), k, held)
         if held:
             counts = [s.size for s, _ in held.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.fromiter(held, np.int64), counts)), pa.array(np.concatenate([i for _, i in held.values()])), pa.array(np.concatenate([s for s, _ in held.values()]))], schema=_FOUND
-            )
+            keys = (np.repeat(np.array([key[i] for key in held], np.int64), counts) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, np.concatenate([i for _, i in held.values()]), np.concatenate([s for s, _ in held.values()]))], schema=_FOUND)
 
-    found = asks.join(cands, ["dim", "qb", "cb"]).mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asks.join(cands, ["dim", "qb", "cb"]).mapInArrow(run, "query_id long, query_key long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    vectors = quantize(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).dropDuplicates(["vec_id"])
+    vectors = quantize(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return exact_topk(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
@@ -130,7 +141,7 @@ WITH v AS (
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  , a.q FROM (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
