@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,12 +78,26 @@ def arrow_batches(spark, rows: int) -> Iterator[None]:
 
 
 _held: dict = {}
+#: Parameters of glibc's mallopt, and their values: large blocks are mapped, and so go back to the system when freed.
+_MALLOPT = {-3: 1 << 20, -1: 1 << 20, -8: 2}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and an executor has several."""
+    gc.collect()
+    pa.set_memory_pool(pa.system_memory_pool())
+    with suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        for what, value in _MALLOPT.items():
+            libc.mallopt(what, value)
+        libc.malloc_trim(0)
 
 
 def worker_cache(key, make: Callable[[], object]):
     """What this Python worker keeps for one operator. Another operator's goes first, so that caches don't add up."""
     if key not in _held:
         _held.clear()
+        give_back()
         _held[key] = make()
     return _held[key]
 

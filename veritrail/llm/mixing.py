@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from veritrail.llm.common import bound_text_batches
+from veritrail.llm.common import bound_text_batches, worker_cache
 from veritrail.storage import materialize
 
 #: Membership patterns up to which plans are broadcast; larger ones are joined by shuffles.
@@ -34,6 +34,7 @@ _BELOW = -2049
 
 @F.pandas_udf(LongType())
 def word_count(texts: pd.Series) -> pd.Series:
+    worker_cache("mixing", dict)
     return texts.map(lambda t: len(t.encode().split()) if t else 0).astype("int64")
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from unicodedata import combining
 
@@ -31,17 +31,32 @@ from veritrail.llm.common import bound_text_batches, worker_cache
 from veritrail.storage import materialize
 
 SEQUENCE, BIN, END_ID = 2048, 8, 1
-#: Words and word stems that a Python worker keeps the ids of.
-CACHED_WORDS, CACHED_STEMS = 300_000, 700_000
+#: Words, and as many parts of plain words and of others, that a Python worker keeps the ids of.
+CACHED_WORDS, CACHED_STEMS = 200_000, 200_000
 #: Pieces that a rank is given to at a time.
 PIECES_PER_GROUP = 50_000
 
 _PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
-class WordIds(dict):
+class Known(dict):
+    """What was worked out once; forgotten at ``limit`` entries."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
+class WordIds:
     """Ids of words (white-space free byte strings), as little-endian unsigned 32-bit numbers."""
 
+    # Printable ASCII, and how the tokenizer's pattern splits that in lower case.
+    _PLAIN, _PARTS_OF_PLAIN = re.compile(rb"[!-~]+"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
     # A stem and the ASCII punctuation after it, unless that has an apostrophe.
     _PARTS = re.compile(rb"(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
@@ -49,48 +64,44 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.stems: dict[bytes, bytes] = {}
-        self.parts_from: dict[str, bool] = {}
+        self.model = self.tokenizer.model
+        self.words = Known(self._word, CACHED_WORDS)
+        self.stems = Known(self._stem, CACHED_STEMS)
+        self.parts = Known(self._part, CACHED_STEMS)
+        self.stands_apart = Known(self._stands_apart, CACHED_STEMS)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode(self, stem: bytes) -> bytes:
-        found = self.stems.get(stem)
-        if found is None:
-            if len(self.stems) >= CACHED_STEMS:
-                self.stems.clear()
-            found = self.stems[stem] = np.array(self._ids(stem.decode()), "<u4").tobytes()
-        return found
+    def _stem(self, stem: bytes) -> bytes:
+        return np.array(self._ids(stem.decode()), "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part of plain text, straight from the merges: its bytes stand for themselves there."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
 
     def _stands_apart(self, last: str) -> bool:
         """Whether the tokenizer splits after the character ``last`` where punctuation follows. Normalization may
         turn a letter into one with a mark, which takes the punctuation along."""
-        found = self.parts_from.get(last)
-        if found is None:
-            found = self.parts_from[last] = last.isalpha() and self._ids(last + ".") == self._ids(last) + self._ids(".")
-        return found
+        return last.isalpha() and self._ids(last + ".") == self._ids(last) + self._ids(".")
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+    def _word(self, word: bytes) -> bytes:
         if b"<|" in word:  # may hold a special token, which has capitals and punctuation of its own
-            return self._encode(word)
+            return self._stem(word)
+        if self._PLAIN.fullmatch(word):
+            return b"".join(map(self.parts.__getitem__, self._PARTS_OF_PLAIN.findall(word.lower().decode())))
         if not word.isascii() and any(map(combining, word.decode())):  # marks may join a capital and not its small letter
-            return self._encode(word)
+            return self._stem(word)
         low = word.lower()
-        parts = self._PARTS.fullmatch(low)
-        if parts and self._stands_apart(parts[1].decode()[-1]):
-            found = self._encode(parts[1]) + self._encode(parts[2])
-        else:
-            found = self._encode(low)
-        self[word] = found
-        return found
+        cut = self._PARTS.fullmatch(low)
+        if cut and self.stands_apart[cut[1].decode()[-1]]:
+            return self.stems[cut[1]] + self.stems[cut[2]]
+        return self.stems[low]
 
 
 def token_bytes(text: str | None, ids: WordIds) -> bytes:
     """The ids of a text as bytes, without the end id."""
-    return b"".join(map(ids.__getitem__, (text or "").encode().split()))
+    return b"".join(map(ids.words.__getitem__, (text or "").encode().split()))
 
 
 def _pieces(tokenizer, size: int):

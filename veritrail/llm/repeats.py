@@ -31,7 +31,7 @@ from veritrail.llm.common import bound_text_batches, gram_hashes, mix64, worker_
 from veritrail.storage import materialize
 
 #: Bytes of symbols that a task solves dense grams of at a time, and stretches of a gram that make it dense there.
-FOLD, DENSE = 24_000_000, 8
+FOLD, DENSE = 8_000_000, 8
 #: Stretches sorted at a time, and stretches that a gram may have before it is dealt out.
 SORT_BATCH, HOT_GROUP = 20_000, 4_000
 
@@ -262,6 +262,7 @@ def _cut(kind: Kind) -> Callable:
     item, window = kind.width, kind.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("repeats", dict)
         rows: list[tuple] = []
         last = None
         for batch in batches:
@@ -274,7 +275,7 @@ def _cut(kind: Kind) -> Callable:
                 for m in marks.as_py():
                     start, n = m["start"], m["n"]
                     rows.append((m["kh"], m["salt"], doc, key, start, n, m["shift"], raw[start * item : (start + n - 1 + window) * item]))
-                if len(rows) >= SORT_BATCH:
+                if len(rows) >= SORT_BATCH // 4:
                     yield _batch(_CUT, zip(*rows, strict=True))
                     rows = []
         if rows:
@@ -315,6 +316,7 @@ def _solver(kind: Kind) -> Callable:
             yield _batch(_CUT, zip(*rows, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("repeats", dict)
         held, rows, least = [], 0, SORT_BATCH
         for batch in batches:
             held.append(batch)
