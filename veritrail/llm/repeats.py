@@ -33,7 +33,7 @@ from veritrail.storage import materialize
 #: Bytes of symbols that a task solves dense grams of at a time, and stretches of a gram that make it dense there.
 FOLD, DENSE = 8_000_000, 8
 #: Stretches sorted at a time, and stretches that a gram may have before it is dealt out.
-SORT_BATCH, HOT_GROUP = 20_000, 4_000
+SORT_BATCH, HOT_GROUP = 20_000, 1_000
 
 Order = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
