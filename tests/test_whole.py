@@ -1,4 +1,4 @@
-"""The queries over all transfers see every entity; paths and betweenness against brute force."""
+"""The queries see every entity; paths and betweenness against brute force."""
 
 import pytest
 
@@ -15,12 +15,12 @@ def edges(spark):
 @pytest.mark.parametrize("name", ["connected_components", "communities", "centrality"])
 def test_every_entity_is_there(spark, edges, name):
     column = "node" if name == "connected_components" else "entity"
-    found = [r[column] for r in registry.QUERIES[f"{name}_whole"](spark, SF).collect()]
+    found = [r[column] for r in registry.QUERIES[f"{name}"](spark, SF).collect()]
     assert sorted(found) == sorted({x for a, b, _ in edges for x in (a, b)})
 
 
 def test_paths_of_all_transfers(spark, edges):
-    found = registry.QUERIES["path_of_funds_whole"](spark, SF).collect()
+    found = registry.QUERIES["path_of_funds"](spark, SF).collect()
     by_src = {}
     for a, b, i in edges:
         by_src.setdefault(a, []).append((b, i))
@@ -51,7 +51,7 @@ def test_betweenness_of_all_transfers(spark, edges):
         walks[s] = depth, paths
     n = len(near)
     # A node lies between two others if the distances add up; the share is that of the shortest paths through it.
-    found = {r["entity"]: r["betweenness"] for r in registry.QUERIES["centrality_whole"](spark, SF).collect()}
+    found = {r["entity"]: r["betweenness"] for r in registry.QUERIES["centrality"](spark, SF).collect()}
     for v in sorted(near)[::12]:
         dv, pv = walks[v]
         share = sum(

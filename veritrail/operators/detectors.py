@@ -25,7 +25,7 @@ def structuring(transfers: DataFrame, threshold: float = 10000.0, band_frac: flo
     low = threshold * (1.0 - band_frac)
     near = transfers.where(F.col("dst").isNotNull() & (F.col("amount") >= low) & (F.col("amount") < threshold))
     window = Window.partitionBy("dst").orderBy("ts_micros").rangeBetween(-int(window_hours * HOUR), 0)
-    rolling = near.select("dst", "ts_micros", F.count("*").over(window).alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).over(window).cast("double").alias("total"))
+    rolling = near.select("dst", "ts_micros", F.count("*").over(window).alias("n"), money("amount", window).alias("total"))
     best = rolling.where((F.col("n") >= min_count) & (F.col("total") >= threshold)).groupBy("dst").agg(F.min(F.struct((-F.col("n")).alias("n"), "ts_micros", "total")).alias("best"))
     out = best.select("dst", (-F.col("best.n")).alias("near_band_count"), F.col("best.total").alias("window_total"))
     ratio = F.col("window_total") / F.lit(threshold)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 
-def money(amount: Column | str) -> Column:
-    """Sum of amounts that doesn't depend on the order of rows; a missing amount counts as 0."""
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    return F.sum(F.coalesce(amount, F.lit(0.0)).cast("decimal(18,2)")).cast("double")
+def money(amount: Column | str, window: WindowSpec | None = None) -> Column:
+    """Sum of amounts; a missing amount counts as 0.
+
+    Amounts are summed as decimals of ten places, so that the sum doesn't depend on the order of rows. Where one is too
+    large for that (1e18 and more, or not finite), the sum is that of the doubles.
+    """
+    amount = F.coalesce(F.col(amount) if isinstance(amount, str) else amount, F.lit(0.0)).cast("double")
+    over = (lambda c: c.over(window)) if window is not None else lambda c: c
+    fits = F.abs(amount) < 1e18
+    exact = over(F.try_sum(F.when(fits, amount).otherwise(0.0).cast("decimal(28,10)")))
+    return F.when(over(F.min(fits)) & exact.isNotNull(), exact.cast("double")).otherwise(over(F.sum(amount)))
 
 
 def entities(transfers: DataFrame) -> DataFrame:
@@ -43,4 +50,6 @@ def degrees(transfers: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct(F.col("src").alias("entity"), F.col("dst").alias("other"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("entity"), F.col("src").alias("other"), F.lit(0).alias("out")))).alias("s"), "amount"
     ).select("s.*", "amount").where("entity is not null")
     other = F.when(F.col("other") != F.col("entity"), F.col("other"))
-    return sides.groupBy("entity").agg(F.countDistinct(other).alias("degree"), F.sum(1 - F.col("out")).alias("in_degree"), F.sum("out").cast("long").alias("out_degree"), money("amount").alias("volume")).withColumn("in_degree", F.col("in_degree").cast("long"))
+    # Sums by neighbour first: then a neighbour is a row, and no set of them is held.
+    each = sides.groupBy("entity", other.alias("other")).agg(F.sum(1 - F.col("out")).alias("n_in"), F.sum("out").alias("n_out"), money("amount").alias("part"))
+    return each.groupBy("entity").agg(F.count("other").alias("degree"), F.sum("n_in").alias("in_degree"), F.sum("n_out").alias("out_degree"), money("part").alias("volume"))

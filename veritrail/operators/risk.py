@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import band, clamp, noisy_or
+from veritrail.storage import materialize
 
 #: How much a finding of each typology counts (fixed values); others count DEFAULT_WEIGHT.
 WEIGHTS = {
@@ -32,6 +33,16 @@ def entity_risk(findings: DataFrame, weights: dict | None = None) -> DataFrame:
     return per.select("entity", risk.alias("risk"), band(risk).alias("risk_band"), "typology_count", "typologies", bonus.alias("diversity_bonus"), "base_noisy_or", F.array_sort("contributions").alias("contributions"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (component) with their number ``i`` in order: places within ranges, and what the ranges before hold."""
+    ranged = materialize(rows.repartitionByRange("component").withColumn("range", F.spark_partition_id()))
+    # A row a range; its first component puts it in order.
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("component"))
+    return ranged.join(before, "range").select("component", (place + F.col("before")).cast("int").alias("i"))
+
+
 def network_risk(findings: DataFrame, parts: DataFrame, weights: dict | None = None) -> DataFrame:
     """One row a component (node, component) with flagged members, numbered in order of its least member."""
     risks = entity_risk(findings, weights).select(F.col("entity").alias("node"), "risk", "typologies")
@@ -41,8 +52,7 @@ def network_risk(findings: DataFrame, parts: DataFrame, weights: dict | None = N
         F.array_sort(F.collect_list("risk")).alias("risks"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("typologies")))).alias("typologies"),
     )
-    # Numbers count all components; a row each, and nothing else, is ranked.
-    number = per.select("component", F.row_number().over(Window.orderBy("component")).alias("i"))
+    number = numbered(per.select("component"))
     out = per.where("flagged_entities > 0").join(number, "component").withColumn("network_risk", clamp(noisy_or(F.col("risks"))))
     mean = F.aggregate("risks", F.lit(0.0), lambda a, b: a + b) / F.col("flagged_entities")
     return out.select(F.concat(F.lit("network-"), F.col("i").cast("string")).alias("network_id"), "component", "size", "flagged_entities", "network_risk", band(F.col("network_risk")).alias("network_risk_band"), F.array_max("risks").alias("peak_entity_risk"), mean.alias("mean_entity_risk"), "typologies")

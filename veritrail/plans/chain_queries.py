@@ -61,7 +61,7 @@ QUERIES = {
     "enrich_anonymizer": enriched,
     "infra_clusters": lambda s, d: infra.fingerprint_clusters(observations(s, d)),
     "temporal_signature": lambda s, d: infra.temporal_signatures(activity(s, d)),
-    "coactivity": lambda s, d: infra.coactivity(activity(s, d), min_shared_days=14),
+    "coactivity": lambda s, d: infra.coactivity(activity(s, d)),
     "screen_addresses": lambda s, d: screening.screen_addresses(chain.common_input_clusters(transactions(s, d)), sdn(s, d)),
     "screen_names": lambda s, d: screening.screen_names(table(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("ordinal")), sdn(s, d)),
 }
@@ -116,7 +116,7 @@ h AS (SELECT ip, hour, count(*) AS k, min(event_id) AS first FROM t GROUP BY ip,
 p AS (SELECT ip, arg_min(hour, row(-k, first)) AS peak_hour, string_agg(hour || ':' || k, ',' ORDER BY hour) AS hours FROM h GROUP BY ip)
 SELECT ip, count(*) AS n, count(DISTINCT day) AS active_days, any_value(peak_hour) AS peak_hour, any_value(hours) AS hours FROM t JOIN p USING (ip) GROUP BY ip""",
     "coactivity": """WITH t AS (SELECT DISTINCT 'U' || user_id AS ip, CAST(ts AS DATE) AS day FROM events)
-SELECT x.ip AS a, y.ip AS b, count(*) AS shared_days, greatest(0e0, least(1e0, 0.3e0 + 0.2e0 * count(*))) AS confidence FROM t x JOIN t y ON x.day = y.day AND x.ip < y.ip GROUP BY 1, 2 HAVING count(*) >= 14""",
+SELECT x.ip AS a, y.ip AS b, count(*) AS shared_days, greatest(0e0, least(1e0, 0.3e0 + 0.2e0 * count(*))) AS confidence FROM t x JOIN t y ON x.day = y.day AND x.ip < y.ip GROUP BY 1, 2 HAVING count(*) >= 2""",
     "screen_addresses": f"""WITH {_TX}, s(listed, sdn_name, program) AS (VALUES ('s3-1', 'acme holdings', 'P1'), ('S4-2', 'acme holdings', 'P1'), ('nowhere', 'acme holdings', 'P1'), ('S9-3', 'Customer#000000009', 'P2'))
 SELECT DISTINCT address, listed, sdn_name, program, 1e0 AS confidence FROM i JOIN s ON lower(address) = lower(listed)""",
     "screen_names": """WITH s(matched, sdn_name, program) AS (VALUES ('acme holdings', 'acme holdings', 'P1'), ('Customer#000000007', 'acme holdings', 'P1'), ('  customer#000000011 ', 'acme holdings', 'P1'), ('Customer#000000009', 'Customer#000000009', 'P2'))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import ntz_micros, parse_micros
 from veritrail.operators import detectors, ledger
-from veritrail.plans.views import EVENTS, MONTH, TRANSFERS, between, event_ledger, named, sliced, table, transfers
+from veritrail.plans.views import EVENTS, TRANSFERS, event_ledger, named, table, transfers
 
 STRUCTURING = {"threshold": 50000.0, "band_frac": 0.5, "window_hours": 336.0}
 
@@ -34,7 +34,7 @@ QUERIES = {
     "structuring": lambda s, d: named(detectors.structuring(transfers(s, d), **STRUCTURING)),
     "pass_through": lambda s, d: named(detectors.pass_through(transfers(s, d), hold_hours=1440.0)),
     "trade_value_anomaly": lambda s, d: named(detectors.trade_value_anomaly(transfers(s, d))),
-    "funnel_account": lambda s, d: named(detectors.funnel_account(between(transfers(s, d), MONTH))),
+    "funnel_account": lambda s, d: named(detectors.funnel_account(transfers(s, d))),
     "burst_velocity": lambda s, d: named(detectors.burst_velocity(event_ledger(s, d))),
     "dormancy_activation": lambda s, d: named(detectors.dormancy_activation(event_ledger(s, d), dormancy_days=2.0)),
     "periodicity": lambda s, d: named(detectors.periodicity(event_ledger(s, d), cv_threshold=1.0)),
@@ -55,8 +55,8 @@ structuring AS (
 FUNNEL_SQL = f"""
 f_in AS (
   SELECT dst AS entity, count(DISTINCT src) AS source_count, count(DISTINCT nullif(counterparty_country, '')) AS region_count, {_money("amount")} AS total_in
-  FROM month GROUP BY dst),
-f_out AS (SELECT src AS entity, count(DISTINCT dst) AS dest_count FROM month GROUP BY src),
+  FROM transfers GROUP BY dst),
+f_out AS (SELECT src AS entity, count(DISTINCT dst) AS dest_count FROM transfers GROUP BY src),
 funnel AS (
   SELECT entity AS entities, {_clamp("0.45e0 + 0.04e0 * (source_count - 5) + 0.05e0 * region_count + 0.1e0 * (3 - dest_count)")} AS score,
          source_count, region_count, dest_count, total_in
@@ -93,7 +93,7 @@ r AS (SELECT entity, total_in, total_out, total_out / total_in AS forward_fracti
 SELECT entity AS entities, {_clamp("0.4e0 + 0.3e0 * least(forward_fraction, 1e0) + 0.2e0 * (1 - median_hold_hours / 1440e0)")} AS score, total_in, total_out, forward_fraction, median_hold_hours
 FROM r WHERE forward_fraction >= 0.8e0 AND median_hold_hours <= 1440""",
     "trade_value_anomaly": f"WITH {TRANSFERS}, {TRADE_SQL} SELECT * FROM trade",
-    "funnel_account": f"WITH {TRANSFERS}, {sliced(MONTH, 'month')}, {FUNNEL_SQL} SELECT * FROM funnel",
+    "funnel_account": f"WITH {TRANSFERS}, {FUNNEL_SQL} SELECT * FROM funnel",
     "burst_velocity": f"""WITH {EVENTS},
 c AS (
   SELECT entity, ts_micros, count(*) OVER (PARTITION BY entity ORDER BY ts_micros RANGE BETWEEN {24 * ledger.HOUR} PRECEDING AND CURRENT ROW) AS n FROM ev WHERE ts_micros > 0),

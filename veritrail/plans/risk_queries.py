@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from veritrail.operators import case, detectors, fusion, risk, traversal
 from veritrail.plans.chain_queries import observations, peeling, sdn
 from veritrail.plans.ledger_queries import FUNNEL_SQL, STRUCTURING, STRUCTURING_SQL, TRADE_SQL
-from veritrail.plans.views import MONTH, TRANSFERS, WEEK, between, sliced, transfers
+from veritrail.plans.views import TRANSFERS, rings, transfers
+from veritrail.storage import materialize
 
 
-def findings(s, d, span=MONTH):
-    """Structuring and trade findings over all transfers, funnels of ``span`` or of all transfers; scores unrounded."""
-    rows = transfers(s, d)
-    funnels = between(rows, span) if span else rows
-    parts = {"structuring": detectors.structuring(rows, **STRUCTURING), "trade_value_anomaly": detectors.trade_value_anomaly(rows), "funnel_account": detectors.funnel_account(funnels)}
+def findings(s, d):
+    """Structuring, trade and funnel findings, over one reading of the transfers; scores unrounded."""
+    rows = materialize(transfers(s, d))
+    parts = {"structuring": detectors.structuring(rows, **STRUCTURING), "trade_value_anomaly": detectors.trade_value_anomaly(rows), "funnel_account": detectors.funnel_account(rows)}
     out = None
     for name, found in parts.items():
         one = found.select(F.concat(F.lit(name + ":"), F.array_join("entities", "|"), F.lit(":"), F.col("score").cast("string")).alias("id"), F.lit(name).alias("typology"), "entities", "score")
@@ -27,7 +27,7 @@ def entity_rows(s, d):
 
 
 def network_rows(s, d):
-    parts = traversal.components(between(transfers(s, d), WEEK))
+    parts = traversal.components(transfers(s, d))
     return risk.network_risk(findings(s, d), parts).withColumn("typologies", F.array_join("typologies", ","))
 
 
@@ -55,7 +55,7 @@ def actors(s, d):
 
 
 def case_summary(s, d):
-    made = case.build_case(between(transfers(s, d), WEEK), resolve=False, thresholds={"round_tripping": {"max_len": 4}})
+    made = case.build_case(rings(s, d))
     return s.createDataFrame([made.summary()])
 
 
@@ -63,13 +63,13 @@ QUERIES = {
     "entity_risk": entity_rows,
     "network_risk": network_rows,
     "prioritized_findings": top_findings,
-    "fusion_nodes": lambda s, d: graph(s, d)[0].groupBy("type").agg(F.count("*").alias("n")),
-    "fusion_edges": lambda s, d: graph(s, d)[1].groupBy("relation", "confidence", "evidence").agg(F.count("*").alias("n")),
+    "fusion_nodes": lambda s, d: graph(s, d)[0],
+    "fusion_edges": lambda s, d: graph(s, d)[1],
     "threat_actors": actors,
     "case_summary": case_summary,
 }
 
-_FINDINGS = f"""{TRANSFERS}, {sliced(MONTH, 'month')}, {STRUCTURING_SQL}, {TRADE_SQL}, {FUNNEL_SQL},
+_FINDINGS = f"""{TRANSFERS}, {STRUCTURING_SQL}, {TRADE_SQL}, {FUNNEL_SQL},
 finding AS (
   SELECT 'structuring' AS typology, entities, score, 0.75e0 AS weight FROM structuring
   UNION ALL SELECT 'trade_value_anomaly', entities, score, 0.7e0 FROM trade
@@ -86,10 +86,21 @@ def _band(x: str) -> str:
     return f"CASE WHEN {x} >= 0.8e0 THEN 'HIGH' WHEN {x} >= 0.5e0 THEN 'MODERATE' WHEN {x} > 0 THEN 'LOW' ELSE 'NONE' END"
 
 
+def _id(kind: str, value: str) -> str:
+    return f"'{kind}--' || substr(sha1('{kind}:' || {value}), 1, 16)"
+
+
+# Every address is spent alone, so that wallet clusters have one member each; pages of a host are one cluster.
+_FUSED = f"""a AS (SELECT 'C' || o_custkey AS x FROM orders UNION SELECT 'C' || (o_custkey + 1) FROM orders UNION SELECT 'K' || (o_orderkey % 100) FROM orders),
+w AS (SELECT x, {_id('wallet-cluster', 'x')} AS cluster FROM a),
+p AS (SELECT '10.0.0.' || page_id AS x, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
+h AS (SELECT host, string_agg(x, '|' ORDER BY x) AS members FROM p GROUP BY host),
+i AS (SELECT x, {_id('infra-cluster', 'members')} AS cluster FROM p JOIN h USING (host))"""
+
 ORACLES = {
     "entity_risk": f"WITH {_ENTITY} SELECT entity, risk, {_band('risk')} AS risk_band, k AS typology_count, typologies, bonus AS diversity_bonus, base AS base_noisy_or FROM risk",
-    "network_risk": f"""WITH RECURSIVE {_ENTITY}, {sliced(WEEK, 'week')},
-u AS (SELECT src AS a, dst AS b FROM week UNION SELECT dst, src FROM week),
+    "network_risk": f"""WITH RECURSIVE {_ENTITY},
+u AS (SELECT src AS a, dst AS b FROM transfers UNION SELECT dst, src FROM transfers),
 r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
 comp AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a),
 num AS (SELECT component, row_number() OVER (ORDER BY component) AS i, count(*) AS size FROM comp GROUP BY component),
@@ -98,16 +109,15 @@ net AS (SELECT *, 1e0 - list_reduce(list_prepend(1e0, list_transform(risks, lamb
 SELECT 'network-' || i AS network_id, component, size, CAST(len(risks) AS BIGINT) AS flagged_entities, nr AS network_risk, {_band('nr')} AS network_risk_band, list_max(risks) AS peak_entity_risk,
        list_reduce(list_prepend(0e0, risks), lambda a, b: a + b) / len(risks) AS mean_entity_risk, array_to_string(t, ',') AS typologies FROM net""",
     "prioritized_findings": f"WITH {_FINDINGS} SELECT DISTINCT typology, score, entities AS id FROM finding ORDER BY score DESC, typology, id LIMIT 50",
-    "fusion_nodes": """WITH a AS (SELECT 'C' || o_custkey AS x FROM orders UNION SELECT 'C' || (o_custkey + 1) FROM orders UNION SELECT 'K' || (o_orderkey % 100) FROM orders)
-SELECT 'wallet-cluster' AS type, count(*) AS n FROM a UNION ALL SELECT 'crypto-address', count(*) FROM a
-UNION ALL SELECT 'ip-address', count(*) FROM pages UNION ALL SELECT 'infrastructure-cluster', count(DISTINCT regexp_extract(url, '^https?://([^/]+)', 1)) FROM pages
-UNION ALL SELECT 'sanctioned-entity', 1 FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM a WHERE x IN ('C30', 'C40'))""",
-    "fusion_edges": """WITH a AS (SELECT 'C' || o_custkey AS x FROM orders UNION SELECT 'C' || (o_custkey + 1) FROM orders UNION SELECT 'K' || (o_orderkey % 100) FROM orders),
-i AS (SELECT '10.0.0.' || page_id AS ip FROM pages),
+    "fusion_nodes": f"""WITH {_FUSED}
+SELECT cluster AS id, 'wallet-cluster' AS type, cluster AS label FROM w UNION SELECT {_id('crypto-address', 'x')}, 'crypto-address', x FROM w
+UNION SELECT cluster, 'infrastructure-cluster', cluster FROM i UNION SELECT {_id('ip-address', 'x')}, 'ip-address', x FROM i
+UNION SELECT {_id('sanctioned-entity', "'listed person'")}, 'sanctioned-entity', 'listed person' FROM w WHERE x IN ('C30', 'C40')""",
+    "fusion_edges": f"""WITH {_FUSED},
 l(one, two, confidence, evidence) AS (VALUES ('C10', '10.0.0.1', 0.7e0, 'report'), ('C10', 'C400', 0.7e0, 'report'), ('C20', '10.0.0.2', 0.6e0, 'investigation'), ('10.0.0.2', '10.0.0.9', 0.6e0, 'investigation')),
-k AS (SELECT x FROM a UNION SELECT ip FROM i)
-SELECT 'member-of' AS relation, 0.9e0 AS confidence, 'common inputs' AS evidence, count(*) AS n FROM a
-UNION ALL SELECT 'member-of', 0.8e0, 'shared certificate or domain', count(*) FROM i
-UNION ALL SELECT 'sanctioned-as', 1e0, 'sanctions list', count(*) FROM a WHERE x IN ('C30', 'C40') HAVING count(*) > 0
-UNION ALL SELECT 'controlled-by-same-actor', confidence, evidence, count(*) FROM l WHERE one IN (SELECT x FROM k) AND two IN (SELECT x FROM k) GROUP BY confidence, evidence""",
+k AS (SELECT x, cluster FROM w UNION ALL SELECT x, cluster FROM i)
+SELECT {_id('crypto-address', 'x')} AS source, cluster AS target, 'member-of' AS relation, 0.9e0 AS confidence, 'common inputs' AS evidence FROM w
+UNION ALL SELECT {_id('ip-address', 'x')}, cluster, 'member-of', 0.8e0, 'shared certificate or domain' FROM i
+UNION ALL SELECT {_id('crypto-address', 'x')}, {_id('sanctioned-entity', "'listed person'")}, 'sanctioned-as', 1e0, 'sanctions list' FROM w WHERE x IN ('C30', 'C40')
+UNION ALL SELECT m.cluster, n.cluster, 'controlled-by-same-actor', confidence, evidence FROM l JOIN k m ON one = m.x JOIN k n ON two = n.x""",
 }

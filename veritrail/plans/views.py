@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import ntz_micros
@@ -41,15 +41,19 @@ TRANSFERS = """transfers AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
-WEEK, MONTH = (883612800000000, 884217600000000), (883612800000000, 886291200000000)
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers each paying three others, as a sparse ledger with cycles; names are far from alike."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.count("*").over(Window.partitionBy()).alias("n"))
+    rows = rows.select("s_suppkey", "s_acctbal", "n", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))
+    to = (F.col("s_suppkey") * (F.col("k") + 1) + 7 * F.col("k")) % F.col("n") + 1
+    name = lambda c: F.md5(c.cast("string"))
+    amount = F.abs(F.round("s_acctbal")) + 10.0 * F.col("k")
+    return rows.select(F.concat_ws("-", "s_suppkey", "k").alias("id"), name(F.col("s_suppkey")).alias("src"), name(to).alias("dst"), amount.alias("amount"), (F.lit(883612800000000) + 3_600_000_000 * F.col("s_suppkey") * F.col("k")).alias("ts_micros"), F.lit(None).cast("string").alias("counterparty_country"), F.lit(None).cast("double").alias("goods_value"))
 
 
-def between(rows: DataFrame, span: tuple[int, int]) -> DataFrame:
-    return rows.where((F.col("ts_micros") >= span[0]) & (F.col("ts_micros") < span[1]))
-
-
-def sliced(span: tuple[int, int], name: str) -> str:
-    return f"{name} AS (SELECT * FROM transfers WHERE ts_micros >= {span[0]} AND ts_micros < {span[1]})"
+RINGS = """rings AS (
+  SELECT s_suppkey || '-' || k AS id, md5(CAST(s_suppkey AS VARCHAR)) AS src, md5(CAST((s_suppkey * (k + 1) + 7 * k) % n + 1 AS VARCHAR)) AS dst, abs(round(s_acctbal)) + 10e0 * k AS amount
+  FROM (SELECT s_suppkey, s_acctbal, count(*) OVER () AS n FROM supplier), (VALUES (1), (2), (3)) v(k))"""
 
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
