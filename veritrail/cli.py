@@ -13,6 +13,7 @@ from veritrail.operators import case, chain, fusion, infra, resolution, risk, sc
 from veritrail.operators.ledger import entities
 from veritrail.session import session
 from veritrail.sources import catalog, exports, feeds, http, readers
+from veritrail.storage import materialize
 
 
 def _show(df: DataFrame, limit: int | None = None) -> None:
@@ -70,7 +71,7 @@ def _export(findings: DataFrame, args) -> None:
     if args.csv:
         exports.findings_csv(findings, args.csv)
     if args.stix:
-        exports.write_bundle(exports.stix_objects(findings), args.stix)
+        exports.stix_bundle(exports.stix_objects(findings), args.stix)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -81,12 +82,13 @@ def main(argv: list[str] | None = None) -> int:
     txs = readers.load_transactions(spark, args.transactions) if getattr(args, "transactions", None) else None
     if command in ("demo", "fuse"):
         nodes, edges = fusion.build_graph(txs, readers.load_observations(spark, args.observations), readers.load_linkages(spark, args.linkages), readers.load_sdn(spark, args.sdn))
-        actors = fusion.threat_actors(nodes, edges)
-        _show(actors.orderBy(F.desc("confidence"), "id"))
+        nodes, edges = materialize(nodes), materialize(edges)
+        actors = materialize(fusion.threat_actors(nodes, edges))
+        print(exports.render_graph_text(exports.graph_report(nodes, edges, actors)))
         if args.stix:
-            exports.write_bundle(exports.graph_stix_objects(nodes, edges, actors), args.stix)
+            exports.stix_bundle(exports.graph_stix_objects(nodes, edges, actors), args.stix)
         if args.misp:
-            exports.misp_attributes(nodes).write.json(args.misp)
+            exports.misp_event(nodes, actors, args.misp)
         if command == "demo":
             for found in (chain.mixers(txs), chain.demix(txs), chain.peel_chains(txs)):
                 _show(found)
@@ -121,14 +123,15 @@ def main(argv: list[str] | None = None) -> int:
             raise SystemExit(f"no source traces {args.chain}")
         _show(chain.common_input_clusters(http.fetch(spark, listed[0][0], http.HttpClient(args.cache), args.address)))
     elif command == "typologies":
-        found = case.run_detectors(_ledger(spark, args), _watch(spark, args), registry=case.LEDGER)
+        # Shown and exported: worked out once.
+        found = materialize(case.run_detectors(_ledger(spark, args), _watch(spark, args), registry=case.LEDGER))
         _show(risk.prioritized(found, int(args.top) if args.top else None))
         _export(found, args)
     elif command == "temporal":
         _show(risk.prioritized(case.run_detectors(_ledger(spark, args), registry=case.TEMPORAL)))
     elif command == "risk":
         rows = _ledger(spark, args)
-        found = case.run_detectors(rows, _watch(spark, args))
+        found = materialize(case.run_detectors(rows, _watch(spark, args)))
         _show(risk.entity_risk(found).orderBy(F.desc("risk"), "entity"))
         _show(risk.network_risk(found, traversal.components(rows)).orderBy(F.desc("network_risk"), "network_id"))
     elif command == "case":

@@ -81,6 +81,57 @@ def write_bundle(objects: DataFrame, path: str) -> None:
     objects.select(F.col("object").alias("value")).write.text(path)
 
 
+def write_document(sections: list[tuple[str, DataFrame]], end: str, path: str) -> None:
+    """One JSON document as text: each section's opening, then its objects (object) with commas between, then ``end``.
+
+    Part files hold it in the order of their names, so that the document is their concatenation, of any size.
+    """
+    spark = sections[0][1].sparkSession
+    out = spark.createDataFrame([(2 * len(sections), "", end)], "at int, object string, value string")
+    for i, (opening, objects) in enumerate(sections):
+        each = objects.select("object").distinct()
+        first = each.agg(F.min("object").alias("first"))
+        out = out.unionByName(spark.createDataFrame([(2 * i, "", opening)], "at int, object string, value string"))
+        comma = F.when(F.col("object") == F.col("first"), "").otherwise(",")
+        # The least object is one row.
+        out = out.unionByName(each.join(F.broadcast(first)).select(F.lit(2 * i + 1).alias("at"), "object", F.concat(comma, F.col("object")).alias("value")))
+    out.orderBy("at", "object").select("value").write.text(path)
+
+
+def stix_bundle(objects: DataFrame, path: str, created: str = CREATED) -> None:
+    """A bundle of STIX objects (object)."""
+    head = objects.sparkSession.range(1).select(_sid("bundle", F.lit(f"{PRODUCER}:{created}"))).first()[0]
+    write_document([(f'{{"type":"bundle","id":"{head}","objects":[', objects)], "]}", path)
+
+
+def misp_event(nodes: DataFrame, actors: DataFrame, path: str, info: str = "attribution", date: str = "2026-01-01", chain: str = "bitcoin") -> None:
+    """An event with an attribute for each address; tagged where an actor is sanctioned."""
+    uid = nodes.sparkSession.range(1).select(uuid5(NAMESPACE, F.lit(f"event:{info}{date}"))).first()[0]
+    tags = ["tlp:amber"] + ["ofac:sanctioned"] * (not actors.where(F.size("sanctions") > 0).isEmpty())
+    event = {"uuid": uid, "info": info, "date": date, "threat_level_id": "2", "analysis": "1", "distribution": "1", "Orgc": {"name": PRODUCER}, "Tag": [{"name": t} for t in tags]}
+    attributes = misp_attributes(nodes, chain).select(F.to_json(F.struct("*")).alias("object"))
+    write_document([('{"Event":' + json.dumps(event)[:-1] + ',"Attribute":[', attributes)], "]}}", path)
+
+
+def graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph's entities and edges."""
+    rows = lambda df: df.select(F.to_json(F.struct("*")).alias("object"))
+    write_document([('{"entities":[', rows(nodes)), ('],"edges":[', rows(edges))], "]}", path)
+
+
+def graph_report(nodes: DataFrame, edges: DataFrame, actors: DataFrame, top: int = 20) -> dict:
+    """How large a fused graph is, and its most certain actors."""
+    return {"entities": nodes.count(), "edges": edges.count(), "threat_actors": actors.count(), "actors": _top(actors, top, F.desc("confidence"), "id")}
+
+
+def render_graph_text(made: dict) -> str:
+    out = [f"{made['entities']} entities, {made['edges']} edges, {made['threat_actors']} threat actors", ""]
+    for i, a in enumerate(made["actors"], 1):
+        out.append(f"{i}. {a['id']}  confidence {a['confidence']:.2f} {a['confidence_band']}")
+        out += [f"   {name}: {', '.join(a[key])}" for name, key in (("wallets", "wallets"), ("infrastructure", "infra"), ("sanctioned", "sanctions")) if a[key]]
+    return "\n".join([*out, "", "Leads for human review, not determinations.", ""])
+
+
 def _top(df: DataFrame, n: int, *order) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.orderBy(*order).limit(n).collect()]
 
