@@ -64,10 +64,8 @@ def test_communities_and_betweenness(spark):
         for _ in range(100):
             old = dict(label)
             for x in sorted(adj):
-                votes = {label[x]: 0}
-                for y in adj[x]:
-                    votes[label[y]] = votes.get(label[y], 0) + 1
-                label[x] = min(votes, key=lambda k: (-votes[k], k))
+                votes = Counter(label[y] for y in adj[x])
+                label[x] = min(k for k in votes if votes[k] == max(votes.values()))
             if label == old:
                 break
         least = {}

@@ -118,6 +118,8 @@ w AS (SELECT x, {_id('wallet-cluster', 'x')} AS cluster FROM a),
 p AS (SELECT '10.0.0.' || page_id AS x, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
 h AS (SELECT host, string_agg(x, '|' ORDER BY x) AS members FROM p GROUP BY host),
 i AS (SELECT x, {_id('infra-cluster', 'members')} AS cluster FROM p JOIN h USING (host))"""
+_TIES = """l(one, two, confidence, evidence) AS (VALUES ('C10', '10.0.0.1', 0.7e0, 'report'), ('C10', 'C400', 0.7e0, 'report'), ('C20', '10.0.0.2', 0.6e0, 'investigation'), ('10.0.0.2', '10.0.0.9', 0.6e0, 'investigation')),
+k AS (SELECT x, cluster FROM w UNION ALL SELECT x, cluster FROM i)"""
 
 ORACLES = {
     # The planted truth: each case is found; a transaction of two owners makes one cluster of eight of their two of four.
@@ -136,13 +138,20 @@ net AS (SELECT *, 1e0 - list_reduce(list_prepend(1e0, list_transform(risks, lamb
 SELECT 'network-' || i AS network_id, component, size, CAST(len(risks) AS BIGINT) AS flagged_entities, nr AS network_risk, {_band('nr')} AS network_risk_band, list_max(risks) AS peak_entity_risk,
        list_reduce(list_prepend(0e0, risks), lambda a, b: a + b) / len(risks) AS mean_entity_risk, array_to_string(t, ',') AS typologies FROM net""",
     "prioritized_findings": f"WITH {_FINDINGS} SELECT DISTINCT typology, score, entities AS id FROM finding ORDER BY score DESC, typology, id LIMIT 50",
+    "threat_actors": f"""WITH RECURSIVE {_FUSED}, {_TIES},
+e AS (SELECT m.cluster AS a, n.cluster AS b FROM l JOIN k m ON one = m.x JOIN k n ON two = n.x UNION SELECT cluster, {_id('sanctioned-entity', "'listed person'")} FROM w WHERE x IN ('C30', 'C40')),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+m AS (SELECT a AS node, min(b) AS part FROM r GROUP BY a),
+g AS (SELECT count(*) FILTER (node LIKE 'wallet%') AS n_wallets, count(*) FILTER (node LIKE 'infra%') AS n_infra, count(*) FILTER (node LIKE 'sanctioned%') AS n_sanctions FROM m GROUP BY part),
+c AS (SELECT *, list_sort(list_filter([CASE WHEN n_wallets > 0 THEN 0.6e0 END, CASE WHEN n_infra > 0 THEN 0.5e0 END, CASE WHEN n_wallets > 0 AND n_infra > 0 THEN 0.6e0 END, CASE WHEN n_sanctions > 0 THEN 0.9e0 END], lambda x: x IS NOT NULL)) AS ws FROM g),
+z AS (SELECT *, 1e0 - list_reduce(list_prepend(1e0, list_transform(ws, lambda x: 1e0 - x)), lambda a, b: a * b) AS raw FROM c WHERE n_sanctions > 0 OR n_wallets + n_infra >= 2)
+SELECT n_wallets, n_infra, n_sanctions, round(raw, 4) AS confidence, {_band('raw')} AS confidence_band FROM z""",
     "fusion_nodes": f"""WITH {_FUSED}
 SELECT cluster AS id, 'wallet-cluster' AS type, cluster AS label FROM w UNION SELECT {_id('crypto-address', 'x')}, 'crypto-address', x FROM w
 UNION SELECT cluster, 'infrastructure-cluster', cluster FROM i UNION SELECT {_id('ip-address', 'x')}, 'ip-address', x FROM i
 UNION SELECT {_id('sanctioned-entity', "'listed person'")}, 'sanctioned-entity', 'listed person' FROM w WHERE x IN ('C30', 'C40')""",
-    "fusion_edges": f"""WITH {_FUSED},
-l(one, two, confidence, evidence) AS (VALUES ('C10', '10.0.0.1', 0.7e0, 'report'), ('C10', 'C400', 0.7e0, 'report'), ('C20', '10.0.0.2', 0.6e0, 'investigation'), ('10.0.0.2', '10.0.0.9', 0.6e0, 'investigation')),
-k AS (SELECT x, cluster FROM w UNION ALL SELECT x, cluster FROM i)
+    "fusion_edges": f"""WITH {_FUSED}, {_TIES}
 SELECT {_id('crypto-address', 'x')} AS source, cluster AS target, 'member-of' AS relation, 0.9e0 AS confidence, 'common inputs' AS evidence FROM w
 UNION ALL SELECT {_id('ip-address', 'x')}, cluster, 'member-of', 0.8e0, 'shared certificate or domain' FROM i
 UNION ALL SELECT {_id('crypto-address', 'x')}, {_id('sanctioned-entity', "'listed person'")}, 'sanctioned-as', 1e0, 'sanctions list' FROM w WHERE x IN ('C30', 'C40')

@@ -52,50 +52,51 @@ def _struct(**fields) -> Column:
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
-K, A, B, V, T, IP = (F.col(c) for c in ("k", "a", "b", "v", "t", "ip"))
-ESPLORA_SIDE = lambda a: _struct(scriptpubkey_address=a, value=V)
-RAW_SIDE = lambda a: _struct(addr=a, value=V)
+# Columns of ``lines`` and ``orders``.
+K, A, B, V, T, IP = (lambda c=c: F.col(c) for c in ("k", "a", "b", "v", "t", "ip"))
+ESPLORA_SIDE = lambda a: _struct(scriptpubkey_address=a, value=V())
+RAW_SIDE = lambda a: _struct(addr=a, value=V())
 HEX = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
 
 
 def esplora(s, d):
-    item = _struct(txid=K.cast("string"), status=_struct(block_time=T), vin=F.array(_struct(prevout=ESPLORA_SIDE(A))), vout=F.array(ESPLORA_SIDE(B)))
+    item = _struct(txid=K().cast("string"), status=_struct(block_time=T()), vin=F.array(_struct(prevout=ESPLORA_SIDE(A()))), vout=F.array(ESPLORA_SIDE(B())))
     return paid(onchain.esplora(orders(s, d).groupBy("doc").agg(F.to_json(F.collect_list(item)).alias("value"))))
 
 
 def solana_documents(s, d) -> DataFrame:
     """A document a payment; account keys are names or objects with one."""
-    named = F.when(K % 2 == 0, F.array(F.to_json(_struct(pubkey=A)), F.to_json(_struct(pubkey=B)))).otherwise(F.array(text('"', A, '"'), text('"', B, '"')))
-    body = text('{"result":{"blockTime":', T, ',"meta":{"preBalances":[', V * 2, ',5],"postBalances":[', V, ",", V + 5, ']},"transaction":{"signatures":["', K, '"],"message":{"accountKeys":[', F.array_join(named, ","), "]}}}}")
+    named = F.when(K() % 2 == 0, F.array(F.to_json(_struct(pubkey=A())), F.to_json(_struct(pubkey=B())))).otherwise(F.array(text('"', A(), '"'), text('"', B(), '"')))
+    body = text('{"result":{"blockTime":', T(), ',"meta":{"preBalances":[', V() * 2, ',5],"postBalances":[', V(), ",", V() + 5, ']},"transaction":{"signatures":["', K(), '"],"message":{"accountKeys":[', F.array_join(named, ","), "]}}}}")
     return orders(s, d).select(body.alias("value"))
 
 
 def sanctions_documents(s, d) -> DataFrame:
-    asset = F.when(K % 3 == 0, "XBT").when(K % 3 == 1, "eth").otherwise("ZZZ")
-    entry = text("<x:id><x:idType>", F.when(K % 5 == 0, F.lit("Passport")).otherwise(text("Digital Currency Address - ", asset)), "</x:idType><x:idNumber> ", A, "-", K, " </x:idNumber></x:id>")
+    asset = F.when(K() % 3 == 0, "XBT").when(K() % 3 == 1, "eth").otherwise("ZZZ")
+    entry = text("<x:id><x:idType>", F.when(K() % 5 == 0, F.lit("Passport")).otherwise(text("Digital Currency Address - ", asset)), "</x:idType><x:idNumber> ", A(), "-", K(), " </x:idNumber></x:id>")
     return orders(s, d).groupBy("doc").agg(F.concat(F.lit("<x:sdnList>"), F.concat_ws("\n", F.collect_list(entry)), F.lit("</x:sdnList>")).alias("value")).select("value")
 
 
 QUERIES = {
     "feed_sanctions_xml": lambda s, d: found(feeds.ofac_xml(sanctions_documents(s, d))),
-    "feed_exit_addresses": lambda s, d: found(feeds.tor_exit_addresses(lines(s, d, F.when(K % 2 == 0, text("ExitAddress ", IP, " 2026-01-01")).otherwise(text("ExitNode ", K))))),
-    "feed_exit_list": lambda s, d: found(feeds.tor_bulk(lines(s, d, F.when(K % 7 == 0, text("host-", K)).otherwise(IP)))),
-    "feed_ip_list": lambda s, d: found(feeds.ip_list(lines(s, d, F.when(K % 3 == 0, text(IP, "/32")).when(K % 3 == 1, text("  ", IP, " seen")).otherwise(text("; ", IP))), "list")),
-    "feed_c2_addresses": lambda s, d: found(feeds.feodo_csv(lines(s, d, text('"', K, '","', IP, '","443"')))),
-    "feed_certificates": lambda s, d: found(feeds.sslbl_csv(lines(s, d, F.when(K % 2 == 0, text("2026-01-01,", F.upper(F.sha1(K.cast("string"))), ",c2")).otherwise(text("2026-01-01,", IP, ",443"))))),
-    "feed_malware_urls": lambda s, d: found(feeds.urlhaus_csv(lines(s, d, text('"', K, '","x","', F.when(K % 2 == 0, "http").otherwise("https"), "://h", K, '/a"')))),
-    "feed_iocs": lambda s, d: found(feeds.threatfox_csv(lines(s, d, F.when(K % 2 == 0, text('"t", "', IP, ':8080"')).otherwise(text('"t", "https://h', K, '"'))))),
-    "feed_phishing_urls": lambda s, d: found(feeds.raw_urls(lines(s, d, F.when(K % 2 == 0, text(" https://h", K, " ")).otherwise(text("ftp://h", K))))),
-    "feed_ransom_wallets": lambda s, d: found(feeds.ransom_json(documents(s, d, _struct(address=text(A, "-", K), blockchain=F.lit("Bitcoin"), family=F.when(K % 2 == 0, B)), "result"))),
-    "feed_exploited": lambda s, d: found(feeds.kev_json(documents(s, d, _struct(cveID=text("CVE-2026-", K), product=F.when(K % 2 == 0, B)), "vulnerabilities"))),
+    "feed_exit_addresses": lambda s, d: found(feeds.tor_exit_addresses(lines(s, d, F.when(K() % 2 == 0, text("ExitAddress ", IP(), " 2026-01-01")).otherwise(text("ExitNode ", K()))))),
+    "feed_exit_list": lambda s, d: found(feeds.tor_bulk(lines(s, d, F.when(K() % 7 == 0, text("host-", K())).otherwise(IP())))),
+    "feed_ip_list": lambda s, d: found(feeds.ip_list(lines(s, d, F.when(K() % 3 == 0, text(IP(), "/32")).when(K() % 3 == 1, text("  ", IP(), " seen")).otherwise(text("; ", IP()))), "list")),
+    "feed_c2_addresses": lambda s, d: found(feeds.feodo_csv(lines(s, d, text('"', K(), '","', IP(), '","443"')))),
+    "feed_certificates": lambda s, d: found(feeds.sslbl_csv(lines(s, d, F.when(K() % 2 == 0, text("2026-01-01,", F.upper(F.sha1(K().cast("string"))), ",c2")).otherwise(text("2026-01-01,", IP(), ",443"))))),
+    "feed_malware_urls": lambda s, d: found(feeds.urlhaus_csv(lines(s, d, text('"', K(), '","x","', F.when(K() % 2 == 0, "http").otherwise("https"), "://h", K(), '/a"')))),
+    "feed_iocs": lambda s, d: found(feeds.threatfox_csv(lines(s, d, F.when(K() % 2 == 0, text('"t", "', IP(), ':8080"')).otherwise(text('"t", "https://h', K(), '"'))))),
+    "feed_phishing_urls": lambda s, d: found(feeds.raw_urls(lines(s, d, F.when(K() % 2 == 0, text(" https://h", K(), " ")).otherwise(text("ftp://h", K()))))),
+    "feed_ransom_wallets": lambda s, d: found(feeds.ransom_json(documents(s, d, _struct(address=text(A(), "-", K()), blockchain=F.lit("Bitcoin"), family=F.when(K() % 2 == 0, B())), "result"))),
+    "feed_exploited": lambda s, d: found(feeds.kev_json(documents(s, d, _struct(cveID=text("CVE-2026-", K()), product=F.when(K() % 2 == 0, B())), "vulnerabilities"))),
     "explorer_utxo": esplora,
-    "explorer_accounts": lambda s, d: paid(onchain.blockscout(documents(s, d, F.struct(K.cast("string").alias("hash"), A.alias("from"), B.alias("to"), text(V, "0000000000").alias("value"), T.cast("string").alias("timeStamp")), "result"))),
-    "explorer_block": lambda s, d: paid(onchain.evm_block(orders(s, d).groupBy("doc").agg(F.to_json(_struct(result=F.struct(HEX(F.max("doc") + 1).alias("timestamp"), F.collect_list(F.struct(K.cast("string").alias("hash"), A.alias("from"), F.when(K % 2 == 0, B).alias("to"), HEX(V * 10000000000).alias("value"))).alias("transactions")))).alias("value")))),
-    "explorer_signatures": lambda s, d: onchain.solana_signatures(documents(s, d, _struct(signature=K.cast("string"), slot=V, blockTime=T, err=F.when(K % 2 == 0, F.lit("failed"))), "result")),
+    "explorer_accounts": lambda s, d: paid(onchain.blockscout(documents(s, d, F.struct(K().cast("string").alias("hash"), A().alias("from"), B().alias("to"), text(V(), "0000000000").alias("value"), T().cast("string").alias("timeStamp")), "result"))),
+    "explorer_block": lambda s, d: paid(onchain.evm_block(orders(s, d).groupBy("doc").agg(F.to_json(_struct(result=F.struct(HEX(F.max("doc") + 1).alias("timestamp"), F.collect_list(F.struct(K().cast("string").alias("hash"), A().alias("from"), F.when(K() % 2 == 0, B()).alias("to"), HEX(V() * 10000000000).alias("value"))).alias("transactions")))).alias("value")))),
+    "explorer_signatures": lambda s, d: onchain.solana_signatures(documents(s, d, _struct(signature=K().cast("string"), slot=V(), blockTime=T(), err=F.when(K() % 2 == 0, F.lit("failed"))), "result")),
     "explorer_balances": lambda s, d: paid(onchain.solana_tx(solana_documents(s, d))),
-    "explorer_address": lambda s, d: paid(onchain.raw_address(documents(s, d, F.struct(K.cast("string").alias("hash"), T.alias("time"), F.array(_struct(prev_out=RAW_SIDE(A))).alias("inputs"), F.array(RAW_SIDE(B)).alias("out")), "txs"))),
-    "explorer_contracts": lambda s, d: paid(onchain.tron(documents(s, d, _struct(txID=K.cast("string"), block_timestamp=T, raw_data=_struct(contract=F.array(_struct(parameter=_struct(value=_struct(owner_address=A, to_address=B, amount=V)))))), "data"))),
-    "explorer_ledger": lambda s, d: paid(onchain.xrpl(documents(s, d, _struct(tx=_struct(hash=K.cast("string"), date=T, Account=A, Destination=B, Amount=F.when(K % 2 == 0, V.cast("string")).otherwise("x"))), "result", "transactions"))),
+    "explorer_address": lambda s, d: paid(onchain.raw_address(documents(s, d, F.struct(K().cast("string").alias("hash"), T().alias("time"), F.array(_struct(prev_out=RAW_SIDE(A()))).alias("inputs"), F.array(RAW_SIDE(B())).alias("out")), "txs"))),
+    "explorer_contracts": lambda s, d: paid(onchain.tron(documents(s, d, _struct(txID=K().cast("string"), block_timestamp=T(), raw_data=_struct(contract=F.array(_struct(parameter=_struct(value=_struct(owner_address=A(), to_address=B(), amount=V())))))), "data"))),
+    "explorer_ledger": lambda s, d: paid(onchain.xrpl(documents(s, d, _struct(tx=_struct(hash=K().cast("string"), date=T(), Account=A(), Destination=B(), Amount=F.when(K() % 2 == 0, V().cast("string")).otherwise("x"))), "result", "transactions"))),
 }
 
 _LINES = "c AS (SELECT c_custkey AS k, '10.1.' || (c_custkey // 250 % 250) || '.' || (c_custkey % 250) AS ip FROM customer)"
