@@ -90,7 +90,10 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
 
 def test_planted_cases_are_risky(spark):
     rows, truth, listed = planted.ledger(spark)
-    found = case.run_detectors(rows, listed, enabled=["structuring", "funnel_account"])
+    found = case.run_detectors(rows, listed, enabled=["structuring", "funnel_account", "sanctions_nexus"])
+    said = {(r["typology"], r["entities"][0]): r["evidence"] for r in found.collect()}
+    assert said["structuring", "smurf"] == "4 deposits just under the threshold, 38200 in one window, 3.8 times the threshold"
+    assert said["sanctions_nexus", "helper"] == "1 transfers away from a listed entity"
     assert metrics.typology_recall(found, truth.where("typology in ('structuring', 'funnel_account')")).where("typology = 'macro'").first()["recall"] == 1.0
     txs, _, _ = planted.transactions(spark)
     assert max(r["length"] for r in chain.peel_chains(txs).collect()) == 4

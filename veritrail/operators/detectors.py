@@ -6,18 +6,45 @@ one shape of them. Scores are leads for review.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import band, clamp, finding_id
 from veritrail.operators.ledger import DAY, HOUR, entity_events, money
 
 
+#: What a finding says of itself: a format, and the features that fill it.
+EVIDENCE = {
+    "structuring": ("%d deposits just under the threshold, %.0f in one window, %.1f times the threshold", "near_band_count", "window_total", "aggregate_ratio"),
+    "layering": ("%d onward transfers, from %.0f to %.0f", "hops", "start_amount", "end_amount"),
+    "pass_through": ("received %.0f and sent on %.0f, after %.1f hours as a rule", "total_in", "total_out", "median_hold_hours"),
+    "round_tripping": ("%d entities in a ring, %.0f out and %.0f back", "cycle_len", "origin_amount", "return_amount"),
+    "trade_value_anomaly": ("paid %.0f for goods of %.0f, off by %.2f of their value", "paid", "goods_value", "deviation"),
+    "shell_nominee": ("%d entities move %.0f among themselves and %.0f beyond", "cluster_size", "internal_value", "external_value"),
+    "funnel_account": ("%d sources in %d regions, %d destinations, %.0f received", "source_count", "region_count", "dest_count", "total_in"),
+    "sanctions_nexus": ("%d transfers away from a listed entity", "hops_to_watchlist"),
+    "burst_velocity": ("%d events in one window, %.1f times the usual number", "peak_events_in_window", "spike_ratio"),
+    "dormancy_activation": ("silent for %.0f days after %d events, then %d more", "dormant_days", "prior_events", "post_events"),
+    "periodicity": ("%d events every %.1f hours, with a variation of %.2f", "events", "mean_interval_hours", "interval_cv"),
+}
+
+
+def evidence(typology: str) -> Column:
+    """A sentence on a finding of a known typology, else null."""
+    if typology not in EVIDENCE:
+        return F.lit(None).cast("string")
+    text, *names = EVIDENCE[typology]
+    kinds = ["long" if k == "d" else "double" for k in re.findall(r"%[.\d]*([df])", text)]
+    return F.format_string(text, *(F.col(n).cast(k) for n, k in zip(names, kinds, strict=True)))
+
+
 def as_findings(found: DataFrame, typology: str) -> DataFrame:
-    """(id, typology, entities, score, severity, features as JSON)."""
+    """(id, typology, entities, score, severity, features as JSON, evidence as a sentence)."""
     features = [c for c in found.columns if c not in ("entities", "score")]
     score = F.round("score", 4)
-    return found.select(finding_id(F.lit(typology), F.col("entities")).alias("id"), F.lit(typology).alias("typology"), "entities", score.alias("score"), band(score).alias("severity"), F.to_json(F.struct(*features)).alias("features"))
+    return found.select(finding_id(F.lit(typology), F.col("entities")).alias("id"), F.lit(typology).alias("typology"), "entities", score.alias("score"), band(score).alias("severity"), F.to_json(F.struct(*features)).alias("features"), evidence(typology).alias("evidence"))
 
 
 def structuring(transfers: DataFrame, threshold: float = 10000.0, band_frac: float = 0.10, min_count: int = 3, window_hours: float = 72.0) -> DataFrame:

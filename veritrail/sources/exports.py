@@ -26,6 +26,11 @@ def _sid(kind: str, value):
     return F.concat(F.lit(f"{kind}--"), uuid5(NAMESPACE, F.concat(F.lit(f"{kind}:"), value)))
 
 
+def _told(findings: DataFrame):
+    """The sentence of each finding where there is one, else its features."""
+    return F.coalesce("evidence", "features") if "evidence" in findings.columns else F.col("features")
+
+
 def findings_json(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 
@@ -33,7 +38,7 @@ def findings_json(findings: DataFrame, path: str) -> None:
 def findings_csv(findings: DataFrame, path: str) -> None:
     """Seven fixed columns; entities are joined by a pipe."""
     rationale = F.concat(F.lit("pattern consistent with "), F.regexp_replace("typology", "_", " "))
-    findings.select("id", "typology", "severity", "score", F.array_join("entities", "|").alias("entities"), F.col("features").alias("evidence"), rationale.alias("rationale")).write.option("header", True).csv(path)
+    findings.select("id", "typology", "severity", "score", F.array_join("entities", "|").alias("entities"), _told(findings).alias("evidence"), rationale.alias("rationale")).write.option("header", True).csv(path)
 
 
 def stix_objects(findings: DataFrame, created: str = CREATED) -> DataFrame:
@@ -44,7 +49,7 @@ def stix_objects(findings: DataFrame, created: str = CREATED) -> DataFrame:
     pattern = F.concat(F.lit("["), F.when(F.size("entities") > 0, F.array_join(quoted, " OR ")).otherwise("x-entity:value = 'unknown'"), F.lit("]"))
     level = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])[F.col("severity")]
     indicator = F.struct(F.lit("indicator").alias("type"), _sid("indicator", F.col("id")).alias("id"), *common, F.concat_ws(": ", "typology", F.array_join("entities", ", ")).alias("name"), F.lit("stix").alias("pattern_type"), pattern.alias("pattern"), F.lit(created).alias("valid_from"), F.coalesce(level, F.lit(5)).alias("confidence"), F.array(F.lit("suspicious-activity")).alias("labels"))
-    note = F.struct(F.lit("note").alias("type"), _sid("note", F.col("id")).alias("id"), *common, F.concat(F.lit("Evidence for "), "typology").alias("abstract"), F.col("features").alias("content"), F.array(_sid("indicator", F.col("id"))).alias("object_refs"))
+    note = F.struct(F.lit("note").alias("type"), _sid("note", F.col("id")).alias("id"), *common, F.concat(F.lit("Evidence for "), "typology").alias("abstract"), _told(findings).alias("content"), F.array(_sid("indicator", F.col("id"))).alias("object_refs"))
     objects = findings.select(F.explode(F.array(F.to_json(indicator), F.to_json(note))).alias("object"))
     who = F.struct(F.lit("identity").alias("type"), F.lit("2.1").alias("spec_version"), identity.alias("id"), F.lit(created).alias("created"), F.lit(created).alias("modified"), F.lit(PRODUCER).alias("name"), F.lit("system").alias("identity_class"))
     return findings.sparkSession.range(1).select(F.to_json(who).alias("object")).unionByName(objects)
@@ -157,7 +162,7 @@ def render_text(made: dict) -> str:
     out = [f"CASE {made['summary']['case']}", "", "Entities:"]
     out += [f"  {r['entity']}  risk {r['risk']:.2f} {r['risk_band']}  ({', '.join(r['typologies'])})" for r in made["entity_risk"][:5]] or ["  none above the reporting threshold"]
     out += [f"  merged into {m['canonical']}: {', '.join(m['members'])}" for m in made["merges"]]
-    out += ["", "Leads:"] + ([f"  [{f['severity']}] {f['typology']}: {', '.join(map(str, f['entities']))}" for f in made["findings"][:12]] or ["  none"])
+    out += ["", "Leads:"] + ([f"  [{f['severity']}] {f['typology']}: {', '.join(map(str, f['entities']))}; {f.get('evidence') or f['features']}" for f in made["findings"][:12]] or ["  none"])
     out += ["", "Structure:"]
     out += [f"  broker {b['entity']} (score {b['broker_score']:.2f}, betweenness {b['betweenness']:.4f})" for b in made["brokers"][:1]]
     out += [f"  {n['network_id']}: {n['flagged_entities']} of {n['size']} entities flagged, risk {n['network_risk']:.2f} {n['network_risk_band']}" for n in made["network_risk"][:1]]
@@ -173,6 +178,6 @@ def render_html(made: dict) -> str:
 
     bar = lambda score: f'<svg width="160" height="10"><rect width="{160 * max(0.0, min(1.0, score)):.0f}" height="10" fill="#c33"/></svg>'
     risks = rows(made["entity_risk"][:40], lambda r: (esc(r["entity"]), bar(r["risk"]), f"{r['risk']:.2f}", esc(r["risk_band"]), esc(", ".join(r["typologies"]))))
-    leads = rows(made["findings"][:80], lambda f: (esc(f["typology"]), esc(", ".join(map(str, f["entities"]))), f"{f['score']:.2f}", esc(f["severity"]), esc(f["features"])))
+    leads = rows(made["findings"][:80], lambda f: (esc(f["typology"]), esc(", ".join(map(str, f["entities"]))), f"{f['score']:.2f}", esc(f["severity"]), esc(f.get("evidence") or f["features"])))
     total = rows(sorted(made["summary"].items()), lambda kv: (esc(kv[0]), esc(kv[1])))
     return f"<!doctype html><html><head><meta charset='utf-8'><title>Case {esc(made['summary']['case'])}</title></head><body><h1>Case {esc(made['summary']['case'])}</h1><table>{total}</table><h2>Entities</h2><table>{risks}</table><h2>Leads</h2><table>{leads}</table></body></html>"
