@@ -1,7 +1,7 @@
 """Graph operators against brute force on random graphs."""
 
 import random
-from collections import deque
+from collections import Counter, deque
 
 from tests.test_detectors import ledger_of
 from veritrail.operators import traversal
