@@ -151,9 +151,8 @@ def summed_chunks(parts: DataFrame, tasks: int) -> DataFrame:
             return parts
 
 
-def table_of(chunks, width: int, rows: int = 1) -> np.ndarray:
-    """The table (rows x width) of collected chunks (chunk, slot, counts); its size doesn't depend on the corpus."""
-    table = np.zeros((width // CHUNK, rows, CHUNK), np.int64)
+def unpacked(chunks, rows: int = 1) -> Iterator[tuple[slice, np.ndarray]]:
+    """(place, counts (rows x CHUNK)) of collected chunks (chunk, slot, counts), one at a time; a table's size doesn't
+    depend on the corpus, and compressed it is small."""
     for chunk, _, raw in chunks:
-        table[chunk] = np.frombuffer(zlib.decompress(raw), np.int64).reshape(rows, CHUNK)
-    return table.swapaxes(0, 1).reshape(rows, width)
+        yield slice(chunk * CHUNK, (chunk + 1) * CHUNK), np.frombuffer(zlib.decompress(raw), np.int64).reshape(rows, CHUNK)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import arrow_batches, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, table_of, word_hashes, worker_cache
+from veritrail.llm.common import arrow_batches, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, unpacked, word_hashes, worker_cache
 from veritrail.operators.components import connected_components
 from veritrail.storage import materialize
 
@@ -261,7 +261,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = profile.where("chunk is null and cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     # The sketch has a fixed number of counters, whatever the corpus.
     chunks = summed_chunks(profile.where("chunk is not null").select("chunk", "slot", "counts"), docs.rdd.getNumPartitions())
-    levels = spark.sparkContext.broadcast(levels_of(table_of(chunks.collect(), 1 << SKETCH_BITS)[0]))
+    table = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for place, counts in unpacked(chunks.collect()):
+        table[place] = levels_of(counts[0])
+    levels = spark.sparkContext.broadcast(table)
 
     same = Window.partitionBy("k")
     shared = texts.mapInArrow(_prefixes(levels), _PREFIX_SQL)

@@ -31,8 +31,8 @@ from veritrail.llm.common import bound_text_batches, worker_cache
 from veritrail.storage import materialize
 
 SEQUENCE, BIN, END_ID = 2048, 8, 1
-#: Words, and as many parts of plain words and of others, that a Python worker keeps the ids of.
-CACHED_WORDS, CACHED_STEMS = 200_000, 200_000
+#: Words, parts of plain ones and stems of others that a Python worker keeps the ids of: texts have many rare words.
+CACHED_WORDS, CACHED_PARTS, CACHED_STEMS = 300_000, 450_000, 250_000
 #: Pieces that a rank is given to at a time.
 PIECES_PER_GROUP = 50_000
 
@@ -67,7 +67,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.words = Known(self._word, CACHED_WORDS)
         self.stems = Known(self._stem, CACHED_STEMS)
-        self.parts = Known(self._part, CACHED_STEMS)
+        self.parts = Known(self._part, CACHED_PARTS)
         self.stands_apart = Known(self._stands_apart, CACHED_STEMS)
 
     def _ids(self, text: str) -> list[int]:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import COUNTS_SQL, WordTable, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, table_of, worker_cache
+from veritrail.llm.common import COUNTS_SQL, WordTable, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, unpacked, worker_cache
 from veritrail.storage import materialize
 
 #: Buckets of words and shapes, and as many again of pairs of words.
@@ -109,9 +109,9 @@ class Model:
         return -float(np.logaddexp.reduce(np.log(self.shares) + np.r_[0.0, parts]))
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Shrunk log ratios of the models of rows 2.. over that of row 1; row 0 has the counts of all text."""
-    expected = counts[0] * (counts[1:].sum(axis=1, keepdims=True) / counts[0].sum())
+def log_ratios(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Shrunk log ratios of the models of rows 2.. over that of row 1; row 0 has the counts of all text. ``totals``: of each row, over all n-grams."""
+    expected = counts[0] * (totals[1:, None] / totals[0])
     rates = np.log((counts[1:] + PRIOR) / (expected + PRIOR))
     off = rates[1:] - rates[0]
     variance = 1 / (counts[2:] + PRIOR) + 1 / (counts[1] + PRIOR)
@@ -137,9 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not shares[GOOD] or not shares[1:].any():
         return None
     parts = told.select("text", F.col("kind").cast("int")).mapInArrow(_count, COUNTS_SQL)
-    counts = table_of(summed_chunks(materialize(parts), told.rdd.getNumPartitions()).collect(), BUCKETS, 4)
+    chunks = summed_chunks(materialize(parts), told.rdd.getNumPartitions()).collect()
+    totals = sum(counts.sum(axis=1) for _, counts in unpacked(chunks, 4))
     used = shares > 0
-    return Model(log_ratios(counts[np.r_[True, used]]).astype(np.float32), shares[used] / shares.sum())
+    rows = np.r_[True, used]
+    ratios = np.zeros((int(used.sum()) - 1, BUCKETS), np.float32)
+    for place, counts in unpacked(chunks, 4):
+        ratios[:, place] = log_ratios(counts[rows], totals[rows])
+    return Model(ratios, shares[used] / shares.sum())
 
 
 def log_weight(text: Column, model: Model | None) -> Column:
