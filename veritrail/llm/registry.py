@@ -1,6 +1,6 @@
 """Queries of this package, and the DuckDB SQL of those that SQL can express."""
 
-from veritrail.llm import fingerprints, mixing, near_duplicates, packing, quality, substring_dedup, suffix_dedup, token_counts, topk, warc
+from veritrail.llm import fingerprints, lloyd, mixing, near_duplicates, packing, quality, substring_dedup, suffix_dedup, token_counts, topk, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_suffix_array_dedup": suffix_dedup.query,
     "op10_fingerprints": fingerprints.query,
+    "op13_lloyd_codes": lloyd.query,
 }
 ORACLES = {
     "op2_ngram_jaccard_join": near_duplicates.SQL,
@@ -20,4 +21,5 @@ ORACLES = {
     "op7_exact_topk": topk.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op9_suffix_array_dedup": suffix_dedup.SQL,
+    "op13_lloyd_codes": lloyd.SQL,
 }

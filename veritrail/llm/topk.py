@@ -30,11 +30,15 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_i
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
+def finite(vec: str):
+    """Whether the vector and its components are neither null nor infinite nor no number."""
+    return F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+
+
 def quantize(vectors: DataFrame, scale: int = 256, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(vec_id, q array<long>): components times ``scale``, rounded down."""
-    whole = F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     q = F.transform(vec, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return vectors.where(F.col(key).isNotNull() & whole).select(F.col(key).cast("long").alias("vec_id"), q.alias("q"))
+    return vectors.where(F.col(key).isNotNull() & finite(vec)).select(F.col(key).cast("long").alias("vec_id"), q.alias("q"))
 
 
 def _blocks(vectors: DataFrame, size: int, prefix: str) -> tuple[DataFrame, int]:
