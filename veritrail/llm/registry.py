@@ -1,6 +1,6 @@
 """Queries of this package, and the DuckDB SQL of those that SQL can express."""
 
-from veritrail.llm import fingerprints, lloyd, mixing, near_duplicates, neighbours, packing, quality, substring_dedup, suffix_dedup, token_counts, topk, warc
+from veritrail.llm import fingerprints, lloyd, mixing, near_duplicates, neighbours, packing, phrases, quality, substring_dedup, suffix_dedup, token_counts, topk, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_suffix_array_dedup": suffix_dedup.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_collocations": phrases.query,
     "op12_nearest_neighbours": neighbours.query,
     "op13_lloyd_codes": lloyd.query,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op7_exact_topk": topk.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op9_suffix_array_dedup": suffix_dedup.SQL,
+    "op11_collocations": phrases.SQL,
     "op13_lloyd_codes": lloyd.SQL,
 }
