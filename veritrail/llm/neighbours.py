@@ -33,7 +33,7 @@ from veritrail.storage import materialize
 BITS, KEY = 256, 16
 SUBSTRINGS, WORDS = BITS // KEY, BITS // 64
 #: Of all codes, about as many lie within a query's radius.
-PROBED = 256
+PROBED = 512
 #: Vectors that rotations are learned on (and their bytes, at most), codes that radii are taken from, and rounds of learning.
 LEARNED, LEARNED_BYTES, RADIUS_CODES, LEARNING_ROUNDS = 16_384, 32 << 20, 32_768, 12
 QUERY_BLOCK, CODE_BLOCK = 1024, 16_384
