@@ -28,16 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import FAN_IN, arrow_batches, bound_text_batches, mix64
+from veritrail.llm.common import FAN_IN, arrow_batches, bound_text_batches, give_back, mix64
 from veritrail.storage import materialize
 
 LONGEST, MIN_COUNT, COVERED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Counters and bits of a filter (as powers of two), and bits of a piece of it.
-COUNTER_BITS, WORD_BITS, PIECE_BITS = 24, 26, 16
+COUNTER_BITS, WORD_BITS, PIECE_BITS = 26, 26, 18
 #: Candidates of a shard.
 SHARD = 50_000
 #: Bytes of text that a task takes at a time, bytes hashed at a time, and phrases or counters held before they are added up.
-TAKEN, STRETCH, HELD = 8 << 20, 1 << 18, 1 << 21
+TAKEN, STRETCH, HELD = 4 << 20, 1 << 18, 1 << 20
 #: Phrases of a packed row, and such rows of an Arrow batch.
 PACKED, PACKED_BATCH = 1 << 13, 32
 
@@ -109,6 +109,7 @@ class Words:
 
 def _taken(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[Words]:
     """The words of the batches' (text, lang), some megabytes of a language at a time."""
+    give_back()
     held: dict[str, list[bytes]] = {}
     size = 0
     for batch in batches:
@@ -315,7 +316,7 @@ def _candidates(texts: DataFrame, filters: list[bytes], salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for w in _taken(batches, salt):
-            if len(seen) > HELD // 4:
+            if len(seen) > HELD // 2:
                 seen.clear()
             for n, at in enumerate(passing(w, fixed.value), 2):
                 keys = _columns(w, at, n)
@@ -329,7 +330,7 @@ def _candidates(texts: DataFrame, filters: list[bytes], salt: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*_key_arrays(_columns(w, at, n), n), pa.array([w.lang] * at.size, pa.string()), phrases], names=["n", *_NUMBERS, "lang", "phrase"])
 
     found = texts.mapInArrow(run, f"{_KEY_SQL}, lang string, phrase string")
-    return found.groupBy("n", *_NUMBERS).agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    return found.distinct()
 
 
 class PerfectHash:
