@@ -57,11 +57,12 @@ def test_documents(spark, tmp_path):
     ties = spark.createDataFrame([("o0-0", None, "1.1.1.1", None, "tip", 0.7, 0)], fusion.LINKAGE)
     listed = spark.createDataFrame([("someone", "P", [], {"crypto": ["o0-1"]}, 0)], screening.SDN)
     nodes, edges = fusion.build_graph(txs, obs, ties, listed)
-    actors = fusion.threat_actors(nodes, edges)
+    members = fusion.actor_members(nodes, edges)
+    actors = fusion.threat_actors(members)
     exports.graph_document(nodes, edges, str(tmp_path / "graph"))
     graph = document(tmp_path / "graph")
     assert len(graph["entities"]) == nodes.count() and {e["relation"] for e in graph["edges"]} == {"member-of", "controlled-by-same-actor", "sanctioned-as"}
-    exports.stix_bundle(exports.graph_stix_objects(nodes, edges, actors), str(tmp_path / "stix"))
+    exports.stix_bundle(exports.graph_stix_objects(nodes, edges, actors, members), str(tmp_path / "stix"))
     bundle = document(tmp_path / "stix")
     assert bundle["type"] == "bundle" and {o["type"] for o in bundle["objects"]} >= {"indicator", "threat-actor", "relationship"}
     exports.misp_event(nodes, actors, str(tmp_path / "misp"))
@@ -69,7 +70,7 @@ def test_documents(spark, tmp_path):
     assert len(event["Attribute"]) == nodes.where("type in ('crypto-address', 'ip-address')").count() and {"name": "ofac:sanctioned"} in event["Tag"]
     exports.misp_event(nodes.limit(0), actors.limit(0), str(tmp_path / "none"))
     assert document(tmp_path / "none")["Event"]["Attribute"] == []
-    text = exports.render_graph_text(exports.graph_report(nodes, edges, actors))
+    text = exports.render_graph_text(exports.graph_report(nodes, edges, actors, members))
     assert "1 threat actors" in text and "o0-1" not in text.splitlines()[0]
 
 

@@ -83,10 +83,11 @@ def main(argv: list[str] | None = None) -> int:
     if command in ("demo", "fuse"):
         nodes, edges = fusion.build_graph(txs, readers.load_observations(spark, args.observations), readers.load_linkages(spark, args.linkages), readers.load_sdn(spark, args.sdn))
         nodes, edges = materialize(nodes), materialize(edges)
-        actors = materialize(fusion.threat_actors(nodes, edges))
-        print(exports.render_graph_text(exports.graph_report(nodes, edges, actors)))
+        members = materialize(fusion.actor_members(nodes, edges))
+        actors = materialize(fusion.threat_actors(members))
+        print(exports.render_graph_text(exports.graph_report(nodes, edges, actors, members)))
         if args.stix:
-            exports.stix_bundle(exports.graph_stix_objects(nodes, edges, actors), args.stix)
+            exports.stix_bundle(exports.graph_stix_objects(nodes, edges, actors, members), args.stix)
         if args.misp:
             exports.misp_event(nodes, actors, args.misp)
         if command == "demo":

@@ -1,16 +1,17 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components: each partition contracts its own edges, and what still ties its parts to others' is a smaller graph,
+to which star rounds and the same step are applied until one task solves it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.storage import materialize
 
-#: Graphs of at most this many edges are solved by one task; larger ones by rounds of joins.
+#: Graphs of at most this many edges are solved by one task.
 ONE_TASK_EDGES = 200_000
 
 
@@ -47,6 +48,25 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _contracted(edges: DataFrame, kind: str, one_task: int) -> DataFrame:
+    """(node, component) of all ends of ``edges`` (a, b), which have been written."""
+    if (size := edges.count()) <= one_task:
+        return edges.coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
+    local = edges.mapInPandas(_union_find, f"node {kind}, component {kind}")
+    # A node is in a partition once: a row for each partition that has it, the first with the least root.
+    by_node = Window.partitionBy("node").orderBy("component")
+    placed = materialize(local.select("node", "component", F.row_number().over(by_node).alias("at"), F.min("component").over(by_node).alias("root")))
+    ties = materialize(placed.where("at > 1 and component <> root").select(F.col("component").alias("a"), F.col("root").alias("b")).distinct())
+    found = placed.where("at = 1").select("node", "root")
+    if ties.isEmpty():
+        return found.select("node", F.col("root").alias("component"))
+    if one_task < ties.count() > size // 2:
+        # Partitions cut nearly every tie: two star rounds halve distances, and rows of one centre come together.
+        ties = materialize(_stars(_stars(ties, large=True), large=False).repartition("b"))
+    inner = _contracted(ties, kind, one_task).select(F.col("node").alias("root"), F.col("component").alias("whole"))
+    return found.join(inner, "root", "left").select("node", F.coalesce("whole", "root").alias("component"))
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) with the least node as component, for edges (a, b) and, where given, single ``nodes`` (node).
 
@@ -54,21 +74,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, one_t
     """
     kind = edges.schema["a"].dataType.simpleString()
     clean = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialize(clean.distinct())
-    size = now.count()
-    if size <= one_task:
-        found = now.coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
-    else:
-        ends = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        now = now.where("a <> b")
-        mark = None
-        while True:
-            now = materialize(_stars(_stars(now, large=True), large=False))
-            seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            if seen == mark:
-                break
-            mark = seen
-        found = ends.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = _contracted(materialize(clean), kind, one_task)
     if nodes is None:
         return found
     return nodes.select("node").where("node is not null").distinct().join(found, "node", "full").select("node", F.coalesce("component", "node").alias("component"))

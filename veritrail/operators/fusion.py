@@ -10,15 +10,19 @@ from veritrail.operators.chain import common_input_clusters
 from veritrail.operators.components import connected_components
 from veritrail.operators.infra import fingerprint_clusters
 from veritrail.operators.screening import screen_addresses
+from veritrail.storage import materialize
 
 LINKAGE = "address string, address2 string, ip string, ip2 string, source string, confidence double, ordinal long"
 _MEMBER_OF, _SAME_ACTOR, _SANCTIONED = "member-of", "controlled-by-same-actor", "sanctioned-as"
 
 
 def _clusters(members: DataFrame, kind: str) -> DataFrame:
-    """(member, cluster id, size) for (member, key) rows; the id is made from all members in order."""
-    sets = members.groupBy("key").agg(F.array_sort(F.collect_set("member")).alias("all"))
-    return sets.select(make_id(kind, F.array_join("all", "|")).alias("cluster"), F.size("all").alias("size"), F.explode("all").alias("member"))
+    """(member, cluster id, size) for (member, key) rows of distinct members. The id is made of a digest of the set that is
+    summed up, in any order and never gathered: how many members, and sum and exclusive or of 60 bits of a hash of each."""
+    h = F.conv(F.substring(F.sha1("member"), 1, 15), 16, 10).cast("long")
+    sets = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mixed"))
+    ids = sets.select("key", make_id(kind, F.concat_ws("-", "size", "total", "mixed")).alias("cluster"), "size")
+    return members.join(ids, "key").select("cluster", "size", "member")
 
 
 def build_graph(txs: DataFrame, obs: DataFrame, linkages: DataFrame, sdn: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,15 +30,17 @@ def build_graph(txs: DataFrame, obs: DataFrame, linkages: DataFrame, sdn: DataFr
     spent = common_input_clusters(txs).select(F.col("address").alias("member"), F.col("cluster").alias("key"))
     paid = txs.select(F.explode("outputs").alias("o")).select(F.col("o.address").alias("member")).where("member is not null").distinct()
     wallets = _clusters(spent.unionByName(paid.join(spent, "member", "left_anti").withColumn("key", F.col("member"))), "wallet-cluster")
-    infra = _clusters(fingerprint_clusters(obs).select(F.col("ip").alias("member"), F.col("cluster").alias("key")), "infra-cluster")
+    wallets = materialize(wallets)
+    infra = materialize(_clusters(fingerprint_clusters(obs).select(F.col("ip").alias("member"), F.col("cluster").alias("key")), "infra-cluster"))
     hits = screen_addresses(wallets.select(F.col("member").alias("address")), sdn)
 
     def node(df: DataFrame, id_, kind: str, label) -> DataFrame:
-        return df.select(id_.alias("id"), F.lit(kind).alias("type"), label.alias("label")).distinct()
+        return df.select(id_.alias("id"), F.lit(kind).alias("type"), label.alias("label"))
 
-    nodes = node(wallets, F.col("cluster"), "wallet-cluster", F.col("cluster")).unionByName(node(wallets, make_id("crypto-address", F.col("member")), "crypto-address", F.col("member")))
-    nodes = nodes.unionByName(node(infra, F.col("cluster"), "infrastructure-cluster", F.col("cluster"))).unionByName(node(infra, make_id("ip-address", F.col("member")), "ip-address", F.col("member")))
-    nodes = nodes.unionByName(node(hits, make_id("sanctioned-entity", F.col("sdn_name")), "sanctioned-entity", F.col("sdn_name")))
+    one = lambda df, c: df.select(c).distinct()
+    nodes = node(one(wallets, "cluster"), F.col("cluster"), "wallet-cluster", F.col("cluster")).unionByName(node(wallets, make_id("crypto-address", F.col("member")), "crypto-address", F.col("member")))
+    nodes = nodes.unionByName(node(one(infra, "cluster"), F.col("cluster"), "infrastructure-cluster", F.col("cluster"))).unionByName(node(infra, make_id("ip-address", F.col("member")), "ip-address", F.col("member")))
+    nodes = nodes.unionByName(node(one(hits, "sdn_name"), make_id("sanctioned-entity", F.col("sdn_name")), "sanctioned-entity", F.col("sdn_name")))
 
     def edge(df: DataFrame, source, target, relation: str, confidence, evidence) -> DataFrame:
         return df.select(source.alias("source"), target.alias("target"), F.lit(relation).alias("relation"), confidence.alias("confidence"), evidence.alias("evidence"))
@@ -50,21 +56,26 @@ def build_graph(txs: DataFrame, obs: DataFrame, linkages: DataFrame, sdn: DataFr
     return nodes, edges
 
 
-def threat_actors(nodes: DataFrame, edges: DataFrame, keep_trivial: bool = False) -> DataFrame:
-    """(id, wallets, infra, sanctions, confidence, confidence_band): clusters and sanctions that edges tie together."""
+def actor_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(actor, type, member): clusters and sanctioned entities that edges tie together, single ones too."""
     kinds = nodes.where(F.col("type").isin("wallet-cluster", "infrastructure-cluster", "sanctioned-entity"))
     home = edges.where(F.col("relation") == _MEMBER_OF).select(F.col("source").alias("address_id"), F.col("target").alias("home"))
     same = edges.where(F.col("relation") == _SAME_ACTOR).select(F.col("source").alias("a"), F.col("target").alias("b"))
     listed = edges.where(F.col("relation") == _SANCTIONED).join(home, F.col("source") == F.col("address_id")).select(F.col("home").alias("a"), F.col("target").alias("b"))
     parts = connected_components(same.unionByName(listed), kinds.select(F.col("id").alias("node")))
-    of = lambda t: F.array_sort(F.collect_list(F.when(F.col("type") == t, F.col("id"))))
-    actors = kinds.join(parts, kinds["id"] == parts["node"]).groupBy("component").agg(of("wallet-cluster").alias("wallets"), of("infrastructure-cluster").alias("infra"), of("sanctioned-entity").alias("sanctions"))
+    return kinds.join(parts, kinds["id"] == parts["node"]).select(make_id("threat-actor", F.col("component")).alias("actor"), "type", F.col("id").alias("member"))
+
+
+def threat_actors(members: DataFrame, keep_trivial: bool = False) -> DataFrame:
+    """(id, n_wallets, n_infra, n_sanctions, confidence, confidence_band) of :func:`actor_members`."""
+    of = lambda t: F.count(F.when(F.col("type") == t, 1))
+    actors = members.groupBy("actor").agg(of("wallet-cluster").alias("n_wallets"), of("infrastructure-cluster").alias("n_infra"), of("sanctioned-entity").alias("n_sanctions"))
     if not keep_trivial:
-        actors = actors.where((F.size("sanctions") > 0) | (F.size("wallets") + F.size("infra") >= 2))
-    has = lambda c: F.size(c) > 0
-    weights = F.array_compact(F.array(F.when(has("wallets"), 0.6), F.when(has("infra"), 0.5), F.when(has("wallets") & has("infra"), 0.6), F.when(has("sanctions"), 0.9)))
+        actors = actors.where("n_sanctions > 0 or n_wallets + n_infra >= 2")
+    wallets, infra, listed = (F.col(c) > 0 for c in ("n_wallets", "n_infra", "n_sanctions"))
+    weights = F.array_compact(F.array(F.when(wallets, 0.6), F.when(infra, 0.5), F.when(wallets & infra, 0.6), F.when(listed, 0.9)))
     raw = noisy_or(weights)
-    return actors.select(make_id("threat-actor", F.col("component")).alias("id"), "wallets", "infra", "sanctions", F.round(raw, 4).alias("confidence"), band(raw).alias("confidence_band"))
+    return actors.select(F.col("actor").alias("id"), "n_wallets", "n_infra", "n_sanctions", F.round(raw, 4).alias("confidence"), band(raw).alias("confidence_band"))
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:

@@ -51,8 +51,7 @@ def graph(s, d):
 
 
 def actors(s, d):
-    found = fusion.threat_actors(*graph(s, d))
-    return found.select(F.size("wallets").cast("long").alias("n_wallets"), F.size("infra").cast("long").alias("n_infra"), F.size("sanctions").cast("long").alias("n_sanctions"), "confidence", "confidence_band")
+    return fusion.threat_actors(fusion.actor_members(*graph(s, d)))
 
 
 def case_summary(s, d):
@@ -108,15 +107,20 @@ def _band(x: str) -> str:
     return f"CASE WHEN {x} >= 0.8e0 THEN 'HIGH' WHEN {x} >= 0.5e0 THEN 'MODERATE' WHEN {x} > 0 THEN 'LOW' ELSE 'NONE' END"
 
 
+def _digest(n: str, total: str, mixed: str) -> str:
+    return f"concat_ws('-', {n}, {total}, {mixed})"
+
+
 def _id(kind: str, value: str) -> str:
     return f"'{kind}--' || substr(sha1('{kind}:' || {value}), 1, 16)"
 
 
+_BITS = "CAST('0x' || substr(sha1(x), 1, 15) AS BIGINT)"
 # Every address is spent alone, so that wallet clusters have one member each; pages of a host are one cluster.
 _FUSED = f"""a AS (SELECT 'C' || o_custkey AS x FROM orders UNION SELECT 'C' || (o_custkey + 1) FROM orders UNION SELECT 'K' || (o_orderkey % 100) FROM orders),
-w AS (SELECT x, {_id('wallet-cluster', 'x')} AS cluster FROM a),
+w AS (SELECT x, {_id('wallet-cluster', _digest('1', _BITS, _BITS))} AS cluster FROM a),
 p AS (SELECT '10.0.0.' || page_id AS x, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
-h AS (SELECT host, string_agg(x, '|' ORDER BY x) AS members FROM p GROUP BY host),
+h AS (SELECT host, {_digest('count(*)', f'sum({_BITS})', f'bit_xor({_BITS})')} AS members FROM p GROUP BY host),
 i AS (SELECT x, {_id('infra-cluster', 'members')} AS cluster FROM p JOIN h USING (host))"""
 _TIES = """l(one, two, confidence, evidence) AS (VALUES ('C10', '10.0.0.1', 0.7e0, 'report'), ('C10', 'C400', 0.7e0, 'report'), ('C20', '10.0.0.2', 0.6e0, 'investigation'), ('10.0.0.2', '10.0.0.9', 0.6e0, 'investigation')),
 k AS (SELECT x, cluster FROM w UNION ALL SELECT x, cluster FROM i)"""
@@ -143,10 +147,10 @@ e AS (SELECT m.cluster AS a, n.cluster AS b FROM l JOIN k m ON one = m.x JOIN k
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
 m AS (SELECT a AS node, min(b) AS part FROM r GROUP BY a),
-g AS (SELECT count(*) FILTER (node LIKE 'wallet%') AS n_wallets, count(*) FILTER (node LIKE 'infra%') AS n_infra, count(*) FILTER (node LIKE 'sanctioned%') AS n_sanctions FROM m GROUP BY part),
+g AS (SELECT part, count(*) FILTER (node LIKE 'wallet%') AS n_wallets, count(*) FILTER (node LIKE 'infra%') AS n_infra, count(*) FILTER (node LIKE 'sanctioned%') AS n_sanctions FROM m GROUP BY part),
 c AS (SELECT *, list_sort(list_filter([CASE WHEN n_wallets > 0 THEN 0.6e0 END, CASE WHEN n_infra > 0 THEN 0.5e0 END, CASE WHEN n_wallets > 0 AND n_infra > 0 THEN 0.6e0 END, CASE WHEN n_sanctions > 0 THEN 0.9e0 END], lambda x: x IS NOT NULL)) AS ws FROM g),
 z AS (SELECT *, 1e0 - list_reduce(list_prepend(1e0, list_transform(ws, lambda x: 1e0 - x)), lambda a, b: a * b) AS raw FROM c WHERE n_sanctions > 0 OR n_wallets + n_infra >= 2)
-SELECT n_wallets, n_infra, n_sanctions, round(raw, 4) AS confidence, {_band('raw')} AS confidence_band FROM z""",
+SELECT {_id('threat-actor', 'part')} AS id, n_wallets, n_infra, n_sanctions, round(raw, 4) AS confidence, {_band('raw')} AS confidence_band FROM z""",
     "fusion_nodes": f"""WITH {_FUSED}
 SELECT cluster AS id, 'wallet-cluster' AS type, cluster AS label FROM w UNION SELECT {_id('crypto-address', 'x')}, 'crypto-address', x FROM w
 UNION SELECT cluster, 'infrastructure-cluster', cluster FROM i UNION SELECT {_id('ip-address', 'x')}, 'ip-address', x FROM i

@@ -8,7 +8,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import uuid5
@@ -55,8 +55,8 @@ def stix_objects(findings: DataFrame, created: str = CREATED) -> DataFrame:
     return findings.sparkSession.range(1).select(F.to_json(who).alias("object")).unionByName(objects)
 
 
-def graph_stix_objects(nodes: DataFrame, edges: DataFrame, actors: DataFrame, created: str = CREATED) -> DataFrame:
-    """(object): indicators of addresses, threat actors, and what is attributed to them."""
+def graph_stix_objects(nodes: DataFrame, edges: DataFrame, actors: DataFrame, tied: DataFrame, created: str = CREATED) -> DataFrame:
+    """(object): indicators of addresses, threat actors, and what is attributed to them (``tied``: actor, type, member)."""
     identity = _sid("identity", F.lit(PRODUCER))
     common = [F.lit("2.1").alias("spec_version"), F.lit(created).alias("created"), F.lit(created).alias("modified"), identity.alias("created_by_ref")]
     wallet = F.col("type") == "crypto-address"
@@ -68,7 +68,8 @@ def graph_stix_objects(nodes: DataFrame, edges: DataFrame, actors: DataFrame, cr
     actor = F.struct(F.lit("threat-actor").alias("type"), _sid("threat-actor", F.col("id")).alias("id"), *common, F.concat(F.lit("Threat actor "), F.substring("id", -8, 8)).alias("name"), F.array(F.lit("criminal-enterprise")).alias("labels"), F.round(F.col("confidence") * 100).cast("int").alias("confidence"))
     out = out.unionByName(actors.select(F.to_json(actor).alias("object")))
     members = edges.where("relation = 'member-of'").join(nodes.select(F.col("id").alias("source"), "type", "label"), "source")
-    tied = actors.select(F.col("id").alias("actor"), F.explode(F.concat("wallets", "infra")).alias("target")).join(members, "target")
+    own = tied.join(actors.select(F.col("id").alias("actor")), "actor", "left_semi").where("type <> 'sanctioned-entity'")
+    tied = own.select("actor", F.col("member").alias("target")).join(members, "target")
     relation = F.struct(F.lit("relationship").alias("type"), _sid("relationship", F.concat_ws(":", "actor", key)).alias("id"), *common, F.lit("attributed-to").alias("relationship_type"), _sid("indicator", key).alias("source_ref"), _sid("threat-actor", F.col("actor")).alias("target_ref"))
     return out.unionByName(tied.select(F.to_json(relation).alias("object")))
 
@@ -94,10 +95,11 @@ def write_document(sections: list[tuple[str, DataFrame]], end: str, path: str) -
     spark = sections[0][1].sparkSession
     out = spark.createDataFrame([(2 * len(sections), "", end)], "at int, object string, value string")
     for i, (opening, objects) in enumerate(sections):
-        each = objects.select("object").distinct()
+        # Equal objects are counted, so that the one without a comma is one of them.
+        each = objects.groupBy("object").agg(F.count("*").cast("int").alias("n")).select("object", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
         first = each.agg(F.min("object").alias("first"))
         out = out.unionByName(spark.createDataFrame([(2 * i, "", opening)], "at int, object string, value string"))
-        comma = F.when(F.col("object") == F.col("first"), "").otherwise(",")
+        comma = F.when((F.col("object") == F.col("first")) & (F.col("copy") == 1), "").otherwise(",")
         # The least object is one row.
         out = out.unionByName(each.join(F.broadcast(first)).select(F.lit(2 * i + 1).alias("at"), "object", F.concat(comma, F.col("object")).alias("value")))
     out.orderBy("at", "object").select("value").write.text(path)
@@ -112,7 +114,7 @@ def stix_bundle(objects: DataFrame, path: str, created: str = CREATED) -> None:
 def misp_event(nodes: DataFrame, actors: DataFrame, path: str, info: str = "attribution", date: str = "2026-01-01", chain: str = "bitcoin") -> None:
     """An event with an attribute for each address; tagged where an actor is sanctioned."""
     uid = nodes.sparkSession.range(1).select(uuid5(NAMESPACE, F.lit(f"event:{info}{date}"))).first()[0]
-    tags = ["tlp:amber"] + ["ofac:sanctioned"] * (not actors.where(F.size("sanctions") > 0).isEmpty())
+    tags = ["tlp:amber"] + ["ofac:sanctioned"] * (not actors.where("n_sanctions > 0").isEmpty())
     event = {"uuid": uid, "info": info, "date": date, "threat_level_id": "2", "analysis": "1", "distribution": "1", "Orgc": {"name": PRODUCER}, "Tag": [{"name": t} for t in tags]}
     attributes = misp_attributes(nodes, chain).select(F.to_json(F.struct("*")).alias("object"))
     write_document([('{"Event":' + json.dumps(event)[:-1] + ',"Attribute":[', attributes)], "]}}", path)
@@ -124,16 +126,24 @@ def graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_document([('{"entities":[', rows(nodes)), ('],"edges":[', rows(edges))], "]}", path)
 
 
-def graph_report(nodes: DataFrame, edges: DataFrame, actors: DataFrame, top: int = 20) -> dict:
-    """How large a fused graph is, and its most certain actors."""
-    return {"entities": nodes.count(), "edges": edges.count(), "threat_actors": actors.count(), "actors": _top(actors, top, F.desc("confidence"), "id")}
+def graph_report(nodes: DataFrame, edges: DataFrame, actors: DataFrame, members: DataFrame, top: int = 20, listed: int = 20) -> dict:
+    """How large a fused graph is, its most certain actors, and the first members of each kind of these."""
+    best = _top(actors, top, F.desc("confidence"), "id")
+    place = F.row_number().over(Window.partitionBy("actor", "type").orderBy("member"))
+    some = members.where(F.col("actor").isin([a["id"] for a in best])).withColumn("at", place).where(F.col("at") <= listed)
+    named = [r.asDict() for r in some.orderBy("actor", "type", "at").collect()]
+    for a in best:
+        a["members"] = {kind: [r["member"] for r in named if r["actor"] == a["id"] and r["type"] == kind] for kind in ("wallet-cluster", "infrastructure-cluster", "sanctioned-entity")}
+    return {"entities": nodes.count(), "edges": edges.count(), "threat_actors": actors.count(), "actors": best}
 
 
 def render_graph_text(made: dict) -> str:
     out = [f"{made['entities']} entities, {made['edges']} edges, {made['threat_actors']} threat actors", ""]
     for i, a in enumerate(made["actors"], 1):
         out.append(f"{i}. {a['id']}  confidence {a['confidence']:.2f} {a['confidence_band']}")
-        out += [f"   {name}: {', '.join(a[key])}" for name, key in (("wallets", "wallets"), ("infrastructure", "infra"), ("sanctioned", "sanctions")) if a[key]]
+        for name, kind, n in (("wallets", "wallet-cluster", a["n_wallets"]), ("infrastructure", "infrastructure-cluster", a["n_infra"]), ("sanctioned", "sanctioned-entity", a["n_sanctions"])):
+            if n:
+                out.append(f"   {name} ({n}): {', '.join(a['members'][kind])}{', ...' * (n > len(a['members'][kind]))}")
     return "\n".join([*out, "", "Leads for human review, not determinations.", ""])
 
 
