@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import clamp
-from veritrail.operators.components import connected_components
+from veritrail.operators import successors
+from veritrail.operators.components import ONE_TASK_EDGES, connected_components
 from veritrail.storage import materialize
 
+#: Steps of a chain, at most.
+LONGEST = 100
 TRANSACTION = "txid string, ts string, inputs array<struct<address:string,value:double>>, outputs array<struct<address:string,value:double>>, ordinal long"
 
 
@@ -67,27 +72,45 @@ def peel_steps(txs: DataFrame, ratio: float = 3.0) -> DataFrame:
     return two.where((F.col("small.value") > 0) & (F.col("big.value") >= F.lit(ratio) * F.col("small.value"))).select("txid", "ordinal", F.col("big.address").alias("remainder"), F.col("big.value").alias("remainder_value"), F.col("small.address").alias("peel"), F.col("small.value").alias("peel_value"))
 
 
-def peel_chains(txs: DataFrame, min_len: int = 2, ratio: float = 3.0) -> DataFrame:
-    """(txids, peels, length): chains of peel steps, each spent first by the next; starts inside a found chain are passed over."""
+def peel_chains(txs: DataFrame, min_len: int = 2, ratio: float = 3.0, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(txids, peels, length): chains of peel steps, each spent first by the next; starts inside a found chain are passed over.
+
+    Up to ``one_task`` steps are followed by one task, more by :mod:`veritrail.operators.successors`, with the same result."""
     steps = materialize(peel_steps(txs, ratio))
     spender = txs.select("txid", "ordinal", F.explode("inputs").alias("i")).groupBy(F.col("i.address").alias("remainder")).agg(F.min(F.struct("ordinal", "txid")).alias("s")).select("remainder", F.col("s.txid").alias("next_id"))
-    onward = materialize(steps.join(spender, "remainder").join(steps.select(F.col("txid").alias("next_id")), "next_id", "left_semi"))
-    parts = connected_components(onward.select(F.col("txid").alias("a"), F.col("next_id").alias("b")), steps.select(F.col("txid").alias("node")))
-    linked = steps.join(parts, steps["txid"] == parts["node"]).drop("node").join(onward.select("txid", "next_id"), "txid", "left")
-
-    def replay(chain: pd.DataFrame) -> pd.DataFrame:
-        step = {r.txid: r for r in chain.sort_values("ordinal").itertuples(index=False)}
-        used, out = set(), []
-        for start in step.values():
-            if start.txid in used:
+    onward = steps.join(spender, "remainder").join(steps.select(F.col("txid").alias("next_id")), "next_id", "left_semi").select("txid", "next_id")
+    linked = materialize(steps.join(onward, "txid", "left").select(F.col("txid").alias("id"), "ordinal", "peel", "next_id"))
+    if linked.count() <= one_task:
+        return linked.coalesce(1).mapInPandas(_followed(min_len), "txids array<string>, peels array<string>, length long")
+    ways = successors.jumps(linked, LONGEST)
+    reach = F.least(F.col("ahead"), F.lit(LONGEST - 1)).alias("reach")
+    rows = successors.ranked(linked, "ordinal", "id").join(ways[-1].select("id", reach), "id")
+    rows = materialize(rows.withColumn("able", F.col("reach") + 1 >= min_len))
+    walks = successors.walks(successors.chain_starts(rows).join(rows.select("id", "reach"), "id"), ways)
+    each = walks.join(linked.select(F.col("id").alias("row"), "peel"), "row").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "row", "peel"))).alias("w"))
+    return each.select(F.col("w.row").alias("txids"), F.col("w.peel").alias("peels"), F.size("w").cast("long").alias("length"))
+
+
+def _followed(min_len: int):
+    """The chains of all steps, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({c: [] for c in ("id", "ordinal", "peel", "next_id")}, dtype=object)]).sort_values(["ordinal", "id"])
+        ids, peels = rows["id"].tolist(), rows["peel"].tolist()
+        place = {x: i for i, x in enumerate(ids)}
+        after = [place.get(x, -1) for x in rows["next_id"].tolist()]
+        used, out = bytearray(len(ids)), []
+        for start in range(len(ids)):
+            if used[start]:
                 continue
             walk, at = [], start
-            while at is not None and len(walk) < 100:
+            while at >= 0 and len(walk) < LONGEST:
                 walk.append(at)
-                at = step.get(at.next_id) if isinstance(at.next_id, str) else None
+                at = after[at]
             if len(walk) >= min_len:
-                used.update(s.txid for s in walk)
-                out.append(([s.txid for s in walk], [s.peel for s in walk], len(walk)))
-        return pd.DataFrame(out, columns=["txids", "peels", "length"])
+                for i in walk:
+                    used[i] = 1
+                out.append(([ids[i] for i in walk], [peels[i] for i in walk], len(walk)))
+        yield pd.DataFrame(out, columns=["txids", "peels", "length"])
 
-    return linked.groupBy("component").applyInPandas(replay, "txids array<string>, peels array<string>, length long")
+    return run
