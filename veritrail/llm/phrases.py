@@ -488,8 +488,8 @@ def _counts(texts: DataFrame, filters: list[bytes], salt: int, hashes: DataFrame
             n = np.concatenate([x for _, x in held])
             order, starts, times = _runs(turned(keys, n, 0), *keys, n)
             at = order[starts]
-            for shard, body in _by_shard([k[at] for k in keys], n[at], times, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([task]), pa.array([body], pa.binary())], names=["shard", "salt", "body"])
+            found = list(_by_shard([k[at] for k in keys], n[at], times, shards))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([task] * len(found), pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["shard", "salt", "body"])
 
         for w in _taken(batches, salt):
             for n, at in enumerate(passing(w, fixed.value), 2):
@@ -523,16 +523,32 @@ def _cuts(frequent: DataFrame, hashes: DataFrame, counts: DataFrame, shards: int
     spark = frequent.sparkSession
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name)).to_numpy()
-            n, ids, keys = column("n"), column("id"), [column(h).view(np.uint64) for h in _NUMBERS]
+        held: list[pa.RecordBatch] = []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            n, ids = table["n"].to_numpy(), table["id"].to_numpy()
+            keys = [table[h].to_numpy().view(np.uint64) for h in _NUMBERS]
+            made = []
             for whole in range(2, LONGEST + 1):
                 rows = np.flatnonzero(n == whole)
                 for k in range(1, whole):
                     for right, part in ((0, range(k)), (1, range(k, whole))):
-                        # Who asks: the phrase's row in ids, the cut and the side.
-                        for shard, body in _by_shard([keys[i][rows] for i in part], len(part), (ids[rows] << 4) + 2 * k + right, shards):
-                            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([TaskContext.get().partitionId()]), pa.array([body], pa.binary())], names=["shard", "salt", "body"])
+                        # Who asks: the phrase, the cut and the side.
+                        padded = [keys[i][rows] for i in part] + [np.zeros(rows.size, np.uint64)] * (LONGEST - len(part))
+                        made.append((padded, np.full(rows.size, len(part)), (ids[rows] << 4) + 2 * k + right))
+            columns = [np.concatenate([m[0][i] for m in made]) for i in range(LONGEST)]
+            found = list(_by_shard(columns, np.concatenate([m[1] for m in made]), np.concatenate([m[2] for m in made]), shards))
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([task] * len(found), pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["shard", "salt", "body"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield from asked()
+                held = []
+        if held:
+            yield from asked()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, _, table, counts_, asked in _answers(batches):
