@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
-#: Tables written inside ``stage_tables``, innermost last.
-_scopes: list[list[str]] = []
+#: Tables written inside the innermost ``stage_tables`` of this thread or task.
+_scope: ContextVar[list[str] | None] = ContextVar("stage_tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, kind: str = "stage") -> str:
     """A path of its own in the shared folder, which goes when the innermost ``stage_tables`` ends."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if (written := _scope.get()) is not None:
+        written.append(path)
     return path
 
 
@@ -51,9 +52,11 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def stage_tables(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that operators write inside. What they return must have been written elsewhere by then."""
-    _scopes.append([])
+    written: list[str] = []
+    before = _scope.set(written)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(before)
+        for path in written:
             delete(spark, path)
