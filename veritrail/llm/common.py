@@ -103,22 +103,25 @@ def worker_cache(key, make: Callable[[], object]):
 
 
 class WordTable(dict):
-    """Numbers for each word, worked out once for a word that a Python worker meets, and forgotten at ``limit`` words."""
+    """Numbers for each word, worked out once for a word that a Python worker meets, and forgotten at ``limit`` words or
+    ``most`` bytes of them."""
 
-    def __init__(self, make: Callable[[bytes], tuple], codes: str, limit: int = 150_000) -> None:
-        self.make, self.codes, self.limit = make, codes, limit
+    def __init__(self, make: Callable[[bytes], tuple], codes: str, limit: int = 150_000, most: int = 24 << 20) -> None:
+        self.make, self.codes, self.limit, self.most, self.size = make, codes, limit, most, 0
         self.columns = [array(c) for c in codes]
 
     def __missing__(self, word: bytes) -> int:
         place = self[word] = len(self)
+        self.size += len(word)
         for column, value in zip(self.columns, self.make(word), strict=True):
             column.append(value)
         return place
 
     def look(self, words: list[bytes]) -> list[np.ndarray]:
         """An array for each number, over ``words``."""
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.size > self.most:
             self.clear()
+            self.size = 0
             self.columns = [array(c) for c in self.codes]
         places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return [np.frombuffer(column, column.typecode)[places] for column in self.columns]

@@ -33,6 +33,7 @@ from veritrail.storage import materialize
 SEQUENCE, BIN, END_ID = 2048, 8, 1
 #: Words, parts of plain ones and stems of others that a Python worker keeps the ids of: texts have many rare words.
 CACHED_WORDS, CACHED_PARTS, CACHED_STEMS = 300_000, 450_000, 250_000
+CACHED_LENGTH = 256
 #: Pieces that a rank is given to at a time.
 PIECES_PER_GROUP = 50_000
 
@@ -40,12 +41,14 @@ _PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 
 
 class Known(dict):
-    """What was worked out once; forgotten at ``limit`` entries."""
+    """What was worked out once; forgotten at ``limit`` entries. Keys above ``CACHED_LENGTH`` are worked out each time."""
 
     def __init__(self, make: Callable, limit: int) -> None:
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
+        if len(key) > CACHED_LENGTH:
+            return self.make(key)
         if len(self) >= self.limit:
             self.clear()
         found = self[key] = self.make(key)

@@ -174,23 +174,21 @@ SQL = """
 WITH d AS (
   SELECT doc_id, text, encode(coalesce(text, '')) AS b FROM documents),
 u AS (
-  SELECT DISTINCT doc_id, text, b FROM d WHERE doc_id IS NOT NULL AND octet_length(b) >= 100),
-s AS (
-  SELECT doc_id, text, hex(b) AS h, unnest(range(0, octet_length(b) - 99)) AS i FROM u),
+  SELECT row_number() OVER () AS u, * FROM (SELECT DISTINCT doc_id, text, b, octet_length(b) - 99 AS n FROM d WHERE doc_id IS NOT NULL AND octet_length(b) >= 100)),
+c AS (
+  SELECT u, doc_id, j, least(1000, n - j) AS m, substr(h, 2 * j + 1, 2198) AS h FROM (SELECT u, doc_id, n, hex(b) AS h, unnest(range(0, n, 1000)) AS j FROM u)),
 k AS (
-  SELECT doc_id, text, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM s),
+  SELECT u, doc_id, j + unnest(range(0, m)) AS i, unnest(list_transform(range(0, m), lambda i: md5_number(substr(h, 2 * i + 1, 200)))) AS g FROM c),
 r AS (
-  SELECT doc_id, text, i FROM (
-    SELECT doc_id, text, i, min(doc_id) OVER (PARTITION BY g) AS first, min(i) OVER (PARTITION BY g, doc_id, text) AS own FROM k)
-  WHERE doc_id > first OR i > own),
-g AS (
-  SELECT DISTINCT doc_id, text, unnest(range(i, i + 100)) AS p FROM r),
+  SELECT u, i FROM (SELECT u, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first, min(i) OVER (PARTITION BY g, u) AS own FROM k) WHERE doc_id > first OR i > own),
+e AS (
+  SELECT u, i, coalesce(i > lag(i) OVER (PARTITION BY u ORDER BY i) + 100, true) AS new FROM r),
 n AS (
-  SELECT doc_id, text, p, p - row_number() OVER (PARTITION BY doc_id, text ORDER BY p) AS run FROM g),
+  SELECT u, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY u ORDER BY i) AS run FROM e),
 a AS (
-  SELECT doc_id, text, min(p) AS a, max(p) + 1 AS z FROM n GROUP BY doc_id, text, run),
+  SELECT u, min(i) AS a, max(i) + 100 AS z FROM n GROUP BY u, run),
 l AS (
-  SELECT doc_id, text, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM a GROUP BY doc_id, text),
+  SELECT doc_id, text, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM a JOIN u USING (u) GROUP BY doc_id, text),
 f AS (
   SELECT d.doc_id, hex(b) AS h, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
          list_prepend(0, coalesce(stops, [])) AS kept_from, list_append(coalesce(starts, []), octet_length(b)) AS kept_to

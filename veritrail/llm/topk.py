@@ -22,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.storage import materialize
+
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
+#: Of longer vectors a block holds fewer, so that it has no more numbers than with vectors of so many components.
+BLOCK_COMPONENTS = 128
 #: Queries whose coarsest bounds are held at a time.
 BOUND_BLOCK = 256
 LEVELS = (4, 16, 32)
@@ -42,11 +46,13 @@ def quantize(vectors: DataFrame, scale: int = 256, vec: str = "embedding", key:
 
 
 def _blocks(vectors: DataFrame, size: int, prefix: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-vectors.count() // size))
-    # Repeated ids are dealt out too.
-    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias(f"{prefix}b")
+    # Rows get their numbers when they are written, so that blocks are the same whenever a task is run again; repeated ids are dealt out too.
+    numbered = materialize(vectors.withColumn("at", F.monotonically_increasing_id()))
+    held = numbered.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("components")).first()
+    n = max(1, -(-held["n"] // size), -(-held["components"] // (size * BLOCK_COMPONENTS)))
+    block = F.pmod(F.xxhash64("vec_id", "at"), F.lit(n)).cast("int").alias(f"{prefix}b")
     rows = F.collect_list(F.struct("vec_id", F.xxhash64("q").alias("key"), "q"))
-    packed = vectors.groupBy(F.size("q").alias("dim"), block).agg(rows.alias("rows"))
+    packed = numbered.groupBy(F.size("q").alias("dim"), block).agg(rows.alias("rows"))
     return packed.select("dim", f"{prefix}b", F.col("rows.vec_id").alias(f"{prefix}_ids"), F.col("rows.key").alias(f"{prefix}_keys"), F.flatten("rows.q").alias(f"{prefix}_flat")), n
 
 

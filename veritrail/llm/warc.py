@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.storage import materialize, shared_dir
+from veritrail.storage import materialize, new_path
 
 MIN_REVISIT = 1000
-#: Bounds the size of an archive, which one task reads.
-RECORDS_PER_FILE = 500
+#: Bounds the size of an archive, which one task reads: so many records of payloads up to LARGE bytes, or so many larger ones.
+RECORDS_PER_FILE, LARGE, LARGE_PER_FILE = 500, 1 << 19, 4
 MAGIC, TRAILER = b"WARC/1.0\r\n", "\r\n\r\n"
 _CANDIDATE = pa.schema(
     [("file", pa.string()), ("pos", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
@@ -63,8 +62,10 @@ def write_archives(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00
         _header("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    records = rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
-    records.write.option("lineSep", TRAILER).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = rows.withColumn("block", block).select("size", F.concat(head, F.col("block")).alias("value"))
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for kept, most in (("size <= ", RECORDS_PER_FILE), ("size > ", LARGE_PER_FILE))[: 1 + (largest > LARGE)]:
+        records.where(f"{kept}{LARGE}").select("value").write.mode("append").option("lineSep", TRAILER).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _page(urn: str) -> int | None:
@@ -132,7 +133,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
