@@ -1,6 +1,9 @@
 """Readers, feeds, explorers, exports and streams on small inputs."""
 
 import json
+import threading
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +106,80 @@ def test_offline_cache(tmp_path):
         client.get("http://nowhere.invalid/x")
 
 
+class Server(BaseHTTPRequestHandler):
+    """Signatures and their transactions; a feed that changes with every reply, fails at first, or isn't there."""
+
+    hits: Counter = Counter()
+
+    def log_message(self, *args):
+        pass
+
+    def _reply(self, code, body):
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write(body.encode())
+
+    def do_GET(self):
+        self.hits[self.path] += 1
+        n = self.hits[self.path]
+        if self.path == "/flaky" and n < 3:
+            self._reply(503, "later")
+        elif self.path == "/gone":
+            self._reply(404, "no")
+        else:
+            self._reply(200, f"10.0.0.{n}\n10.0.1.1\n")
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.hits[asked["method"]] += 1
+        if asked["method"] == "getSignaturesForAddress":
+            self._reply(200, json.dumps({"result": [{"signature": f"s{i}", "slot": i} for i in range(5)][: asked["params"][1]["limit"]]}))
+        elif asked["params"] == ["s3", {"encoding": "json", "maxSupportedTransactionVersion": 0}]:
+            self._reply(400, "bad")
+        else:
+            tx = {"blockTime": 1, "meta": {"preBalances": [10**9, 0], "postBalances": [0, 10**9]}, "transaction": {"signatures": [asked["params"][0]], "message": {"accountKeys": ["a", "b"]}}}
+            self._reply(200, json.dumps({"result": tx}))
+
+
+@pytest.fixture
+def server(monkeypatch):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    Server.hits.clear()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    urls = {"solana_rpc": f"{base}/rpc", "tor_bulk_exitlist": f"{base}/exits", "sslbl_ips": f"{base}/flaky", "urlhaus": f"{base}/gone"}
+    known = catalog.get_source
+    monkeypatch.setattr(catalog, "get_source", lambda name: known(name) | ({"url": urls[name]} if name in urls else {}))
+    yield base
+    server.shutdown()
+
+
+def test_two_phases(spark, tmp_path, server):
+    client = http.HttpClient(str(tmp_path), pause=0.01)
+    found = http.fetch(spark, "solana_rpc", client, "addr", on_error="skip")
+    assert sorted(r["txid"] for r in found.collect()) == ["s0", "s1", "s2", "s4"]
+    assert Server.hits["getTransaction"] == 5 and Server.hits["getSignaturesForAddress"] == 1
+    with pytest.raises(RuntimeError, match="400"):
+        http.fetch(spark, "solana_rpc", client, "addr")
+    assert http.fetch(spark, "solana_rpc", client, "addr", limit=2).count() == 2
+    before = dict(Server.hits)
+    again = http.fetch(spark, "solana_rpc", http.HttpClient(str(tmp_path), offline=True), "addr", limit=2)
+    assert sorted(r["txid"] for r in again.collect()) == ["s0", "s1"] and dict(Server.hits) == before
+
+
+def test_feeds_side_by_side(spark, tmp_path, server):
+    client = http.HttpClient(str(tmp_path), pause=0.01)
+    names = ["tor_bulk_exitlist", "sslbl_ips", "urlhaus"]
+    found, errors = http.build_intel(spark, client, names)
+    assert sorted(r["value"] for r in found.collect()) == ["10.0.0.1", "10.0.0.3", "10.0.1.1"] and list(errors) == ["urlhaus"] and "404" in errors["urlhaus"]
+    assert Server.hits["/flaky"] == 3 and Server.hits["/gone"] == 1
+    # Online, a reply is fetched again and replaces what is cached; offline, nothing is fetched.
+    newer, _ = http.build_intel(spark, client, names[:1])
+    assert sorted(r["value"] for r in newer.collect()) == ["10.0.0.2", "10.0.1.1"]
+    kept, missing = http.build_intel(spark, http.HttpClient(str(tmp_path), offline=True), names[:1] + ["urlhaus"])
+    assert sorted(r["value"] for r in kept.collect()) == ["10.0.0.2", "10.0.1.1"] and "offline" in missing["urlhaus"]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([{"id": "a", "src": "x", "dst": None, "amount": 5, "timestamp": "2026-01-01T02:00:00Z", "more": 1}, {"id": "b", "src": "x", "timestamp": "bad"}]))
     rows = {r["id"]: r for r in readers.load_transfers(spark, str(tmp_path / "l.json")).collect()}

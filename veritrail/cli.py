@@ -52,9 +52,9 @@ def _parser() -> argparse.ArgumentParser:
     add("screen", "--transactions!", "--sdn!")
     add("sources-list", "--category", "--chain")
     add("sources-stats")
-    add("sources-fetch", "--name!", "--address", "--limit", "--cache", limit="20", cache=".cache")
-    add("sources-intel", "--cache", cache=".cache")
-    add("sources-address", "--chain!", "--address!", "--cache", cache=".cache")
+    add("sources-fetch", "--name!", "--address", "--limit", "--cache", limit="20", cache=".cache").add_argument("--offline", action="store_true")
+    add("sources-intel", "--cache", cache=".cache").add_argument("--offline", action="store_true")
+    add("sources-address", "--chain!", "--address!", "--cache", cache=".cache").add_argument("--offline", action="store_true")
     for name in ("typologies", "temporal", "risk", "case"):
         sub = add(name, "--ledger!", "--watchlist", "--top", "--csv", "--json", "--stix", "--html")
         sub.add_argument("--resolve", action="store_true")
@@ -113,16 +113,16 @@ def main(argv: list[str] | None = None) -> int:
     elif command == "sources-stats":
         _show(catalog.stats(catalog.catalog(spark)))
     elif command == "sources-fetch":
-        _show(http.fetch(spark, args.name, http.HttpClient(args.cache), args.address), int(args.limit))
+        _show(http.fetch(spark, args.name, http.HttpClient(args.cache, args.offline), args.address), int(args.limit))
     elif command == "sources-intel":
-        found, errors = http.build_intel(spark, http.HttpClient(args.cache))
+        found, errors = http.build_intel(spark, http.HttpClient(args.cache, args.offline))
         _show(feeds.summary(found))
         print(errors, file=sys.stderr)
     elif command == "sources-address":
         listed = [r for r in catalog.rows() if args.chain in r[2] and r[5] == "transaction" and r[8]]
         if not listed:
             raise SystemExit(f"no source traces {args.chain}")
-        _show(chain.common_input_clusters(http.fetch(spark, listed[0][0], http.HttpClient(args.cache), args.address)))
+        _show(chain.common_input_clusters(http.fetch(spark, listed[0][0], http.HttpClient(args.cache, args.offline), args.address)))
     elif command == "typologies":
         # Shown and exported: worked out once.
         found = materialize(case.run_detectors(_ledger(spark, args), _watch(spark, args), registry=case.LEDGER))
