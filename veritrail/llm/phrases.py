@@ -310,27 +310,52 @@ def _key_arrays(keys: list[np.ndarray], n) -> list[pa.Array]:
 
 
 def _candidates(texts: DataFrame, filters: list[bytes], salt: int) -> DataFrame:
-    """(n, h0.., lang, phrase): what passes all filters, mostly once a task."""
-    fixed = texts.sparkSession.sparkContext.broadcast(filters)
+    """(n, h0.., lang, phrase) of what passes all filters, each once. Tasks pack what they find by buckets of its hash; a bucket's
+    rows then meet in one task, which keeps a key for each phrase."""
+    spark = texts.sparkSession
+    fixed = spark.sparkContext.broadcast(filters)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for w in _taken(batches, salt):
             if len(seen) > HELD // 2:
                 seen.clear()
+            rows = []
             for n, at in enumerate(passing(w, fixed.value), 2):
                 keys = _columns(w, at, n)
                 order, starts, _ = _runs(turned(keys, n, 0), *keys)
                 at = at[order[starts]]
-                names = [row.tobytes() for row in np.stack(_columns(w, at, n), axis=1)] if at.size else []
-                new = [i for i, name in enumerate(names) if name not in seen]
-                seen.update(names[i] for i in new)
-                at = at[new]
-                phrases = pa.array([w.phrase(i, n) for i in at.tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*_key_arrays(_columns(w, at, n), n), pa.array([w.lang] * at.size, pa.string()), phrases], names=["n", *_NUMBERS, "lang", "phrase"])
-
-    found = texts.mapInArrow(run, f"{_KEY_SQL}, lang string, phrase string")
-    return found.distinct()
+                keys = np.zeros((at.size, LONGEST), np.uint64)
+                for i, k in enumerate(_columns(w, at, n)):
+                    keys[:, i] = k
+                to = (turned(_columns(w, at, n), n, 0) % np.uint64(buckets)).tolist()
+                for i, place in enumerate(at.tolist()):
+                    name = bytes([n]) + keys[i].tobytes()
+                    if name not in seen:
+                        seen.add(name)
+                        rows.append((to[i], name, w.phrase(place, n)))
+            rows.sort()
+            edges = [i for i in range(len(rows)) if not i or rows[i][0] != rows[i - 1][0]] + [len(rows)]
+            found = [(rows[a][0], zlib.compress(b"".join(r[1] for r in rows[a:b]), 1), zlib.compress(b"\n".join(r[2] for r in rows[a:b]), 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([w.lang] * len(found), pa.string()), *(pa.array([f[i] for f in found], pa.binary()) for i in (1, 2))], names=["bucket", "lang", "names", "phrases"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, seen = 1 + 8 * LONGEST, set()
+        for batch in batches:
+            for lang, names, phrases in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                raw = zlib.decompress(names)
+                names = [raw[a : a + size] for a in range(0, len(raw), size)]
+                new = [(name, phrase) for name, phrase in zip(names, zlib.decompress(phrases).split(b"\n"), strict=True) if name not in seen]
+                seen.update(name for name, _ in new)
+                if new:
+                    keys = np.frombuffer(b"".join(name[1:] for name, _ in new), np.uint64).reshape(-1, LONGEST)
+                    n = np.array([name[0] for name, _ in new])
+                    words = pa.array([phrase for _, phrase in new], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([*_key_arrays([keys[:, i] for i in range(LONGEST)], n), pa.array([lang] * n.size, pa.string()), words], names=["n", *_NUMBERS, "lang", "phrase"])
+
+    packed = texts.mapInArrow(run, "bucket long, lang string, names binary, phrases binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(once, f"{_KEY_SQL}, lang string, phrase string")
 
 
 class PerfectHash:
