@@ -172,8 +172,10 @@ def _pairs(asks: DataFrame, codes: DataFrame, n_asks: int, n_codes: int) -> Data
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     asked = asks.groupBy("dim", block("ask", n_ask).alias("qb")).agg(F.collect_list(F.struct("ask", "code", "radius")).alias("r")).select("dim", "qb", F.col("r.ask").alias("asks"), F.flatten("r.code").alias("q"), F.col("r.radius").alias("radii"))
     coded = codes.groupBy("dim", block("cls", n_code).alias("cb")).agg(F.collect_list(F.struct("cls", "code")).alias("r")).select("dim", "cb", F.col("r.cls").alias("classes"), F.flatten("r.code").alias("c"))
-    asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_code - 1))))
-    coded = coded.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))))
+    # As many tasks as there are pairs, or as shuffles have: blocks are small, and else a few tasks would take them all.
+    tasks = min(n_ask * n_code, int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_code - 1)))).repartition(tasks, "dim", "qb", "cb")
+    coded = coded.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1)))).repartition(tasks, "dim", "qb", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
