@@ -293,7 +293,7 @@ def _counters(texts: DataFrame, filters: list[bytes], salt: int) -> DataFrame:
         task, pieces = TaskContext.get().partitionId(), (slots >> np.uint64(PIECE_BITS)).astype(np.int64)
         low = slots & np.uint64((1 << PIECE_BITS) - 1)
         at = np.flatnonzero(np.diff(pieces, prepend=-1))
-        bodies = [packed_counts(low[a:b], counts[a:b]) for a, b in zip(at.tolist(), [*at[1:].tolist(), pieces.size], strict=True)]
+        bodies = [packed_counts(low[a:b], counts[a:b]) for a, b in zip(at.tolist(), [*at[1:].tolist(), pieces.size][: at.size], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(pieces[at]), pa.array(np.full(at.size, task, np.int64)), pa.array(bodies, pa.binary())], names=["piece", "task", "body"])
 
     return texts.mapInArrow(run, "piece long, task long, body binary")
