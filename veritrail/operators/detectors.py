@@ -57,7 +57,7 @@ def structuring(transfers: DataFrame, threshold: float = 10000.0, band_frac: flo
     out = best.select("dst", (-F.col("best.n")).alias("near_band_count"), F.col("best.total").alias("window_total"))
     ratio = F.col("window_total") / F.lit(threshold)
     score = clamp(F.lit(0.45) + F.lit(0.08) * (F.col("near_band_count") - min_count) + F.lit(0.15) * F.least(ratio - 1.0, F.lit(2.0)))
-    return out.select(F.array("dst").alias("entities"), score.alias("score"), "near_band_count", "window_total", ratio.alias("aggregate_ratio"))
+    return out.select(F.array("dst").alias("entities"), score.alias("score"), "near_band_count", "window_total", ratio.alias("aggregate_ratio"), F.lit(float(threshold)).alias("threshold"), F.lit(low).alias("band_low"))
 
 
 def next_outflow(transfers: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def burst_velocity(transfers: DataFrame, window_hours: float = 24.0, min_events:
     per = per.withColumn("baseline_events_per_window", F.col("events") / (F.col("span") / F.lit(window_hours * HOUR)))
     per = per.withColumn("spike_ratio", F.col("peak_events_in_window") / F.col("baseline_events_per_window")).where(F.col("spike_ratio") >= spike_factor)
     score = clamp(F.lit(0.4) + F.lit(0.12) * F.least(F.col("spike_ratio") - F.lit(spike_factor), F.lit(5.0)))
-    return per.select(F.array("entity").alias("entities"), score.alias("score"), "peak_events_in_window", "baseline_events_per_window", "spike_ratio")
+    return per.select(F.array("entity").alias("entities"), score.alias("score"), "peak_events_in_window", "baseline_events_per_window", "spike_ratio", F.lit(float(window_hours)).alias("window_hours"))
 
 
 def dormancy_activation(transfers: DataFrame, dormancy_days: float = 90.0, min_prior: int = 2, burst_after: int = 3) -> DataFrame:

@@ -9,11 +9,11 @@ from veritrail.plans.views import table
 
 
 def transactions(s, d):
-    """Orders as transactions: suppliers pay in, parts are paid; values are rounded to 1000 so that outputs look alike."""
-    lines = table(s, d, "lineitem").join(table(s, d, "orders").where("o_orderkey % 20 = 0 or o_totalprice > 0").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Orders as transactions: suppliers pay in, parts are paid; values are 400 and a rounded thousandth, so that outputs look alike."""
+    lines = table(s, d, "lineitem").join(table(s, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("k"), F.min(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("ts"))
-    value = lambda x: F.round(x["l_extendedprice"] / 1000)
+    value = lambda x: F.round(x["l_extendedprice"] / 1000) + 400.0
     inputs = F.transform("k", lambda x: F.struct(F.concat(F.lit("S"), x["l_suppkey"].cast("string"), F.lit("-"), (F.col("l_orderkey") % 7).cast("string")).alias("address"), value(x).alias("value")))
     outputs = F.transform("k", lambda x: F.struct(F.concat(F.lit("P"), x["l_partkey"].cast("string")).alias("address"), (value(x) + 1.0).alias("value")))
     return rows.select(F.col("l_orderkey").cast("string").alias("txid"), "ts", inputs.alias("inputs"), outputs.alias("outputs"), F.col("l_orderkey").alias("ordinal"))
@@ -52,10 +52,10 @@ def enriched(s, d):
 QUERIES = {
     "common_input_clusters": lambda s, d: chain.common_input_clusters(transactions(s, d)),
     "flow_expansion": lambda s, d: chain.flow(transactions(s, d)).groupBy("source", "target").agg(F.count("*").alias("n"), F.sum("out_value").alias("value")),
-    "trace_forward": lambda s, d: chain.trace(peeling(s, d), "C100", "forward", 3),
-    "trace_backward": lambda s, d: chain.trace(peeling(s, d), "C100", "backward", 3),
-    "mixer": lambda s, d: chain.mixers(transactions(s, d), uniformity=0.5),
-    "demix": lambda s, d: chain.demix(transactions(s, d), chain.mixers(transactions(s, d), uniformity=0.5)),
+    "trace_forward": lambda s, d: chain.trace(peeling(s, d), "C100", "forward"),
+    "trace_backward": lambda s, d: chain.trace(peeling(s, d), "C100", "backward"),
+    "mixer": lambda s, d: chain.mixers(transactions(s, d)),
+    "demix": lambda s, d: chain.demix(transactions(s, d)),
     "peel_steps": lambda s, d: chain.peel_steps(peeling(s, d)),
     "peel_chain": lambda s, d: chain.peel_chains(peeling(s, d)).withColumns({"txids": F.array_join("txids", ">"), "peels": F.array_join("peels", ">")}),
     "enrich_anonymizer": enriched,
@@ -66,7 +66,7 @@ QUERIES = {
     "screen_names": lambda s, d: screening.screen_names(table(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("ordinal")), sdn(s, d)),
 }
 
-_TX = """l AS (SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, round(l_extendedprice / 1000) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+_TX = """l AS (SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, round(l_extendedprice / 1000) + 400e0 AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 i AS (SELECT l_orderkey AS k, CAST(l_orderkey AS VARCHAR) AS txid, 'S' || l_suppkey || '-' || (l_orderkey % 7) AS address, v AS value,
              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM l),
 o AS (SELECT l_orderkey AS k, CAST(l_orderkey AS VARCHAR) AS txid, 'P' || l_partkey AS address, v + 1e0 AS value,
@@ -75,7 +75,7 @@ o AS (SELECT l_orderkey AS k, CAST(l_orderkey AS VARCHAR) AS txid, 'P' || l_part
 _MIX = """v AS (SELECT k, txid, list(value ORDER BY pos) AS vals FROM o GROUP BY k, txid HAVING count(*) >= 3),
 m AS (SELECT *, list_sum(vals) / len(vals) AS mean FROM v),
 c AS (SELECT txid, len(vals) AS n, sqrt(list_reduce(list_prepend(0e0, list_transform(vals, lambda x: (x - mean) * (x - mean))), lambda a, b: a + b) / len(vals)) / mean AS cv FROM m WHERE mean > 0),
-mixer AS (SELECT txid, n AS n_inputs, n AS n_outputs, cv, greatest(0e0, least(0.95e0, 0.6e0 + (0.5e0 - cv))) AS score FROM c WHERE cv <= 0.5e0)"""
+mixer AS (SELECT txid, n AS n_inputs, n AS n_outputs, cv, greatest(0e0, least(0.95e0, 0.6e0 + (0.1e0 - cv))) AS score FROM c WHERE cv <= 0.1e0)"""
 _PEEL = """f AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS txid, 'C' || o_custkey AS source, 'K' || (o_orderkey % 100) AS target, o_totalprice AS in_value, o_totalprice * 0.1e0 AS out_value FROM orders
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'C' || o_custkey, 'C' || (o_custkey + 1), o_totalprice, o_totalprice * 0.8e0 FROM orders)"""
@@ -85,7 +85,8 @@ def _trace(here: str, there: str, value: str) -> str:
     return f"""WITH RECURSIVE {_PEEL},
 n0 AS (SELECT 'C100' AS a), n1 AS (SELECT DISTINCT {there} AS a FROM f JOIN n0 ON {here} = a WHERE {there} NOT IN (SELECT a FROM n0)),
 n2 AS (SELECT DISTINCT {there} AS a FROM f JOIN n1 ON {here} = a WHERE {there} NOT IN (SELECT a FROM n0 UNION SELECT a FROM n1)),
-n AS (SELECT a, CAST(1 AS BIGINT) AS hop FROM n0 UNION ALL SELECT a, 2 FROM n1 UNION ALL SELECT a, 3 FROM n2)
+n3 AS (SELECT DISTINCT {there} AS a FROM f JOIN n2 ON {here} = a WHERE {there} NOT IN (SELECT a FROM n0 UNION SELECT a FROM n1 UNION SELECT a FROM n2)),
+n AS (SELECT a, CAST(1 AS BIGINT) AS hop FROM n0 UNION ALL SELECT a, 2 FROM n1 UNION ALL SELECT a, 3 FROM n2 UNION ALL SELECT a, 4 FROM n3)
 SELECT txid, source, target, {value} AS value, '2026-01-01T00:00:00' AS ts, hop FROM f JOIN n ON {here} = a"""
 
 
@@ -98,7 +99,7 @@ r(a, b) AS (SELECT DISTINCT a, min(b) OVER (PARTITION BY a) FROM u UNION SELECT
 SELECT a AS address, least(a, min(b)) AS cluster FROM r GROUP BY a""",
     "flow_expansion": f"WITH {_TX} SELECT i.address AS source, o.address AS target, count(*) AS n, sum(o.value) AS value FROM i JOIN o USING (k) GROUP BY 1, 2",
     "trace_forward": _trace("source", "target", "out_value"),
-    "trace_backward": _trace("target", "source", "in_value").replace("'C100' AS a", "'C100' AS a"),
+    "trace_backward": _trace("target", "source", "in_value"),
     "mixer": f"WITH {_TX}, {_MIX} SELECT * FROM mixer",
     "demix": f"""WITH {_TX}, {_MIX},
 x AS (SELECT i.txid, i.pos, i.address AS input, o.address AS output, i.value AS input_value, o.value AS output_value, abs(o.value - i.value) / i.value AS rel

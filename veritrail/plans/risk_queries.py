@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritrail.operators import case, chain, detectors, fusion, metrics, risk, traversal
+from veritrail.operators import case, chain, detectors, fusion, infra, metrics, risk, screening, traversal
 from veritrail.plans.chain_queries import observations, peeling, sdn
-from veritrail.plans.ledger_queries import FUNNEL_SQL, STRUCTURING, STRUCTURING_SQL, TRADE_SQL
-from veritrail.plans.views import TRANSFERS, rings, transfers
+from veritrail.plans.ledger_queries import FUNNEL_SQL, STRUCTURING_SQL, TRADE_SQL
+from veritrail.plans.views import BRISK, FUNNELS, TRANSFERS, brisk, funnels, rings, table, transfers
 from veritrail.sources import planted
 from veritrail.storage import materialize
 
@@ -15,7 +15,7 @@ from veritrail.storage import materialize
 def findings(s, d):
     """Structuring, trade and funnel findings, over one reading of the transfers; scores unrounded."""
     rows = materialize(transfers(s, d))
-    parts = {"structuring": detectors.structuring(rows, **STRUCTURING), "trade_value_anomaly": detectors.trade_value_anomaly(rows), "funnel_account": detectors.funnel_account(rows)}
+    parts = {"structuring": detectors.structuring(brisk(rows)), "trade_value_anomaly": detectors.trade_value_anomaly(rows), "funnel_account": detectors.funnel_account(funnels(s, d))}
     out = None
     for name, found in parts.items():
         one = found.select(F.concat(F.lit(name + ":"), F.array_join("entities", "|"), F.lit(":"), F.col("score").cast("string")).alias("id"), F.lit(name).alias("typology"), "entities", "score")
@@ -60,18 +60,32 @@ def case_summary(s, d):
 
 
 def planted_recall(s, d):
-    """The detectors with default parameters over the planted ledger."""
-    rows, truth, listed_ = planted.ledger(s)
-    return metrics.typology_recall(case.run_detectors(rows, listed_), truth)
+    """The detectors with default parameters over a ledger of a case of each kind for each supplier."""
+    rows, truth, listed_ = planted.ledgers(table(s, d, "supplier").select(F.col("s_suppkey").alias("key")))
+    return metrics.typology_recall(case.run_detectors(materialize(rows), listed_), truth)
 
 
 def planted_scores(s, d):
-    """Wallet clusters and mixers of planted transactions, clean and noisy."""
-    out = None
+    """Wallet clusters, mixers, infrastructure and screening of cases planted for each customer, clean and noisy."""
+    keys, out = table(s, d, "customer").select(F.col("c_custkey").alias("key")), None
+    obs, groups = planted.observations(s)
+    entry = s.createDataFrame([("listed", "P", [], {"crypto": ["O0-1", "M0-2", "unseen"]}, 0)], screening.SDN)
+    listed_ = planted.copies(entry.select(F.explode("addresses.crypto").alias("address")), keys, "address")
+    sdn_rows = listed_.select(F.lit("listed").alias("name"), F.lit("P").alias("program"), F.array().cast("array<string>").alias("aka"), F.struct(F.array("address").alias("crypto")).alias("addresses"), F.lit(0).cast("long").alias("ordinal"))
     for noisy in (False, True):
-        txs, wallets, mixed = planted.transactions(s, noisy)
-        clusters = chain.common_input_clusters(txs).select(F.col("address").alias("member"), "cluster")
-        both = {"clusters": metrics.pairwise_scores(clusters, wallets), "mixers": metrics.label_scores(chain.mixers(txs).select(F.col("txid").alias("label")), mixed)}
+        txs, wallets, mixed = planted.many_transactions(keys, noisy)
+        txs = materialize(txs)
+        clusters = materialize(chain.common_input_clusters(txs))
+        both = {
+            "clusters": metrics.pairwise_scores(clusters.select(F.col("address").alias("member"), "cluster"), wallets),
+            "mixers": metrics.label_scores(chain.mixers(txs).select(F.col("txid").alias("label")), mixed),
+            "screening": metrics.label_scores(screening.screen_addresses(clusters, sdn_rows).select(F.lower("address").alias("label")), listed_.where("address not like 'unseen%'").select(F.lower("address").alias("label"))),
+        }
+        if not noisy:
+            # Certificates and domains are a key's own, as addresses are.
+            own = lambda c: F.concat(c, F.lit("-"), F.regexp_extract("ip", "-([^-]*)$", 1))
+            seen = planted.copies(obs, keys, "ip").withColumns({"cert_sha256": own(F.col("cert_sha256")), "domains": F.transform("domains", own)})
+            both["infrastructure"] = metrics.pairwise_scores(infra.fingerprint_clusters(seen).select(F.col("ip").alias("member"), "cluster"), planted.copies(groups, keys, "member", "cluster"))
         for name, scores in both.items():
             one = scores.withColumn("name", F.lit(f"{name}, {'noisy' if noisy else 'clean'}"))
             out = one if out is None else out.unionByName(one)
@@ -90,7 +104,7 @@ QUERIES = {
     "case_summary": case_summary,
 }
 
-_FINDINGS = f"""{TRANSFERS}, {STRUCTURING_SQL}, {TRADE_SQL}, {FUNNEL_SQL},
+_FINDINGS = f"""{TRANSFERS}, {BRISK}, {FUNNELS}, {STRUCTURING_SQL}, {TRADE_SQL}, {FUNNEL_SQL},
 finding AS (
   SELECT 'structuring' AS typology, entities, score, 0.75e0 AS weight FROM structuring
   UNION ALL SELECT 'trade_value_anomaly', entities, score, 0.7e0 FROM trade
@@ -127,10 +141,12 @@ k AS (SELECT x, cluster FROM w UNION ALL SELECT x, cluster FROM i)"""
 
 ORACLES = {
     # The planted truth: each case is found; a transaction of two owners makes one cluster of eight of their two of four.
-    "planted_recall": """WITH t(typology, planted) AS (VALUES ('structuring', 1), ('layering', 6), ('pass_through', 1), ('round_tripping', 3), ('trade_value_anomaly', 2), ('shell_nominee', 3), ('funnel_account', 1), ('burst_velocity', 1), ('dormancy_activation', 1), ('periodicity', 1), ('sanctions_nexus', 1))
-SELECT typology, CAST(planted AS BIGINT) AS planted, CAST(planted AS BIGINT) AS recovered, 1e0 AS recall FROM t UNION ALL SELECT 'macro', sum(planted), sum(planted), 1e0 FROM t""",
-    "planted_scores": """SELECT * FROM (VALUES ('clusters, clean', 1e0, 1e0, 1e0, CAST(48 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)), ('mixers, clean', 1e0, 1e0, 1e0, 2, 0, 0),
-  ('clusters, noisy', 0.75e0, 1e0, 0.8571e0, 48, 16, 0), ('mixers, noisy', 1e0, 1e0, 1e0, 2, 0, 0)) v(name, precision, recall, f1, tp, fp, fn)""",
+    "planted_recall": """WITH t(typology, k) AS (VALUES ('structuring', 1), ('layering', 6), ('pass_through', 1), ('round_tripping', 3), ('trade_value_anomaly', 2), ('shell_nominee', 3), ('funnel_account', 1), ('burst_velocity', 1), ('dormancy_activation', 1), ('periodicity', 1), ('sanctions_nexus', 1)),
+p AS (SELECT typology, CAST(k * count(*) AS BIGINT) AS planted FROM t, supplier GROUP BY typology, k)
+SELECT typology, planted, planted AS recovered, 1e0 AS recall FROM p UNION ALL SELECT 'macro', CAST(sum(planted) AS BIGINT), CAST(sum(planted) AS BIGINT), 1e0 FROM p""",
+    "planted_scores": """SELECT name, precision, recall, f1, CAST(tp * n AS BIGINT) AS tp, CAST(fp * n AS BIGINT) AS fp, fn FROM (SELECT count(*) AS n FROM customer), (VALUES
+  ('clusters, clean', 1e0, 1e0, 1e0, 48, 0, CAST(0 AS BIGINT)), ('mixers, clean', 1e0, 1e0, 1e0, 2, 0, 0), ('screening, clean', 1e0, 1e0, 1e0, 2, 0, 0), ('infrastructure, clean', 1e0, 1e0, 1e0, 24, 0, 0),
+  ('clusters, noisy', 0.75e0, 1e0, 0.8571e0, 48, 16, 0), ('mixers, noisy', 1e0, 1e0, 1e0, 2, 0, 0), ('screening, noisy', 1e0, 1e0, 1e0, 2, 0, 0)) v(name, precision, recall, f1, tp, fp, fn)""",
     "entity_risk": f"WITH {_ENTITY} SELECT entity, risk, {_band('risk')} AS risk_band, k AS typology_count, typologies, bonus AS diversity_bonus, base AS base_noisy_or FROM risk",
     "network_risk": f"""WITH RECURSIVE {_ENTITY},
 u AS (SELECT src AS a, dst AS b FROM transfers UNION SELECT dst, src FROM transfers),

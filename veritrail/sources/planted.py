@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from veritrail.operators.chain import TRANSACTION
+from veritrail.operators.infra import OBSERVATION
 from veritrail.operators.ledger import DAY, HOUR
 
 LEDGER = "id string, src string, dst string, amount double, ts_micros long, counterparty_country string, goods_value double"
@@ -87,3 +90,41 @@ def transactions(spark: SparkSession, noisy: bool = False, owners: int = 6, seed
     if noisy:
         add([("o0-0", 1), ("o1-0", 1)], [("shop-0", 2)])
     return spark.createDataFrame(rows, TRANSACTION), spark.createDataFrame(wallets, "member string, cluster string"), spark.createDataFrame([(m,) for m in mixers], "label string")
+
+
+def copies(frame: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """The rows of a small frame once for each key (key), which ends what ``names`` hold: strings, or sides of transactions."""
+    items = "[" + ",".join(frame.toJSON().collect()) + "]"
+    rows = keys.select(F.col("key").cast("string").alias("key"), F.explode(F.from_json(F.lit(items), ArrayType(frame.schema))).alias("r")).select("key", "r.*")
+
+    def ended(c: str) -> Column:
+        own = lambda name: F.concat(name, F.lit("-"), F.col("key"))
+        side = lambda x: F.struct(own(x["address"]).alias("address"), x["value"].alias("value"))
+        return F.transform(c, side) if c in ("inputs", "outputs") else own(F.col(c))
+
+    return rows.withColumns({c: ended(c) for c in names}).drop("key")
+
+
+def ledgers(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`ledger`, all of it once for each key (key)."""
+    rows, truth, listed = ledger(keys.sparkSession)
+    return copies(rows, keys, "id", "src", "dst"), copies(truth, keys, "entity"), copies(listed, keys, "entity")
+
+
+def many_transactions(keys: DataFrame, noisy: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`transactions`, all of them once for each key (key)."""
+    txs, wallets, mixed = transactions(keys.sparkSession, noisy)
+    return copies(txs, keys, "txid", "inputs", "outputs"), copies(wallets, keys, "member", "cluster"), copies(mixed, keys, "label")
+
+
+def observations(spark: SparkSession, groups: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(observations, clusters (member, cluster)): addresses tied by a certificate or by a domain, and single ones."""
+    rows, truth = [], []
+    for g in range(groups):
+        for i in range(4):
+            # The first three share a certificate, the last two a domain.
+            rows.append((f"h{g}-{i}", "2026-01-01T00:00:00", None, f"cert-{g}" if i < 3 else None, [f"site-{g}"] if i > 1 else [], [], [], len(rows)))
+            truth.append((f"h{g}-{i}", f"group-{g}"))
+    rows.append(("alone", "2026-01-01T00:00:00", None, None, ["own"], [], [], len(rows)))
+    truth.append(("alone", "alone"))
+    return spark.createDataFrame(rows, OBSERVATION), spark.createDataFrame(truth, "member string, cluster string")
