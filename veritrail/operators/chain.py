@@ -95,7 +95,7 @@ def _followed(min_len: int):
     """The chains of all steps, in one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches, pd.DataFrame({c: [] for c in ("id", "ordinal", "peel", "next_id")}, dtype=object)]).sort_values(["ordinal", "id"])
+        rows = pd.concat(list(batches) or [pd.DataFrame({c: [] for c in ("id", "ordinal", "peel", "next_id")})]).sort_values(["ordinal", "id"])
         ids, peels = rows["id"].tolist(), rows["peel"].tolist()
         place = {x: i for i, x in enumerate(ids)}
         after = [place.get(x, -1) for x in rows["next_id"].tolist()]

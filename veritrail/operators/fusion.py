@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import band, make_id, noisy_or
+from veritrail.operators import graph
 from veritrail.operators.chain import common_input_clusters
 from veritrail.operators.components import connected_components
 from veritrail.operators.infra import fingerprint_clusters
@@ -26,7 +27,8 @@ def _clusters(members: DataFrame, kind: str) -> DataFrame:
 
 
 def build_graph(txs: DataFrame, obs: DataFrame, linkages: DataFrame, sdn: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes (id, type, label), edges (source, target, relation, confidence, evidence))."""
+    """(nodes (id, type, label, chain), edges (source, target, relation, confidence, evidence)). Addresses have the chain of most
+    of their transactions, where these say which (asset)."""
     spent = common_input_clusters(txs).select(F.col("address").alias("member"), F.col("cluster").alias("key"))
     paid = txs.select(F.explode("outputs").alias("o")).select(F.col("o.address").alias("member")).where("member is not null").distinct()
     wallets = _clusters(spent.unionByName(paid.join(spent, "member", "left_anti").withColumn("key", F.col("member"))), "wallet-cluster")
@@ -35,10 +37,14 @@ def build_graph(txs: DataFrame, obs: DataFrame, linkages: DataFrame, sdn: DataFr
     hits = screen_addresses(wallets.select(F.col("member").alias("address")), sdn)
 
     def node(df: DataFrame, id_, kind: str, label) -> DataFrame:
-        return df.select(id_.alias("id"), F.lit(kind).alias("type"), label.alias("label"))
+        chain = F.col("chain") if "chain" in df.columns else F.lit(None).cast("string")
+        return df.select(id_.alias("id"), F.lit(kind).alias("type"), label.alias("label"), chain.alias("chain"))
 
     one = lambda df, c: df.select(c).distinct()
-    nodes = node(one(wallets, "cluster"), F.col("cluster"), "wallet-cluster", F.col("cluster")).unionByName(node(wallets, make_id("crypto-address", F.col("member")), "crypto-address", F.col("member")))
+    placed = wallets.withColumn("chain", F.lit(None).cast("string"))
+    if "asset" in txs.columns:
+        placed = wallets.join(graph.address_chains(txs).withColumnRenamed("address", "member"), "member", "left")
+    nodes = node(one(wallets, "cluster"), F.col("cluster"), "wallet-cluster", F.col("cluster")).unionByName(node(placed, make_id("crypto-address", F.col("member")), "crypto-address", F.col("member")))
     nodes = nodes.unionByName(node(one(infra, "cluster"), F.col("cluster"), "infrastructure-cluster", F.col("cluster"))).unionByName(node(infra, make_id("ip-address", F.col("member")), "ip-address", F.col("member")))
     nodes = nodes.unionByName(node(one(hits, "sdn_name"), make_id("sanctioned-entity", F.col("sdn_name")), "sanctioned-entity", F.col("sdn_name")))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import clamp
 from veritrail.operators.components import connected_components
+from veritrail.operators.risk import numbered
+from veritrail.storage import materialize
 
 OBSERVATION = "ip string, ts string, asn string, cert_sha256 string, domains array<string>, ports array<int>, tags array<string>, ordinal long"
 #: Tags of services that hide who uses them (fixed values).
@@ -42,8 +44,29 @@ def temporal_signatures(obs: DataFrame) -> DataFrame:
 
 
 def coactivity(obs: DataFrame, min_shared_days: int = 2) -> DataFrame:
-    """(a, b, shared_days, confidence): pairs of addresses active on the same days."""
-    days = obs.where(F.col("ts").contains("T")).select(F.substring_index("ts", "T", 1).alias("day"), "ip").distinct()
-    other = days.select("day", F.col("ip").alias("b"))
-    shared = days.select("day", F.col("ip").alias("a")).join(other, "day").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared_days")).where(F.col("shared_days") >= min_shared_days)
-    return shared.withColumn("confidence", clamp(F.lit(0.3) + F.lit(0.2) * F.col("shared_days")))
+    """(a, b, shared_days, confidence): pairs of addresses active on the same days.
+
+    Two addresses that share ``min_shared_days`` days share one even when each leaves out all but one of those of its commonest
+    days. So addresses meet on their rarer days only, once for each pair (on the rarest day that they share), and the days that
+    nearly all have in common make no pairs. What a pair shares is counted from its two rows of days as bits.
+    """
+    days = materialize(obs.where(F.col("ts").contains("T")).select(F.substring_index("ts", "T", 1).alias("day"), "ip").where("ip is not null").distinct())
+    # A row a day: its place in order of how many have it, the rarest first.
+    many = days.groupBy("day").agg(F.count("*").alias("n"))
+    ranked = numbered(many.select(F.struct("n", "day").alias("component"))).select(F.col("component.day").alias("day"), (F.col("i") - 1).alias("rank"))
+    placed = days.join(ranked, "day").select("ip", "rank")
+    # Days fill words of 63 bits, by rank.
+    one = "shiftleft(1L, cast(rank % 63 as int))"
+    words = placed.groupBy("ip", F.floor(F.col("rank") / 63).alias("word")).agg(F.bit_or(F.expr(one)).alias("bits"), F.array_sort(F.collect_list("rank")).alias("ranks"))
+    per = words.groupBy("ip").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"), F.array_sort(F.flatten(F.collect_list("ranks"))).alias("ranks"))
+    per = materialize(per.where(F.size("ranks") >= min_shared_days))
+    rare = per.select("ip", "bits", F.explode(F.slice("ranks", F.lit(1), F.size("ranks") - (min_shared_days - 1))).alias("rank"))
+    a, b = (rare.select("rank", F.col("ip").alias(name), F.col("bits").alias(f"{name}_bits")) for name in ("a", "b"))
+    both = a.join(b, "rank").where("a < b")
+    common = lambda word: F.coalesce(F.element_at("a_bits", word), F.lit(0).cast("long")).bitwiseAND(F.coalesce(F.element_at("b_bits", word), F.lit(0).cast("long")))
+    word, lower = F.floor(F.col("rank") / 63), F.expr(one) - 1
+    # No rarer day is shared: none in earlier words, none of lower bits in this one.
+    first = F.forall(F.filter(F.map_keys("a_bits"), lambda w: w < word), lambda w: common(w) == 0) & (common(word).bitwiseAND(lower) == 0)
+    shared = F.aggregate(F.map_keys("a_bits"), F.lit(0).cast("long"), lambda total, w: total + F.bit_count(common(w)))
+    found = both.where(first).select("a", "b", shared.alias("shared_days")).where(F.col("shared_days") >= min_shared_days)
+    return found.withColumn("confidence", clamp(F.lit(0.3) + F.lit(0.2) * F.col("shared_days")))

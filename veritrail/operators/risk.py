@@ -44,18 +44,27 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def network_risk(findings: DataFrame, parts: DataFrame, weights: dict | None = None) -> DataFrame:
-    """One row a component (node, component) with flagged members, numbered in order of its least member."""
-    risks = entity_risk(findings, weights).select(F.col("entity").alias("node"), "risk", "typologies")
-    per = parts.join(risks, "node", "left").groupBy("component").agg(
+    """One row a component (node, component) with flagged members, numbered in order of its least member.
+
+    All that a component has is summed up, in parts and in any order: complements of risks as decimals of their logarithms, so
+    that its risk and the mean, to six places, don't depend on how rows are dealt out.
+    """
+    placed = materialize(parts.join(entity_risk(findings, weights).select(F.col("entity").alias("node"), "risk", "typologies"), "node", "left").select("component", "risk", "typologies"))
+    decimal = lambda c: c.cast("decimal(28,10)")
+    per = placed.groupBy("component").agg(
         F.count("*").alias("size"),
         F.count("risk").alias("flagged_entities"),
-        F.array_sort(F.collect_list("risk")).alias("risks"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("typologies")))).alias("typologies"),
+        F.max("risk").alias("peak_entity_risk"),
+        F.sum(decimal(F.col("risk"))).alias("total"),
+        F.sum(F.when(F.col("risk") < 1.0, decimal(F.ln(F.lit(1.0) - F.col("risk"))))).alias("logs"),
     )
+    # At most as many as there are typologies.
+    kinds = placed.select("component", F.explode("typologies").alias("typology")).distinct().groupBy("component").agg(F.array_sort(F.collect_list("typology")).alias("typologies"))
     number = numbered(per.select("component"))
-    out = per.where("flagged_entities > 0").join(number, "component").withColumn("network_risk", clamp(noisy_or(F.col("risks"))))
-    mean = F.aggregate("risks", F.lit(0.0), lambda a, b: a + b) / F.col("flagged_entities")
-    return out.select(F.concat(F.lit("network-"), F.col("i").cast("string")).alias("network_id"), "component", "size", "flagged_entities", "network_risk", band(F.col("network_risk")).alias("network_risk_band"), F.array_max("risks").alias("peak_entity_risk"), mean.alias("mean_entity_risk"), "typologies")
+    out = per.where("flagged_entities > 0").join(number, "component").join(kinds, "component", "left")
+    risk = F.when(F.col("peak_entity_risk") >= 1.0, 1.0).otherwise(F.round(F.lit(1.0) - F.exp(F.col("logs").cast("double")), 6))
+    mean = F.round(F.col("total").cast("double") / F.col("flagged_entities"), 6)
+    return out.withColumn("network_risk", risk).select(F.concat(F.lit("network-"), F.col("i").cast("string")).alias("network_id"), "component", "size", "flagged_entities", "network_risk", band(F.col("network_risk")).alias("network_risk_band"), "peak_entity_risk", mean.alias("mean_entity_risk"), "typologies")
 
 
 def prioritized(findings: DataFrame, top: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def peeling(s, d):
     c = lambda n: F.concat(F.lit("C"), n.cast("string"))
     inputs = F.array(pay(c(F.col("o_custkey")), F.col("o_totalprice")))
     outputs = F.array(pay(F.concat(F.lit("K"), (F.col("o_orderkey") % 100).cast("string")), F.col("o_totalprice") * 0.1), pay(c(F.col("o_custkey") + 1), F.col("o_totalprice") * 0.8))
-    return rows.select(F.col("o_orderkey").cast("string").alias("txid"), F.lit("2026-01-01T00:00:00").alias("ts"), inputs.alias("inputs"), outputs.alias("outputs"), F.col("o_orderkey").alias("ordinal"))
+    return rows.select(F.col("o_orderkey").cast("string").alias("txid"), F.lit("2026-01-01T00:00:00").alias("ts"), inputs.alias("inputs"), outputs.alias("outputs"), F.col("o_orderkey").alias("ordinal"), F.when(F.col("o_orderkey") % 3 == 0, "ethereum").otherwise("bitcoin").alias("asset"))
 
 
 def observations(s, d):

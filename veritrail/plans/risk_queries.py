@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritrail.functions.scalars import make_id
+from veritrail.operators.graph import add_nodes
 from veritrail.operators import case, chain, detectors, fusion, infra, metrics, risk, screening, traversal
 from veritrail.plans.chain_queries import observations, peeling, sdn
 from veritrail.plans.ledger_queries import FUNNEL_SQL, STRUCTURING_SQL, TRADE_SQL
 from veritrail.plans.views import BRISK, FUNNELS, TRANSFERS, brisk, funnels, rings, table, transfers
-from veritrail.sources import planted
+from veritrail.sources import exports, planted
 from veritrail.storage import materialize
 
 
@@ -50,6 +52,17 @@ def graph(s, d):
     return fusion.build_graph(txs, observations(s, d), linkages(s, d), listed(s, d))
 
 
+def known_customers(s, d):
+    """Customers as nodes, under the ids of their addresses, of which the graph has nearly all; some come twice."""
+    rows = table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    node = rows.select(make_id("crypto-address", F.concat(F.lit("C"), (F.col("k") * 2).cast("string"))).alias("id"), F.lit("person").alias("type"), F.col("c_name").alias("label"), F.col("k").alias("ordinal"))
+    return node.unionByName(node.withColumns({"label": F.concat(F.lit("again "), "label"), "ordinal": F.col("ordinal") + 1}))
+
+
+def merged_nodes(s, d):
+    return add_nodes(graph(s, d)[0], known_customers(s, d))
+
+
 def actors(s, d):
     return fusion.threat_actors(fusion.actor_members(*graph(s, d)))
 
@@ -101,6 +114,8 @@ QUERIES = {
     "fusion_nodes": lambda s, d: graph(s, d)[0],
     "fusion_edges": lambda s, d: graph(s, d)[1],
     "threat_actors": actors,
+    "graph_nodes": merged_nodes,
+    "event_attributes": lambda s, d: exports.misp_attributes(merged_nodes(s, d)),
     "case_summary": case_summary,
 }
 
@@ -139,6 +154,17 @@ i AS (SELECT x, {_id('infra-cluster', 'members')} AS cluster FROM p JOIN h USING
 _TIES = """l(one, two, confidence, evidence) AS (VALUES ('C10', '10.0.0.1', 0.7e0, 'report'), ('C10', 'C400', 0.7e0, 'report'), ('C20', '10.0.0.2', 0.6e0, 'investigation'), ('10.0.0.2', '10.0.0.9', 0.6e0, 'investigation')),
 k AS (SELECT x, cluster FROM w UNION ALL SELECT x, cluster FROM i)"""
 
+_NODES = f"""s AS (
+  SELECT DISTINCT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'ethereum' ELSE 'bitcoin' END AS asset, unnest(['C' || o_custkey, 'C' || (o_custkey + 1), 'K' || (o_orderkey % 100)]) AS x FROM orders),
+v AS (SELECT x, asset, count(*) AS n FROM s GROUP BY x, asset),
+chain AS (SELECT x, arg_min(asset, row(-n, asset)) AS chain FROM v GROUP BY x),
+node AS (
+  SELECT cluster AS id, 'wallet-cluster' AS type, cluster AS label, NULL AS chain FROM w UNION SELECT {_id('crypto-address', 'x')}, 'crypto-address', x, chain FROM w JOIN chain USING (x)
+  UNION SELECT cluster, 'infrastructure-cluster', cluster, NULL FROM i UNION SELECT {_id('ip-address', 'x')}, 'ip-address', x, NULL FROM i
+  UNION SELECT {_id('sanctioned-entity', "'listed person'")}, 'sanctioned-entity', 'listed person', NULL FROM w WHERE x IN ('C30', 'C40'))"""
+_MERGED = f"""known AS (SELECT {_id('crypto-address', "('C' || (c_custkey * 2))")} AS id, c_name AS label FROM customer),
+merged AS (SELECT * FROM node UNION ALL SELECT id, 'person', label, NULL FROM known WHERE id NOT IN (SELECT id FROM node))"""
+
 ORACLES = {
     # The planted truth: each case is found; a transaction of two owners makes one cluster of eight of their two of four.
     "planted_recall": """WITH t(typology, k) AS (VALUES ('structuring', 1), ('layering', 6), ('pass_through', 1), ('round_tripping', 3), ('trade_value_anomaly', 2), ('shell_nominee', 3), ('funnel_account', 1), ('burst_velocity', 1), ('dormancy_activation', 1), ('periodicity', 1), ('sanctions_nexus', 1)),
@@ -153,10 +179,12 @@ u AS (SELECT src AS a, dst AS b FROM transfers UNION SELECT dst, src FROM transf
 r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
 comp AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a),
 num AS (SELECT component, row_number() OVER (ORDER BY component) AS i, count(*) AS size FROM comp GROUP BY component),
-flag AS (SELECT component, list_sort(list(risk)) AS risks, list_sort(list_distinct(flatten(list(string_split(typologies, ','))))) AS t FROM comp JOIN risk ON node = entity GROUP BY component),
-net AS (SELECT *, 1e0 - list_reduce(list_prepend(1e0, list_transform(risks, lambda x: 1e0 - x)), lambda a, b: a * b) AS nr FROM flag JOIN num USING (component))
-SELECT 'network-' || i AS network_id, component, size, CAST(len(risks) AS BIGINT) AS flagged_entities, nr AS network_risk, {_band('nr')} AS network_risk_band, list_max(risks) AS peak_entity_risk,
-       list_reduce(list_prepend(0e0, risks), lambda a, b: a + b) / len(risks) AS mean_entity_risk, array_to_string(t, ',') AS typologies FROM net""",
+flag AS (SELECT component, count(*) AS k, max(risk) AS peak, sum(CAST(risk AS DECIMAL(28,10))) AS total, count(*) FILTER (risk >= 1) AS sure, sum(CASE WHEN risk < 1 THEN CAST(ln(1e0 - risk) AS DECIMAL(28,10)) END) AS logs
+         FROM comp JOIN risk ON node = entity GROUP BY component),
+types AS (SELECT component, list_sort(list_distinct(flatten(list(string_split(typologies, ','))))) AS t FROM comp JOIN risk ON node = entity GROUP BY component),
+net AS (SELECT *, CASE WHEN sure > 0 THEN 1e0 ELSE round(1e0 - exp(CAST(logs AS DOUBLE)), 6) END AS nr FROM flag JOIN types USING (component) JOIN num USING (component))
+SELECT 'network-' || i AS network_id, component, size, k AS flagged_entities, nr AS network_risk, {_band('nr')} AS network_risk_band, peak AS peak_entity_risk,
+       round(CAST(total AS DOUBLE) / k, 6) AS mean_entity_risk, array_to_string(t, ',') AS typologies FROM net""",
     "prioritized_findings": f"WITH {_FINDINGS} SELECT DISTINCT typology, score, entities AS id FROM finding ORDER BY score DESC, typology, id LIMIT 50",
     "threat_actors": f"""WITH RECURSIVE {_FUSED}, {_TIES},
 e AS (SELECT m.cluster AS a, n.cluster AS b FROM l JOIN k m ON one = m.x JOIN k n ON two = n.x UNION SELECT cluster, {_id('sanctioned-entity', "'listed person'")} FROM w WHERE x IN ('C30', 'C40')),
@@ -167,10 +195,12 @@ g AS (SELECT part, count(*) FILTER (node LIKE 'wallet%') AS n_wallets, count(*)
 c AS (SELECT *, list_sort(list_filter([CASE WHEN n_wallets > 0 THEN 0.6e0 END, CASE WHEN n_infra > 0 THEN 0.5e0 END, CASE WHEN n_wallets > 0 AND n_infra > 0 THEN 0.6e0 END, CASE WHEN n_sanctions > 0 THEN 0.9e0 END], lambda x: x IS NOT NULL)) AS ws FROM g),
 z AS (SELECT *, 1e0 - list_reduce(list_prepend(1e0, list_transform(ws, lambda x: 1e0 - x)), lambda a, b: a * b) AS raw FROM c WHERE n_sanctions > 0 OR n_wallets + n_infra >= 2)
 SELECT {_id('threat-actor', 'part')} AS id, n_wallets, n_infra, n_sanctions, round(raw, 4) AS confidence, {_band('raw')} AS confidence_band FROM z""",
-    "fusion_nodes": f"""WITH {_FUSED}
-SELECT cluster AS id, 'wallet-cluster' AS type, cluster AS label FROM w UNION SELECT {_id('crypto-address', 'x')}, 'crypto-address', x FROM w
-UNION SELECT cluster, 'infrastructure-cluster', cluster FROM i UNION SELECT {_id('ip-address', 'x')}, 'ip-address', x FROM i
-UNION SELECT {_id('sanctioned-entity', "'listed person'")}, 'sanctioned-entity', 'listed person' FROM w WHERE x IN ('C30', 'C40')""",
+    "fusion_nodes": f"WITH {_FUSED}, {_NODES} SELECT * FROM node",
+    "graph_nodes": f"WITH {_FUSED}, {_NODES}, {_MERGED} SELECT * FROM merged",
+    "event_attributes": f"""WITH {_FUSED}, {_NODES}, {_MERGED},
+q AS (SELECT *, sha1(unhex('{exports.NAMESPACE.replace("-", "")}') || encode(CASE WHEN type = 'ip-address' THEN 'attr:ip:' || label ELSE 'attr:wallet:' || lower(label) END)) AS h FROM merged WHERE type IN ('crypto-address', 'ip-address'))
+SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS uuid,
+       CASE WHEN type = 'ip-address' THEN 'ip-dst' WHEN chain = 'ethereum' THEN 'eth' ELSE 'btc' END AS type, CASE WHEN type = 'ip-address' THEN 'Network activity' ELSE 'Financial fraud' END AS category, true AS to_ids, label AS value FROM q""",
     "fusion_edges": f"""WITH {_FUSED}, {_TIES}
 SELECT {_id('crypto-address', 'x')} AS source, cluster AS target, 'member-of' AS relation, 0.9e0 AS confidence, 'common inputs' AS evidence FROM w
 UNION ALL SELECT {_id('ip-address', 'x')}, cluster, 'member-of', 0.8e0, 'shared certificate or domain' FROM i

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.scalars import uuid5
 from veritrail.operators.case import Case
+from veritrail.operators.graph import by_type
 
 NAMESPACE = "6f1c2d0e-5a7b-4d38-9c41-2b8e7f60a913"
 CREATED, PRODUCER = "2026-01-01T00:00:00.000Z", "veritrail"
@@ -64,7 +65,7 @@ def graph_stix_objects(nodes: DataFrame, edges: DataFrame, actors: DataFrame, ti
     pattern = F.concat(F.when(wallet, "[x-crypto-address:value = '").otherwise("[ipv4-addr:value = '"), "label", F.lit("']"))
     label = F.when(wallet, "malicious-activity").otherwise("anonymization")
     indicator = F.struct(F.lit("indicator").alias("type"), _sid("indicator", key).alias("id"), *common, F.col("label").alias("name"), F.lit("stix").alias("pattern_type"), pattern.alias("pattern"), F.lit(created).alias("valid_from"), F.array(label).alias("labels"))
-    out = nodes.where(F.col("type").isin("crypto-address", "ip-address")).select(F.to_json(indicator).alias("object"))
+    out = by_type(nodes, "crypto-address", "ip-address").select(F.to_json(indicator).alias("object"))
     actor = F.struct(F.lit("threat-actor").alias("type"), _sid("threat-actor", F.col("id")).alias("id"), *common, F.concat(F.lit("Threat actor "), F.substring("id", -8, 8)).alias("name"), F.array(F.lit("criminal-enterprise")).alias("labels"), F.round(F.col("confidence") * 100).cast("int").alias("confidence"))
     out = out.unionByName(actors.select(F.to_json(actor).alias("object")))
     members = edges.where("relation = 'member-of'").join(nodes.select(F.col("id").alias("source"), "type", "label"), "source")
@@ -75,11 +76,13 @@ def graph_stix_objects(nodes: DataFrame, edges: DataFrame, actors: DataFrame, ti
 
 
 def misp_attributes(nodes: DataFrame, chain: str = "bitcoin") -> DataFrame:
-    """(uuid, type, category, to_ids, value) of addresses."""
+    """(uuid, type, category, to_ids, value) of addresses, by their chain; ``chain`` where they have none."""
     wallet = F.col("type") == "crypto-address"
     uid = uuid5(NAMESPACE, F.when(wallet, F.concat(F.lit("attr:wallet:"), F.lower("label"))).otherwise(F.concat(F.lit("attr:ip:"), "label")))
-    kind, category = F.when(wallet, MISP_TYPES.get(chain, "btc")).otherwise("ip-dst"), F.when(wallet, "Financial fraud").otherwise("Network activity")
-    return nodes.where(F.col("type").isin("crypto-address", "ip-address")).select(uid.alias("uuid"), kind.alias("type"), category.alias("category"), F.lit(True).alias("to_ids"), F.col("label").alias("value"))
+    types = F.create_map(*[F.lit(x) for kv in MISP_TYPES.items() for x in kv])
+    on_chain = F.coalesce(types[F.coalesce("chain", F.lit(chain))], F.lit("btc"))
+    kind, category = F.when(wallet, on_chain).otherwise("ip-dst"), F.when(wallet, "Financial fraud").otherwise("Network activity")
+    return by_type(nodes, "crypto-address", "ip-address").select(uid.alias("uuid"), kind.alias("type"), category.alias("category"), F.lit(True).alias("to_ids"), F.col("label").alias("value"))
 
 
 def write_bundle(objects: DataFrame, path: str) -> None:
