@@ -3,8 +3,10 @@
 import random
 from collections import Counter, deque
 
+from pyspark.sql import functions as F
+
 from tests.test_detectors import ledger_of
-from veritrail.operators import traversal
+from veritrail.operators import fusion, graph, infra, screening, traversal
 from veritrail.operators.chain import common_input_clusters, peel_chains
 from veritrail.operators.components import connected_components
 from veritrail.operators.resolution import resolve_entities
@@ -49,51 +51,145 @@ def graph_of(rnd, n, m):
     return [(rnd.choice(names), rnd.choice(names), 1, i) for i in range(m)]
 
 
-def test_communities_and_betweenness(spark):
-    rnd = random.Random(5)
-    for n, m in ((6, 7), (12, 16), (20, 24)):
-        rows = graph_of(rnd, n, m)
-        adj = {}
-        for a, b, *_ in rows:
-            adj.setdefault(a, set())
-            adj.setdefault(b, set())
-            if a != b:
-                adj[a].add(b)
-                adj[b].add(a)
-        label = {x: x for x in adj}
-        for _ in range(100):
-            old = dict(label)
-            for x in sorted(adj):
-                votes = Counter(label[y] for y in adj[x])
+def adjacency(rows):
+    adj = {}
+    for a, b, *_ in rows:
+        adj.setdefault(a, set())
+        adj.setdefault(b, set())
+        if a != b:
+            adj[a].add(b)
+            adj[b].add(a)
+    return adj
+
+
+def swept(adj, sweeps):
+    """Each node's community after label propagation in order of names: the least member of those with its label."""
+    label = {x: x for x in adj}
+    for _ in range(sweeps):
+        old = dict(label)
+        for x in sorted(adj):
+            votes = Counter(label[y] for y in adj[x])
+            if votes:
                 label[x] = min(k for k in votes if votes[k] == max(votes.values()))
-            if label == old:
-                break
-        least = {}
-        for x in sorted(label):
-            least.setdefault(label[x], x)
-        got = {r["entity"]: r["community"] for r in traversal.communities(ledger_of(spark, *rows)).collect()}
-        assert got == {x: least[label[x]] for x in label}
-        want = dict.fromkeys(adj, 0.0)
-        for s in adj:
-            dist, count, queue = {s: 0}, {s: 1}, deque([s])
-            while queue:
-                v = queue.popleft()
-                for w in adj[v]:
-                    if w not in dist:
-                        dist[w], count[w] = dist[v] + 1, 0
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        count[w] += count[v]
-            share = dict.fromkeys(dist, 0.0)
-            for w in sorted(dist, key=dist.get, reverse=True):
-                for v in adj[w]:
-                    if dist[v] == dist[w] - 1:
-                        share[v] += count[v] / count[w] * (1 + share[w])
-                if w != s:
-                    want[w] += share[w]
-        norm = (len(adj) - 1) * (len(adj) - 2) or 1
-        got = {r["entity"]: r["betweenness"] for r in traversal.betweenness(ledger_of(spark, *rows), sources_per_task=5).collect()}
-        assert all(abs(got[x] - want[x] / norm) < 2e-6 for x in adj)
+        if label == old:
+            break
+    least = {}
+    for x in sorted(label):
+        least.setdefault(label[x], x)
+    return {x: least[label[x]] for x in label}
+
+
+def brute_shares(adj):
+    want = dict.fromkeys(adj, 0.0)
+    for s in adj:
+        dist, count, queue = {s: 0}, {s: 1}, deque([s])
+        while queue:
+            v = queue.popleft()
+            for w in adj[v]:
+                if w not in dist:
+                    dist[w], count[w] = dist[v] + 1, 0
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    count[w] += count[v]
+        share = dict.fromkeys(dist, 0.0)
+        for w in sorted(dist, key=dist.get, reverse=True):
+            for v in adj[w]:
+                if dist[v] == dist[w] - 1:
+                    share[v] += count[v] / count[w] * (1 + share[w])
+            if w != s:
+                want[w] += share[w]
+    return want
+
+
+def many_graphs(seed, count=200):
+    """``count`` random graphs of up to 20 nodes in one ledger, apart by name."""
+    rnd = random.Random(seed)
+    return [[(f"g{g:03d}-{a}", f"g{g:03d}-{b}", x, i) for a, b, x, i in graph_of(rnd, *rnd.choice([(2, 1), (6, 7), (12, 16), (20, 24), (20, 60)]))] for g in range(count)]
+
+
+def test_betweenness_of_200_graphs(spark):
+    graphs = many_graphs(5)
+    got = {r["entity"]: r["share"] for r in traversal.path_shares(ledger_of(spark, *sum(graphs, []))).collect()}
+    want = {x: v for rows in graphs for x, v in brute_shares(adjacency(rows)).items()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 * max(1, want[x]) for x in want)
+    one = {r["entity"]: r["betweenness"] for r in traversal.betweenness(ledger_of(spark, *graphs[3])).collect()}
+    n = len(one)
+    assert all(abs(v - want[x] / max(1, (n - 1) * (n - 2))) < 1e-6 for x, v in one.items())
+
+
+def test_communities_of_200_graphs(spark):
+    graphs = many_graphs(6)
+    want = {x: c for rows in graphs for x, c in swept(adjacency(rows), 8).items()}
+    for one_task in (0, 10**9):
+        found = traversal.communities(ledger_of(spark, *sum(graphs, [])), max_iter=8, one_task=one_task)
+        assert {r["entity"]: r["community"] for r in found.collect()} == want
+
+
+def test_components_of_200_graphs(spark):
+    graphs = many_graphs(7)
+    edges = [(a, b) for rows in graphs for a, b, *_ in rows]
+    rnd = random.Random(9)
+    edges += [(f"p{i:04d}", f"p{i + 1:04d}") for i in rnd.sample(range(1500), 1500)]
+    df = spark.createDataFrame(edges, "a string, b string").repartition(7)
+    for one_task in (0, 60):
+        assert {r["node"]: r["component"] for r in connected_components(df, one_task=one_task).collect()} == brute_components(edges)
+
+
+def test_next_hops(spark):
+    rnd = random.Random(10)
+    rows = [(rnd.choice("abcd"), rnd.choice(["a", "b", "c", "d", None]), rnd.choice([100, 101, 124.9, 125, 126, 80, 75, 0, 1e9, None]), rnd.randrange(500)) for _ in range(160)]
+    for tol in (0.0, 0.25, 1.0):
+        got = {r["id"]: r["next_id"] for r in traversal.next_hops(ledger_of(spark, *rows), amount_tol=tol).collect()}
+        want = {}
+        for i, (_, dst, amount, hour) in enumerate(rows):
+            fits = [(abs((r[2] or 0) - amount) / amount, f"t{j}") for j, r in enumerate(rows) if dst is not None and amount and r[0] == dst and 0 <= r[3] - hour <= 168 and abs((r[2] or 0) - amount) / amount <= tol] if amount else []
+            if fits:
+                want[f"t{i}"] = min(fits)[1]
+        assert got == want and want
+
+
+def test_busy_account(spark):
+    """An account with 20,000 transfers in and as many out, of amounts all over, within a few weeks."""
+    hub = spark.range(20_000).selectExpr("concat('i', id) id", "'a' src", "'hub' dst", "pow(10, 1 + (id * 7919 % 20000) / 4000.0) amount", "id * 100000000 ts_micros")
+    out = spark.range(20_000).selectExpr("concat('o', id) id", "'hub' src", "'b' dst", "pow(10, 1 + (id * 104729 % 20000) / 4000.0) amount", "id * 100000000 + 1 ts_micros")
+    assert traversal.next_hops(hub.unionByName(out)).count() > 10_000
+
+
+def test_coactivity(spark):
+    rnd = random.Random(11)
+    days = [f"2026-01-{d:02d}" for d in range(1, 31)] + [f"2026-0{m}-{d:02d}" for m in (2, 3, 4) for d in range(1, 29)]
+    rows = {(f"ip{i:02d}", d) for i in range(40) for d in [days[0], days[1], *rnd.sample(days, rnd.randrange(12))] if rnd.random() < 0.9} | {("once", days[0])}
+    obs = spark.createDataFrame([(ip, d + "T10:00:00") for ip, d in rows for _ in range(rnd.randrange(1, 3))] + [(None, days[0] + "T1"), ("ip00", "no time")], "ip string, ts string")
+    of = {}
+    for ip, d in rows:
+        of.setdefault(ip, set()).add(d)
+    for least in (1, 2, 3, 5):
+        want = {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and len(of[a] & of[b]) >= least}
+        assert {(r["a"], r["b"]): r["shared_days"] for r in infra.coactivity(obs, least).collect()} == want and want
+
+
+def test_graph_builder(spark):
+    first = spark.createDataFrame([("x", "ip-address", "1"), ("y", "ip-address", "2")], "id string, type string, label string")
+    more = spark.createDataFrame([("x", "person", "late", 1), ("z", "person", "second", 5), ("z", "person", "first", 2), (None, "person", "n", 0)], "id string, type string, label string, ordinal long")
+    nodes = graph.add_nodes(first, more, first.withColumn("label", F.lit("again")))
+    assert {(r["id"], r["type"], r["label"], r["chain"]) for r in nodes.collect()} == {("x", "ip-address", "1", None), ("y", "ip-address", "2", None), ("z", "person", "first", None)}
+    assert graph.by_type(nodes, "person").count() == 1
+    edge = spark.createDataFrame([("x", "y", "r", 0.5, "e")] * 2, "source string, target string, relation string, confidence double, evidence string")
+    assert graph.add_edges(edge, edge).count() == 4
+    pay = lambda a: [{"address": a, "value": 1.0}]
+    txs = spark.createDataFrame([(pay("a"), pay("b"), "bitcoin"), (pay("a"), pay("a"), "ethereum"), (pay("a"), [], "ethereum"), (pay("b"), [], "monero"), (pay("c"), [], None)], "inputs array<struct<address:string,value:double>>, outputs array<struct<address:string,value:double>>, asset string")
+    assert {(r["address"], r["chain"]) for r in graph.address_chains(txs).collect()} == {("a", "ethereum"), ("b", "bitcoin")}
+
+
+def test_fusion_ids(spark):
+    """A cluster's id depends on its set of members alone; the plan gathers no array of them."""
+    txs = path_graph(spark, 50)
+    none = [spark.createDataFrame([], schema) for schema in (infra.OBSERVATION, fusion.LINKAGE, screening.SDN)]
+    ids = lambda t: {r["id"] for r in fusion.build_graph(t, *none)[0].where("type = 'wallet-cluster'").collect()}
+    assert ids(txs) == ids(txs.orderBy(F.desc("ordinal")).repartition(5)) and len(ids(txs)) == 51
+    assert ids(txs) != ids(txs.where("ordinal <> 20"))
+    nodes, edges = fusion.build_graph(txs, *none)
+    assert not any("collect_" in df._jdf.queryExecution().toString() for df in (nodes, edges))
 
 
 def test_cycles(spark):
