@@ -86,6 +86,10 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["trace-funds", "--ledger", str(path), "--src", "layer-0", "--dst", "layer-3"]) == 0
     assert "layer-1" in capsys.readouterr().out
     assert cli.main(["sources-stats"]) == 0
+    assert cli.main(["sources-intel", "--cache", str(tmp_path / "cache"), "--offline"]) == 0
+    assert "offline" in capsys.readouterr().err
+    with pytest.raises(RuntimeError, match="offline"):
+        cli.main(["sources-fetch", "--name", "cisa_kev", "--cache", str(tmp_path / "cache"), "--offline"])
     assert cli.main(["resolve", "--ledger", str(path)]) == 0
 
 
