@@ -25,8 +25,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Rolling(StatefulProcessor):
-    """Events of one entity: a map of times to how many and how much, of those that wait and those within the window; and
-    what is known of all before."""
+    """Events of one entity: a map of times to how many and how much, of those that wait and those within the window; what
+    is known of all before; and the time of the earliest that waits, for which there is a timer."""
 
     def __init__(self, window: int) -> None:
         self.window = window
@@ -35,21 +35,33 @@ class _Rolling(StatefulProcessor):
         self.handle = handle
         self.events = handle.getMapState("events", "ts long", "n long, total string")
         self.past = handle.getValueState("past", "last long, first long, events long, peak long")
+        self.due = handle.getValueState("due", "ts long")
+
+    def _wait(self, ts: int) -> None:
+        self.due.update((ts,))
+        self.handle.registerTimer(-(-ts // 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        passed, fresh = timerValues.getCurrentWatermarkInMs() * 1000, {}
         for batch in rows:
             for ts, amount in zip(batch["ts_micros"].tolist(), batch["amount"].tolist(), strict=True):
-                if ts <= passed:
-                    continue
-                n, total = self.events.getValue((ts,)) if self.events.containsKey((ts,)) else (0, "0")
-                more = Decimal(repr(float(amount))).quantize(_TENTH, ROUND_HALF_UP) if amount == amount else Decimal(0)
-                self.events.updateValue((ts,), (n + 1, str(Decimal(total) + more)))
-                self.handle.registerTimer(-(-ts // 1000))
+                if ts > passed:
+                    n, total = fresh.get(ts, (0, Decimal(0)))
+                    more = Decimal(repr(float(amount))).quantize(_TENTH, ROUND_HALF_UP) if amount == amount else Decimal(0)
+                    fresh[ts] = n + 1, total + more
+        for ts, (n, total) in fresh.items():
+            before, sum_before = self.events.getValue((ts,)) if self.events.containsKey((ts,)) else (0, "0")
+            self.events.updateValue((ts,), (before + n, str(Decimal(sum_before) + total)))
+        if fresh and (not self.due.exists() or min(fresh) < self.due.get()[0]):
+            self._wait(min(fresh))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        if not self.due.exists() or self.due.get()[0] > until:
+            # Its events went with those of an earlier timer.
+            yield pd.DataFrame()
+            return
         last, first, count, peak = self.past.get() if self.past.exists() else (None, None, 0, 0)
         held = sorted((ts, n, Decimal(total)) for (ts,), (n, total) in self.events.iterator())
         out, start, n_in, total_in = [], 0, 0, Decimal(0)
@@ -62,11 +74,15 @@ class _Rolling(StatefulProcessor):
             if last is None or ts > last:
                 last, first, count, peak = ts, ts if first is None else first, count + n, max(peak, n_in)
                 out += self.judge(key[0], ts, n_in, float(total_in), first, count, peak)
-        if last is not None:
-            self.past.update((last, first, count, peak))
-            for ts, *_ in held:
-                if ts < last - self.window:
-                    self.events.removeKey((ts,))
+        self.past.update((last, first, count, peak))
+        for ts, *_ in held:
+            if ts < last - self.window:
+                self.events.removeKey((ts,))
+        waiting = [ts for ts, *_ in held if ts > until]
+        if waiting:
+            self._wait(waiting[0])
+        else:
+            self.due.clear()
         yield pd.DataFrame(out)
 
     def judge(self, entity: str, ts: int, n: int, total: float, first: int, count: int, peak: int) -> list[dict]:
