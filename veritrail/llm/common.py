@@ -159,3 +159,33 @@ def unpacked(chunks, rows: int = 1) -> Iterator[tuple[slice, np.ndarray]]:
     depend on the corpus, and compressed it is small."""
     for chunk, _, raw in chunks:
         yield slice(chunk * CHUNK, (chunk + 1) * CHUNK), np.frombuffer(zlib.decompress(raw), np.int64).reshape(rows, CHUNK)
+
+
+#: Bits of a piece of a filter (a power of two).
+PIECE_BITS = 18
+
+
+def set_bits(slots: np.ndarray) -> bytes:
+    """A piece of a filter with these bits, compressed."""
+    bits = np.zeros(1 << PIECE_BITS, bool)
+    bits[slots] = True
+    return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+
+def assembled(pieces: DataFrame, bits: int) -> bytes:
+    """The filter of 2 ** ``bits`` bits that (piece, body) rows make up."""
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for piece, body in pieces.select("piece", "body").collect():
+        out[piece << PIECE_BITS >> 3 : (piece + 1) << PIECE_BITS >> 3] = np.frombuffer(zlib.decompress(body), np.uint8)
+    return out.tobytes()
+
+
+def bit_filter(slots: DataFrame, bits: int) -> bytes:
+    """A filter of 2 ** ``bits`` bits with those of ``slots`` (slot): bit ``slot & 7`` from the left of byte ``slot >> 3``."""
+
+    def pack(rows):
+        import pandas as pd
+
+        return pd.DataFrame({"piece": [rows["slot"].iloc[0] >> PIECE_BITS], "body": [set_bits(rows["slot"].to_numpy() & ((1 << PIECE_BITS) - 1))]})
+
+    return assembled(slots.distinct().groupBy(F.shiftright("slot", PIECE_BITS).alias("p")).applyInPandas(pack, "piece long, body binary"), bits)

@@ -29,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import arrow_batches, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, unpacked, word_hashes, worker_cache
+from veritrail.llm.common import arrow_batches, bit_filter, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, unpacked, word_hashes, worker_cache
 from veritrail.operators.components import connected_components
 from veritrail.storage import materialize
 
 WORDS = 5
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
-#: Counters of the sketch (a power of two), hash ranges of the overlap bound, bits of the class filter.
-SKETCH_BITS, RANGES, FILTER_BITS = 23, 256, 23
+#: Counters of the sketch (a power of two), hash ranges of the overlap bound, fewest and most bits of the class filter (powers of two).
+SKETCH_BITS, RANGES, FILTER_BITS = 23, 256, (23, 28)
 #: Prefix shingles a task holds, and classes that make a shingle dense among them.
 _HELD, DENSE = 500_000, 8
 #: Rows of an Arrow batch where each carries whole sets.
@@ -161,11 +161,12 @@ def _sets(levels, bits) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        mask, wanted = (1 << FILTER_BITS) - 1, bits.value
+        wanted = bits.value
+        mask = 8 * len(wanted) - 1
         for batch in batches:
             out = []
             for words in _texts(batch, 0):
-                if not words or (cls := class_of(words)) in seen or not wanted[(cls & mask) >> 6] >> (cls & 63) & 1:
+                if not words or (cls := class_of(words)) in seen or not wanted[(cls & mask) >> 3] << (cls & 7) & 128:
                     continue
                 seen.add(cls)
                 out.append((cls, ordered_tokens(shingles(words), levels.value).tobytes()))
@@ -177,14 +178,11 @@ def _sets(levels, bits) -> object:
     return run
 
 
-def class_filter(classes: DataFrame) -> list[int]:
-    """A filter of fixed size (2 ** FILTER_BITS bits) that has the bit of every class in ``classes`` (cls)."""
-    slot = F.col("cls").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = classes.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(cls & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = [0] * (1 << (FILTER_BITS - 6))
-    for w, b in words.collect():
-        out[w] = b & 0xFFFFFFFFFFFFFFFF
-    return out
+def class_filter(classes: DataFrame) -> bytes:
+    """A filter that has the bit of every class in ``classes`` (cls): some 16 bits for each, within FILTER_BITS."""
+    classes = materialize(classes)
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * classes.count()).bit_length()))
+    return bit_filter(classes.select(F.col("cls").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")), bits)
 
 
 def suffix_distance(x: np.ndarray, y: np.ndarray, depth: int) -> int:

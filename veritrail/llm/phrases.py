@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import FAN_IN, arrow_batches, bound_text_batches, give_back, mix64
+from veritrail.llm.common import FAN_IN, PIECE_BITS, arrow_batches, assembled, bit_filter, bound_text_batches, give_back, mix64, set_bits
 from veritrail.storage import materialize
 
 LONGEST, MIN_COUNT, COVERED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
-#: Counters and bits of a filter (as powers of two), and bits of a piece of it.
-COUNTER_BITS, WORD_BITS, PIECE_BITS = 26, 26, 18
+#: Counters and bits of a filter (as powers of two).
+COUNTER_BITS, WORD_BITS = 26, 26
 #: Candidates of a shard.
 SHARD = 50_000
 #: Bytes of text that a task takes at a time, bytes hashed at a time, and phrases or counters held before they are added up.
@@ -190,31 +190,9 @@ def tree_sum(arrays: DataFrame, tasks: int) -> DataFrame:
             return arrays
 
 
-def _bits(pieces: DataFrame, bits: int) -> bytes:
-    """The filter of (piece, body) rows, of fixed size: some megabytes."""
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for piece, body in pieces.select("piece", "body").collect():
-        out[piece << PIECE_BITS >> 3 : (piece + 1) << PIECE_BITS >> 3] = np.frombuffer(zlib.decompress(body), np.uint8)
-    return out.tobytes()
-
-
-def _set_bits(slots: np.ndarray) -> bytes:
-    bits = np.zeros(1 << PIECE_BITS, bool)
-    bits[slots] = True
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
-
-
 def _word_filter(words: DataFrame, least: int) -> bytes:
     """Bits of the words that occur ``least`` times."""
-    slot = F.shiftrightunsigned("h0", 64 - WORD_BITS).alias("slot")
-
-    def pack(rows):
-        import pandas as pd
-
-        return pd.DataFrame({"piece": [rows["slot"].iloc[0] >> PIECE_BITS], "body": [_set_bits(rows["slot"].to_numpy() & ((1 << PIECE_BITS) - 1))]})
-
-    slots = words.where(F.col("known") >= least).select(slot).distinct()
-    return _bits(slots.groupBy(F.shiftright("slot", PIECE_BITS).alias("p")).applyInPandas(pack, "piece long, body binary"), WORD_BITS)
+    return bit_filter(words.where(F.col("known") >= least).select(F.shiftrightunsigned("h0", 64 - WORD_BITS).alias("slot")), WORD_BITS)
 
 
 def _count_filter(counters: DataFrame, tasks: int, least: int) -> bytes:
@@ -223,9 +201,9 @@ def _count_filter(counters: DataFrame, tasks: int, least: int) -> bytes:
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             sums = [unpacked_counts(body) for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_bits(s[c >= least]) for s, c in sums], pa.binary())], names=["piece", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_bits(s[c >= least]) for s, c in sums], pa.binary())], names=["piece", "body"])
 
-    return _bits(tree_sum(counters, tasks).select("piece", "body").mapInArrow(cut, "piece long, body binary"), COUNTER_BITS)
+    return assembled(tree_sum(counters, tasks).select("piece", "body").mapInArrow(cut, "piece long, body binary"), COUNTER_BITS)
 
 
 def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
