@@ -145,7 +145,8 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
             out.append((b"".join(raw[a:b] for a, b in kept_parts(len(raw), spans)).decode("utf-8", "ignore") if spans else t, [{"start": a, "end": b} for a, b in spans]))
         return pd.DataFrame(out, columns=["text", "removed_spans"])
 
-    done = marked.withColumn("repeated_runs", cut(F.col(text), F.col("repeated_runs")))
+    # Else a filter on the result would have it worked out a second time, in workers of its own.
+    done = marked.withColumn("repeated_runs", cut.asNondeterministic()(F.col(text), F.col("repeated_runs")))
     return done.withColumns({text: F.col("repeated_runs.text"), "removed_spans": F.col("repeated_runs.removed_spans")}).drop("repeated_runs")
 
 
