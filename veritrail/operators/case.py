@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,11 @@ class Case:
     components: DataFrame
     entity_risk: DataFrame
     network_risk: DataFrame
-    brokers: DataFrame
+
+    @cached_property
+    def brokers(self) -> DataFrame:
+        """Found when they are asked for: exact betweenness takes far more than all else."""
+        return traversal.top_brokers(self.transfers)
 
     def summary(self) -> dict:
         count = lambda df: df.count()
@@ -77,4 +82,4 @@ def build_case(transfers: DataFrame, watchlist: DataFrame | None = None, resolve
     merged = resolution.merges(mapping) if mapping is not None else transfers.sparkSession.createDataFrame([], "canonical string, members array<string>")
     findings = materialize(run_detectors(transfers, watchlist, thresholds=thresholds))
     parts = materialize(traversal.components(transfers))
-    return Case(reference or case_reference(transfers), transfers, merged, findings, parts, risk.entity_risk(findings), risk.network_risk(findings, parts), traversal.top_brokers(transfers))
+    return Case(reference or case_reference(transfers), transfers, merged, findings, parts, risk.entity_risk(findings), risk.network_risk(findings, parts))
