@@ -3,7 +3,7 @@
 import random
 
 from veritrail.functions.names import similarity
-from veritrail.operators import case, resolution, traversal
+from veritrail.operators import case, ledger, resolution, successors, traversal
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,22 @@ def test_summary_without_brokers(spark, monkeypatch):
     assert made.summary()["entities"] == 3 and not asked
     made.brokers  # noqa: B018
     assert asked == [10]
+
+
+def test_chains_share_what_follows(spark):
+    """Many chains that go on to one row hold that row's stretch once until the end."""
+    n = 40
+    nodes = [(f"n{i}", f"n{i + 1}" if i + 1 < n else None, f"v{i}") for i in range(n)]
+    leaves = [(f"l{i}-{k}", f"n{i}", "leaf") for i in range(0, n, 7) for k in range(3)]
+    rows = spark.createDataFrame(nodes + leaves, "id string, next_id string, v string")
+    ways = successors.jumps(rows, 100)
+    reach = {f"l{i}-{k}": min(n - i, 25 + k) for i in range(0, n, 7) for k in range(3)} | {f"n{n - 1}": 0}
+    starts = spark.createDataFrame([(x, dict((a, b) for a, b, _ in nodes + leaves)[x], r) for x, r in reach.items()], "id string, next_id string, reach long")
+    held = rows.select("id", "next_id", F.struct("id", "v").alias("held"))
+    found = {r["id"]: [x["id"] for x in r["w"]] for r in successors.walked(starts, held, ways, 100).collect()}
+    assert found == {x: [x] + ([f"n{j}" for j in range(int(x[1:].split("-")[0]), int(x[1:].split("-")[0]) + r)] if r else []) for x, r in reach.items()}
+
+
+def test_degrees_of_loops_and_single_sides(spark):
+    rows = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), ("a", "a", 4.0), (None, "a", 8.0), ("b", None, 16.0), ("c", "b", None)], "src string, dst string, amount double")
+    assert {tuple(r) for r in ledger.degrees(rows).collect()} == {("a", 1, 3, 2, 19.0), ("b", 2, 2, 2, 19.0), ("c", 1, 0, 1, 0.0)}

@@ -82,13 +82,16 @@ def peel_chains(txs: DataFrame, min_len: int = 2, ratio: float = 3.0, one_task:
     linked = materialize(steps.join(onward, "txid", "left").select(F.col("txid").alias("id"), "ordinal", "peel", "next_id"))
     if linked.count() <= one_task:
         return linked.coalesce(1).mapInPandas(_followed(min_len), "txids array<string>, peels array<string>, length long")
-    ways = successors.jumps(linked, LONGEST)
-    reach = F.least(F.col("ahead"), F.lit(LONGEST - 1)).alias("reach")
-    rows = successors.ranked(linked, "ordinal", "id").join(ways[-1].select("id", reach), "id")
+    # Most steps are no other's next one, and what follows them is known from their next one.
+    inner = materialize(linked.join(linked.select(F.col("next_id").alias("id")).where("id is not null").distinct(), "id", "left_semi"))
+    ways = successors.jumps(inner, LONGEST)
+    ahead = F.when(F.col("next_id").isNull(), 0).otherwise(F.least(F.col("ahead") + 1, F.lit(LONGEST - 1))).cast("long").alias("reach")
+    follow = ways[-1].select(F.col("id").alias("next_id"), "ahead")
+    rows = successors.ranked(linked, "ordinal", "id").join(follow, "next_id", "left").select("id", "rank", "next_id", ahead, "peel")
     rows = materialize(rows.withColumn("able", F.col("reach") + 1 >= min_len))
-    walks = successors.walks(successors.chain_starts(rows).join(rows.select("id", "reach"), "id"), ways)
-    each = walks.join(linked.select(F.col("id").alias("row"), "peel"), "row").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "row", "peel"))).alias("w"))
-    return each.select(F.col("w.row").alias("txids"), F.col("w.peel").alias("peels"), F.size("w").cast("long").alias("length"))
+    starts = successors.chain_starts(rows).join(rows.select("id", "next_id", "reach"), "id")
+    held = linked.select("id", "next_id", F.struct(F.col("id").alias("row"), "peel").alias("held"))
+    return successors.walked(starts, held, ways, LONGEST).select(F.col("w.row").alias("txids"), F.col("w.peel").alias("peels"), F.size("w").cast("long").alias("length"))
 
 
 def _followed(min_len: int):

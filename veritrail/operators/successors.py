@@ -43,14 +43,35 @@ def jumps(steps: DataFrame, most: int) -> list[DataFrame]:
     return out
 
 
-def walks(starts: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """(id, at, row): the rows of each chain (id, reach), from 0 on, by jumps of powers of two."""
-    rows = starts.select("id", F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), "reach")).alias("at"))
-    for k, jump in enumerate(steps):
+#: Rows of a stretch that chains share are held together, 2 to this power.
+HELD_BITS = 4
+
+
+def walked(starts: DataFrame, rows: DataFrame, ways: list[DataFrame], most: int) -> DataFrame:
+    """``starts`` (id, next_id, reach, ...) with ``w``: what is ``held`` by the rows (id, next_id, held) of each chain, in order.
+
+    Chains that go on to one row share what follows it, which is put together once: stretches of 16 rows by doubling, and the
+    stretches by jumps (:func:`jumps` of at least the rows that are others' next ones). So a chain's rows are arrays, shuffled a few times in all.
+    """
+    goal = starts.where("reach > 0").groupBy(F.col("next_id").alias("head")).agg(F.max("reach").alias("reach"))
+    goal = materialize(goal)
+    follow = rows.join(rows.select(F.col("next_id").alias("id")).where("id is not null").distinct(), "id", "left_semi")
+    part = materialize(follow.select("id", F.array("held").alias("part")))
+    for jump in ways[:HELD_BITS]:
+        then = part.select(F.col("id").alias("to"), F.col("part").alias("more"))
+        both = part.join(jump.select("id", "to"), "id").join(then, "to", "left")
+        part = materialize(both.select("id", F.when(F.col("more").isNull(), F.col("part")).otherwise(F.concat("part", "more")).alias("part")))
+    last = F.floor((F.col("reach") - 1) / (1 << HELD_BITS)).cast("long")
+    at = goal.select("head", F.col("head").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
+    for k, jump in enumerate(ways[HELD_BITS:]):
         here = F.shiftright("at", k).bitwiseAND(1) == 1
-        moved = rows.where(here).join(jump.select(F.col("id").alias("row"), "to"), "row").select("id", F.col("to").alias("row"), "at")
-        rows = materialize(rows.where(~here).unionByName(moved))
-    return rows
+        moved = at.where(here).join(jump.select(F.col("id").alias("row"), "to"), "row").select("head", F.col("to").alias("row"), "at")
+        at = materialize(at.where(~here).unionByName(moved))
+    each = at.join(part.withColumnRenamed("id", "row"), "row").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    after = each.select(F.col("head").alias("next_id"), F.flatten("parts.part").alias("after"))
+    own = starts.join(rows.select("id", "held"), "id").join(after, "next_id", "left")
+    onward = F.when(F.col("reach") > 0, F.slice("after", F.lit(1), F.col("reach").cast("int")))
+    return own.withColumn("w", F.concat(F.array("held"), F.coalesce(onward, F.array().cast(after.schema["after"].dataType)))).drop("held", "after")
 
 
 class _Passing:
