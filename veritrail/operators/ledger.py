@@ -46,10 +46,10 @@ def pairs(transfers: DataFrame) -> DataFrame:
 
 def degrees(transfers: DataFrame) -> DataFrame:
     """(entity, degree, in_degree, out_degree, volume): distinct neighbours, transfers each way, and their value."""
-    sides = transfers.select(
-        F.explode(F.array(F.struct(F.col("src").alias("entity"), F.col("dst").alias("other"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("entity"), F.col("src").alias("other"), F.lit(0).alias("out")))).alias("s"), "amount"
-    ).select("s.*", "amount").where("entity is not null")
-    other = F.when(F.col("other") != F.col("entity"), F.col("other"))
-    # Sums by neighbour first: then a neighbour is a row, and no set of them is held.
-    each = sides.groupBy("entity", other.alias("other")).agg(F.sum(1 - F.col("out")).alias("n_in"), F.sum("out").alias("n_out"), money("amount").alias("part"))
+    # Sums by two neighbours first, once for both of them: then a neighbour is a row, and no set of them is held.
+    swapped = F.coalesce(F.col("src") > F.col("dst"), F.lit(False))
+    ends = transfers.select(F.when(swapped, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(swapped, F.col("src")).otherwise(F.col("dst")).alias("b"), F.when(swapped, 0).otherwise(1).alias("there"), "amount")
+    two = ends.groupBy("a", "b").agg(F.sum("there").alias("there"), F.sum(1 - F.col("there")).alias("back"), money("amount").alias("part"))
+    side = lambda own, other, n_in, n_out: F.struct(F.col(own).alias("entity"), F.when(F.col(other) != F.col(own), F.col(other)).alias("other"), F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out"))
+    each = two.select(F.explode(F.array(side("a", "b", "back", "there"), side("b", "a", "there", "back"))).alias("s"), "part").select("s.*", "part").where("entity is not null")
     return each.groupBy("entity").agg(F.count("other").alias("degree"), F.sum("n_in").alias("in_degree"), F.sum("n_out").alias("out_degree"), money("part").alias("volume"))
