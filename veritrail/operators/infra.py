@@ -13,6 +13,8 @@ from veritrail.storage import materialize
 OBSERVATION = "ip string, ts string, asn string, cert_sha256 string, domains array<string>, ports array<int>, tags array<string>, ordinal long"
 #: Tags of services that hide who uses them (fixed values).
 ANONYMIZERS = ["tor-exit", "tor", "vpn", "proxy"]
+#: Addresses of a block, about.
+BLOCK = 1024
 
 
 def enrich(obs: DataFrame, tor: DataFrame | None = None, vpn: DataFrame | None = None, proxy: DataFrame | None = None) -> DataFrame:
@@ -48,25 +50,52 @@ def coactivity(obs: DataFrame, min_shared_days: int = 2) -> DataFrame:
 
     Two addresses that share ``min_shared_days`` days share one even when each leaves out all but one of those of its commonest
     days. So addresses meet on their rarer days only, once for each pair (on the rarest day that they share), and the days that
-    nearly all have in common make no pairs. What a pair shares is counted from its two rows of days as bits.
+    nearly all have in common make no pairs. Addresses of a day meet by blocks, whose shared days are a product of matrices.
     """
     days = materialize(obs.where(F.col("ts").contains("T")).select(F.substring_index("ts", "T", 1).alias("day"), "ip").where("ip is not null").distinct())
     # A row a day: its place in order of how many have it, the rarest first.
     many = days.groupBy("day").agg(F.count("*").alias("n"))
     ranked = numbered(many.select(F.struct("n", "day").alias("component"))).select(F.col("component.day").alias("day"), (F.col("i") - 1).alias("rank"))
-    placed = days.join(ranked, "day").select("ip", "rank")
-    # Days fill words of 63 bits, by rank.
-    one = "shiftleft(1L, cast(rank % 63 as int))"
-    words = placed.groupBy("ip", F.floor(F.col("rank") / 63).alias("word")).agg(F.bit_or(F.expr(one)).alias("bits"), F.array_sort(F.collect_list("rank")).alias("ranks"))
-    per = words.groupBy("ip").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"), F.array_sort(F.flatten(F.collect_list("ranks"))).alias("ranks"))
-    per = materialize(per.where(F.size("ranks") >= min_shared_days))
-    rare = per.select("ip", "bits", F.explode(F.slice("ranks", F.lit(1), F.size("ranks") - (min_shared_days - 1))).alias("rank"))
-    a, b = (rare.select("rank", F.col("ip").alias(name), F.col("bits").alias(f"{name}_bits")) for name in ("a", "b"))
-    both = a.join(b, "rank").where("a < b")
-    common = lambda word: F.coalesce(F.element_at("a_bits", word), F.lit(0).cast("long")).bitwiseAND(F.coalesce(F.element_at("b_bits", word), F.lit(0).cast("long")))
-    word, lower = F.floor(F.col("rank") / 63), F.expr(one) - 1
-    # No rarer day is shared: none in earlier words, none of lower bits in this one.
-    first = F.forall(F.filter(F.map_keys("a_bits"), lambda w: w < word), lambda w: common(w) == 0) & (common(word).bitwiseAND(lower) == 0)
-    shared = F.aggregate(F.map_keys("a_bits"), F.lit(0).cast("long"), lambda total, w: total + F.bit_count(common(w)))
-    found = both.where(first).select("a", "b", shared.alias("shared_days")).where(F.col("shared_days") >= min_shared_days)
+    placed = days.join(ranked, "day").select("ip", F.col("rank").cast("int").alias("rank"))
+    per = materialize(placed.groupBy("ip").agg(F.array_sort(F.collect_list("rank")).alias("ranks")).where(F.size("ranks") >= min_shared_days))
+    rare = per.select("ip", "ranks", F.explode(F.slice("ranks", F.lit(1), F.size("ranks") - (min_shared_days - 1))).alias("rank"))
+    parts = rare.groupBy("rank").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = rare.join(parts, "rank").groupBy("rank", F.pmod(F.xxhash64("ip"), F.col("parts")).alias("block"))
+    blocks = materialize(blocks.agg(F.collect_list(F.struct("ip", "ranks")).alias("held")))
+    a, b = (blocks.select("rank", F.col("block").alias(f"{name}_block"), F.col("held").alias(name)) for name in ("a", "b"))
+    # As many tasks as shuffles have, however few bytes the blocks are.
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = a.join(b, "rank").where("a_block <= b_block").repartition(tasks, "rank", "a_block", "b_block")
+    found = both.groupBy("rank", "a_block", "b_block").applyInArrow(_shared(min_shared_days), "a string, b string, shared_days long")
     return found.withColumn("confidence", clamp(F.lit(0.3) + F.lit(0.2) * F.col("shared_days")))
+
+
+def _shared(least: int):
+    """Pairs of two blocks of addresses that share ``least`` days, none of which is rarer than the one where the blocks meet."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for row in table.to_pylist():
+            sides = [row["a"]] if row["a_block"] == row["b_block"] else [row["a"], row["b"]]
+            days = np.unique(np.concatenate([m["ranks"] for side in sides for m in side]))
+            bits = []
+            for side in sides:
+                at = np.zeros((len(side), days.size), dtype=np.float32)
+                at[np.repeat(np.arange(len(side)), [len(m["ranks"]) for m in side]), np.searchsorted(days, np.concatenate([m["ranks"] for m in side]))] = 1
+                bits.append(at)
+            rarer = days < row["rank"]
+            total = bits[0] @ bits[-1].T
+            fits = (total >= least) & (bits[0][:, rarer] @ bits[-1][:, rarer].T == 0)
+            i, j = np.nonzero(np.triu(fits, 1) if len(sides) == 1 else fits)
+            names = [m["ip"] for side in sides for m in side]
+            order = np.empty(len(names), dtype=np.int64)
+            order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+            n, j = total[i, j].astype(np.int64), j if len(sides) == 1 else j + len(sides[0])
+            swap = order[i] > order[j]
+            known = pa.array(names, pa.string())
+            out.append(pa.table({"a": known.take(pa.array(np.where(swap, j, i))), "b": known.take(pa.array(np.where(swap, i, j))), "shared_days": n}))
+        return pa.concat_tables(out)
+
+    return run
