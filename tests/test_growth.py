@@ -2,10 +2,12 @@
 
 import random
 
-from veritrail.functions.names import similarity
-from veritrail.operators import case, ledger, resolution, successors, traversal
 from pyspark.sql import functions as F
 
+from veritrail.functions.names import similarity
+from veritrail.operators import case, infra, ledger, resolution, successors, traversal
+from veritrail.sources import onchain
+
 
 def test_names_of_series_against_all_pairs(spark):
     rnd = random.Random(5)
@@ -48,3 +50,21 @@ def test_chains_share_what_follows(spark):
 def test_degrees_of_loops_and_single_sides(spark):
     rows = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), ("a", "a", 4.0), (None, "a", 8.0), ("b", None, 16.0), ("c", "b", None)], "src string, dst string, amount double")
     assert {tuple(r) for r in ledger.degrees(rows).collect()} == {("a", 1, 3, 2, 19.0), ("b", 2, 2, 2, 19.0), ("c", 1, 0, 1, 0.0)}
+
+
+def test_shared_days_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(infra, "BLOCK", 3)
+    rnd = random.Random(3)
+    seen = {f"U{i}": {f"2026-01-{d:02d}" for d in range(1, 10) if rnd.random() < 0.4} for i in range(25)}
+    rows = [(ip, f"{d}T00:00:00", 0) for ip, days in seen.items() for d in days]
+    found = {tuple(r)[:3] for r in infra.coactivity(spark.createDataFrame(rows, "ip string, ts string, ordinal long")).collect()}
+    assert found == {(a, b, len(seen[a] & seen[b])) for a in seen for b in seen if a < b and len(seen[a] & seen[b]) >= 2}
+
+
+def test_transactions_do_not_hold_their_block(spark):
+    docs = spark.createDataFrame([('{"result":{"timestamp":"0x10","transactions":[{"hash":"h","from":"a","to":"b","value":"0xde0b6b3a7640000"}]}}',)], "value string")
+    made = onchain.evm_block(docs)
+    assert [(r["txid"], r["ts"], r["inputs"][0]["value"]) for r in made.collect()] == [("h", "16", 1.0)]
+    # The time is worked out below the step that makes a row of each transaction.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan[plan.index("Generate explode"):]

@@ -60,8 +60,10 @@ def blockscout(docs: DataFrame, chain: str = "ethereum") -> DataFrame:
 
 
 def evm_block(docs: DataFrame, chain: str = "ethereum") -> DataFrame:
-    parsed = docs.select(F.from_json("value", "struct<result:struct<timestamp:string,transactions:array<struct<hash:string,`from`:string,`to`:string,value:string>>>>")["result"].alias("b"))
-    rows = parsed.select(F.col("b.timestamp").alias("time"), F.explode("b.transactions").alias("t")).withColumns({"wei": hex_amount("t.value"), "time": hex_amount("time")})
+    # Python sees a block's time once, and a block isn't held by each of its transactions.
+    schema = "struct<result:struct<timestamp:string,transactions:array<struct<hash:string,`from`:string,`to`:string,value:string>>>>"
+    parsed = docs.select(F.from_json("value", schema)["result"].alias("b")).select(F.col("b.timestamp").alias("time"), F.col("b.transactions").alias("each")).withColumn("time", hex_amount("time"))
+    rows = parsed.select("time", F.explode("each").alias("t")).withColumn("wei", hex_amount("t.value"))
     value = F.round(F.col("wei") / 1e18, 8)
     return _transactions(rows, F.col("t.hash"), chain, F.when(F.col("time") > 0, F.col("time").cast("long")), _one(F.col("t.from"), value), _one(F.col("t.to"), value))
 
