@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from veritrail.functions.names import similarity
-from veritrail.operators import case, infra, ledger, resolution, successors, traversal
-from veritrail.sources import onchain
+from veritrail.operators import case, infra, ledger, metrics, resolution, successors, traversal
+from veritrail.sources import onchain, planted
 
 
 def test_names_of_series_against_all_pairs(spark):
@@ -68,3 +68,16 @@ def test_transactions_do_not_hold_their_block(spark):
     # The time is worked out below the step that makes a row of each transaction.
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan[plan.index("Generate explode"):]
+
+
+def test_planted_copies_are_not_broadcast(spark):
+    """Spark takes what is exploded to be as small as its keys: such sides of scores were broadcast whole."""
+    keys = spark.range(50).select(F.col("id").alias("key")).coalesce(1)
+    one = spark.createDataFrame([("a", "x"), ("b", "x")], "member string, cluster string")
+    made = planted.copies(one, keys, "member", "cluster")
+    assert made.count() == 100 and len(set(made.select(F.input_file_name()).distinct().collect())) > 1
+    scores = metrics.pairwise_scores(made, made)
+    assert "BroadcastHashJoin" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert tuple(scores.first())[3:] == (50, 0, 0)
+    labels = lambda *x: spark.createDataFrame([(v,) for v in x], "label string")
+    assert tuple(metrics.label_scores(labels("a", "a", "b", None), labels("b", "c", None)).first())[3:] == (1, 2, 2)

@@ -28,14 +28,19 @@ def pairwise_scores(found: DataFrame, truth: DataFrame, universe: DataFrame | No
         sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
         return sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias(name))
 
+    # Both sides meet as rows of one member, not in a join: Spark's guess of a side's size can be far too small, and then all of it is broadcast.
+    sides = ours.select("member", "a", F.lit(None).cast(theirs.schema["b"].dataType).alias("b")).unionByName(theirs.select("member", F.lit(None).cast(ours.schema["a"].dataType).alias("a"), "b"))
+    met = sides.groupBy("member").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("member is not null and a is not null and b is not null")
     # Three single rows.
-    both = pairs(ours.join(theirs, "member"), "tp", "a", "b")
+    both = pairs(met, "tp", "a", "b")
     return _scores(both.crossJoin(pairs(ours, "predicted", "a")).crossJoin(pairs(theirs, "real", "b")))
 
 
 def label_scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row of scores for sets of labelled things (label)."""
-    sides = found.select("label").distinct().withColumn("ours", F.lit(1)).join(truth.select("label").distinct().withColumn("theirs", F.lit(1)), "label", "full")
+    side = lambda rows, ours: rows.select("label", F.when(F.lit(ours), 1).alias("ours"), F.when(F.lit(not ours), 1).alias("theirs"))
+    # A null label is one of its side, and none that both have.
+    sides = side(found, True).unionByName(side(truth, False)).groupBy("label", F.when(F.col("label").isNull(), F.col("ours").isNotNull())).agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"))
     total = lambda c: F.count(c)
     return _scores(sides.agg(total(F.when(F.col("ours") == F.col("theirs"), 1)).alias("tp"), total("ours").alias("predicted"), total("theirs").alias("real")))
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType
 from veritrail.operators.chain import TRANSACTION
 from veritrail.operators.infra import OBSERVATION
 from veritrail.operators.ledger import DAY, HOUR
+from veritrail.storage import materialize
 
 LEDGER = "id string, src string, dst string, amount double, ts_micros long, counterparty_country string, goods_value double"
 START = 1_735_689_600_000_000
@@ -93,7 +94,13 @@ def transactions(spark: SparkSession, noisy: bool = False, owners: int = 6, seed
 
 
 def copies(frame: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
-    """The rows of a small frame once for each key (key), which ends what ``names`` hold: strings, or sides of transactions."""
+    """The rows of a small frame once for each key (key), which ends what ``names`` hold: strings, or sides of transactions.
+
+    Keys are dealt out first, since those of a small file are in one task. What is made is written to the shared folder: Spark takes
+    what is exploded to be as small as the keys, and would broadcast it in joins.
+    """
+    spark = keys.sparkSession
+    keys = keys.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
     items = "[" + ",".join(frame.toJSON().collect()) + "]"
     rows = keys.select(F.col("key").cast("string").alias("key"), F.explode(F.from_json(F.lit(items), ArrayType(frame.schema))).alias("r")).select("key", "r.*")
 
@@ -102,7 +109,7 @@ def copies(frame: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
         side = lambda x: F.struct(own(x["address"]).alias("address"), x["value"].alias("value"))
         return F.transform(c, side) if c in ("inputs", "outputs") else own(F.col(c))
 
-    return rows.withColumns({c: ended(c) for c in names}).drop("key")
+    return materialize(rows.withColumns({c: ended(c) for c in names}).drop("key"))
 
 
 def ledgers(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
