@@ -247,6 +247,20 @@ def test_quality(spark):
     assert quality.resample(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_buckets_are_worked_out_once(spark):
+    """A model and weights from written buckets, without texts, are those from texts."""
+    for found in ([], [0], [65_534, 65_535, 131_071, 2_000_000], [0, 65_535, 131_070], sorted(random.Random(2).sample(range(quality.BUCKETS), 500))):
+        assert quality.buckets(quality.packed(np.array(found, np.int64))).tolist() == found
+    rows = [(i, f"{'good plain' if i % 2 else 'bad loud'} words {i}") for i in range(40)] + [(None, None), (99, "")]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = quality.featured(docs.select("doc_id", "text"), "text")
+    assert once.columns == ["doc_id", quality.FEATURES]
+    one, other = quality.fit(once, labels), quality.fit(docs, labels)
+    assert (one.ratios == other.ratios).all() and (one.shares == other.shares).all()
+    weights = {str(r["doc_id"]): r["w"] for r in once.select("doc_id", quality.log_weight(F.col(quality.FEATURES), one).alias("w")).collect()}
+    assert weights == {str(i): one.log_weight(quality.features(t)) if t else 0.0 for i, t in rows}
+
+
 def test_ties_in_the_last_place(spark):
     docs = docs_of(spark, [(1, "same text")] * 7 + [(2, "other")])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

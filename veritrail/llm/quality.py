@@ -46,6 +46,8 @@ MAX_LABELLED = 200_000
 PRIOR, SHRINK = 10.0, 16.0
 SEED = 29
 GOOD, TOXIC, POOR = range(3)
+#: The column of a text's buckets, and the largest gap that two bytes hold, less one.
+FEATURES, _GAP = "__features", 65_535
 _ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KINDS = bytes.maketrans(bytes(range(97, 123)) + bytes(range(128, 256)) + bytes(range(65, 91)) + b"123456789", b"a" * 154 + b"A" * 26 + b"0" * 9)
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
@@ -83,12 +85,40 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([single, double])).astype(np.int64)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Sorted buckets as gaps of two bytes, of which _GAP says that the gap goes on."""
+    gaps = np.diff(found, prepend=0)
+    more, rest = np.divmod(gaps, _GAP)
+    out = np.full(found.size + int(more.sum()), _GAP, np.uint16)
+    out[np.arange(found.size) + np.cumsum(more)] = rest
+    return out.tobytes()
+
+
+def buckets(raw: bytes) -> np.ndarray:
+    """What :func:`packed` was given."""
+    gaps = np.frombuffer(raw, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != _GAP]
+
+
+def featured(docs: DataFrame, *without: str) -> DataFrame:
+    """``docs`` (text, ...) with their texts' buckets, and without some columns, written: working them out costs far more than reading them again."""
+
+    @F.pandas_udf("binary")
+    def of(texts):
+        import pandas as pd
+
+        return pd.Series([packed(features(t)) for t in texts], dtype=object)
+
+    bound_text_batches(docs.sparkSession)
+    return materialize(docs.withColumn(FEATURES, of(F.col("text"))).drop(*without))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's counts of documents by n-gram: over all texts, and over those of each kind of label."""
     counts = np.zeros((4, BUCKETS), np.int32)
     for batch in batches:
-        for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            found = features(text.as_py())
+        for raw, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            found = buckets(raw.as_py())
             counts[0][found] += 1
             if kind is not None:
                 counts[1 + kind][found] += 1
@@ -128,15 +158,16 @@ def kinds_of(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model for ``docs`` (doc_id, text) and ``labels`` (doc_id, quality, toxic); None where labels tell nothing apart."""
-    bound_text_batches(docs.sparkSession)
+    """The model for ``docs`` (doc_id, text; as :func:`featured` gives them or not) and ``labels`` (doc_id, quality, toxic); None where
+    labels tell nothing apart."""
+    docs = docs if FEATURES in docs.columns else featured(docs.select("doc_id", "text"))
     # At most MAX_LABELLED ids.
-    told = docs.select("doc_id", "text").join(F.broadcast(materialize(kinds_of(labels))), F.col("doc_id") == F.col("__id"), "left")
+    told = docs.select("doc_id", FEATURES).join(F.broadcast(materialize(kinds_of(labels))), F.col("doc_id") == F.col("__id"), "left")
     numbers = dict(told.where("kind is not null").groupBy("kind").count().collect())
     shares = np.array([numbers.get(k, 0) for k in (GOOD, TOXIC, POOR)], np.float64)
     if not shares[GOOD] or not shares[1:].any():
         return None
-    parts = told.select("text", F.col("kind").cast("int")).mapInArrow(_count, COUNTS_SQL)
+    parts = told.select(FEATURES, F.col("kind").cast("int")).mapInArrow(_count, COUNTS_SQL)
     chunks = summed_chunks(materialize(parts), told.rdd.getNumPartitions()).collect()
     totals = sum(counts.sum(axis=1) for _, counts in unpacked(chunks, 4))
     used = shares > 0
@@ -147,25 +178,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(ratios, shares[used] / shares.sum())
 
 
-def log_weight(text: Column, model: Model | None) -> Column:
-    """The log importance weight of a text."""
+def log_weight(found: Column, model: Model | None) -> Column:
+    """The log importance weight of a text by its buckets."""
     if model is None:
         return F.lit(0.0)
 
     @F.pandas_udf("double")
-    def weigh(texts):
+    def weigh(rows):
         import pandas as pd
 
-        found = (features(t) for t in texts)
-        return pd.Series([model.log_weight(f) if f.size else 0.0 for f in found], dtype="float64")
+        return pd.Series([model.log_weight(buckets(raw)) if raw else 0.0 for raw in rows], dtype="float64")
+
+    return weigh(found)
+
 
-    return weigh(text)
+def uniform(seed: int, *identity: str) -> Column:
+    """A seeded number between 0 and 1."""
+    return (F.shiftrightunsigned(F.xxhash64(*identity, F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
 
 
 def gumbel_key(weight: Column, seed: int, *identity: str) -> Column:
     """Log weight plus seeded Gumbel noise."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(*identity, F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
-    return weight - F.log(-F.log(uniform))
+    return weight - F.log(-F.log(uniform(seed, *identity)))
 
 
 def kth_largest(keys: DataFrame, k: int, buckets: int = 4096, small: int = 10_000) -> float:
@@ -188,8 +222,9 @@ def kth_largest(keys: DataFrame, k: int, buckets: int = 4096, small: int = 10_00
 
 
 def weigh(docs: DataFrame, model: Model | None, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with log_weight and sample_key; columns of these names are replaced."""
-    keyed = docs.withColumn("log_weight", log_weight(F.col("text"), model))
+    """``docs`` (doc_id, text, ...; as :func:`featured` gives them or not) with log_weight and sample_key; columns of these names are replaced."""
+    docs = docs if FEATURES in docs.columns else featured(docs)
+    keyed = docs.withColumn("log_weight", log_weight(F.col(FEATURES), model)).drop(FEATURES)
     return keyed.withColumn("sample_key", gumbel_key(F.col("log_weight"), seed, "doc_id", "text"))
 
 
@@ -210,6 +245,7 @@ def how_many(keyed: DataFrame, model: Model | None, k: int | None) -> int:
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """The sampled rows of ``docs`` (doc_id, text, ...) with log_weight and sample_key."""
+    docs = featured(docs)
     model = fit(docs, labels)
     # Weighing costs more than writing the rows that it keeps and reading them again.
     keyed = materialize(weigh(docs, model, seed))
@@ -218,6 +254,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # Keys need a number from the text, and no text is written.
+    docs = featured(docs.withColumn("noise", uniform(SEED, "doc_id", "text")), "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keyed = materialize(weigh(docs, model).drop("text"))
+    weighed = docs.select("doc_id", log_weight(F.col(FEATURES), model).alias("log_weight"), "noise")
+    keyed = materialize(weighed.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log("noise"))).alias("sample_key")))
     return top(keyed, how_many(keyed, model, None), "doc_id")
