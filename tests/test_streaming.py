@@ -67,3 +67,60 @@ def test_too_late(spark, tmp_path):
     late = [near(3, 1003), ("end", "a", "q", 9500.0, START + 3000 * HOUR)]
     found = replay(spark, tmp_path, rows + filler + late, stateful.structuring_alerts, "late_alerts").where("entity = 'x'").collect()
     assert [(r["near_band_count"], r["window_total"]) for r in found] == [(3, 28500.0)]
+
+
+def test_state_is_hardly_asked():
+    """First events of an entity are only written, and those out of the window go together."""
+    import pandas as pd
+    from veritrail.streaming.stateful import _Burst
+
+    class Kept:
+        def __init__(self):
+            self.rows, self.calls = {}, {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls[name] = self.calls.get(name, 0) + 1
+                key = args[0] if args else None
+                if name == "exists":
+                    return bool(self.rows)
+                if name == "get":
+                    return self.rows[0]
+                if name == "update":
+                    self.rows[0] = key
+                if name == "containsKey":
+                    return key in self.rows
+                if name == "getValue":
+                    return self.rows[key]
+                if name == "updateValue":
+                    self.rows[key] = args[1]
+                if name == "removeKey":
+                    del self.rows[key]
+                if name == "iterator":
+                    return iter(list(self.rows.items()))
+                if name == "clear":
+                    self.rows.clear()
+
+            return call
+
+    class Handle:
+        getMapState = getValueState = lambda self, *_: Kept()
+        registerTimer = lambda self, _: None
+
+    class Times:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    state = _Burst(1000, 5, 3.0)
+    state.init(Handle())
+    times = [10_000 * i for i in range(1, 51)]
+    list(state.handleInputRows(("a",), iter([pd.DataFrame({"ts_micros": times, "amount": [1.0] * 50})]), Times(0)))
+    assert state.events.calls == {"updateValue": 50}
+    list(state.handleExpiredTimer(("a",), Times(1000), None))
+    assert set(state.events.rows) == {(500_000,)} and state.past.get()[2] == 50 and "removeKey" not in state.events.calls
+    list(state.handleInputRows(("a",), iter([pd.DataFrame({"ts_micros": [2_000_000, 2_000_000], "amount": [1.0, 2.0]})]), Times(1000)))
+    list(state.handleInputRows(("a",), iter([pd.DataFrame({"ts_micros": [2_000_000], "amount": [4.0]})]), Times(1000)))
+    assert state.events.rows[(2_000_000,)][0] == 3 and float(state.events.rows[(2_000_000,)][1]) == 7.0

@@ -49,8 +49,10 @@ class _Rolling(StatefulProcessor):
                     n, total = fresh.get(ts, (0, Decimal(0)))
                     more = Decimal(repr(float(amount))).quantize(_TENTH, ROUND_HALF_UP) if amount == amount else Decimal(0)
                     fresh[ts] = n + 1, total + more
+        # Each look at the state is a message to the JVM: there is nothing to look for where no event has been yet.
+        known = bool(fresh) and (self.due.exists() or self.past.exists())
         for ts, (n, total) in fresh.items():
-            before, sum_before = self.events.getValue((ts,)) if self.events.containsKey((ts,)) else (0, "0")
+            before, sum_before = self.events.getValue((ts,)) if known and self.events.containsKey((ts,)) else (0, "0")
             self.events.updateValue((ts,), (before + n, str(Decimal(sum_before) + total)))
         if fresh and (not self.due.exists() or min(fresh) < self.due.get()[0]):
             self._wait(min(fresh))
@@ -75,8 +77,14 @@ class _Rolling(StatefulProcessor):
                 last, first, count, peak = ts, ts if first is None else first, count + n, max(peak, n_in)
                 out += self.judge(key[0], ts, n_in, float(total_in), first, count, peak)
         self.past.update((last, first, count, peak))
-        for ts, *_ in held:
-            if ts < last - self.window:
+        gone = sum(ts < last - self.window for ts, *_ in held)
+        if 2 * gone > len(held):
+            # Fewer messages than one for each that goes.
+            self.events.clear()
+            for ts, n, total in held[gone:]:
+                self.events.updateValue((ts,), (n, str(total)))
+        else:
+            for ts, *_ in held[:gone]:
                 self.events.removeKey((ts,))
         waiting = [ts for ts, *_ in held if ts > until]
         if waiting:
