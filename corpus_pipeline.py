@@ -1,16 +1,19 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, mixing and packing.
 
-``run`` applies STAGES to the documents; each result is written as Parquet and read again for the next stage.
-Every stage but the last returns the columns of documents.
+``run`` applies STAGES to the documents. Each stage writes its result as Parquet and deletes what else it wrote, whoever
+calls it, and the result is read again for the next one. Every stage but the last returns the columns of documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.llm import mixing, near_duplicates, packing, quality, suffix_dedup
-from veritrail.storage import delete, new_path, stage_tables
+from veritrail.storage import delete, new_path, stage_tables, write
 
 #: Stands for a null id in keys.
 _NO_ID = 2**63 - 1
@@ -55,23 +58,35 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def written(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with its result written, and without the tables that it leaves on the way."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        path = new_path(docs.sparkSession, "pipeline")
+        with stage_tables(docs.sparkSession):
+            made = stage(spark, docs, sf_dir)
+            write(made, path)
+        return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+    return run
+
+
 STAGES = [
-    ("quality_classifier", keep_quality),
-    ("ngram_jaccard_join", drop_near_duplicates),
-    ("suffix_array_dedup", cut_repeats),
-    ("mixing_sources", mix_sources),
-    ("packing", pack_sequences),
+    ("quality_classifier", written(keep_quality)),
+    ("ngram_jaccard_join", written(drop_near_duplicates)),
+    ("suffix_array_dedup", written(cut_repeats)),
+    ("mixing_sources", written(mix_sources)),
+    ("packing", written(pack_sequences)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage leaves in the shared folder goes when its result has been written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for _, stage in STAGES[:-1]:
-        path = new_path(spark, "pipeline")
-        with stage_tables(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
-        if before:
-            delete(spark, before)
-        docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows. A stage's result goes when that of the next one has been written."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k:
+            for path in {file.rsplit("/", 1)[0] for file in before.inputFiles()}:
+                delete(spark, path)
+    return docs

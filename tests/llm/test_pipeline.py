@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_operators import brute_near, brute_repeats, check_packing, long_text, near_rows
+from veritrail import storage
 from veritrail.llm import quality
 
 
@@ -110,3 +111,15 @@ def test_stages_against_brute_force(spark):
     # Packing: every id of every copy in one piece.
     pieces = corpus_pipeline.pack_sequences(spark, mixed, "").collect()
     check_packing([(r["doc_id"], r["text"]) for r in mixed.collect()], pieces)
+
+
+def test_stages_leave_their_result_only(spark, tmp_path, monkeypatch):
+    """A caller that takes the stages one by one, and never ``run``, isn't left with all tables that they wrote."""
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    docs, left = spark.read.parquet(f"{SF}/documents.parquet"), lambda: len(list((tmp_path / "shared").iterdir()))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert left() == k, name
+    found = corpus_pipeline.run(spark, SF)
+    assert found.count() and left() == k + 1

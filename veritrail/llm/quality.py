@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import COUNTS_SQL, WordTable, bound_text_batches, count_chunks, gram_hashes, mix64, summed_chunks, unpacked, worker_cache
-from veritrail.storage import materialize
+from veritrail.storage import materialize, new_path, stage_tables, write
 
 #: Buckets of words and shapes, and as many again of pairs of words.
 BITS = 20
@@ -245,10 +245,15 @@ def how_many(keyed: DataFrame, model: Model | None, k: int | None) -> int:
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """The sampled rows of ``docs`` (doc_id, text, ...) with log_weight and sample_key."""
-    docs = featured(docs)
-    model = fit(docs, labels)
-    # Weighing costs more than writing the rows that it keeps and reading them again.
-    keyed = materialize(weigh(docs, model, seed))
+    path = new_path(docs.sparkSession)
+    # Texts are written twice, and their buckets once: those of the first writing go before the sample is taken.
+    with stage_tables(docs.sparkSession):
+        docs = featured(docs)
+        model = fit(docs, labels)
+        # Weighing costs more than writing the rows that it keeps and reading them again.
+        keyed = weigh(docs, model, seed)
+        write(keyed, path)
+    keyed = docs.sparkSession.read.schema(keyed.schema).parquet(path)
     return top(keyed, how_many(keyed, model, k), "doc_id", "text")
 
 
