@@ -218,3 +218,14 @@ def test_names(spark):
     got = {r["name"]: r["canonical"] for r in resolve_entities(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert got["acct_1"] != got["acct_2"] and got["Beta Corp"] == got["beta corporation"] == "Beta Corp"
     assert got["Acme Trading LLC"] == got["ACME Trading, L.L.C."] and "" not in got
+
+
+def test_betweenness_by_searches_and_by_joins(spark, monkeypatch):
+    """Few links are held by tasks that share the searches, without levels of rows; many are joined, with the same shares."""
+    graphs = many_graphs(9, 40)
+    ledger = ledger_of(spark, *sum(graphs, []))
+    joined = {r["entity"]: r["share"] for r in traversal.path_shares(ledger, held_links=0).collect()}
+    monkeypatch.setattr(traversal, "_shares_by_joins", lambda near: 1 / 0)
+    held = {r["entity"]: r["share"] for r in traversal.path_shares(ledger).collect()}
+    assert held.keys() == joined.keys() and any(held.values())
+    assert all(abs(held[e] - joined[e]) < 1e-9 for e in held)
