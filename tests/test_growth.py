@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from veritrail.functions.names import similarity
 from veritrail.operators import case, infra, ledger, metrics, resolution, successors, traversal
+from veritrail.plans import registry
 from veritrail.sources import onchain, planted
 
 
@@ -81,3 +83,16 @@ def test_planted_copies_are_not_broadcast(spark):
     assert tuple(scores.first())[3:] == (50, 0, 0)
     labels = lambda *x: spark.createDataFrame([(v,) for v in x], "label string")
     assert tuple(metrics.label_scores(labels("a", "a", "b", None), labels("b", "c", None)).first())[3:] == (1, 2, 2)
+
+
+def test_transfers_are_read_once(spark):
+    """What a query gives is made of tables that it wrote: transfers are not put together again for each use."""
+    for name in ("sanctions_nexus", "network_risk"):
+        made = registry.QUERIES[name](spark, SF)
+        assert not [f for f in made.inputFiles() if "lineitem" in f], name
+
+
+def test_watched_that_do_not_occur(spark):
+    rows = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", None), ("w", "w")], "src string, dst string")
+    watched = spark.createDataFrame([("a",), ("w",), ("nobody",), (None,), ("a",)], "entity string")
+    assert {(r["entities"][0], r["hops_to_watchlist"]) for r in traversal.sanctions_nexus(rows, watched).collect()} == {("b", 1), ("c", 2)}

@@ -14,9 +14,9 @@ from veritrail.sources import exports, planted
 from veritrail.storage import materialize
 
 
-def findings(s, d):
+def findings(s, d, rows=None):
     """Structuring, trade and funnel findings, over one reading of the transfers; scores unrounded."""
-    rows = materialize(transfers(s, d))
+    rows = materialize(transfers(s, d)) if rows is None else rows
     parts = {"structuring": detectors.structuring(brisk(rows)), "trade_value_anomaly": detectors.trade_value_anomaly(rows), "funnel_account": detectors.funnel_account(funnels(s, d))}
     out = None
     for name, found in parts.items():
@@ -30,8 +30,9 @@ def entity_rows(s, d):
 
 
 def network_rows(s, d):
-    parts = traversal.components(transfers(s, d))
-    return risk.network_risk(findings(s, d), parts).withColumn("typologies", F.array_join("typologies", ","))
+    # The transfers that findings read are written for them anyway.
+    rows = materialize(transfers(s, d))
+    return risk.network_risk(findings(s, d, rows), traversal.components(rows)).withColumn("typologies", F.array_join("typologies", ","))
 
 
 def top_findings(s, d):
