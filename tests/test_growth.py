@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from veritrail.functions.names import similarity
-from veritrail.operators import case, infra, ledger, metrics, resolution, successors, traversal
+from veritrail.operators import case, chain, infra, ledger, metrics, resolution, successors, traversal
 from veritrail.plans import registry
 from veritrail.sources import onchain, planted
 
@@ -96,3 +96,12 @@ def test_watched_that_do_not_occur(spark):
     rows = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", None), ("w", "w")], "src string, dst string")
     watched = spark.createDataFrame([("a",), ("w",), ("nobody",), (None,), ("a",)], "entity string")
     assert {(r["entities"][0], r["hops_to_watchlist"]) for r in traversal.sanctions_nexus(rows, watched).collect()} == {("b", 1), ("c", 2)}
+
+
+def test_mixers_fold_values_once(spark):
+    """A fold inside the step of another one is work that grows with the square of a transaction's outputs."""
+    rows = [("t", "x", [("a", 1.0)] * 3, [("b", 5.0), ("c", 5.5), ("d", 4.5)], 0), ("u", "x", [("a", 1.0)] * 3, [("b", 5.0), ("c", 50.0), ("d", 1.0)], 1), ("v", "x", None, [("b", 5.0)] * 3, 2)]
+    made = chain.mixers(spark.createDataFrame(rows, chain.TRANSACTION))
+    assert [(r["txid"], r["n_inputs"], r["n_outputs"], round(r["cv"], 6)) for r in made.collect()] == [("t", 3, 3, 0.081650)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("aggregate(") <= 2

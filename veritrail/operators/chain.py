@@ -45,12 +45,15 @@ def trace(txs: DataFrame, seed: str, direction: str = "forward", max_hops: int =
 
 def mixers(txs: DataFrame, min_in: int = 3, min_out: int = 3, uniformity: float = 0.1) -> DataFrame:
     """Transactions of many inputs and many outputs of like value."""
-    wide = txs.where((F.size("inputs") >= min_in) & (F.size("outputs") >= min_out)).withColumn("values", F.transform("outputs", lambda o: o["value"]))
+    # Spark puts what a column is made of into each use of it, and into each step of a fold over values; a row of its own is worked out once.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    sides = F.struct(F.size("inputs").alias("n_in"), F.size("outputs").alias("n_out"), F.transform("outputs", lambda o: o["value"]).alias("values"))
+    wide = txs.select("txid", once(sides, "s")).where((F.col("s.n_in") >= min_in) & (F.col("s.n_out") >= min_out)).select("txid", "s.*")
     add = lambda acc, v: acc + v
-    wide = wide.withColumn("mean", F.aggregate("values", F.lit(0.0), add) / F.size("values")).where("mean > 0")
+    wide = wide.select("*", once(F.aggregate("values", F.lit(0.0), add) / F.size("values"), "mean")).where("mean > 0")
     variance = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + (v - F.col("mean")) * (v - F.col("mean"))) / F.size("values")
-    out = wide.withColumn("cv", F.sqrt(variance) / F.col("mean")).where(F.col("cv") <= uniformity)
-    return out.select("txid", F.size("inputs").cast("long").alias("n_inputs"), F.size("outputs").cast("long").alias("n_outputs"), "cv", clamp(F.lit(0.6) + (F.lit(uniformity) - F.col("cv")), 0.0, 0.95).alias("score"))
+    out = wide.select("*", once(F.sqrt(variance) / F.col("mean"), "cv")).where(F.col("cv") <= uniformity)
+    return out.select("txid", F.col("n_in").cast("long").alias("n_inputs"), F.col("n_out").cast("long").alias("n_outputs"), "cv", clamp(F.lit(0.6) + (F.lit(uniformity) - F.col("cv")), 0.0, 0.95).alias("score"))
 
 
 def demix(txs: DataFrame, mixer_ids: DataFrame | None = None, amount_tol: float = 0.05) -> DataFrame:
