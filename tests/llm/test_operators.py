@@ -446,6 +446,27 @@ def test_repeats(spark, monkeypatch, hot, op):
     assert repeats.with_runs(docs_of(spark, []), kind).count() == 0
 
 
+def test_blocks_of_windows(spark):
+    """What is left of a prefix that was dealt out is a few rows for a stretch, not one for each window."""
+    kind = suffix_dedup.KIND
+    width = -(-(kind.window - kind.gram + 1) // repeats.BLOCKS)
+    cores = {}
+    for first, n in [(400, 69), (400, 1), (468, 1), (420, 20), (431, 38)]:
+        seen = []
+        for w, many, place, a, b in repeats.blocks(kind, first, n, 468, width):
+            seen.extend(range(w, w + many))
+            assert a >= w + many - 1 and b <= w + kind.window and all(468 - x in range(place, place + width) for x in range(w, w + many))
+            assert cores.setdefault(place, (a, b)) == (a, b)
+        assert sorted(seen) == list(range(first, first + n))
+    rnd = random.Random(0)
+    gram = rnd.randbytes(32)
+    rows = [(1, 0, d, d, 0, 69, 68, rnd.randbytes(68) + gram + rnd.randbytes(68)) for d in range(300)]
+    batch = repeats._batch(repeats._CUT, zip(*rows, strict=True))
+    out = [r for b in repeats._solver(kind, width)(iter([batch])) for r in b.to_pylist()]
+    assert len(out) == repeats.BLOCKS * len(rows)
+    assert sum(r["n"] for r in out) == 69 * len(rows)
+
+
 def test_suffix_query(spark):
     docs = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     gone = brute_repeats(docs, 100, True)

@@ -10,7 +10,9 @@
    what follows and what precedes the anchor. Two windows are equal where both common prefixes are long enough.
    All repeats are found this way, on symbols; hashes only bring together what may be equal.
 4. A prefix with more than ``HOT_GROUP`` stretches is dealt out over groups of that size. What is left of each is
-   partitioned again by a longer prefix, the whole window, and solved again.
+   partitioned again by a longer string and solved again: a stretch is cut into at most ``BLOCKS`` blocks of windows, by
+   where their anchor is, and a block goes by what all windows with the anchor at its places share. Where that is
+   dealt out as well, what is left goes by whole windows.
 
 Rows are documents by id and text: rows that share an id but not the text are different documents, of which
 neither is earlier; repeated rows count once. A null text is empty. Rows with a null id take no part.
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import bound_text_batches, gram_hashes, mix64, worker_cache
@@ -34,6 +36,8 @@ from veritrail.storage import materialize
 FOLD, DENSE = 8_000_000, 8
 #: Stretches sorted at a time, and stretches that a gram may have before it is dealt out.
 SORT_BATCH, HOT_GROUP = 20_000, 1_000
+#: Blocks of windows that a stretch is cut into at most, where its gram was dealt out.
+BLOCKS = 3
 
 Order = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
@@ -288,9 +292,19 @@ def _column(table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
 
-def _solver(kind: Kind) -> Callable:
+def blocks(kind: Kind, start: int, n: int, anchor: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, n, place, core start, core end) of the windows start .. start + n - 1, cut where their anchor is at a multiple of
+    ``width``: windows with their anchor at the same ``width`` places from ``place`` on share the core."""
+    last = anchor - start
+    for place in range((last - n + 1) // width * width, last + 1, width):
+        end = min(place + width - 1, kind.window - kind.gram)
+        first = anchor - min(end, last)
+        yield first, anchor - max(place, last - n + 1) - first + 1, place, anchor - place, anchor - end + kind.window
+
+
+def _solver(kind: Kind, width: int) -> Callable:
     """Solve whole groups of rows sorted by (kh, salt). Rows out have no stretch where they are windows that repeat,
-    else they are windows left of a group that was dealt out, keyed by the hash of all of it."""
+    else they are windows left of a group that was dealt out, in blocks of ``width`` keyed by the hash of what they share."""
     item, window = kind.width, kind.window
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -305,10 +319,10 @@ def _solver(kind: Kind) -> Callable:
         for i, s, k in zip(row.tolist(), at.tolist(), m.tolist(), strict=True):
             if salt[i] < 0:
                 continue
-            raw, off = stretches[i], start[i]
-            for w in range(s, s + k):
-                piece = raw[(w - off) * item : (w - off + window) * item]
-                rows.append((xxhash.xxh3_64_intdigest(piece) - 2**63, -1, int(doc[i]), int(text[i]), w, 1, 0, piece))
+            raw, off, anchor = stretches[i], int(start[i]), int(start[i] + shift[i])
+            for w, many, place, a, b in blocks(kind, s, k, anchor, width):
+                key = xxhash.xxh3_64_intdigest(raw[(a - off) * item : (b - off) * item], place) - 2**63
+                rows.append((key, -1, int(doc[i]), int(text[i]), w, many, anchor - w, raw[(w - off) * item : (w - off + many - 1 + window) * item]))
             if len(rows) >= SORT_BATCH:
                 yield _batch(_CUT, zip(*rows, strict=True))
                 rows = []
@@ -349,19 +363,30 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     of = lambda kind: found.where(F.col("kind") == kind).drop("kind")
     totals = of(NUMBER).groupBy("kh").agg(F.max("total").alias("total"))
     open_ = of(STRETCH).unionByName(of(DENSE_STRETCH).drop("total").join(totals, "kh", "left"))
-    groups = F.ceil(F.coalesce("total", F.lit(0)) / HOT_GROUP)
-    salt = F.when(groups > 1, F.pmod(F.xxhash64("doc", "text_hash"), groups)).otherwise(-1)
-    marks = open_.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("kh", "start", "n", "shift", salt.alias("salt"))).alias("marks"))
+    marks = open_.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("kh", "start", "n", "shift", _salt().alias("salt"))).alias("marks"))
     texts = docs.join(marks, ["doc", "text_hash"]).select("doc", "text_hash", "doc_id", "text", "marks")
-    cut = texts.mapInArrow(_cut(kind), _CUT_SQL)
-    solved = cut.repartition("kh", "salt").sortWithinPartitions("kh", "salt").mapInArrow(_solver(kind), _CUT_SQL)
-    runs = of(DONE)
-    if found.where(F.col("total") > HOT_GROUP).limit(1).count():
-        solved = materialize(solved)
-        again = solved.where("stretch is not null").repartition("kh").sortWithinPartitions("kh").mapInArrow(_solver(kind), _CUT_SQL)
-        runs = runs.select("doc", "text_hash", "start", "n").unionByName(again.select("doc", "text_hash", "start", "n"))
     columns = ["doc", "text_hash", "start", F.col("n").cast("long").alias("n")]
-    return runs.select(columns).unionByName(solved.where("stretch is null").select(columns))
+    runs, left = of(DONE).select(columns), texts.mapInArrow(_cut(kind), _CUT_SQL)
+    dealt_out = not found.where(F.col("total") > HOT_GROUP).isEmpty()
+    for width in sorted({-(-(kind.window - kind.gram + 1) // BLOCKS), 1}, reverse=True):
+        solved = left.repartition("kh", "salt").sortWithinPartitions("kh", "salt").mapInArrow(_solver(kind, width), _CUT_SQL)
+        if not dealt_out:
+            return runs.unionByName(solved.select(columns))
+        solved = materialize(solved)
+        runs, left = runs.unionByName(solved.where("stretch is null").select(columns)), solved.where("stretch is not null")
+        totals = left.groupBy("kh").agg(F.count("*").alias("total")).where(F.col("total") > HOT_GROUP)
+        # Blocks of one place are whole windows, of which each group has left one at most.
+        dealt_out = width > 1 and not totals.isEmpty()
+        if dealt_out:
+            left = left.join(totals, "kh", "left").withColumn("salt", _salt()).select(*_CUT.names)
+    solved = left.repartition("kh").sortWithinPartitions("kh").mapInArrow(_solver(kind, 1), _CUT_SQL)
+    return runs.unionByName(solved.select(columns))
+
+
+def _salt() -> Column:
+    """The group that a stretch is dealt out to, by the ``total`` of its key; -1 where there is one group."""
+    groups = F.ceil(F.coalesce("total", F.lit(0)) / HOT_GROUP)
+    return F.when(groups > 1, F.pmod(F.xxhash64("doc", "text_hash"), groups)).otherwise(-1)
 
 
 def with_runs(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
