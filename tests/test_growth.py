@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from veritrail.functions.names import similarity
 from veritrail.operators import case, chain, infra, ledger, metrics, resolution, successors, traversal
-from veritrail.plans import registry
+from veritrail.plans import registry, views
 from veritrail.sources import onchain, planted
 
 
@@ -105,3 +105,16 @@ def test_mixers_fold_values_once(spark):
     assert [(r["txid"], r["n_inputs"], r["n_outputs"], round(r["cv"], 6)) for r in made.collect()] == [("t", 3, 3, 0.081650)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("aggregate(") <= 2
+
+
+def test_flows_are_dealt_out_by_rows(spark, monkeypatch):
+    """Tasks grow with the lines, and each pair of addresses is summed up once it has been dealt out."""
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    lines = views.table(spark, SF, "lineitem")
+    assert views.tasks_for(lines) == -(-lines.count() // 100) > 2 * spark.sparkContext.defaultParallelism
+    txs = registry.QUERIES["flow_expansion"]
+    plan = txs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    tail = plan[: plan.index("Exchange")]
+    assert tail.count("HashAggregate") == 2 and "REPARTITION_BY_NUM" in plan
+    small = chain.flow_totals(spark.createDataFrame([("t", "", [("a", 1.0), ("a", 2.0)], [("x", 3.0), ("y", None)], 0), ("u", "", [("a", 1.0)], [("x", 4.0)], 1), ("v", "", None, [("x", 4.0)], 2)], chain.TRANSACTION), 3)
+    assert {tuple(r) for r in small.collect()} == {("a", "x", 3, 10.0), ("a", "y", 2, None)}

@@ -29,6 +29,13 @@ def flow(txs: DataFrame) -> DataFrame:
     return txs.select("txid", "ts", F.explode("inputs").alias("i"), "outputs").select("txid", "ts", "i", F.explode("outputs").alias("o")).select("txid", F.col("i.address").alias("source"), F.col("o.address").alias("target"), F.col("i.value").alias("in_value"), F.col("o.value").alias("out_value"), "ts")
 
 
+def flow_totals(txs: DataFrame, tasks: int) -> DataFrame:
+    """(source, target, n, value): flows of two addresses, dealt out to ``tasks`` tasks. Nearly each has two of its own, so that
+    summing them up ahead of the shuffle would hold them all and save nothing."""
+    dealt = flow(txs).select("source", "target", "out_value").repartition(tasks, "source", "target")
+    return dealt.groupBy("source", "target").agg(F.count("*").alias("n"), F.sum("out_value").alias("value"))
+
+
 def trace(txs: DataFrame, seed: str, direction: str = "forward", max_hops: int = 4) -> DataFrame:
     """(txid, source, target, value, ts, hop): all flows out of (or, backward, into) addresses fewer than ``max_hops`` away."""
     here, there, value = ("source", "target", "out_value") if direction == "forward" else ("target", "source", "in_value")
