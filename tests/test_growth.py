@@ -118,3 +118,21 @@ def test_flows_are_dealt_out_by_rows(spark, monkeypatch):
     assert tail.count("HashAggregate") == 2 and "REPARTITION_BY_NUM" in plan
     small = chain.flow_totals(spark.createDataFrame([("t", "", [("a", 1.0), ("a", 2.0)], [("x", 3.0), ("y", None)], 0), ("u", "", [("a", 1.0)], [("x", 4.0)], 1), ("v", "", None, [("x", 4.0)], 2)], chain.TRANSACTION), 3)
     assert {tuple(r) for r in small.collect()} == {("a", "x", 3, 10.0), ("a", "y", 2, None)}
+
+
+def test_sweeps_deal_out_numbers(spark, monkeypatch):
+    """No table of a sweep holds names, and a wave is looked at only where others have changed since."""
+    written, keep = [], traversal.materialize
+
+    def materialize(df, *by):
+        written.append(df.dtypes)
+        return keep(df, *by)
+
+    monkeypatch.setattr(traversal, "materialize", materialize)
+    rows = spark.createDataFrame([(f"C{i}", f"S{j}") for i in range(6) for j in range(2)], "src string, dst string")
+    got = {r["entity"]: r["community"] for r in traversal.communities(rows, one_task=0).collect()}
+    assert got == {r["entity"]: r["community"] for r in traversal.communities(rows, one_task=10**9).collect()}
+    sweeps = [t for t in written if [c for c, _ in t] == ["entity", "label", "moved"]]
+    assert sweeps and all(kind == "int" for t in sweeps for c, kind in t if c != "moved")
+    # All agree after one sweep: customers are looked at once more, suppliers are not.
+    assert len(sweeps) == 3
