@@ -390,6 +390,21 @@ def test_topk(spark, monkeypatch):
     assert topk.exact_topk(empty, empty).count() == 0
 
 
+def test_topk_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    """Blocks are repeated for each block of the other side, which Spark's guess of their size leaves out."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rnd = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in rnd.integers(-3, 4, 40) / 4]) for i in range(200)]
+    q = topk.quantize(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    for few in (0, 1, topk.FEW):
+        monkeypatch.setattr(topk, "FEW", few, raising=False)
+        found = topk.exact_topk(q, q.where("vec_id % 20 = 0"), 5)
+        assert sorted(map(tuple, found.collect())) == brute_topk(vectors, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_topk_sql_with_repeated_rows(spark):
     import duckdb
 

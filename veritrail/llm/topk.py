@@ -27,8 +27,10 @@ from veritrail.storage import materialize
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
 #: Of longer vectors a block holds fewer, so that it has no more numbers than with vectors of so many components.
 BLOCK_COMPONENTS = 128
-#: Queries whose coarsest bounds are held at a time.
+#: Queries whose bounds are held at a time.
 BOUND_BLOCK = 256
+#: Share of candidates up to which those left are picked one query at a time.
+FEW = 1 / 16
 LEVELS = (4, 16, 32)
 _FOUND = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _LEAST, _MOST = -(2**63), 2**63 - 1
@@ -89,26 +91,42 @@ def search_block(q_ids, q_keys, queries, c_ids, cands, k: int, held: dict) -> No
         return
     y = cands.astype(np.float64)
     theirs = [segment_features(y, s) for s in LEVELS]
-    far = np.abs(y).max(initial=0) * y.shape[1]
+    reach = np.abs(y).max(initial=0)
+    far = reach * y.shape[1]
+    none = np.empty(0, np.int64)
     for a in range(0, q_ids.size, BOUND_BLOCK):
-        x = queries[a : a + BOUND_BLOCK].astype(np.float64)
+        asked, x = queries[a : a + BOUND_BLOCK], queries[a : a + BOUND_BLOCK].astype(np.float64)
+        keys = list(zip(q_ids[a : a + BOUND_BLOCK].tolist(), q_keys[a : a + BOUND_BLOCK], strict=True))
         ours = [segment_features(x, s) for s in LEVELS]
-        slack = 1e-9 * (1 + np.abs(x).max(initial=0) * far)
-        coarse = ours[0] @ theirs[0].T + slack
-        for i in range(x.shape[0]):
-            qid, query, bound = int(q_ids[a + i]), queries[a + i], coarse[i]
-            scores, ids = held.get((qid, q_keys[a + i]), (np.empty(0, np.int64), np.empty(0, np.int64)))
-            least = scores[-1] if scores.size >= k else -np.inf
+        most = np.abs(x).max(initial=0) * far
+        slack = 1e-9 * (1 + most)
+        bound = ours[0] @ theirs[0].T + slack
+        least = np.full(len(keys), -np.inf)
+        for i, key in enumerate(keys):
+            scores, ids = held.get(key, (none, none))
             if scores.size < k:
-                first = np.argpartition(-bound, min(4 * k, bound.size - 1))[: 4 * k + 1]
-                first = first[c_ids[first] != qid]
-                seed, _ = best_of(np.concatenate([scores, _exact(cands[first], query)]), np.concatenate([ids, c_ids[first]]), k)
-                least = seed[-1] if seed.size >= k else -np.inf
-            alive = np.flatnonzero(bound >= least)
-            for mine, other in zip(ours[1:], theirs[1:], strict=True):
-                alive = alive[other[alive] @ mine[i] + slack >= least]
-            alive = alive[c_ids[alive] != qid]
-            held[qid, q_keys[a + i]] = best_of(np.concatenate([scores, _exact(cands[alive], query)]), np.concatenate([ids, c_ids[alive]]), k)
+                first = np.argpartition(-bound[i], min(4 * k, c_ids.size - 1))[: 4 * k + 1]
+                first = first[c_ids[first] != key[0]]
+                scores, _ = best_of(np.concatenate([scores, _exact(cands[first], asked[i])]), np.concatenate([ids, c_ids[first]]), k)
+            if scores.size >= k:
+                least[i] = scores[-1]
+        alive = bound >= least[:, None]
+        for mine, other in zip(ours[1:], theirs[1:], strict=True):
+            # Where many are left, one product of matrices costs less than to pick them.
+            if alive.mean() > FEW:
+                alive &= mine @ other.T + slack >= least[:, None]
+                continue
+            for i in range(len(keys)):
+                left = np.flatnonzero(alive[i])
+                alive[i, left] = other[left] @ mine[i] + slack >= least[i]
+        alive &= c_ids != q_ids[a : a + BOUND_BLOCK, None]
+        # Doubles hold these products exactly.
+        products = x @ y.T if most < 2**53 and alive.mean() > FEW else None
+        for i, key in enumerate(keys):
+            scores, ids = held.get(key, (none, none))
+            left = np.flatnonzero(alive[i] if products is None else alive[i] & (products[i] >= least[i]))
+            exact = _exact(cands[left], asked[i]) if products is None else products[i, left].astype(np.int64)
+            held[key] = best_of(np.concatenate([scores, exact]), np.concatenate([ids, c_ids[left]]), k)
 
 
 def _flat(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
@@ -134,7 +152,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             keys = (np.repeat(np.array([key[i] for key in held], np.int64), counts) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, np.concatenate([i for _, i in held.values()]), np.concatenate([s for s, _ in held.values()]))], schema=_FOUND)
 
-    found = asks.join(cands, ["dim", "qb", "cb"]).mapInArrow(run, "query_id long, query_key long, vec_id long, score long")
+    # Spark takes blocks to be no more than the table they were made of, however often they are repeated, and would send all of them
+    # through the driver. As many tasks as shuffles have, however few bytes the blocks are.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asks, cands = (x.repartition(tasks, "dim", "qb", "cb") for x in (asks, cands))
+    found = asks.hint("merge").join(cands.hint("merge"), ["dim", "qb", "cb"]).mapInArrow(run, "query_id long, query_key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
