@@ -213,6 +213,55 @@ def test_cycles(spark):
         assert got == want
 
 
+def brute_paths(rows, src, dst, max_paths, max_len):
+    """Simple paths, shortest first, then by names and ids: every one is made."""
+    found, paths = [], [((src,), ())]
+    for _ in range(max_len):
+        paths = [((*route, b), (*ids, f"t{i}")) for route, ids in paths for i, (a, b, *_) in enumerate(rows) if a == route[-1] and b not in route and route[-1] != dst]
+        found += sorted((p for p in paths if p[0][-1] == dst), key=lambda p: list(zip(p[0][1:], p[1], strict=True)))
+    return [(">".join(route), ">".join(ids)) for route, ids in found[:max_paths]] if src != dst else []
+
+
+def test_paths_against_all_of_them(spark, monkeypatch):
+    rnd = random.Random(12)
+    for n, m, most, limit in ((6, 14, (1, 2, None), 4), (8, 16, (2, None), 30), (7, 18, (1_000, None), 5)):
+        monkeypatch.setattr(traversal, "FOLLOWED", most, raising=False)
+        rows = graph_of(rnd, n, m)
+        got = traversal.path_of_funds(ledger_of(spark, *rows), "n00", "n01", limit, 5).collect()
+        want = brute_paths(rows, "n00", "n01", limit, 5)
+        assert sorted((">".join(r["route"]), ">".join(r["edges"])) for r in got) == sorted(want) and want
+        amounts = [x for _, _, x, _ in rows]
+        assert all(r["hops"] == len(r["edges"]) and r["total"] == sum(amounts[int(i[1:])] for i in r["edges"]) for r in got)
+
+
+def test_few_paths_are_followed(spark, monkeypatch):
+    """No step makes more paths than are followed, and none goes where no end of the length is; before, all of up to four hops were made."""
+    written, keep = [], traversal.materialize
+
+    def materialize(df, *by):
+        out = keep(df, *by)
+        if "route" in df.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(traversal, "materialize", materialize)
+    rows = [(f"C{i}", f"S{j}", 1, 0) for i in range(12) for j in range(6)] + [(f"S{j}", f"C{i}", 1, 0) for i in range(12) for j in range(6) if (i, j) != (11, 0) and i != 10] + [("S0", "C10", 2, 0)]
+    got = traversal.path_of_funds(ledger_of(spark, *rows), "C0", "C10", 3).collect()
+    assert [r["route"] for r in got][:1] == [["C0", "S0", "C10"]] and [r["hops"] for r in got] == [2, 4, 4]
+    assert max(written) <= 6 * 10
+
+
+def test_pairs_two_apart(spark):
+    pairs = lambda *rows: spark.createDataFrame(rows, "src string, dst string")
+    rnd = random.Random(13)
+    for m in (1, 2, 3, 4, 6, 9):
+        rows = [(a, b) for a, b, *_ in graph_of(rnd, 5, m) if a != b] or [("a", "b")]
+        ends = [(a, d) for a, b in rows for c, d in rows if b == c and a != d]
+        assert traversal.two_apart(pairs(*rows)) == min(ends, default=None)
+    # What the least sender pays to pays back to it alone.
+    assert traversal.two_apart(pairs(("a", "b"), ("b", "a"), ("c", "b"), ("c", "d"))) == ("c", "a")
+
+
 def test_names(spark):
     names = ["Acme Trading LLC", "ACME Trading, L.L.C.", "acct_1", "acct_2", "Zeta", "", None, "Beta Corp", "beta corporation"]
     got = {r["name"]: r["canonical"] for r in resolve_entities(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
