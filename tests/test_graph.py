@@ -3,6 +3,7 @@
 import random
 from collections import Counter, deque
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_detectors import ledger_of
@@ -278,3 +279,32 @@ def test_betweenness_by_searches_and_by_joins(spark, monkeypatch):
     held = {r["entity"]: r["share"] for r in traversal.path_shares(ledger).collect()}
     assert held.keys() == joined.keys() and any(held.values())
     assert all(abs(held[e] - joined[e]) < 1e-9 for e in held)
+
+
+def test_searches_of_many_sources_at_once(monkeypatch):
+    """Sources that are searched together have the shares that each has alone; nodes with very many links are summed up in parts."""
+    monkeypatch.setattr(traversal, "GATHERED", 16, raising=False)
+    for seed, (n, m) in enumerate([(2, 1), (30, 40), (60, 60), (40, 300)]):
+        rng = np.random.default_rng(seed)
+        pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (m, 2)).tolist() if p[0] != p[1]} | {(0, i) for i in range(1, n if seed > 1 else 2)}
+        names = {x: i for i, x in enumerate(sorted({x for p in pairs for x in p}))}
+        ends = np.array(sorted((names[x], names[y]) for a, b in pairs for x, y in ((a, b), (b, a))))
+        for width in (1, 3, 64):
+            sources = range(1 if len(names) > 2 else 0, len(names), 2)
+            got = traversal._shares_together(ends[:, 0], ends[:, 1], len(names), sources, width)
+            assert np.allclose(got, traversal._shares_of(ends[:, 0], ends[:, 1], len(names), sources), rtol=1e-12, atol=0)
+
+
+def test_searches_hold_a_component(spark, monkeypatch):
+    """No task holds links of components that it doesn't search, and one component that is too large doesn't send the others to joins."""
+    monkeypatch.setattr(traversal, "SMALL_PARTS", 10, raising=False)
+    monkeypatch.setattr(traversal, "TOGETHER", 8, raising=False)
+    rows = [(f"g{g}-{a}", f"g{g}-{b}", x, i) for g in range(3) for a, b, x, i in graph_of(random.Random(g), 14, 30)] + [("p0", "p1", 1, 0), ("q0", "q1", 1, 0), ("q1", "q2", 1, 0), ("lone", None, 1, 0)]
+    rows += [("hub", f"leaf{i:02d}", 1, 0) for i in range(60)]
+    adj = adjacency([r for r in rows if r[1] is not None]) | {"lone": set()}
+    joined, by_joins = [], traversal._shares_by_joins
+    monkeypatch.setattr(traversal, "_shares_by_joins", lambda near: joined.append(near.count()) or by_joins(near))
+    got = {r["entity"]: r["share"] for r in traversal.path_shares(ledger_of(spark, *rows), held_links=100).collect()}
+    want = brute_shares(adj)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 * max(1, want[x]) for x in want)
+    assert joined == [120]
