@@ -63,6 +63,30 @@ def test_shared_days_by_blocks(spark, monkeypatch):
     assert found == {(a, b, len(seen[a] & seen[b])) for a in seen for b in seen if a < b and len(seen[a] & seen[b]) >= 2}
 
 
+def test_shared_days_of_many_days(spark, monkeypatch):
+    """Days fill several words of bits, and lists of them never become Python's objects."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(infra, "BLOCK", 8)
+    rnd = random.Random(4)
+    days = [f"{y}-{m:02d}-{d:02d}" for y in (2025, 2026) for m in range(1, 4) for d in range(1, 28)]
+    seen = {f"U{i}": {d for d in days if rnd.random() < share} for i, share in enumerate([0.9] * 8 + [0.1] * 12 + [0.02] * 20)}
+    rows = spark.createDataFrame([(ip, f"{d}T00:00:00", 0) for ip, ds in seen.items() for d in ds], "ip string, ts string, ordinal long")
+    for least in (1, 2, 70, 140):
+        found = {tuple(r)[:3] for r in infra.coactivity(rows, least).collect()}
+        want = {(a, b, len(seen[a] & seen[b])) for a in seen for b in seen if a < b and len(seen[a] & seen[b]) >= least}
+        assert found == want and (want or least == 140)
+    held = pa.list_(pa.struct([("ip", pa.string()), ("ranks", pa.list_(pa.int32()))]))
+    side = lambda *x: pa.array([[{"ip": ip, "ranks": ranks} for ip, ranks in x]], held)
+    table = pa.table({"rank": pa.array([1], pa.int32()), "a_block": [0], "a": side(("x", [0, 1, 2]), ("é", [1, 2])), "b_block": [1], "b": side(("y", [0, 1, 3]), ("b", [1, 2]))})
+
+    class Watched:
+        num_rows = 1
+        __getitem__ = lambda self, c: table[c]
+
+    assert infra._shared(2)(Watched()).to_pylist() == [{"a": "b", "b": "x", "shared_days": 2}, {"a": "b", "b": "é", "shared_days": 2}]
+
+
 def test_transactions_do_not_hold_their_block(spark):
     docs = spark.createDataFrame([('{"result":{"timestamp":"0x10","transactions":[{"hash":"h","from":"a","to":"b","value":"0xde0b6b3a7640000"}]}}',)], "value string")
     made = onchain.evm_block(docs)

@@ -50,7 +50,7 @@ def coactivity(obs: DataFrame, min_shared_days: int = 2) -> DataFrame:
 
     Two addresses that share ``min_shared_days`` days share one even when each leaves out all but one of those of its commonest
     days. So addresses meet on their rarer days only, once for each pair (on the rarest day that they share), and the days that
-    nearly all have in common make no pairs. Addresses of a day meet by blocks, whose shared days are a product of matrices.
+    nearly all have in common make no pairs. Addresses of a day meet by blocks, whose days are bits of words.
     """
     days = materialize(obs.where(F.col("ts").contains("T")).select(F.substring_index("ts", "T", 1).alias("day"), "ip").where("ip is not null").distinct())
     # A row a day: its place in order of how many have it, the rarest first.
@@ -74,27 +74,38 @@ def _shared(least: int):
     """Pairs of two blocks of addresses that share ``least`` days, none of which is rarer than the one where the blocks meet."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(table: pa.Table) -> pa.Table:
         out = []
-        for row in table.to_pylist():
-            sides = [row["a"]] if row["a_block"] == row["b_block"] else [row["a"], row["b"]]
-            days = np.unique(np.concatenate([m["ranks"] for side in sides for m in side]))
-            bits = []
-            for side in sides:
-                at = np.zeros((len(side), days.size), dtype=np.float32)
-                at[np.repeat(np.arange(len(side)), [len(m["ranks"]) for m in side]), np.searchsorted(days, np.concatenate([m["ranks"] for m in side]))] = 1
-                bits.append(at)
-            rarer = days < row["rank"]
-            total = bits[0] @ bits[-1].T
-            fits = (total >= least) & (bits[0][:, rarer] @ bits[-1][:, rarer].T == 0)
-            i, j = np.nonzero(np.triu(fits, 1) if len(sides) == 1 else fits)
-            names = [m["ip"] for side in sides for m in side]
-            order = np.empty(len(names), dtype=np.int64)
-            order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-            n, j = total[i, j].astype(np.int64), j if len(sides) == 1 else j + len(sides[0])
+        for row in range(table.num_rows):
+            one = lambda c: table[c][row]  # noqa: B023, E731
+            # Lists stay Arrow's: as Python's objects they would cost more than all that is done with them.
+            sides = [one(c).values for c in (("a",) if one("a_block") == one("b_block") else ("a", "b"))]
+            ranks = [(side.field("ranks").value_lengths().to_numpy(), side.field("ranks").flatten().to_numpy()) for side in sides]
+            days = np.unique(np.concatenate([flat for _, flat in ranks]))
+            here = int(np.searchsorted(days, one("rank").as_py()))
+            # The days of an address as bits of words, the rarest first.
+            words = []
+            for many, flat in ranks:
+                at = np.zeros((many.size, -(-days.size // 64) * 64), dtype=bool)
+                at[np.repeat(np.arange(many.size), many), np.searchsorted(days, flat)] = True
+                words.append(np.packbits(at, axis=1, bitorder="little").view(np.uint64))
+            # Pairs that have met on a rarer day, or that come the other way round: after some days nearly all have.
+            shape = len(words[0]), len(words[-1])
+            met = np.tri(*shape, dtype=bool) if len(sides) == 1 else np.zeros(shape, bool)
+            for w in range(-(-here // 64)):
+                rarer = np.uint64((1 << min(here - 64 * w, 64)) - 1)
+                met |= ((words[0][:, w] & rarer)[:, None] & words[-1][:, w]) != 0
+            i, j = np.nonzero(~met)
+            n = sum(np.bitwise_count(words[0][i, w] & words[-1][j, w]).astype(np.int64) for w in range(words[0].shape[1]))
+            fits = n >= least
+            i, j, n = i[fits], j[fits], n[fits]
+            known = pa.concat_arrays([side.field("ip") for side in sides])
+            order = np.empty(len(known), dtype=np.int64)
+            order[pc.sort_indices(known).to_numpy()] = np.arange(len(known))
+            j = j if len(sides) == 1 else j + len(sides[0])
             swap = order[i] > order[j]
-            known = pa.array(names, pa.string())
             out.append(pa.table({"a": known.take(pa.array(np.where(swap, j, i))), "b": known.take(pa.array(np.where(swap, i, j))), "shared_days": n}))
         return pa.concat_tables(out)
 
